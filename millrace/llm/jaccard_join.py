@@ -77,7 +77,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     for band, high in band_of(len(elements), percent):
         n1, n2, k2, spare = scheme(high, percent)
         pieces = n1 * n2
-        width = (1 << 64) // pieces
+        width = ((1 << 64) - 1) // pieces
         cuts = np.searchsorted(elements, np.arange(1, pieces, dtype=K.U64) * K.U64(width))
         cuts = np.concatenate([[0], cuts, [len(elements)]])
         value, count = sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
@@ -110,8 +110,8 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 def set_name(elements: np.ndarray) -> int:
     """A 63-bit name for the class of documents with this set."""
-    total = K.mix(elements).sum(dtype=K.U64) + K.U64(len(elements)) * K.U64(0x9E3779B97F4A7C15)
-    return int(K.mix(np.array([total], K.U64))[0] >> K.U64(1))
+    total = int(K.mix(elements).sum(dtype=K.U64)) + len(elements) * 0x9E3779B97F4A7C15
+    return int(K.mix(np.array([total % (1 << 64)], K.U64))[0] >> K.U64(1))
 
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
