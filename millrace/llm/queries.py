@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, quality_rules, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    rows, ids = unigram.encoded(documents(spark, sf_dir).select("doc_id", "text"), path)
+    rows, back = unigram.decoded(rows, path, ids)
+    return rows.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
+        (F.col(back) == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(documents(spark, sf_dir))
 
@@ -40,6 +52,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.size("hit_words").cast("long")
@@ -65,10 +82,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
