@@ -3,8 +3,9 @@
 A block of documents is cut into pre-tokens and reduced to per-document frequencies. What travels is,
 for each bucket of pre-tokens and block, the distinct pre-tokens with packed (document, frequency)
 pairs. In its bucket a pre-token's pieces are counted once, the count is joined to the frequencies
-of all blocks, and the products are summed by document. No list of ids is kept anywhere. A very
-common pre-token costs one entry for each block, however many documents hold it.
+of all blocks, and the products, one packed row for each block and bucket, are summed by document. No
+list of ids is kept anywhere. A very common pre-token costs one entry for each block, however many
+documents hold it.
 
 A special string of the vocabulary file inside a text is one token, as the library's default has it.
 
@@ -36,7 +37,8 @@ KNOWN_PIECES = 1_000_000  # a worker's memory of counted pre-tokens; counting ag
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-SUMS = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("copies", pa.int64())])
+PARTS = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+COUNTS = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def specials(path: str) -> list[str]:
@@ -71,20 +73,19 @@ def _frequencies(path: str, n_buckets: int):
         pairs = np.bincount(rank[code], minlength=len(tokens)).astype(np.uint32)
         at = np.concatenate([[0], np.cumsum(pairs, dtype=np.int64)])
         edges = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
-        ids, crcs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint32)
-        home = ids % n_buckets
+        ids, crcs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        block = int(np.sum(K.mix(ids.astype(K.U64) + K.mix(crcs.astype(K.U64)))) >> K.U64(1))
+        doc = doc.astype(np.uint16) if len(rows) < 1 << 16 else doc
         out = []
         for b in range(n_buckets):
             lo, hi = edges[b], edges[b + 1]
-            own = np.flatnonzero(home == b)
-            if lo == hi and not len(own):
+            head = (ids, crcs, len(code)) if b == block % n_buckets else None
+            if lo == hi and not head:
                 continue
             these = order[at[lo] : at[hi]]
-            docs, where = np.unique(np.concatenate([doc[these], own.astype(np.uint32)]), return_inverse=True)
-            where = where.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32)
             f = freq[these]
             f = f.astype(np.uint8) if not len(f) or f.max() < 256 else f
-            out.append((b, K.pack([tokens[i] for i in by_bucket[lo:hi]], pairs[lo:hi], where[: len(these)], f, where[len(these) :], ids[docs], crcs[docs])))
+            out.append((b, K.pack(block, [tokens[i] for i in by_bucket[lo:hi]], pairs[lo:hi], doc[these], f, head)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def _counted(path: str):
         pieces: dict[str, int] = {}
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
-                tokens, pairs, doc, freq, own, ids, crcs = K.unpack(payload)
+                block, tokens, pairs, doc, freq, head = K.unpack(payload)
                 if len(pieces) > KNOWN_PIECES:
                     pieces.clear()
                 new = [t for t in tokens if t not in pieces]
@@ -126,15 +127,38 @@ def _counted(path: str):
                     part = new[at : at + 4096]
                     pieces.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
                 each = np.fromiter((pieces[t] for t in tokens), np.int64, len(tokens))
-                sums = np.zeros(len(ids), np.int64)
-                np.add.at(sums, doc, np.repeat(each, pairs) * freq)
-                copies = np.zeros(len(ids), np.int64)
-                copies[own] = 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crcs.astype(np.int64)), pa.array(sums), pa.array(copies)], schema=SUMS)
+                sums = np.bincount(doc, np.repeat(each, pairs) * freq).astype(np.int64)
+                some = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([K.pack(np.diff(some, prepend=0).astype(np.int32), sums[some], len(doc), head)], pa.binary())], schema=PARTS)
 
     return run
 
 
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up a block's parts; a block whose parts are not those of one computation is an error."""
+    sums: dict[int, np.ndarray] = {}
+    heads: dict[int, tuple] = {}
+    pairs: Counter = Counter()
+    for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            steps, values, n, head = K.unpack(payload)
+            pairs[block] += n
+            if head:
+                heads[block] = head
+            at = np.cumsum(steps)
+            have = sums.get(block, np.zeros(0, np.int64))
+            if len(at) and at[-1] >= len(have):
+                have = np.concatenate([have, np.zeros(at[-1] + 1 - len(have), np.int64)])
+            have[at] += values
+            sums[block] = have
+    for block, have in sums.items():
+        ids, crcs, n = heads[block]
+        if pairs[block] % n if n else pairs[block]:
+            raise RuntimeError("the parts of a block of documents do not fit together; run again")
+        have = np.concatenate([have, np.zeros(len(ids) - len(have), np.int64)]) // max(1, pairs[block] // max(1, n))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crcs), pa.array(have)], schema=COUNTS)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = MAX_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
@@ -143,9 +167,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = MAX_TOKENS) -> DataFra
     n = partitions(docs.sparkSession)
     rows = keyed(docs)
     packed = rows.select("_id", "_crc", "text").mapInArrow(_frequencies(path, n), "bucket int, payload binary")
-    sums = packed.repartition(n, "bucket").select("payload").mapInArrow(_counted(path), "_id long, _crc long, n long, copies long")
-    # a document that several blocks hold (rows that repeat doc_id and text) has been counted by each
-    counts = sums.groupBy("_id", "_crc").agg((F.sum("n") / F.sum("copies")).cast("long").alias("n_tokens"))
+    parts = packed.repartition(n, "bucket").select("payload").mapInArrow(_counted(path), "block long, payload binary")
+    sums = parts.repartition(n, "block").mapInArrow(_summed, "_id long, _crc long, n_tokens long")
+    # rows that repeat doc_id and text may stand in several blocks
+    counts = sums.groupBy("_id", "_crc").agg(F.max("n_tokens").alias("n_tokens"))
     sized = rows.select("_id", "_crc", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     n_tokens = F.coalesce("n_tokens", F.lit(0).cast("long"))
     return sized.join(counts, ["_id", "_crc"], "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
