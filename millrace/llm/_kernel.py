@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: ASCII white space, as the word rule `[^\x20\x09-\x0D]+` has it.
 SPACE = b" \t\n\x0b\x0c\r"
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.llm._rows import LEAST, checkpointed, fresh, keyed
 
 RUN = 3
@@ -64,9 +65,11 @@ def _joined(docs: DataFrame, run: int) -> tuple[DataFrame, str]:
 
 
 def _kept(removed: str) -> Column:
-    all_ = lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(removed))
-    return F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(all_, i)), "\n"))
+    def left(all_: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(removed))
+        return F.array_join(F.transform(stay, lambda i: F.get(all_, i)), "\n")
+
+    return F.when(F.col(removed).isNull(), F.col("text")).otherwise(let(lines(F.col("text")), left))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
