@@ -232,15 +232,39 @@ def _elements(shingle: int, n_buckets: int):
     return run
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, elements): a bucket's elements that two or more nodes have, by node."""
-    key, node = _read(p for batch in batches for p in batch.column("payload").to_pylist())
-    if len(key):
-        order = np.argsort(node, kind="stable")
-        s, e = K.runs(node[order])
-        key = key[order]
-        parts = [key[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(node[order][s]), pa.array(parts, pa.binary()), pa.array(e - s)], names=["node", "part", "shared"])
+def _shared(n_buckets: int):
+    """Elements of a bucket that two or more nodes have, packed by the home of their nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = _read(p for batch in batches for p in batch.column("payload").to_pylist())
+        home = node % n_buckets
+        order = np.lexsort((node, home))
+        key, node, home = key[order], node[order], home[order]
+        s, e = K.runs(home)
+        rows = []
+        for a, b in zip(s.tolist(), e.tolist(), strict=True):
+            f, g = K.runs(node[a:b])
+            rows.append((int(home[a]), K.pack(node[a:b][f], (g - f).astype(np.int32), key[a:b])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shared, elements): each node's shared elements, from all buckets."""
+    parts: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            nodes, counts, keys = K.unpack(payload)
+            ends = np.cumsum(counts)
+            for node, a, b in zip(nodes.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                parts.setdefault(node, []).append(keys[a:b].tobytes())
+    names = list(parts)
+    for at in range(0, len(names), 512):
+        some = names[at : at + 512]
+        sets = [b"".join(parts[x]) for x in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shared", "elements"])
 
 
 def links_of(names: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -300,8 +324,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     grouped = one.join(groups.select("node").distinct(), "node").select("node", "n", "d._id", "d._crc")
     texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).dropDuplicates(["node"]).select("node", "text")
     packed = texts.mapInArrow(_elements(shingle, n), "bucket int, payload binary").repartition(n, "bucket").select("payload")
-    shared = packed.mapInArrow(_shared, "node long, part binary, shared long").groupBy("node").agg(F.sum("shared").alias("shared"), F.collect_list("part").alias("parts"))
-    alive = checkpointed(grouped.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "shared", F.array_join(F.transform("parts", F.hex), "").alias("parts")).select("node", "n", "shared", F.unhex("parts").alias("elements")))
+    shared = packed.mapInArrow(_shared(n), "bucket int, payload binary").repartition(n, "bucket").select("payload").mapInArrow(_gathered, "node long, shared long, elements binary")
+    alive = checkpointed(grouped.select("node", "n").join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent))
 
     kept = groups.join(alive.select("node"), "node")
     hubs = kept.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")

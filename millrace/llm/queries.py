@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
+from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +93,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

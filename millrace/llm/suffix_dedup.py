@@ -38,7 +38,7 @@ from millrace.llm._rows import buckets, keyed, partitions
 LENGTH = 200
 GRAM = 16
 BLOCK_BYTES = 8 << 20
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 
 PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 SPANS = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
@@ -270,6 +270,29 @@ class _Bucket:
         for i in np.flatnonzero(self.multi).tolist():
             yield int(self.lengths[i]), np.array([i]), np.array([0])
 
+    def covered(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(segments, starts, ends): the stretches of segments that maximal repeats cover, a batch at a time."""
+        for batch in self.batches():
+            sizes = self.lengths[batch]
+            base = np.cumsum(sizes) - sizes
+            array = SuffixArray(b"".join([self.strings[i] for i in batch.tolist()]), sizes)
+            depth = np.zeros(int(sizes.sum()) + 1, np.int32)
+            for common, places in maximal_repeats(array, length):
+                np.add.at(depth, places, 1)
+                np.add.at(depth, places + common, -1)
+            del array
+            inside = np.concatenate([[False], np.cumsum(depth[:-1], dtype=np.int32) > 0, [False]])
+            cut = np.zeros(len(depth), bool)
+            cut[base] = True
+            now, was = inside[1:], inside[:-1]
+            s, e = np.flatnonzero(now & (~was | cut)), np.flatnonzero(was & (~now | cut))
+            if len(s):
+                which = np.searchsorted(base, s, side="right") - 1
+                yield batch[which], s - base[which], e - base[which]
+        whole = np.flatnonzero(self.multi)
+        if len(whole):
+            yield whole, np.zeros(len(whole), np.int64), self.lengths[whole]
+
     def held(self, segments: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The documents, and places in them, that hold these places of segments."""
         n = self.first[segments + 1] - self.first[segments]
@@ -289,25 +312,10 @@ def _finder(length: int, groups: bool):
                 name = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") >> 1
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), pa.array([depth] * len(ids), pa.int32()), pa.array(ids), pa.array(crcs), pa.array(starts.astype(np.int32))], schema=REPEATS)
             return
-        covered = np.zeros(int(bucket.lengths.sum()) + 1, np.int32)
-        base = np.cumsum(bucket.lengths) - bucket.lengths
-        for depth, segments, places in bucket.repeats(length):
-            at = base[segments] + places
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + depth, -1)
-        inside = np.concatenate([[False], np.cumsum(covered[:-1]) > 0, [False]])
-        inside_ends = np.concatenate([[0], base[1:], [len(covered) - 1]])
-        cut = np.zeros(len(covered), bool)
-        cut[inside_ends] = True
-        now, was = inside[1:], inside[:-1]
-        s = np.flatnonzero(now & (~was | cut))
-        e = np.flatnonzero(was & (~now | cut))
-        if not len(s):
-            return
-        segment = np.searchsorted(base, s, side="right") - 1
-        n = bucket.first[segment + 1] - bucket.first[segment]
-        at = K.ranges(bucket.first[segment], n)
-        yield merged(bucket.id[at], bucket.crc[at], bucket.start[at] + np.repeat(s - base[segment], n), bucket.start[at] + np.repeat(e - base[segment], n))
+        for segments, starts, ends in bucket.covered(length):
+            n = bucket.first[segments + 1] - bucket.first[segments]
+            at = K.ranges(bucket.first[segments], n)
+            yield merged(bucket.id[at], bucket.crc[at], bucket.start[at] + np.repeat(starts, n), bucket.start[at] + np.repeat(ends, n))
 
     return run
 
