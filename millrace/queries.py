@@ -126,12 +126,12 @@ def seeded_shuffle(spark, sf_dir):
 
 
 _SLOTS = """SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS ordinal FROM (
-  SELECT round * 100 + row_number() OVER (PARTITION BY round ORDER BY md5('42|' || round || '|' || at), at) - 1 AS slot, source FROM (
-    SELECT r.round, a.at, CASE WHEN at < 62 THEN 'en' WHEN at < 77 THEN 'fr' WHEN at < 90 THEN 'de' ELSE 'es' END AS source FROM range(5) r(round), range(100) a(at)))"""
+  SELECT turn_ * 100 + row_number() OVER (PARTITION BY turn_ ORDER BY md5('42|' || turn_ || '|' || k), k) - 1 AS slot, source FROM (
+    SELECT r.turn_, a.k, CASE WHEN k < 62 THEN 'en' WHEN k < 77 THEN 'fr' WHEN k < 90 THEN 'de' ELSE 'es' END AS source FROM range(5) r(turn_), range(100) a(k)))"""
 _PATTERN = {"en": 62, "fr": 15, "de": 13, "es": 10}
 
 
-@query("interleave", f"WITH s AS ({_SLOTS}), p AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT s.slot::BIGINT AS slot, s.source, p.doc_id FROM s JOIN p ON p.source = s.source AND p.at = s.ordinal % p.n")
+@query("interleave", f"WITH s AS ({_SLOTS}), p AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT s.slot::BIGINT AS slot, s.source, p.doc_id FROM s JOIN p ON p.source = s.source AND p.k = s.ordinal % p.n")
 def interleave(spark, sf_dir):
     slots = mixing.round_slots(spark, 5, _PATTERN)
     pool = _documents(spark, sf_dir).select(F.col("lang").alias("source"), "doc_id")
@@ -361,7 +361,7 @@ def cache_footprint(spark, sf_dir):
 
 @query("throughput", "SELECT event_id, round((event_id - lag(event_id) OVER w) / nullif(epoch(ts) - epoch(lag(ts) OVER w), 0), 6) AS tokens_per_s FROM events WHERE epoch(ts) >= 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def throughput(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.struct("ts", "event_id").alias("o"))
+    rows = tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.struct("ts", "event_id").alias("o"))
     rate = numeric.throughput(rows, "user_id", "o", "ts", "event_id", 1 << 40)
     return rate.select("event_id", F.round("tokens_per_s", 6).alias("tokens_per_s"))
 
