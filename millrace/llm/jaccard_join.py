@@ -41,8 +41,9 @@ from millrace.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK_ELEMENTS = 2_000_000
-UNIT_BYTES = 8 << 20
+BLOCK_ELEMENTS = 1_000_000
+UNIT_BYTES = 2 << 20
+ROWS, COLUMNS = 512, 1024  # of a matrix product's blocks
 SMALL_K = 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -277,24 +278,25 @@ def links_of(names: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], left:
     owner = owner[order][many]
     column = np.repeat(np.arange(len(s)), e - s)[many]
     rows, cols = np.flatnonzero(left), np.flatnonzero(right)
-    common = np.zeros((len(rows), len(cols)), np.float32)
     if len(column):
         column = np.unique(column, return_inverse=True)[1]
-        for lo in range(0, int(column[-1]) + 1, 4096):
-            a, b = np.searchsorted(column, [lo, lo + 4096])
+    edges = np.arange(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS)
+    out, root = [], np.arange(len(names))
+    for at in range(0, len(rows), ROWS):
+        some = rows[at : at + ROWS]
+        common = np.zeros((len(some), len(cols)), np.float32)
+        for lo in edges.tolist():
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
             part = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
             part[owner[a:b], column[a:b] - lo] = 1
-            common += part[rows] @ part[cols].T
-    total = sizes[rows][:, None] + sizes[cols][None, :]
-    linked = (100 + percent) * common.astype(np.int64) >= percent * total
-    out, root = [], np.arange(len(names))
-    where = np.flatnonzero(linked.any(1))
-    for i in where.tolist():
-        mine = np.unique(root[np.append(cols[linked[i]], rows[i])])
-        if len(mine) > 1:
-            for other in mine[1:].tolist():
-                out.append((int(names[other]), int(names[mine[0]])))
-                root[root == other] = mine[0]
+            common += part[some] @ part[cols].T
+        linked = (100 + percent) * common.astype(np.int64) >= percent * (sizes[some][:, None] + sizes[cols][None, :])
+        for i in np.flatnonzero(linked.any(1)).tolist():
+            mine = np.unique(root[np.append(cols[linked[i]], some[i])])
+            if len(mine) > 1:
+                for other in mine[1:].tolist():
+                    out.append((int(names[other]), int(names[mine[0]])))
+                    root[root == other] = mine[0]
     return out
 
 
