@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.functions.text import captured, strip
 
@@ -36,7 +37,7 @@ def tool_dialogue(chat: Column) -> Column:
     return F.when(chat.contains("<functioncall>") & chat.contains("FUNCTION RESPONSE:"), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON with two spaces of indent; Spark's own pretty printer sets other spaces."""
     for series in parts:
@@ -86,7 +87,7 @@ def code_pair_text(code: str) -> str:
     return f"# Python Source Code\n```python\n{code}\n```\n\n# Abstract Syntax Tree (AST) Specification\n```json\n{spec}\n```"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def code_pair(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Code with its syntax tree as JSON."""
     for series in parts:

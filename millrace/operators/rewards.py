@@ -9,11 +9,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from millrace.functions.text import occurrences, strip
 
 
-@F.pandas_udf("struct<good:double,bad:double>")
+def _doubles(*names: str) -> StructType:
+    out = StructType()
+    for name in names:
+        out = out.add(name, DoubleType())
+    return out
+
+
+@F.pandas_udf(_doubles("good", "bad"))
 def _python_blocks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in parts:
         rows = []
@@ -31,7 +39,7 @@ def _python_blocks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["good", "bad"])
 
 
-@F.pandas_udf("struct<tool:double,other:double,bad:double>")
+@F.pandas_udf(_doubles("tool", "other", "bad"))
 def _tool_calls(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     decoder = json.JSONDecoder()
     for series in parts:
