@@ -7,15 +7,13 @@ counts as the smallest.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.checkpoints import checkpointed  # noqa: F401
+
 LEAST = -(1 << 63)
-#: Python workers get batches of this many rows at most; kernels cut them further by bytes.
+#: More buckets than partitions, so that hashing deals them evenly.
 BUCKETS_PER_PARTITION = 4
 
 
@@ -45,16 +43,3 @@ def partitions(spark: SparkSession) -> int:
 def buckets(spark: SparkSession) -> int:
     """Buckets follow the number of shuffle partitions, which a deployment sizes by its input."""
     return BUCKETS_PER_PARTITION * partitions(spark)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage, in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
