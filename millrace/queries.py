@@ -370,3 +370,128 @@ def throughput(spark, sf_dir):
 @query("prepared_by_source", f"WITH b AS ({_bands('WHERE ' + _passes())}), k AS (SELECT DISTINCT doc_id FROM b WHERE doc_id NOT IN (SELECT y.doc_id FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)) SELECT source, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS chars FROM documents JOIN k USING (doc_id) GROUP BY source")
 def prepared_by_source(spark, sf_dir):
     return prepared(_documents(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+# --- sources, curriculum, reports
+_TEMPLATES = ["Chapter: sets and maps.", "Proof: by induction on n.", "def f(x):\n    return x", "Trace: think, call, answer.", "Prompt: add two numbers."]
+_TEMPLATE_SQL = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in _TEMPLATES) + "]"
+
+
+@query("template_cycle", f"SELECT i AS ord, ({_TEMPLATE_SQL})[i % 5 + 1] AS text FROM range(137) r(i)")
+def template_cycle(spark, sf_dir):
+    return tables.templated(spark, _TEMPLATES, 137)
+
+
+@query("textbook_scan", f"SELECT doc_id FROM documents WHERE {_passes(128)}")
+def textbook_scan(spark, sf_dir):
+    return tables.textbooks(_documents(spark, sf_dir)).select("doc_id")
+
+
+@query("tool_chat_scan", "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0")
+def tool_chat_scan(spark, sf_dir):
+    tail = F.when(F.col("turn") % 3 == 0, "<functioncall> {} FUNCTION RESPONSE: {}").otherwise("<functioncall>")
+    return tables.tool_chats(tables.table(spark, sf_dir, "conversations").withColumn("chat", F.concat("text", tail))).select("conv_id", "turn")
+
+
+@query("curriculum_mix", f"""WITH s AS (SELECT 0 AS part, doc_id AS ord, row_number() OVER (ORDER BY doc_id) AS r, 60 AS n, text FROM documents WHERE lang = 'en'
+  UNION ALL SELECT 1, doc_id, row_number() OVER (ORDER BY doc_id), 40, text FROM documents WHERE lang = 'fr'
+  UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id), 41, text FROM documents WHERE lang = 'de'
+  UNION ALL SELECT 3, doc_id, row_number() OVER (ORDER BY doc_id), 27, text FROM documents WHERE lang = 'es'),
+  k AS (SELECT part, ord, text FROM s WHERE r <= n), g AS (SELECT 6 AS part, i AS ord, ({_TEMPLATE_SQL})[i % 5 + 1] AS text FROM range(200) r(i) WHERE i < 200 - (SELECT count(*) FROM k))
+  SELECT part::INT AS part, ord::BIGINT AS ord, text FROM k UNION ALL SELECT part::INT, ord::BIGINT, text FROM g""")
+def curriculum_mix(spark, sf_dir):
+    of = lambda lang: _documents(spark, sf_dir).where(F.col("lang") == lang).select(F.col("doc_id").alias("ord"), "text")
+    sources = {"cosmo": of("en"), "fineweb": of("fr"), "python": of("de"), "math": of("es")}
+    return mixing.curriculum(sources, 200, tables.templated(spark, _TEMPLATES, 200))
+
+
+@query("prompt_mix", """WITH d AS (SELECT doc_id AS ord, trim(substr(text, 1, 20), ' ' || chr(10)) AS t FROM documents)
+  SELECT * FROM (SELECT 'math' AS kind, ord, 'User: Solve the following math problem step-by-step:' || chr(10) || t || chr(10) AS prompt FROM d WHERE t <> '' ORDER BY ord LIMIT 16)
+  UNION ALL SELECT * FROM (SELECT 'code', ord, 'User: Write a python solution for: ' || t || chr(10) FROM d WHERE t <> '' ORDER BY ord LIMIT 16)
+  UNION ALL SELECT * FROM (SELECT 'tool', ord, 'User: ' || t || chr(10) FROM d ORDER BY ord LIMIT 18)""")
+def prompt_mix(spark, sf_dir):
+    start = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("t"))
+    chats = start.select("ord", F.concat(F.lit("USER: "), "t", F.lit(" ASSISTANT: ok")).alias("chat"))
+    return mixing.prompts(start.withColumnRenamed("t", "problem"), start.withColumnRenamed("t", "instruction"), chats, 50)
+
+
+@query("prompt_assignment", f"SELECT i + 1 AS step, ({_TEMPLATE_SQL})[i % 5 + 1] AS prompt FROM range(100) r(i)")
+def prompt_assignment(spark, sf_dir):
+    return tables.templated(spark, _TEMPLATES, 100).select((F.col("ord") + 1).alias("step"), F.col("text").alias("prompt"))
+
+
+@query("newest_files", "SELECT event_type AS path, user_id AS priority FROM (SELECT DISTINCT event_type, user_id FROM events) ORDER BY priority, path DESC LIMIT 10")
+def newest_files(spark, sf_dir):
+    listing = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("user_id").alias("priority")).distinct()
+    return numeric.newest(listing, 10)
+
+
+@query("tool_state", "SELECT conv_id, turn, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 0)::INT AS inside FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 0 WHEN turn % 2 = 0 THEN 1 END AS s FROM conversations)")
+def tool_state(spark, sf_dir):
+    from pyspark.sql import Window
+
+    tag = F.when(F.col("role") == "assistant", "<|tool response|>").when(F.col("turn") % 2 == 0, "<|call tool|>").otherwise("")
+    state = formatters.inside_after(F.concat("text", tag), "<|call tool|>", "<|tool response|>")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)).alias("inside"))
+
+
+@query("micro_batches", "SELECT i AS seq_id, i // 8 AS micro_batch, i // 128 AS step FROM range(1000) r(i)")
+def micro_batches(spark, sf_dir):
+    return packing.micro_batches(spark.range(1000).withColumnRenamed("id", "seq_id"), 8, 16)
+
+
+@query("parameter_totals", "SELECT p_brand AS module, sum(p_size * 512)::BIGINT AS parameters FROM part GROUP BY p_brand")
+def parameter_totals(spark, sf_dir):
+    shapes = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("module"), F.array(F.col("p_size"), F.lit(512)).alias("shape"))
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    return shapes.groupBy("module").agg(F.sum(size).alias("parameters"))
+
+
+@query("progress", "SELECT event_id, round(event_id / greatest(value, 1e-6), 6) AS tokens_per_s, least(100.0, 100.0 * event_id / 5000)::DOUBLE AS percent, round(event_id * 2 / 1e6, 6) AS mb FROM events WHERE value > 0")
+def progress(spark, sf_dir):
+    from millrace.plans.compile import progress as report
+
+    rows = tables.table(spark, sf_dir, "events").where("value > 0").select("event_id", F.col("event_id").alias("tokens"), F.col("value").alias("seconds"))
+    return report(rows, 5000).select("event_id", F.round("tokens_per_s", 6).alias("tokens_per_s"), "percent", F.round("mb", 6).alias("mb"))
+
+
+@query("code_pairs")
+def code_pairs(spark, sf_dir):
+    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return '"), F.regexp_replace(F.substring("text", 1, 20), r"[^\p{L} ]", ""), F.lit("'\n"))
+    return _documents(spark, sf_dir).select("doc_id", formatters.code_pair(formatters.code_of(F.lit(None).cast("string"), code)).alias("pair"))
+
+
+@query("compile_report")
+def compile_report(spark, sf_dir):
+    from millrace.plans.compile import compile_corpus
+
+    report = compile_corpus(_documents(spark, sf_dir), _tokenizer(), fim_rate=0.5).report
+    return spark.createDataFrame(list(report.items()), "measure string, n long")
+
+
+@query("token_file_round_trip", "SELECT i AS seq_id, i * 8 AS first_token, true AS same FROM range(500) r(i)")
+def token_file_round_trip(spark, sf_dir):
+    """Writes sequences as a token file in the shared folder and reads it back."""
+    import os
+    import tempfile
+    import uuid
+
+    from millrace.sources import tokenfile
+
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir", tempfile.gettempdir()).removeprefix("file://"), f"tokens-{uuid.uuid4().hex}")
+    rows = spark.range(500).select(F.col("id").alias("seq_id"), F.transform(F.sequence(F.col("id") * 8, F.col("id") * 8 + 7), lambda x: x.cast("int")).alias("input_ids"))
+    tokenfile.write_tokens(rows, path)
+    back = spark.read.format("tokenfile").option("length", 8).load(path)
+    return back.join(rows.withColumnRenamed("input_ids", "was"), "seq_id").select("seq_id", F.element_at("input_ids", 1).cast("long").alias("first_token"), (F.col("input_ids") == F.col("was")).alias("same"))
+
+
+@query("recurrence_by_state", ORACLES["recurrence"])
+def recurrence_by_state(spark, sf_dir):
+    """The recurrence as a fold over each run's ordered values, for runs that fit in a row."""
+    runs = tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    state = F.aggregate(
+        "v", F.expr("cast(array() as array<struct<event_id: bigint, h: double>>)"),
+        lambda a, x: F.concat(a, F.array(F.struct(x["event_id"].alias("event_id"), (0.5 * F.coalesce(F.get(a, F.size(a) - 1)["h"], F.lit(0.0)) + x["value"]).alias("h")))),
+    )
+    return runs.select("user_id", F.explode(state).alias("s")).select("user_id", "s.event_id", F.round("s.h", 5).alias("h"))
