@@ -164,7 +164,7 @@ class Words:
 
 
 def pack(*parts: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=2).compress(pickle.dumps(parts, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:

@@ -143,7 +143,7 @@ class SuffixArray:
         self.levels: list[tuple[int, np.ndarray]] = []
         reach = self.STEP
         while True:
-            self.order = np.argsort(key, kind="stable")
+            self.order = np.argsort(key)
             ordered = key[self.order]
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
