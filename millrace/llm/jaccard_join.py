@@ -10,6 +10,8 @@ sets differ in at most k elements. The hash domain is split into n1 parts; n1 ex
 every subset of n2 - k2 pieces gives a signature, the hash of the set's elements in them: similar sets
 share at least `spare` signatures. A subset without elements gives none, unless a set has so many
 empty ones that it could agree with another in those alone. Nothing is lost by either rule.
+A set that shares fewer signatures with all others together than a similar one would share with it
+alone drops out.
 
 Candidates. Signatures travel to buckets packed by block, once for each block and class; those with
 two or more nodes leave groups there, each distinct group once. Then an element count over the
@@ -28,6 +30,8 @@ a null doc_id counts as the smallest.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +49,7 @@ BLOCK_ELEMENTS = 1_000_000
 UNIT_BYTES = 2 << 20
 ROWS, COLUMNS = 512, 1024  # of a matrix product's blocks
 SMALL_K = 8
+NONE = (1 << 20) - 1
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -63,17 +68,27 @@ def band_of(size: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+@functools.cache
 def scheme(high: int, percent: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and spare of a band."""
+    """n1, n2, k2 and spare of a band; spare exceeds the empty subsets that its smallest sets may be expected to have."""
     k = (100 - percent) * 2 * high // (100 + percent)
-    k2, n2 = (1, 3) if 0 < k <= SMALL_K else (0, 1)
-    spare = 1 if k == 0 else 2 + k // 20
-    return k // (k2 + 1) + spare, n2, k2, spare
+    if not k:
+        return 1, 1, 0, 1
+    k2, n2 = (1, 3) if k <= SMALL_K else (0, 1)
+    smallest = high * percent**3 / 100**3
+    spare = 2
+    while True:
+        n1 = k // (k2 + 1) + spare
+        empty = n1 * n2 * math.exp(-smallest / n1 * (n2 - k2) / n2)
+        if spare > empty + 3 * math.sqrt(empty) or spare > 2 * k + 4:
+            return n1, n2, k2, spare
+        spare += 1
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set, given as its sorted hashes."""
-    out = []
+def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Signatures of one set, given as its sorted hashes, the lowest bit that of the band; how many of them
+    a similar set must share, for even and odd bands (`NONE` where it signs in none)."""
+    out, need = [], [NONE, NONE]
     sums = np.concatenate([[K.U64(0)], np.cumsum(K.mix(elements ^ K.U64(0x5851F42D4C957F2D)))])
     for band, high in band_of(len(elements), percent):
         n1, n2, k2, spare = scheme(high, percent)
@@ -85,14 +100,18 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         place = np.arange(pieces, dtype=K.U64)
         if k2:
             # all pairs of the three pieces of a part: the part without one of them
-            value, count, place = value.reshape(n1, n2), count.reshape(n1, n2), place.reshape(n1, n2)
+            value, count = value.reshape(n1, n2), count.reshape(n1, n2)
             value, count = value.sum(1, keepdims=True, dtype=K.U64) - value, count.sum(1, keepdims=True) - count
-            value, count, place = value.ravel(), count.ravel(), place.ravel()
+            value, count = value.ravel(), count.ravel()
         full = count > 0
-        if (~full).sum() >= spare:
+        empty = int((~full).sum())
+        if empty >= spare:
             full[:] = True
-        out.append(K.mix(value[full] + K.mix(place[full] + K.U64(band << 32))))
-    return np.concatenate(out)
+            empty = 0
+        need[band % 2] = spare - empty
+        keys = K.mix(value[full] + K.mix(place[full] + K.U64(band << 32)))
+        out.append(keys & ~K.U64(1) | K.U64(band % 2))
+    return np.concatenate(out), need[0] + need[1] * (NONE + 1)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -115,8 +134,8 @@ def set_name(elements: np.ndarray) -> int:
     return int(K.mix(np.array([total % (1 << 64)], K.U64))[0] >> K.U64(1))
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
-_ROWS_DDL = "bucket int, payload binary, _id long, _crc long, n long, node long"
+_ROWS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("need", pa.int64())])
+_ROWS_DDL = "bucket int, payload binary, _id long, _crc long, n long, node long, need long"
 
 
 def _packed(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -140,11 +159,16 @@ def _read(payloads: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         nodes.append(own[at])
     if not keys:
         return np.empty(0, K.U64), np.empty(0, np.int64)
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    order = np.argsort(key, kind="stable")
-    s, e = K.runs(key[order])
-    many = np.repeat(e - s > 1, e - s)
-    key, node = key[order][many], node[order][many]
+    key = np.concatenate(keys)
+    keys.clear()
+    node = np.concatenate(nodes)
+    nodes.clear()
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    key, order = key[many], order[many]
+    node = node[order]
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     s, _ = K.runs(key, node)
@@ -160,53 +184,78 @@ def _sign(shingle: int, percent: int, n_buckets: int):
         rows = list(_packed(np.concatenate(signs), np.repeat(np.arange(len(signs)), lengths), np.array(names, np.int64), n_buckets))
         if rows:
             empty = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), empty, empty, empty, empty], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), empty, empty, empty, empty, empty], schema=_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs: dict[int, np.ndarray] = {}
+        needs: dict[int, int] = {}
         size = 0
         for batch in K.sliced(batches, "text"):
             sets = shingle_sets(K.texts_of(batch.column("text")), shingle)
             names = [set_name(s) for s in sets]
             for name, s in zip(names, sets, strict=True):
                 if len(s) and name not in signs:
-                    signs[name] = signatures(s, percent)
+                    signs[name], needs[name] = signatures(s, percent)
                     size += len(signs[name])
             ids, crcs = batch.column("_id"), batch.column("_crc")
             homes = (ids.to_numpy() % n_buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.nulls(len(sets), pa.binary()), ids, crcs, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.nulls(len(sets), pa.binary()), ids, crcs, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([needs.get(x, 0) for x in names], pa.int64())], schema=_ROWS)
             if size > BLOCK_ELEMENTS:
                 yield from flush(list(signs), list(signs.values()))
-                signs, size = {}, 0
+                signs, needs, size = {}, {}, 0
         if signs:
             yield from flush(list(signs), list(signs.values()))
 
     return run
 
 
-_FOUND = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64())])
-_FOUND_DDL = "g long, node long, _id long, _crc long, n long"
+_FOUND = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("need", pa.int64()), ("home", pa.int32()), ("payload", pa.binary())])
+_FOUND_DDL = "g long, node long, _id long, _crc long, n long, need long, home int, payload binary"
 
 
-def _group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents on, and turns a bucket's signatures into its distinct groups of nodes."""
-    payloads: list[bytes] = []
-    for batch in batches:
-        packed = np.array(batch.column("payload").is_valid().to_numpy(zero_copy_only=False))
-        payloads += batch.column("payload").filter(pa.array(packed)).to_pylist()
-        rows = batch.filter(pa.array(~packed))
-        if rows.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), *(rows.column(c) for c in ("node", "_id", "_crc", "n"))], schema=_FOUND)
-    key, node = _read(payloads)
-    if len(key):
+def _group(n_buckets: int):
+    """Passes documents on, and turns a bucket's signatures into its distinct groups of nodes and tallies by node."""
+
+    def found(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _FOUND], schema=_FOUND)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads: list[bytes] = []
+        for batch in batches:
+            packed = np.array(batch.column("payload").is_valid().to_numpy(zero_copy_only=False))
+            payloads += batch.column("payload").filter(pa.array(packed)).to_pylist()
+            rows = batch.filter(pa.array(~packed))
+            if rows.num_rows:
+                yield found(rows.num_rows, **{c: rows.column(c) for c in ("node", "_id", "_crc", "n", "need")})
+        key, node = _read(payloads)
+        if not len(key):
+            return
         s, e = K.runs(key)
         name = np.add.reduceat(K.mix(node.astype(K.U64)), s) + (e - s).astype(K.U64)
         _, first = np.unique(name, return_index=True)
         sizes = (e - s)[first]
         g = np.repeat((K.mix(name[first]) >> K.U64(1)).astype(np.int64), sizes)
-        node = node[K.ranges(s[first], sizes)]
-        empty = pa.nulls(len(g), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(node), empty, empty, empty], schema=_FOUND)
+        yield found(len(g), g=pa.array(g), node=pa.array(node[K.ranges(s[first], sizes)]))
+        odd, home = (key & K.U64(1)).astype(np.int8), node % n_buckets
+        order = np.lexsort((odd, node, home))
+        odd, node, home = odd[order], node[order], home[order]
+        s, e = K.runs(home, node, odd)
+        counts = (e - s).astype(np.int32)
+        a, b = K.runs(home[s])
+        tallies = [K.pack(node[s][i:j], odd[s][i:j], counts[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        yield found(len(a), home=pa.array(home[s][a], pa.int32()), payload=pa.array(tallies, pa.binary()))
+
+    return run
+
+
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, even, odd): how many signatures of its even and odd band a node shares with any other."""
+    parts = [K.unpack(p) for batch in batches for p in batch.column("payload").to_pylist()]
+    if parts:
+        node, odd, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names, at = np.unique(node, return_inverse=True)
+        sums = np.bincount(2 * at + odd, count, 2 * len(names)).astype(np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["node", "even", "odd"])
 
 
 def _elements(shingle: int, n_buckets: int):
@@ -318,12 +367,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     n = partitions(spark)
     rows = keyed(docs).select("_id", "_crc", "text")
     signed = rows.mapInArrow(_sign(shingle, percent, n), _ROWS_DDL).repartition(n, "bucket")
-    found = checkpointed(signed.mapInArrow(_group, _FOUND_DDL))
-    members = found.where(F.col("g").isNull()).select("_id", "_crc", "n", "node")
+    found = checkpointed(signed.mapInArrow(_group(n), _FOUND_DDL))
+    members = found.where(F.col("_id").isNotNull()).select("_id", "_crc", "n", "node", "need")
+    tallies = found.where(F.col("home").isNotNull()).repartition(n, "home").select("payload").mapInArrow(_tally, "node long, even long, odd long")
     groups = found.where(F.col("g").isNotNull()).select("g", "node").distinct()
 
-    one = members.where("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_crc")).alias("d"), F.first("n").alias("n"))
-    grouped = one.join(groups.select("node").distinct(), "node").select("node", "n", "d._id", "d._crc")
+    one = members.where("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_crc")).alias("d"), F.first("n").alias("n"), F.first("need").alias("need"))
+    enough = (F.col("even") >= F.col("need") % (NONE + 1)) | (F.col("odd") >= F.floor(F.col("need") / (NONE + 1)))
+    grouped = checkpointed(one.join(tallies, "node").where(enough).select("node", "n", "d._id", "d._crc"))
     texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).dropDuplicates(["node"]).select("node", "text")
     packed = texts.mapInArrow(_elements(shingle, n), "bucket int, payload binary").repartition(n, "bucket").select("payload")
     shared = packed.mapInArrow(_shared(n), "bucket int, payload binary").repartition(n, "bucket").select("payload").mapInArrow(_gathered, "node long, shared long, elements binary")
