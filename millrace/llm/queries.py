@@ -24,8 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
-    rows, ids = unigram.encoded(documents(spark, sf_dir).select("doc_id", "text"), path)
-    rows, back = unigram.decoded(rows, path, ids)
+    rows, ids, back = unigram.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return rows.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_ids"),

@@ -36,7 +36,7 @@ from millrace.llm._rows import fresh
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-KNOWN_UNITS = 300_000  # a worker's memory of encoded units
+KNOWN_UNITS = 200_000  # a worker's memory of encoded units
 BATCH_UNITS = 20_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -290,3 +290,25 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     name = fresh(rows.columns, name)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
     return rows.mapInArrow(_decode(Vocabulary.load(path), ids, name), schema), name
+
+
+def _both(vocabulary: Vocabulary, text: str, names: tuple[str, str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, marker = Encoder(vocabulary), MARKER.encode()
+        for batch in K.sliced(batches, text):
+            ids, lengths = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            plain = [vocabulary.decode(ids[a:b]).replace(marker, b" ") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            back = pa.array([p[p[:1] == b" " :].decode("utf-8", "replace") for p in plain], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, back], names=[*batch.schema.names, *names])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with the ids of `text` and the text that they decode to, in one pass; the new columns' names."""
+    ids = fresh(docs.columns, "ids")
+    back = fresh([*docs.columns, ids], "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())])
+    return docs.mapInArrow(_both(Vocabulary.load(path), text, (ids, back)), schema), ids, back
