@@ -43,8 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's piece ids, and whether they decode to its text."""
     path = str(public_tokenizers.path(VOCABULARY))
-    rows, ids = unigram.encoded(docs.select("doc_id", "lang", "source", "text"), path)
-    rows, back = unigram.decoded(rows, path, ids)
+    rows, ids, back = unigram.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col(back) == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_ids"), F.col(ids).alias("ids"), same.alias("round_trip"))
 
