@@ -15,6 +15,9 @@ from pyspark.sql.types import StringType
 from millrace.functions.text import captured, strip
 
 
+# The wording of the formats below.
+
+
 def proof(subject: Column, level: Column, problem: Column, solution: Column) -> Column:
     return F.concat(
         F.lit("# Subject: "), F.coalesce(subject, F.lit("Mathematics")), F.lit(" (Level "), F.coalesce(level, F.lit("Advanced")),
