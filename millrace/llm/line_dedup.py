@@ -8,12 +8,16 @@ the fingerprint, from `run` - 1 lines before it to `run` - 1 after it; overlappi
 up the whole repeated run. The first place of a window, by (doc_id, line), stays; lines covered by a
 window that also stands earlier are deleted. Windows are judged on the input.
 
+With `words` given, shorter runs with at least that many words are windows, too (a word is a run of
+characters other than ASCII white space), so one long line is a window of its own, and any repeated run
+goes that has `run` lines or `words` words.
+
 Only SQL functions are used. Joining by (fingerprint, offset, window) instead of by pairs of positions
 keeps the rows as many as the windows: minima are pre-aggregated, and a line that stands in a
 third of all documents is an ordinary skewed equi-join.
 
 Defined results: null text stays null and has no lines; a text without a word has one blank line
-at most and loses nothing; fewer lines than `run` lose nothing; rows that repeat doc_id and text are
+at most and loses nothing; fewer lines than `run` lose nothing unless `words` says so; rows that repeat doc_id and text are
 one document; a null doc_id comes first.
 """
 
@@ -26,9 +30,11 @@ from millrace.functions.text import let
 from millrace.llm._rows import LEAST, checkpointed, fresh, keyed
 
 RUN = 3
+WORDS = 50
 
 _BREAK = r"\n(?=[^\n]*[^ \t\x0B\f\r\n])"
 _EDGE = " \t\x0b\x0c\r\n"
+_WORD = r"[^ \t\x0B\f\r\n]+"
 
 
 def lines(text: Column) -> Column:
@@ -36,30 +42,41 @@ def lines(text: Column) -> Column:
     return F.split(text, _BREAK, -1)
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """One row per window: key, start, fingerprint, offset of the fingerprint in it, hash of the window."""
-    hashes = F.transform(lines(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(_EDGE))))
-    each = docs.where(F.col("text").isNotNull()).select("_id", "_crc", hashes.alias("h"))
-    starts = F.explode(F.expr(f"if(size(h) >= {run}, sequence(0, size(h) - {run}), cast(array() as array<int>))"))
-    rows = each.select("_id", "_crc", "h", starts.alias("start")).select("_id", "_crc", "start", F.slice("h", F.col("start") + 1, run).alias("w"))
+def _windows(docs: DataFrame, run: int, words: int | None) -> DataFrame:
+    """One row per window: key, start, lines, fingerprint, offset of the fingerprint in it, hash of the window."""
+    split = lines(F.col("text"))
+    hashes = F.transform(split, lambda x: F.xxhash64(F.btrim(x, F.lit(_EDGE))))
+    counts = [] if words is None else [F.transform(split, lambda x: F.regexp_count(x, F.lit(_WORD))).alias("c")]
+    each = docs.where(F.col("text").isNotNull()).select("_id", "_crc", hashes.alias("h"), *counts)
+
+    def starts(n: int) -> str:
+        every = f"if(size(h) >= {n}, sequence(0, size(h) - {n}), cast(array() as array<int>))"
+        if n < run:
+            total = " + ".join(f"get(c, s + {k})" for k in range(n))
+            every = f"filter({every}, s -> {total} >= {words})"
+        return f"transform({every}, s -> struct(s as start, {n} as lines))"
+
+    lengths = [run] if words is None else range(1, run + 1)
+    places = F.explode(F.expr(f"concat({', '.join(map(starts, lengths))})"))
+    rows = each.select("_id", "_crc", "h", places.alias("p")).select("_id", "_crc", "p.start", "p.lines", F.slice("h", F.col("p.start") + 1, F.col("p.lines")).alias("w"))
     low = F.array_min("w")
-    return rows.select("_id", "_crc", "start", low.alias("fingerprint"), F.array_position("w", low).cast("int").alias("offset"), F.xxhash64("w").alias("window"))
+    return rows.select("_id", "_crc", "start", "lines", low.alias("fingerprint"), F.array_position("w", low).cast("int").alias("offset"), F.xxhash64("w").alias("window"))
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(_id, _crc, removed): for each document with any, the indexes of lines to delete."""
-    rows = checkpointed(_windows(docs if "_crc" in docs.columns else keyed(docs), run))
-    key = ["fingerprint", "offset", "window"]
+    rows = checkpointed(_windows(docs if "_crc" in docs.columns else keyed(docs), run, words))
+    key = ["lines", "fingerprint", "offset", "window"]
     place = F.struct("_id", "_crc", "start")
     groups = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(*key, "first")
     later = rows.join(groups, key).where(place != F.col("first"))
-    covered = F.flatten(F.transform(F.collect_set("start"), lambda s: F.sequence(s, s + (run - 1))))
+    covered = F.flatten(F.transform(F.collect_set(F.struct("start", "lines")), lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
     return later.groupBy("_id", "_crc").agg(F.array_distinct(covered).alias("removed"))
 
 
-def _joined(docs: DataFrame, run: int) -> tuple[DataFrame, str]:
+def _joined(docs: DataFrame, run: int, words: int | None) -> tuple[DataFrame, str]:
     i, c, r = (fresh(docs.columns, x) for x in ("key_id", "key_crc", "removed_lines"))
-    found = repeated_lines(docs.select("doc_id", "text"), run).select(F.col("_id").alias(i), F.col("_crc").alias(c), F.col("removed").alias(r))
+    found = repeated_lines(docs.select("doc_id", "text"), run, words).select(F.col("_id").alias(i), F.col("_crc").alias(c), F.col("removed").alias(r))
     own = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), c: F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     return own.join(found.hint("shuffle_hash"), [i, c], "left"), r
 
@@ -72,15 +89,15 @@ def _kept(removed: str) -> Column:
     return F.when(F.col(removed).isNull(), F.col("text")).otherwise(let(lines(F.col("text")), left))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed and `kept`, the text that is left."""
-    joined, removed = _joined(docs.select("doc_id", "text"), run)
+    joined, removed = _joined(docs.select("doc_id", "text"), run, words)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines(F.col("text"))))
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_lines"), F.coalesce(F.size(F.when(F.col(removed).isNotNull(), F.col(removed))), F.lit(0)).cast("long").alias("n_removed"), _kept(removed).alias("kept"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """docs, its columns unchanged, with repeated runs deleted from the text; documents left without a line go."""
-    joined, removed = _joined(docs, run)
+    joined, removed = _joined(docs, run, words)
     gone = F.col(removed).isNotNull() & (F.size(removed) >= F.size(lines(F.col("text"))))
     return joined.where(~F.coalesce(gone, F.lit(False))).select(*[_kept(removed).alias(x) if x == "text" else F.col(f"`{x}`") for x in docs.columns])

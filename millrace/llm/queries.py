@@ -52,7 +52,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    out = line_dedup.dedup_lines(documents(spark, sf_dir), words=line_dedup.WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 

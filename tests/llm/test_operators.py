@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, queries, substring_dedup, suffix_dedup, token_counts, unigram
 
 SF = "/root/testdata/sf0.001"
@@ -198,6 +199,41 @@ def test_line_dedup(docs, plain):
     assert got(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_removed", "kept") == sorted(want, key=repr)
 
 
+def test_long_lines_are_windows(spark, tmp_path):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(30))
+    texts = [
+        f"a one\n{long}\nb two", f"c three\n{long}\nd four", long, f"  {long}  ",
+        f"e\n{other}\n{other} x", f"f\n{other}\n{other} x", f"g\n{other}\nh", f"{long} y\nz", f"{long} y\nz\n\nq",
+    ]
+    want = [0, 1, 1, 1, 0, 2, 0, 0, 2]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in out] == want
+    kept = corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in kept] == [
+        (0, texts[0]), (1, "c three\nd four"), (4, texts[4]), (5, "f"), (6, texts[6]), (7, texts[7]), (8, "q"),
+    ]
+
+
+@pytest.mark.parametrize("least", [1, 20, 50])
+def test_line_dedup_counts_words(docs, plain, least):
+    seen, marks = set(), {}
+    for d, t in brute.documents((d, t) for d, t in plain if t is not None):
+        x = [(y.strip(" \t\x0b\x0c\r\n"), len(brute.SPACE.findall(y))) for y in lines_of(t)]
+        m = [False] * len(x)
+        for n in (1, 2, 3):
+            for i in range(len(x) - n + 1):
+                w = x[i : i + n]
+                if n == 3 or sum(k for _, k in w) >= least:
+                    key = tuple(y for y, _ in w)
+                    if key in seen:
+                        m[i : i + n] = [True] * n
+                    seen.add(key)
+        marks[d, t] = m
+    want = sorted(((d, 0 if t is None else sum(marks[d, t])) for d, t in plain), key=repr)
+    assert got(line_dedup.dedup_lines(docs, words=least), "doc_id", "n_removed") == want
+
+
 def test_substring_dedup(docs, plain):
     marks = brute.later_windows(plain, brute.SPACE.findall, 20)
     table = {k: (len(m), sum(m), " ".join(w for w, x in zip(brute.SPACE.findall(k[1]), m, strict=True) if not x)) for k, m in marks.items()}
