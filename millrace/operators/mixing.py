@@ -37,6 +37,19 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(rank_key(seed, F.col(key)), key)
 
 
+def placed(df: DataFrame, key: str, seed: int = 42, name: str = "place") -> DataFrame:
+    """df with `name`, each row's number from 1 in the order of `shuffled`.
+
+    The order is cut into 4096 stretches by the hash's first digits, and their counts are added up first;
+    within a stretch a window does the rest.
+    """
+    cut = df.withColumn("_rank", rank_key(seed, F.col(key))).withColumn("_stretch", F.substring("_rank", 1, 3))
+    counts = cut.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    base = counts.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_stretch").orderBy("_rank", key))
+    return cut.join(F.broadcast(base), "_stretch").withColumn(name, (F.col("_base") + inside).cast("long")).drop("_rank", "_stretch", "_base")
+
+
 def round_slots(df_spark, rounds: int, pattern: dict[str, int] = ROUND, seed: int = 42) -> DataFrame:
     """(slot, source, ordinal): each round has exactly the pattern's counts, in an order of its own."""
     names = [s for s, n in pattern.items() for _ in range(n)]

@@ -119,10 +119,7 @@ def first_n_per_source(spark, sf_dir):
 
 @query("seeded_shuffle", "SELECT doc_id, (row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id))::BIGINT AS place FROM documents QUALIFY place <= 100")
 def seeded_shuffle(spark, sf_dir):
-    top = mixing.shuffled(_documents(spark, sf_dir).select("doc_id"), "doc_id").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("doc_id", F.row_number().over(Window.orderBy(mixing.rank_key(42, F.col("doc_id")), "doc_id")).cast("long").alias("place"))
+    return mixing.placed(_documents(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", "place")
 
 
 _SLOTS = """SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS ordinal FROM (

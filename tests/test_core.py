@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.functions import text as tx
 from millrace.functions.prefix import running_sum
 from millrace.operators import dedup, fim, formatters, mixing, numeric, packing, quality, rewards
@@ -81,6 +82,18 @@ def test_quotas_rounds_and_budget(spark):
     assert sorted(r.ord for r in mixing.within_budget(docs, "ord", "n", 8, 16).collect()) == [0, 1, 2, 3]
 
 
+def test_every_document_has_a_place(spark):
+    from hashlib import md5
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ids = sorted((r.doc_id for r in docs.select("doc_id").collect()), key=lambda d: (md5(f"42|{d}".encode()).hexdigest(), d))
+    out = {r.doc_id: r.place for r in queries.QUERIES["seeded_shuffle"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(ids) > 100 and out == {d: k for k, d in enumerate(ids, 1)}
+    assert [r.doc_id for r in mixing.shuffled(docs.select("doc_id"), "doc_id").collect()] == ids
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    assert sorted(r.place for r in mixing.placed(twice, "k").collect()) == [1, 2, 3]
+
+
 def test_curriculum_is_filled_up(spark):
     pool = lambda s, n: spark.createDataFrame([(i, f"{s}{i}") for i in range(n)], "ord long, text string")
     sources = {"cosmo": pool("c", 50), "fineweb": pool("f", 50), "python": pool("p", 3), "math": pool("m", 50)}
