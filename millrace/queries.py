@@ -196,7 +196,7 @@ def packed_sequences(spark, sf_dir):
 # --- formatters
 @query("proof_text", """SELECT doc_id, '# Subject: ' || coalesce(source, 'Mathematics') || ' (Level ' || coalesce(NULL, 'Advanced') || ')' || chr(10) || chr(10) || '## Mathematical Theorem / Problem Specification' || chr(10) || lang || chr(10) || chr(10) || '## Formal Step-by-Step Proof and Derivation' || chr(10) || trim(substr(text, 1, 40), ' ' || chr(10)) || chr(10) AS proof FROM documents""")
 def proof_text(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", formatters.proof(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.substring("text", 1, 40)).alias("proof"))
+    return _documents(spark, sf_dir).select("doc_id", formatters.proof(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("text")).alias("proof"))
 
 
 @query("agent_turn", "SELECT conv_id, turn, CASE role WHEN 'system' THEN '<|thought start|>' || text || '<|thought end|>' WHEN 'assistant' THEN '<|reflect|>' || text ELSE text END AS formatted FROM conversations")
@@ -225,7 +225,7 @@ def token_count_literals(spark, sf_dir):
 
 @query("prompt_prefix", "SELECT doc_id, 'User: Write a python solution for: ' || trim(substr(text, 1, 30), ' ' || chr(10)) || chr(10) AS prompt FROM documents ORDER BY doc_id LIMIT 33")
 def prompt_prefix(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.substring("text", 1, 30).alias("instruction"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("text").alias("instruction"))
     none = spark.createDataFrame([], "ord long, problem string, chat string")
     out = mixing.prompts(none, docs, none, 99)
     return out.select(F.col("ord").alias("doc_id"), "prompt")
@@ -407,7 +407,7 @@ def curriculum_mix(spark, sf_dir):
   UNION ALL SELECT * FROM (SELECT 'code', ord, 'User: Write a python solution for: ' || t || chr(10) FROM d WHERE t <> '' ORDER BY ord LIMIT 16)
   UNION ALL SELECT * FROM (SELECT 'tool', ord, 'User: ' || t || chr(10) FROM d ORDER BY ord LIMIT 18)""")
 def prompt_mix(spark, sf_dir):
-    start = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("t"))
+    start = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("text").alias("t"))
     chats = start.select("ord", F.concat(F.lit("USER: "), "t", F.lit(" ASSISTANT: ok")).alias("chat"))
     return mixing.prompts(start.withColumnRenamed("t", "problem"), start.withColumnRenamed("t", "instruction"), chats, 50)
 
@@ -455,7 +455,10 @@ def progress(spark, sf_dir):
 
 @query("code_pairs")
 def code_pairs(spark, sf_dir):
-    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return '"), F.regexp_replace(F.substring("text", 1, 20), r"[^\p{L} ]", ""), F.lit("'\n"))
+    """Each text as a JSON string, which Python reads as the same string; code_of cuts code as the reference does."""
+    listed = F.to_json(F.array("text"))
+    literal = F.when(F.col("text").isNotNull(), listed.substr(F.lit(2), F.length(listed) - 2))
+    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return "), literal, F.lit("\n"))
     return _documents(spark, sf_dir).select("doc_id", formatters.code_pair(formatters.code_of(F.lit(None).cast("string"), code)).alias("pair"))
 
 

@@ -192,6 +192,22 @@ def test_formatters(spark):
     assert one(spark, "a�<|reflect|>b", lambda c: formatters.highlighted(c, {"<|reflect|>": "["})) == "a[b"
 
 
+def test_formatters_get_the_whole_text(spark, tmp_path):
+    texts = ["  short \n", "a 'quoted' \"text\"\n\n\tand\\more <|call tool|> " + "word " * 40 + "\nlast é😀", "x" * 5000 + " end"]
+    docs = spark.createDataFrame([(i, t, "en", "src") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.proof.split("Derivation\n")[1]) for r in rows("proof_text")) == [(i, t.strip() + "\n") for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.prompt) for r in rows("prompt_prefix")) == [(i, f"User: Write a python solution for: {t.strip()}\n") for i, t in enumerate(texts)]
+    leads = {"math": "Solve the following math problem step-by-step:\n", "code": "Write a python solution for: ", "tool": ""}
+    assert sorted((r.kind, r.ord, r.prompt) for r in rows("prompt_mix")) == sorted((k, i, f"User: {lead}{t.strip()}\n") for k, lead in leads.items() for i, t in enumerate(texts))
+    pairs = {r.doc_id: r.pair for r in rows("code_pairs")}
+    for i, t in enumerate(texts[:2]):
+        tree = json.loads(pairs[i].split("```json\n")[1][:-3])
+        assert tree["body"][0]["name"] == f"f_{i}" and tree["body"][0]["body"][0]["value"]["value"] == t
+    assert pairs[2] == formatters.code_pair_text(f'def f_2(x):\n    return "{texts[2]}"'[:2000])
+
+
 @pytest.mark.parametrize("total", [1, 20, 100])
 @pytest.mark.parametrize("decay", ["sqrt", "cosine", "linear"])
 def test_schedule(spark, total, decay):
