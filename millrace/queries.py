@@ -214,7 +214,7 @@ def chat_prompt(spark, sf_dir):
 @query("tool_dialogue", """SELECT conv_id, '<|bos|>User: ' || trim(text, ' ' || chr(10)) || chr(10) || '<|thought start|>I should invoke the requested tool with the parsed parameters.<|thought end|><|call tool|>' || chr(10) || '{"name": "f"}' || chr(10) || '<|tool response|>' || chr(10) || '{"ok": true}' || chr(10) || '<|reflect|>Execution returned result without error. Formulating final answer to the user.' || chr(10) || 'Final Response: done<|eos|>' AS formatted FROM conversations WHERE turn = 0""")
 def tool_dialogue(spark, sf_dir):
     chat = F.concat(F.lit("USER: "), F.col("text"), F.lit('\nASSISTANT: <functioncall> {"name": "f"} <|endoftext|>\nFUNCTION RESPONSE: {"ok": true}\nASSISTANT: done <|endoftext|>'))
-    return tables.table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", formatters.tool_dialogue(chat).alias("formatted"))
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.tool_dialogue(chat).alias("formatted"))
 
 
 @query("token_count_literals", "SELECT * FROM (VALUES ('10M', 10000000::BIGINT), ('1.5b', 1500000000::BIGINT), (' 50k ', 50000::BIGINT), ('123', 123::BIGINT), ('x', NULL), (NULL, NULL)) t(literal, n)")

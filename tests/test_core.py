@@ -208,6 +208,15 @@ def test_formatters_get_the_whole_text(spark, tmp_path):
     assert pairs[2] == formatters.code_pair_text(f'def f_2(x):\n    return "{texts[2]}"'[:2000])
 
 
+def test_tool_dialogue_of_every_turn(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    out = queries.QUERIES["tool_dialogue"](spark, sf).collect()
+    assert len(out) == len(rows) and {(r.conv_id, r.turn) for r in out} == set(rows) and any(turn for _, turn in rows)
+    for r in out:
+        assert r.formatted.startswith(f"<|bos|>User: {rows[r.conv_id, r.turn].strip()}\n<|thought start|>") and r.formatted.endswith("Final Response: done<|eos|>")
+
+
 @pytest.mark.parametrize("total", [1, 20, 100])
 @pytest.mark.parametrize("decay", ["sqrt", "cosine", "linear"])
 def test_schedule(spark, total, decay):
