@@ -1,20 +1,20 @@
-"""Line de-duplication by winnowing over line hashes.
+"""Line de-duplication over hashes of line windows.
 
 A text is a sequence of lines with a word in them; blank lines belong to the line before (leading ones
-to the first). In every `run` consecutive lines the one with the smallest hash is the window's
-fingerprint, so any repeated run of that many lines shares one: nothing of that length goes unseen.
-Positions are joined by fingerprint. A match is extended both ways by comparing the windows around
-the fingerprint, from `run` - 1 lines before it to `run` - 1 after it; overlapping matched windows make
-up the whole repeated run. The first place of a window, by (doc_id, line), stays; lines covered by a
-window that also stands earlier are deleted. Windows are judged on the input.
+to the first). Every window of `run` consecutive lines is hashed and joined, so no repeated run of that
+many lines goes unseen. This is not winnowing: no minima are selected and no match is extended, since
+overlapping matched windows make up the whole repeated run. The first place of a window, by
+(doc_id, line), stays; lines covered by a window that also stands earlier are deleted. Windows are
+judged on the input.
 
 With `words` given, shorter runs with at least that many words are windows, too (a word is a run of
 characters other than ASCII white space), so one long line is a window of its own, and any repeated run
 goes that has `run` lines or `words` words.
 
-Only SQL functions are used. Joining by (fingerprint, offset, window) instead of by pairs of positions
-keeps the rows as many as the windows: minima are pre-aggregated, and a line that stands in a
-third of all documents is an ordinary skewed equi-join.
+Only SQL functions are used. Windows are joined by (lines, fingerprint, offset, window), where the
+smallest line hash and its offset only add bits to the window's hash. There are as many rows as windows
+and no pairs of positions: first and last places are pre-aggregated, and a line that stands in a third
+of all documents is an ordinary skewed equi-join.
 
 Defined results: null text stays null and has no lines; a text without a word has one blank line
 at most and loses nothing; fewer lines than `run` lose nothing unless `words` says so; rows that repeat doc_id and text are
