@@ -167,5 +167,20 @@ def pack(*parts: object) -> bytes:
     return zstandard.ZstdCompressor(level=2).compress(pickle.dumps(parts, protocol=5))
 
 
-def unpack(blob: bytes) -> tuple:
+def unpack(blob: bytes | pa.Buffer) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def buckets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Buffer]]:
+    """The payloads of each bucket, of rows sorted by bucket."""
+    now, have = None, []
+    for batch in batches:
+        payload = batch.column("payload")
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now and have:
+                yield have
+                have = []
+            now = bucket
+            have.append(payload[i].as_buffer())
+    if have:
+        yield have

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from millrace.functions.checkpoints import checkpointed  # noqa: F401
 
 LEAST = -(1 << 63)
-#: More buckets than partitions, so that hashing deals them evenly.
+#: A partition holds some buckets, which its task takes one after another, so it keeps one bucket in memory.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of text that a block of documents has for each bucket at least, and at most in all.
+BYTES_PER_BUCKET = 32 << 10
+MOST_BLOCK_BYTES = 64 << 20
 
 
 def fresh(taken: list[str], name: str) -> str:
@@ -43,3 +46,15 @@ def partitions(spark: SparkSession) -> int:
 def buckets(spark: SparkSession) -> int:
     """Buckets follow the number of shuffle partitions, which a deployment sizes by its input."""
     return BUCKETS_PER_PARTITION * partitions(spark)
+
+
+def block_bytes(n_buckets: int, least: int) -> int:
+    """Text of a block of documents. It grows with the buckets, so a packed row of block and bucket keeps
+    its size, and there are as many packed rows as the input has bytes, not blocks times buckets."""
+    return max(least, min(MOST_BLOCK_BYTES, n_buckets * BYTES_PER_BUCKET))
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """(bucket, ...) rows, each bucket in one partition and a partition's buckets in order."""
+    n = partitions(packed.sparkSession)
+    return packed.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n))).sortWithinPartitions("bucket")

@@ -9,8 +9,10 @@ window's first place exactly; all later places are marked.
 
 Before anything is shuffled, equal super-k-mers of one block of documents are reduced to the first
 of them (the others are later repeats whatever the rest of the corpus holds), so a passage that
-stands in a third of all documents costs its bucket one string per block. A bucket's task keeps one
-row per distinct window and compacts as it reads; copies never pile up in it.
+stands in a third of all documents costs its bucket one string per block. A task takes its buckets one
+after another, keeps one row per distinct window of one and compacts as it reads; copies never pile up
+in it. Grams that are frequent in the corpus become minimisers only where a window has no other (see
+`_frequent`), so a stock phrase does not draw its surroundings in all documents into one bucket.
 
 Defined results: null or empty text has no words and loses nothing; fewer words than `window` lose
 nothing; rows that repeat doc_id and text are one document; a null doc_id comes first.
@@ -25,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import _frequent
 from millrace.llm import _kernel as K
-from millrace.llm._rows import buckets, keyed, partitions
+from millrace.llm._rows import block_bytes, buckets, dealt, keyed
 
 WINDOW = 20
 GRAM = 3
@@ -40,8 +43,9 @@ SPANS = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("starts", pa.list
 class _Block:
     """Super-k-mers of a block of documents by bucket, and the repeats that the block itself shows."""
 
-    def __init__(self, window: int, gram: int, n_buckets: int):
+    def __init__(self, window: int, gram: int, n_buckets: int, frequent: bytes):
         self.window, self.gram, self.n_buckets = window, gram, n_buckets
+        self.frequent = _frequent.unpacked(frequent)
         self.clear()
 
     def clear(self) -> None:
@@ -80,7 +84,7 @@ class _Block:
             return
         doc = words.doc()
         mins = K.grams(words.hashes(), self.gram)
-        low = K.leftmost_min(mins, self.window - self.gram + 1)
+        low = K.leftmost_min(_frequent.ordered(mins, self.frequent), self.window - self.gram + 1)
         inside = doc[:n] == doc[self.window - 1 :]
         at = np.flatnonzero(inside)
         if not len(at):
@@ -105,13 +109,15 @@ class _Block:
                 known.append(False)
 
 
-def _packer(window: int, gram: int, n_buckets: int):
+def _packer(window: int, gram: int, n_buckets: int, frequent: bytes):
+    most = block_bytes(n_buckets, BLOCK_BYTES)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(window, gram, n_buckets)
+        block = _Block(window, gram, n_buckets, frequent)
         for batch in K.sliced(batches, "text"):
             texts = K.texts_of(batch.column("text"))
             block.add(zip(batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), texts, strict=True), sum(map(len, texts)))
-            if block.bytes >= BLOCK_BYTES:
+            if block.bytes >= most:
                 yield from block.flush()
         yield from block.flush()
 
@@ -134,9 +140,9 @@ def _spans(ids: np.ndarray, crcs: np.ndarray, starts: np.ndarray, lengths: np.nd
 
 
 def _counter(window: int):
-    """Reads a bucket's packed strings, keeps the first place of each window and yields the others."""
+    """Reads each bucket's packed strings, keeps the first place of each window and yields the others."""
 
-    def windows(payload: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def windows(payload: pa.Buffer) -> tuple[list[np.ndarray], list[np.ndarray]]:
         ids, crcs, starts, blob, known = K.unpack(payload)
         strings = blob.split(b"\n")
         kept = [x for x, k in zip(strings, known.tolist(), strict=True) if not k]
@@ -179,39 +185,50 @@ def _counter(window: int):
         out = _spans(state[2][rest], state[3][rest], state[4][rest], np.ones(len(rest), np.int64)) if len(rest) else None
         return [x[keep] for x in state], out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(payloads: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
         state: list[np.ndarray] = []
         pending: list[list[np.ndarray]] = []
         waiting = kept = 0
-        for batch in batches:
-            for payload in batch.column("payload").to_pylist():
-                marked, fresh = windows(payload)
-                if len(marked[0]):
-                    yield _spans(*marked)
-                if fresh:
-                    pending.append(fresh)
-                    waiting += len(fresh[0])
-                if waiting > max(COMPACT, kept // 2):
-                    state, out = compact([np.concatenate(x) for x in zip(*([state] if state else []), *pending, strict=True)])
-                    pending, waiting, kept = [], 0, len(state[0])
-                    if out is not None:
-                        yield out
+        for payload in payloads:
+            marked, fresh = windows(payload)
+            if len(marked[0]):
+                yield _spans(*marked)
+            if fresh:
+                pending.append(fresh)
+                waiting += len(fresh[0])
+            if waiting > max(COMPACT, kept // 2):
+                state, out = compact([np.concatenate(x) for x in zip(*([state] if state else []), *pending, strict=True)])
+                pending, waiting, kept = [], 0, len(state[0])
+                if out is not None:
+                    yield out
         if pending:
             state, out = compact([np.concatenate(x) for x in zip(*([state] if state else []), *pending, strict=True)])
             if out is not None:
                 yield out
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for payloads in K.buckets_of(batches):
+            yield from counted(payloads)
+
     return run
 
 
+def _grams(gram: int):
+    def hashes(text: bytes) -> np.ndarray:
+        return K.grams(K.Words([text.split()]).hashes(), gram)
+
+    return hashes
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_id, _crc, starts, ends): for each document, runs of windows that stand earlier elsewhere.
 
     A run [start, end) are window starts; lists of one document may overlap each other.
     """
-    spark = docs.sparkSession
-    packed = keyed(docs).select("_id", "_crc", "text").mapInArrow(_packer(window, gram, buckets(spark)), "bucket int, payload binary")
-    found = packed.repartition(partitions(spark), "bucket").select("payload").mapInArrow(_counter(window), "_id long, _crc long, starts array<int>, ends array<int>")
+    rows = keyed(docs).select("_id", "_crc", "text")
+    frequent = _frequent.frequent(rows.select("_id", "text"), _grams(gram))
+    packed = rows.mapInArrow(_packer(window, gram, buckets(docs.sparkSession), frequent), "bucket int, payload binary")
+    found = dealt(packed).mapInArrow(_counter(window), "_id long, _crc long, starts array<int>, ends array<int>")
     return found.groupBy("_id", "_crc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 

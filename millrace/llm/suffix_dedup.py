@@ -4,7 +4,9 @@ Transport. A string of `length` bytes has an anchor, the GRAM consecutive bytes
 hash. Consecutive strings whose anchor stands at the same place form one segment of text, which
 travels to its anchor's bucket (about three bytes for each byte of text, compressed). Equal strings
 have equal anchors, so all occurrences of a string meet in one bucket, each in its context. Equal
-segments of a block of documents are reduced to one, marked as repeated, before the shuffle.
+segments of a block of documents are reduced to one, marked as repeated, before the shuffle. A task takes
+its buckets one after another. Strings that are frequent in the corpus become anchors only where there
+is no other (see `_frequent`), so a stock phrase does not draw its surroundings into one bucket.
 
 Repeats. In a bucket, the distinct segments that share an anchor with another are concatenated and
 an enhanced suffix array is built over them: suffixes in order (prefix doubling; a segment's
@@ -32,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import _frequent
 from millrace.llm import _kernel as K
-from millrace.llm._rows import buckets, keyed, partitions
+from millrace.llm._rows import block_bytes, buckets, dealt, keyed
 
 LENGTH = 200
 GRAM = 16
@@ -45,7 +48,12 @@ SPANS = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("starts", pa.list
 REPEATS = pa.schema([("repeat", pa.int64()), ("length", pa.int32()), ("_id", pa.int64()), ("_crc", pa.int64()), ("start", pa.int32())])
 
 
-def _segments(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(buf: np.ndarray) -> np.ndarray:
+    at = np.arange(max(0, len(buf) - GRAM + 1))
+    return K.byte_spans(buf, at, at + GRAM)
+
+
+def _segments(texts: list[bytes], length: int, frequent: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's bytes, and by segment: document, first byte in it, first and past byte in the chunk, anchor hash."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     blob = b"".join(texts)
@@ -53,9 +61,8 @@ def _segments(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.nd
     if len(blob) < length:
         return blob, none, none, none, none, np.empty(0, K.U64)
     buf = np.frombuffer(blob, np.uint8)
-    at = np.arange(len(buf) - GRAM + 1)
-    grams = K.byte_spans(buf, at, at + GRAM)
-    low = K.leftmost_min(grams, length - GRAM + 1)
+    grams = _grams(buf)
+    low = K.leftmost_min(_frequent.ordered(grams, frequent), length - GRAM + 1)
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     inside = np.flatnonzero(doc[: len(low)] == doc[length - 1 :])
@@ -66,8 +73,10 @@ def _segments(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.nd
     return blob, doc[left], left - first[doc[left]], left, right, grams[low[left]]
 
 
-def _packer(length: int, n_buckets: int):
-    def flush(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def _packer(length: int, n_buckets: int, frequent: bytes):
+    most = block_bytes(n_buckets, BLOCK_BYTES)
+
+    def flush(rows: list[tuple[int, int, bytes]], ranked: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = list(dict.fromkeys(rows))
         table: dict[bytes, int] = {}
         anchors, which, ids, crcs, starts = [], [], [], [], []
@@ -78,7 +87,7 @@ def _packer(length: int, n_buckets: int):
                 part.append(rows[at])
                 size += len(rows[at][2])
                 at += 1
-            blob, doc, start, left, right, anchor = _segments([t for _, _, t in part], length)
+            blob, doc, start, left, right, anchor = _segments([t for _, _, t in part], length, ranked)
             before = len(table)
             own = [table.setdefault(blob[a:b], len(table)) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
             own = np.array(own, np.int64)
@@ -111,15 +120,16 @@ def _packer(length: int, n_buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
+        ranked = _frequent.unpacked(frequent)
         size = 0
         for batch in K.sliced(batches, "text"):
             texts = K.texts_of(batch.column("text"))
             rows += zip(batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), texts, strict=True)
             size += sum(map(len, texts))
-            if size >= BLOCK_BYTES:
-                yield from flush(rows)
+            if size >= most:
+                yield from flush(rows, ranked)
                 rows, size = [], 0
-        yield from flush(rows)
+        yield from flush(rows, ranked)
 
     return run
 
@@ -219,7 +229,7 @@ def merged(ids: np.ndarray, crcs: np.ndarray, starts: np.ndarray, ends: np.ndarr
 class _Bucket:
     """The distinct segments of a bucket, and who holds them."""
 
-    def __init__(self, payloads: Iterable[bytes]):
+    def __init__(self, payloads: Iterable[pa.Buffer]):
         table: dict[bytes, int] = {}
         anchors, owns, ids, crcs, starts = [], [], [], [], []
         for payload in payloads:
@@ -301,10 +311,7 @@ class _Bucket:
 
 
 def _finder(length: int, groups: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = _Bucket(p for batch in batches for p in batch.column("payload").to_pylist())
-        if not bucket.strings:
-            return
+    def found(bucket: _Bucket) -> Iterator[pa.RecordBatch]:
         if groups:
             for depth, segments, places in bucket.repeats(length):
                 ids, crcs, starts = bucket.held(segments, places)
@@ -317,13 +324,18 @@ def _finder(length: int, groups: bool):
             at = K.ranges(bucket.first[segments], n)
             yield merged(bucket.id[at], bucket.crc[at], bucket.start[at] + np.repeat(starts, n), bucket.start[at] + np.repeat(ends, n))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for payloads in K.buckets_of(batches):
+            yield from found(_Bucket(payloads))
+
     return run
 
 
 def _found(docs: DataFrame, length: int, groups: bool, ddl: str) -> DataFrame:
-    spark = docs.sparkSession
-    packed = keyed(docs).select("_id", "_crc", "text").mapInArrow(_packer(length, buckets(spark)), "bucket int, payload binary")
-    return packed.repartition(partitions(spark), "bucket").select("payload").mapInArrow(_finder(length, groups), ddl)
+    rows = keyed(docs).select("_id", "_crc", "text")
+    frequent = _frequent.frequent(rows.select("_id", "text"), lambda t: _grams(np.frombuffer(t, np.uint8)))
+    packed = rows.mapInArrow(_packer(length, buckets(docs.sparkSession), frequent), "bucket int, payload binary")
+    return dealt(packed).mapInArrow(_finder(length, groups), ddl)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -7,6 +7,10 @@ of all blocks, and the products, one packed row for each block and bucket, are s
 list of ids is kept anywhere. A very common pre-token costs one entry for each block, however many
 documents hold it.
 
+A block is named by its documents, and its parts must come from one reading of them. Files give the same
+rows to a task that runs again on another executor; documents that come out of a shuffle in no fixed
+order should be checkpointed before, and an unfit part is an error, never a wrong count.
+
 A special string of the vocabulary file inside a text is one token, as the library's default has it.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; rows that repeat doc_id and text are
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _kernel as K
-from millrace.llm._rows import keyed, partitions
+from millrace.llm._rows import block_bytes, dealt, keyed, partitions
 
 BLOCK_BYTES = 16 << 20
 MAX_TOKENS = 1024
@@ -95,11 +99,11 @@ def _frequencies(path: str, n_buckets: int):
         special = specials(path)
         split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         rows: list[tuple[int, int, str]] = []
-        size = 0
+        size, most = 0, block_bytes(n_buckets, BLOCK_BYTES)
         for batch in K.sliced(batches, "text"):
             rows += zip(batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), (t or "" for t in batch.column("text").to_pylist()), strict=True)
             size += batch.nbytes
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield pack(rows, split, find, set(special))
                 rows, size = [], 0
         if rows:
@@ -152,9 +156,9 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have[at] += values
             sums[block] = have
     for block, have in sums.items():
-        ids, crcs, n = heads[block]
-        if pairs[block] % n if n else pairs[block]:
-            raise RuntimeError("the parts of a block of documents do not fit together; run again")
+        ids, crcs, n = heads.get(block, ((), (), 0))
+        if block not in heads or (pairs[block] % n if n else pairs[block]):
+            raise RuntimeError("the parts of a block of documents do not fit together: docs gave other rows when a lost task ran again; checkpoint them first")
         have = np.concatenate([have, np.zeros(len(ids) - len(have), np.int64)]) // max(1, pairs[block] // max(1, n))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crcs), pa.array(have)], schema=COUNTS)
 
@@ -167,7 +171,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = MAX_TOKENS) -> DataFra
     n = partitions(docs.sparkSession)
     rows = keyed(docs)
     packed = rows.select("_id", "_crc", "text").mapInArrow(_frequencies(path, n), "bucket int, payload binary")
-    parts = packed.repartition(n, "bucket").select("payload").mapInArrow(_counted(path), "block long, payload binary")
+    parts = dealt(packed).select("payload").mapInArrow(_counted(path), "block long, payload binary")
     sums = parts.repartition(n, "block").mapInArrow(_summed, "_id long, _crc long, n_tokens long")
     # rows that repeat doc_id and text may stand in several blocks
     counts = sums.groupBy("_id", "_crc").agg(F.max("n_tokens").alias("n_tokens"))
