@@ -1,17 +1,19 @@
 """Exact n-gram Jaccard self-join with PartEnum signatures, and its components.
 
-Sets. A document's set holds its distinct word shingles as 64-bit hashes. Equal sets form a class,
-named by a hash of the set; a class is one node however many documents it has.
-
-Signatures. Sizes are cut into bands whose ends differ by the square of the threshold, and a set near
-the upper end also joins the next band, so two similar sets share a band. Within a band two similar
-sets differ in at most k elements. The hash domain is split into n1 parts; n1 exceeds k // (k2 + 1) by
-`spare`, so at least `spare` parts hold k2 differences at most. Each part is split again into n2 pieces and
-every subset of n2 - k2 pieces gives a signature, the hash of the set's elements in them: similar sets
-share at least `spare` signatures. A subset without elements gives none, unless a set has so many
-empty ones that it could agree with another in those alone. Nothing is lost by either rule.
-A set that shares fewer signatures with all others together than a similar one would share with it
-alone drops out.
+Sets. A document's set holds its distinct word shingles as 64-bit hashes. Equal sets form a class, a
+node, however many documents it has; its name is a hash of the set.
+
+Signatures. Sizes are cut into bands whose ends differ by the threshold. A set signs in its own band and,
+if it can be similar to a set there, in the next, so two similar sets share a band. Within a band two
+similar sets differ in at most k elements. The hash domain is split into n1 parts; n1 exceeds
+k // (k2 + 1) by `spare`, so at least `spare` parts hold k2 differences at most. Each part is split again
+into n2 pieces and every subset of n2 - k2 pieces gives a signature, the hash of the set's elements in them:
+similar sets share at least `spare` signatures. A subset without elements gives none, unless a set has
+so many empty ones that it could agree with another in those alone. Nothing is lost by either rule.
+`scheme` takes n1, n2, k2 and spare, for every band alike, from the setting that costs least: the
+signatures, the candidates that signatures of few elements bring, and the sets with too many empty
+subsets. A set that shares fewer signatures with all others together than a similar one would share
+with it alone drops out.
 
 Candidates. Signatures travel to buckets packed by block, once for each block and class; those with
 two or more nodes leave groups there, each distinct group once. Then an element count over the
@@ -19,9 +21,11 @@ grouped nodes: a set of whose elements less than the threshold stand in any othe
 similar to none, and drops out; the others keep only shared elements, which suffice for exact
 intersections.
 
-Verification. Each group is a part of its smallest node's neighbourhood. Neighbourhoods are compared
-in blocks of bounded bytes by matrix products inside a task, which yields a spanning forest of the
-links found, never the pairs. Components of those links are the answer.
+Verification. Each group is a part of its smallest node's neighbourhood, and that node, the hub, is its
+pivot. A neighbourhood is dealt into units of bounded rows and bytes, the hub in each; a unit's links
+become a spanning forest in its task, and pairs are never emitted. Nodes connected with the hub in their
+unit are connected with each other, so only the rest of a neighbourhood of several units, if there is
+any, is compared with the other units. Components of those links are the answer.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle of all; rows that repeat doc_id and text are one document;
@@ -30,88 +34,123 @@ a null doc_id counts as the smallest.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _kernel as K
-from millrace.llm._rows import LEAST, checkpointed, fresh, keyed, partitions
+from millrace.llm._rows import LEAST, block_bytes, buckets, checkpointed, dealt, fresh, keyed, partitions
 from millrace.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK_ELEMENTS = 1_000_000
-UNIT_BYTES = 2 << 20
-ROWS, COLUMNS = 512, 1024  # of a matrix product's blocks
-SMALL_K = 8
+BLOCK_BYTES = 8 << 20  # of signatures or elements, eight bytes each
+UNIT_BYTES, UNIT_ROWS = 2 << 20, 4096
+SIDE, COLUMNS = 512, 1024  # of a matrix product's blocks
+LARGEST = 1 << 31  # elements of a set
 NONE = (1 << 20) - 1
 
+#: (k2, n2) that `scheme` chooses from.
+SETTINGS = ((0, 1), (1, 3), (1, 4), (1, 5), (1, 6), (2, 4), (2, 5), (2, 6), (2, 7), (3, 6), (3, 7))
+CANDIDATE_COST, EMPTY_COST = 8.0, 4000.0  # in signatures
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def band_of(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, largest size in it) for each band that a set of this size signs in."""
-    low, band = 1, 0
-    while True:
-        high = max(low, low * 100 * 100 // (percent * percent))
-        if size <= high:
-            break
-        low, band = high + 1, band + 1
-    out = [(band, high)]
-    if 100 * size >= percent * (high + 1):
-        out.append((band + 1, max(high + 1, (high + 1) * 100 * 100 // (percent * percent))))
+def _tail(mean: float, variance: float, least: int) -> float:
+    """A bound, or for large means an estimate, of the chance of `least` or more."""
+    if mean <= 0:
+        return 0.0
+    out = min(1.0, mean / least)
+    if least > mean:
+        out = min(out, variance / (variance + (least - mean) ** 2))
+        if mean > 8:
+            out = min(out, math.erfc((least - 0.5 - mean) / math.sqrt(2 * variance)) / 2)
     return out
 
 
-@functools.cache
-def scheme(high: int, percent: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and spare of a band; spare exceeds the empty subsets that its smallest sets may be expected to have."""
+def scheme(high: int, percent: int, settings: tuple = SETTINGS) -> tuple[int, int, int, int]:
+    """n1, n2, k2 and spare of the band up to `high`: the setting of least cost for the smallest sets that sign in it."""
     k = (100 - percent) * 2 * high // (100 + percent)
     if not k:
         return 1, 1, 0, 1
-    k2, n2 = (1, 3) if k <= SMALL_K else (0, 1)
-    smallest = high * percent**3 / 100**3
-    spare = 2
-    while True:
-        n1 = k // (k2 + 1) + spare
-        empty = n1 * n2 * math.exp(-smallest / n1 * (n2 - k2) / n2)
-        if spare > empty + 3 * math.sqrt(empty) or spare > 2 * k + 4:
-            return n1, n2, k2, spare
-        spare += 1
-
-
-def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Signatures of one set, given as its sorted hashes, the lowest bit that of the band; how many of them
-    a similar set must share, for even and odd bands (`NONE` where it signs in none)."""
-    out, need = [], [NONE, NONE]
-    sums = np.concatenate([[K.U64(0)], np.cumsum(K.mix(elements ^ K.U64(0x5851F42D4C957F2D)))])
-    for band, high in band_of(len(elements), percent):
-        n1, n2, k2, spare = scheme(high, percent)
-        pieces = n1 * n2
-        width = ((1 << 64) - 1) // pieces
-        cuts = np.searchsorted(elements, np.arange(1, pieces, dtype=K.U64) * K.U64(width))
-        cuts = np.concatenate([[0], cuts, [len(elements)]])
-        value, count = sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
-        place = np.arange(pieces, dtype=K.U64)
-        if k2:
-            # all pairs of the three pieces of a part: the part without one of them
-            value, count = value.reshape(n1, n2), count.reshape(n1, n2)
-            value, count = value.sum(1, keepdims=True, dtype=K.U64) - value, count.sum(1, keepdims=True) - count
-            value, count = value.ravel(), count.ravel()
-        full = count > 0
-        empty = int((~full).sum())
-        if empty >= spare:
-            full[:] = True
-            empty = 0
-        need[band % 2] = spare - empty
-        keys = K.mix(value[full] + K.mix(place[full] + K.U64(band << 32)))
-        out.append(keys & ~K.U64(1) | K.U64(band % 2))
-    return np.concatenate(out), need[0] + need[1] * (NONE + 1)
+    size = -(-high * percent * percent // 10_000)
+    best = None
+    for k2, n2 in settings:
+        subsets, spare = math.comb(n2, k2), 1
+        while k2 <= k and spare <= 2 * k + 5:
+            n1 = k // (k2 + 1) + spare
+            bare, void = (1 - (n2 - k2) / (n1 * n2)) ** size, (1 - 1 / n1) ** size
+            variance = n1 * (subsets**2 * void + subsets * max(0.0, bare - void))
+            missed = _tail(n1 * subsets * bare, variance, spare)
+            each = size * (n2 - k2) / (n1 * n2)
+            cost = n1 * subsets * (1 + CANDIDATE_COST * 0.5**each) + EMPTY_COST * missed
+            if best is None or cost < best[0]:
+                best = cost, (n1, n2, k2, spare)
+            spare += max(1, spare // 16)
+    return best[1]
+
+
+@functools.cache
+def bands(percent: int) -> list[tuple[int, int, tuple[int, int, int, int]]]:
+    """(smallest size, largest size, scheme) of every band. Made by the driver and sent to all tasks, which must agree."""
+    out, low = [], 1
+    while low <= LARGEST:
+        high = max(low, low * 100 // percent)
+        out.append((low, high, scheme(high, percent)))
+        low = high + 1
+    return out
+
+
+class Signer:
+    """Signatures of sets."""
+
+    def __init__(self, bands: list, percent: int):
+        self.bands, self.percent = bands, percent
+        self.lows = [b[0] for b in bands]
+        self.subsets: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, size: int) -> list[int]:
+        """The bands that a set of this size signs in."""
+        own = bisect.bisect_right(self.lows, size) - 1
+        return [own, own + 1] if 100 * size >= self.percent * self.bands[own + 1][0] else [own]
+
+    def sign(self, elements: np.ndarray) -> tuple[np.ndarray, int]:
+        """Signatures of one set, given as its sorted hashes, the lowest bit that of the band; how many of them
+        a similar set must share, for even and odd bands (`NONE` where it signs in none)."""
+        out, need = [], [NONE, NONE]
+        sums = np.concatenate([[K.U64(0)], np.cumsum(K.mix(elements ^ K.U64(0x5851F42D4C957F2D)))])
+        for band in self.of(len(elements)):
+            n1, n2, k2, spare = self.bands[band][2]
+            pieces = n1 * n2
+            width = ((1 << 64) - 1) // pieces
+            cuts = np.searchsorted(elements, np.arange(1, pieces, dtype=K.U64) * K.U64(width))
+            cuts = np.concatenate([[0], cuts, [len(elements)]])
+            value, count = sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
+            if k2:
+                if (n2, k2) not in self.subsets:
+                    self.subsets[n2, k2] = np.array(list(itertools.combinations(range(n2), n2 - k2)))
+                chosen = self.subsets[n2, k2]
+                value = value.reshape(n1, n2)[:, chosen].sum(2, dtype=K.U64).ravel()
+                count = count.reshape(n1, n2)[:, chosen].sum(2).ravel()
+            place = np.arange(len(value), dtype=K.U64)
+            full = count > 0
+            empty = int((~full).sum())
+            if empty >= spare:
+                full[:] = True
+                empty = 0
+            need[band % 2] = min(spare - empty, NONE - 1)
+            keys = K.mix(value[full] + K.mix(place[full] + K.U64(band << 32)))
+            out.append(keys & ~K.U64(1) | K.U64(band % 2))
+        return np.concatenate(out), need[0] + need[1] * (NONE + 1)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -136,6 +175,7 @@ def set_name(elements: np.ndarray) -> int:
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("need", pa.int64())])
 _ROWS_DDL = "bucket int, payload binary, _id long, _crc long, n long, node long, need long"
+_PACKED_DDL = "bucket int, payload binary"
 
 
 def _packed(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -150,7 +190,11 @@ def _packed(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, n_buckets: i
             yield b, K.pack(keys[these], at.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), nodes[own])
 
 
-def _read(payloads: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
+
+
+def _read(payloads: Iterable[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (key, node) of a bucket's payloads, sorted by key; keys of one node alone are left out."""
     keys, nodes = [], []
     for payload in payloads:
@@ -178,15 +222,18 @@ def _read(payloads: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[many], node[many]
 
 
-def _sign(shingle: int, percent: int, n_buckets: int):
+def _sign(shingle: int, percent: int, table: list, n_buckets: int):
+    most = block_bytes(n_buckets, BLOCK_BYTES) // 8
+
     def flush(names: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lengths = np.fromiter(map(len, signs), np.int64, len(signs))
         rows = list(_packed(np.concatenate(signs), np.repeat(np.arange(len(signs)), lengths), np.array(names, np.int64), n_buckets))
         if rows:
             empty = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), empty, empty, empty, empty, empty], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([*_batch(rows).columns, empty, empty, empty, empty, empty], schema=_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(table, percent)
         signs: dict[int, np.ndarray] = {}
         needs: dict[int, int] = {}
         size = 0
@@ -195,12 +242,12 @@ def _sign(shingle: int, percent: int, n_buckets: int):
             names = [set_name(s) for s in sets]
             for name, s in zip(names, sets, strict=True):
                 if len(s) and name not in signs:
-                    signs[name], needs[name] = signatures(s, percent)
+                    signs[name], needs[name] = signer.sign(s)
                     size += len(signs[name])
             ids, crcs = batch.column("_id"), batch.column("_crc")
             homes = (ids.to_numpy() % n_buckets).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(homes), pa.nulls(len(sets), pa.binary()), ids, crcs, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([needs.get(x, 0) for x in names], pa.int64())], schema=_ROWS)
-            if size > BLOCK_ELEMENTS:
+            if size > most:
                 yield from flush(list(signs), list(signs.values()))
                 signs, needs, size = {}, {}, 0
         if signs:
@@ -209,62 +256,74 @@ def _sign(shingle: int, percent: int, n_buckets: int):
     return run
 
 
-_FOUND = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("need", pa.int64()), ("home", pa.int32()), ("payload", pa.binary())])
-_FOUND_DDL = "g long, node long, _id long, _crc long, n long, need long, home int, payload binary"
+_FOUND = pa.schema([("_id", pa.int64()), ("_crc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("need", pa.int64()), ("payload", pa.binary())])
+_FOUND_DDL = "_id long, _crc long, n long, node long, need long, payload binary"
 
 
-def _group(n_buckets: int):
-    """Passes documents on, and turns a bucket's signatures into its distinct groups of nodes and tallies by node."""
+def _groups_of(key: np.ndarray, node: np.ndarray) -> bytes:
+    """A bucket's distinct groups of nodes, and how many signatures of either parity each node shares, packed."""
+    s, e = K.runs(key)
+    name = np.add.reduceat(K.mix(node.astype(K.U64)), s) + (e - s).astype(K.U64)
+    _, first = np.unique(name, return_index=True)
+    sizes = (e - s)[first]
+    g = np.repeat((K.mix(name[first]) >> K.U64(1)).astype(np.int64), sizes)
+    members = node[K.ranges(s[first], sizes)]
+    each, at = np.unique(node, return_inverse=True)
+    counts = np.bincount(2 * at + (key & K.U64(1)).astype(np.int64), minlength=2 * len(each)).astype(np.int32)
+    return K.pack(g, members, each, counts[::2], counts[1::2])
 
-    def found(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _FOUND], schema=_FOUND)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payloads: list[bytes] = []
-        for batch in batches:
-            packed = np.array(batch.column("payload").is_valid().to_numpy(zero_copy_only=False))
-            payloads += batch.column("payload").filter(pa.array(packed)).to_pylist()
-            rows = batch.filter(pa.array(~packed))
-            if rows.num_rows:
-                yield found(rows.num_rows, **{c: rows.column(c) for c in ("node", "_id", "_crc", "n", "need")})
+def _group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes documents on, and turns each bucket's signatures into its groups and tallies."""
+
+    def documents(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != "payload" else pa.nulls(batch.num_rows, pa.binary()) for f in _FOUND], schema=_FOUND)
+
+    def found(payloads: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
         key, node = _read(payloads)
-        if not len(key):
-            return
-        s, e = K.runs(key)
-        name = np.add.reduceat(K.mix(node.astype(K.U64)), s) + (e - s).astype(K.U64)
-        _, first = np.unique(name, return_index=True)
-        sizes = (e - s)[first]
-        g = np.repeat((K.mix(name[first]) >> K.U64(1)).astype(np.int64), sizes)
-        yield found(len(g), g=pa.array(g), node=pa.array(node[K.ranges(s[first], sizes)]))
-        odd, home = (key & K.U64(1)).astype(np.int8), node % n_buckets
-        order = np.lexsort((odd, node, home))
-        odd, node, home = odd[order], node[order], home[order]
-        s, e = K.runs(home, node, odd)
-        counts = (e - s).astype(np.int32)
-        a, b = K.runs(home[s])
-        tallies = [K.pack(node[s][i:j], odd[s][i:j], counts[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        yield found(len(a), home=pa.array(home[s][a], pa.int32()), payload=pa.array(tallies, pa.binary()))
+        if len(key):
+            empty = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([empty] * 5 + [pa.array([_groups_of(key, node)], pa.binary())], schema=_FOUND)
 
-    return run
+    now, have = None, []
+    for batch in batches:
+        packed = batch.column("payload").is_valid()
+        rows = batch.filter(pc.invert(packed))
+        if rows.num_rows:
+            yield documents(rows)
+        rows = batch.filter(packed)
+        payload = rows.column("payload")
+        for i, bucket in enumerate(rows.column("bucket").to_pylist()):
+            if bucket != now and have:
+                yield from found(have)
+                have = []
+            now = bucket
+            have.append(payload[i].as_buffer())
+    if have:
+        yield from found(have)
+
+
+def _tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, _, node, even, odd = K.unpack(batch.column("payload")[i].as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(even, pa.int64()), pa.array(odd, pa.int64())], names=["node", "even", "odd"])
 
 
-def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, even, odd): how many signatures of its even and odd band a node shares with any other."""
-    parts = [K.unpack(p) for batch in batches for p in batch.column("payload").to_pylist()]
-    if parts:
-        node, odd, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        names, at = np.unique(node, return_inverse=True)
-        sums = np.bincount(2 * at + odd, count, 2 * len(names)).astype(np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["node", "even", "odd"])
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            g, node, *_ = K.unpack(batch.column("payload")[i].as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(node)], names=["g", "node"])
 
 
 def _elements(shingle: int, n_buckets: int):
     """Packs the elements of grouped nodes by bucket."""
+    most = block_bytes(n_buckets, BLOCK_BYTES) // 8
 
     def flush(names: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-        rows = list(_packed(np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths), np.array(names, np.int64), n_buckets))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
+        yield _batch(list(_packed(np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths), np.array(names, np.int64), n_buckets)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sets, size = [], [], 0
@@ -273,7 +332,7 @@ def _elements(shingle: int, n_buckets: int):
             names += batch.column("node").to_pylist()
             sets += own
             size += sum(map(len, own))
-            if size > BLOCK_ELEMENTS:
+            if size > most:
                 yield from flush(names, sets)
                 names, sets, size = [], [], 0
         if names:
@@ -282,12 +341,12 @@ def _elements(shingle: int, n_buckets: int):
     return run
 
 
-def _shared(n_buckets: int):
-    """Elements of a bucket that two or more nodes have, packed by the home of their nodes."""
+def _shared(n_homes: int):
+    """Elements that two or more nodes have, packed by the home of their nodes, some buckets together."""
+    most = block_bytes(n_homes, BLOCK_BYTES) // 8
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = _read(p for batch in batches for p in batch.column("payload").to_pylist())
-        home = node % n_buckets
+    def flush(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        home = node % n_homes
         order = np.lexsort((node, home))
         key, node, home = key[order], node[order], home[order]
         s, e = K.runs(home)
@@ -296,113 +355,202 @@ def _shared(n_buckets: int):
             f, g = K.runs(node[a:b])
             rows.append((int(home[a]), K.pack(node[a:b][f], (g - f).astype(np.int32), key[a:b])))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
+            yield _batch(rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, size = [], 0
+        for payloads in K.buckets_of(batches):
+            have.append(_read(payloads))
+            size += len(have[-1][0])
+            if size > most:
+                yield from flush(*map(np.concatenate, zip(*have, strict=True)))
+                have, size = [], 0
+        if have:
+            yield from flush(*map(np.concatenate, zip(*have, strict=True)))
 
     return run
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shared, elements): each node's shared elements, from all buckets."""
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for payload in batch.column("payload").to_pylist():
+    """(node, shared, elements): each node's shared elements, from all buckets, home by home."""
+    for payloads in K.buckets_of(batches):
+        parts: dict[int, list[bytes]] = {}
+        for payload in payloads:
             nodes, counts, keys = K.unpack(payload)
             ends = np.cumsum(counts)
             for node, a, b in zip(nodes.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                 parts.setdefault(node, []).append(keys[a:b].tobytes())
-    names = list(parts)
-    for at in range(0, len(names), 512):
-        some = names[at : at + 512]
-        sets = [b"".join(parts[x]) for x in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shared", "elements"])
-
-
-def links_of(names: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between `left` and `right` rows (masks), as pairs of names."""
+        names = list(parts)
+        for at in range(0, len(names), 512):
+            some = names[at : at + 512]
+            sets = [b"".join(parts.pop(x)) for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shared", "elements"])
+
+
+class _Side:
+    """One side of a unit: its rows by size, in blocks whose entries are sorted by column."""
+
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, column: np.ndarray, first: np.ndarray):
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        self.blocks = [rows[at : at + SIDE] for at in range(0, len(rows), SIDE)]
+        self.low = [int(sizes[b[0]]) for b in self.blocks]
+        self.high = [int(sizes[b[-1]]) for b in self.blocks]
+        self.entries = []
+        for block in self.blocks:
+            n = first[block + 1] - first[block]
+            own, col = np.repeat(np.arange(len(block)), n), column[K.ranges(first[block], n)]
+            order = np.argsort(col, kind="stable")
+            self.entries.append((col[order], own[order]))
+
+    def dense(self, i: int, columns: np.ndarray) -> np.ndarray:
+        """Which rows of block i have which of the columns."""
+        col, own = self.entries[i]
+        lo, hi = np.searchsorted(col, [columns[0], columns[-1] + 1])
+        at = np.searchsorted(columns, col[lo:hi])
+        hit = columns[np.minimum(at, len(columns) - 1)] == col[lo:hi]
+        out = np.zeros((len(self.blocks[i]), len(columns)), np.float32)
+        out[own[lo:hi][hit], at[hit]] = 1
+        return out
+
+
+def links_of(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between the rows `left` and `right`, as pairs of rows, and each row's root.
+
+    Blocks of SIDE rows are compared by matrix products over the columns that both have, COLUMNS at a time,
+    and not at all where sizes are too far apart or all rows are connected already.
+    """
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
-    order = np.argsort(element, kind="stable")
-    s, e = K.runs(element[order])
-    many = np.repeat(e - s > 1, e - s)
-    owner = owner[order][many]
-    column = np.repeat(np.arange(len(s)), e - s)[many]
-    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
-    if len(column):
-        column = np.unique(column, return_inverse=True)[1]
-    edges = np.arange(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS)
-    out, root = [], np.arange(len(names))
-    for at in range(0, len(rows), ROWS):
-        some = rows[at : at + ROWS]
-        common = np.zeros((len(some), len(cols)), np.float32)
-        for lo in edges.tolist():
-            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-            part = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
-            part[owner[a:b], column[a:b] - lo] = 1
-            common += part[some] @ part[cols].T
-        linked = (100 + percent) * common.astype(np.int64) >= percent * (sizes[some][:, None] + sizes[cols][None, :])
-        for i in np.flatnonzero(linked.any(1)).tolist():
-            mine = np.unique(root[np.append(cols[linked[i]], some[i])])
-            if len(mine) > 1:
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
+    out, root = [], np.arange(len(sets))
+    same = left is right
+    a = _Side(left, sizes, column, first)
+    b = a if same else _Side(right, sizes, column, first)
+    for i, rows in enumerate(a.blocks):
+        for j, cols in enumerate(b.blocks):
+            if same and j < i or 100 * a.high[i] < percent * b.low[j] or 100 * b.high[j] < percent * a.low[i]:
+                continue
+            roots = np.concatenate([root[rows], root[cols]])
+            if (roots == roots[0]).all():
+                continue
+            both = np.intersect1d(a.entries[i][0], b.entries[j][0])
+            common = np.zeros((len(rows), len(cols)), np.float32)
+            for at in range(0, len(both), COLUMNS):
+                some = both[at : at + COLUMNS]
+                common += a.dense(i, some) @ b.dense(j, some).T
+            linked = (100 + percent) * common.astype(np.int64) >= percent * (sizes[rows][:, None] + sizes[cols][None, :])
+            for r in np.flatnonzero(linked.any(1)).tolist():
+                mine = np.unique(root[np.append(cols[linked[r]], rows[r])])
                 for other in mine[1:].tolist():
-                    out.append((int(names[other]), int(names[mine[0]])))
+                    out.append((other, int(mine[0])))
                     root[root == other] = mine[0]
-    return out
+    return out, root
+
+
+_LINKS_DDL = "a struct<_id:long,_crc:long>, b struct<_id:long,_crc:long>"
+_FIRST_DDL = f"{_LINKS_DDL}, hub long, node long"
+
+
+def _links(table: pa.Table, pairs: list[tuple[int, int]]) -> list[pa.Array]:
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    ids, crcs = table.column("_id").to_numpy(), table.column("_crc").to_numpy()
+    return [pa.StructArray.from_arrays([pa.array(ids[at[:, k]]), pa.array(crcs[at[:, k]])], names=["_id", "_crc"]) for k in (0, 1)]
+
 
+def _unit(percent: int):
+    """Links of a unit; if its neighbourhood has others, also the nodes that are not connected with the hub."""
 
-def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        names, sizes = table.column("node").to_numpy(), table.column("n").to_numpy()
         sets = [np.frombuffer(x, K.U64) for x in table.column("elements").to_pylist()]
-        block = table.column("block").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        found = links_of(names, sizes, sets, block == i, block == j, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        rows = np.arange(len(sets))
+        pairs, root = links_of(table.column("n").to_numpy(), sets, rows, rows, percent)
+        a, b = _links(table, pairs)
+        node, hub = table.column("node").to_numpy(), table.column("hub").to_numpy()
+        rest = rows[:0]
+        if table.column("parts")[0].as_py() > 1:
+            rest = np.flatnonzero(root != root[np.flatnonzero(node == hub)[0]])
+        none = pa.nulls(len(rest), a.type)
+        columns = [pa.chunked_array([x, none]) for x in (a, b)]
+        columns += [pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(x[rest])]) for x in (hub, node)]
+        return pa.table(columns, names=["a", "b", "hub", "node"])
 
     return run
 
 
+def _across(percent: int):
+    """Links between the rest of a neighbourhood (left) and one of its units (right)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, K.U64) for x in table.column("elements").to_pylist()]
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        pairs, _ = links_of(table.column("n").to_numpy(), sets, np.flatnonzero(left), np.flatnonzero(~left), percent)
+        return pa.table(_links(table, pairs), names=["a", "b"])
+
+    return run
+
+
+def _parts(near: DataFrame) -> DataFrame:
+    """(hub, parts): in how many units a neighbourhood is dealt."""
+    size = F.greatest(F.sum(F.col("shared") * 8) / UNIT_BYTES, F.count("*") / UNIT_ROWS)
+    return near.groupBy("hub").agg(F.ceil(size).cast("int").alias("parts"))
+
+
+def _verified(near: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of all neighbourhoods. near (hub, node, shared); alive (node, n, _id, _crc, elements)."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    placed = near.join(_parts(near), "hub")
+    units = placed.select("hub", "node", "parts", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(F.array(own))).alias("unit"))
+    first = checkpointed(units.join(alive, "node").groupBy("hub", "unit").applyInArrow(_unit(percent), _FIRST_DDL))
+    links = first.where("a is not null").select("a", "b")
+    rest = first.where("hub is not null").select("hub", "node")
+    if rest.isEmpty():
+        return links
+    rest = rest.join(near, ["hub", "node"])
+    blocks = rest.join(_parts(rest).withColumnRenamed("parts", "blocks"), "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    counts = placed.select("hub", "parts").distinct().join(blocks.select("hub", "blocks").distinct(), "hub")
+    left = blocks.join(counts.select("hub", "parts"), "hub").select("hub", "node", "block", F.explode(every).alias("unit"), F.lit(True).alias("left"))
+    right = placed.join(counts.select("hub", "blocks"), "hub").select("hub", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own.alias("unit"), F.lit(False).alias("left"))
+    both = left.unionByName(right).join(alive, "node")
+    return links.unionByName(both.groupBy("hub", "block", "unit").applyInArrow(_across(percent), _LINKS_DDL))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(_id, _crc, n, node, root): every document's set size, class, and the class that names its component."""
+    """(_id, _crc, n, root): every document's set size, and the first document (_id, _crc) of its component."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n, homes = buckets(spark), partitions(spark)
     rows = keyed(docs).select("_id", "_crc", "text")
-    signed = rows.mapInArrow(_sign(shingle, percent, n), _ROWS_DDL).repartition(n, "bucket")
-    found = checkpointed(signed.mapInArrow(_group(n), _FOUND_DDL))
-    members = found.where(F.col("_id").isNotNull()).select("_id", "_crc", "n", "node", "need")
-    tallies = found.where(F.col("home").isNotNull()).repartition(n, "home").select("payload").mapInArrow(_tally, "node long, even long, odd long")
-    groups = found.where(F.col("g").isNotNull()).select("g", "node").distinct()
-
-    one = members.where("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_crc")).alias("d"), F.first("n").alias("n"), F.first("need").alias("need"))
+    found = checkpointed(dealt(rows.mapInArrow(_sign(shingle, percent, bands(percent), n), _ROWS_DDL)).mapInArrow(_group, _FOUND_DDL))
+    members = found.where("payload is null").select("_id", "_crc", "n", "node", "need")
+    packed = found.where("payload is not null").select("payload")
+    tallies = packed.mapInArrow(_tallies, "node long, even long, odd long").groupBy("node").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+    groups = packed.mapInArrow(_members, "g long, node long").distinct()
+
+    own = F.struct("_id", "_crc")
+    one = members.where("n > 0").groupBy("node").agg(F.min(own).alias("d"), F.max(own).alias("last"), F.first("n").alias("n"), F.first("need").alias("need"))
     enough = (F.col("even") >= F.col("need") % (NONE + 1)) | (F.col("odd") >= F.floor(F.col("need") / (NONE + 1)))
-    grouped = checkpointed(one.join(tallies, "node").where(enough).select("node", "n", "d._id", "d._crc"))
-    texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).dropDuplicates(["node"]).select("node", "text")
-    packed = texts.mapInArrow(_elements(shingle, n), "bucket int, payload binary").repartition(n, "bucket").select("payload")
-    shared = packed.mapInArrow(_shared(n), "bucket int, payload binary").repartition(n, "bucket").select("payload").mapInArrow(_gathered, "node long, shared long, elements binary")
-    alive = checkpointed(grouped.select("node", "n").join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent))
+    grouped = one.join(tallies, "node").where(enough).select("node", "n", "d._id", "d._crc")
+    texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).select("node", "text")
+    elements = dealt(texts.mapInArrow(_elements(shingle, n), _PACKED_DDL))
+    shared = dealt(elements.mapInArrow(_shared(homes), _PACKED_DDL)).mapInArrow(_gathered, "node long, shared long, elements binary")
+    alive = checkpointed(grouped.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent))
 
     kept = groups.join(alive.select("node"), "node")
     hubs = kept.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     near = kept.join(hubs.select("g", "hub"), "g").select("hub", "node").distinct()
     near = near.join(alive.select("node", "shared"), "node")
-    parts = near.groupBy("hub").agg(F.ceil(F.sum(F.col("shared") * 8) / UNIT_BYTES).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    units = near.join(parts, "hub").select("hub", "node", "parts", block.alias("block")).select("*", other.alias("other"))
-    units = units.select("hub", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
-    units = units.join(alive.select("node", "n", "elements"), "node")
-    links = units.groupBy("hub", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+    links = _verified(near, alive.select("node", "n", "_id", "_crc", "elements"), percent)
     roots = components(links)
-    return members.join(roots, "node", "left").select("_id", "_crc", "n", "node", F.coalesce("root", "node").alias("root"))
+    linked = alive.select("node", own.alias("d")).join(roots.withColumnRenamed("node", "d"), "d").select("node", "root")
+    named = one.join(linked, "node", "left").where("root is not null or d != last").select("node", F.coalesce("root", "d").alias("root"))
+    return members.join(named, "node", "left").select("_id", "_crc", "n", F.coalesce("root", own).alias("root"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    all_ = checkpointed(classes(docs, shingle, percent))
-    low = all_.where("n > 0").groupBy("root").agg(F.min("_id").alias("low"))
-    joined = all_.join(low, "root", "left")
+    low = F.when(F.col("n") > 0, F.col("root._id")).otherwise(F.col("_id"))
     null = F.lit(LEAST)
-    own = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("_id"))
-    return joined.select(F.nullif("_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, null).alias("component_id"))
+    return classes(docs, shingle, percent).select(F.nullif("_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(low, null).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -410,9 +558,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     Documents with an empty set stay; of rows that repeat doc_id and text one stays.
     """
-    all_ = checkpointed(classes(docs, shingle, percent))
-    first = all_.where("n > 0").groupBy("root").agg(F.min(F.struct("_id", "_crc")).alias("d")).select("d._id", "d._crc")
-    stay = first.unionByName(all_.where("n = 0").select("_id", "_crc")).distinct()
+    first = (F.col("n") == 0) | ((F.col("root._id") == F.col("_id")) & (F.col("root._crc") == F.col("_crc")))
+    stay = classes(docs, shingle, percent).where(first).select("_id", "_crc").distinct()
     i, c, r = (fresh(docs.columns, x) for x in ("key_id", "key_crc", "key_row"))
     own = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), c: F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     left = own.join(stay.select(F.col("_id").alias(i), F.col("_crc").alias(c)).hint("shuffle_hash"), [i, c], "left_semi")
