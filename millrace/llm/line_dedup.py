@@ -1,20 +1,24 @@
-"""Line de-duplication over hashes of line windows.
+"""Line de-duplication by winnowing over line hashes.
 
 A text is a sequence of lines with a word in them; blank lines belong to the line before (leading ones
-to the first). Every window of `run` consecutive lines is hashed and joined, so no repeated run of that
-many lines goes unseen. This is not winnowing: no minima are selected and no match is extended, since
-overlapping matched windows make up the whole repeated run. The first place of a window, by
-(doc_id, line), stays; lines covered by a window that also stands earlier are deleted. Windows are
-judged on the input.
+to the first). A window is `run` consecutive lines; with `words` given, also any shorter run with at
+least that many words (a word is a run of characters other than ASCII white space), so one long line is
+a window of its own. The rule: lines covered by a window that also stands earlier, by (doc_id, line), are
+deleted. Windows are judged on the input.
 
-With `words` given, shorter runs with at least that many words are windows, too (a word is a run of
-characters other than ASCII white space), so one long line is a window of its own, and any repeated run
-goes that has `run` lines or `words` words.
+Winnowing. Of each window the line with the smallest hash is selected, the first of equal ones. A line is
+a fingerprint once, however many windows have selected it, so there are about 2 / (run + 1) fingerprints
+a line. Which line a window selects depends on the window alone, so a repeated window has the same
+fingerprint at the same offset in all its places: none is missed.
 
-Only SQL functions are used. Windows are joined by (lines, fingerprint, offset, window), where the
-smallest line hash and its offset only add bits to the window's hash. There are as many rows as windows
-and no pairs of positions: first and last places are pre-aggregated, and a line that stands in a third
-of all documents is an ordinary skewed equi-join.
+Positions. Fingerprints are counted; those that stand once in the corpus end there. The positions of
+the others are joined, and each match is extended both ways, over the lines before and after that the
+windows around the fingerprint reach. What is joined in the end are (extended match, offset), so a line that
+stands in a third of all documents in different surroundings makes no pairs, and one in the same
+surroundings is pre-aggregated to its first and last place. Overlapping windows of a document make up
+its maximal repeated runs, of which all but the first go.
+
+Only SQL functions are used. A line is known by 64 bits as a fingerprint and by 128 bits in an extended match.
 
 Defined results: null text stays null and has no lines; a text without a word has one blank line
 at most and loses nothing; fewer lines than `run` lose nothing unless `words` says so; rows that repeat doc_id and text are
@@ -34,7 +38,7 @@ WORDS = 50
 
 _BREAK = r"\n(?=[^\n]*[^ \t\x0B\f\r\n])"
 _EDGE = " \t\x0b\x0c\r\n"
-_WORD = r"[^ \t\x0B\f\r\n]+"
+_GAP = r"[ \t\x0B\f\r\n]+"
 
 
 def lines(text: Column) -> Column:
@@ -42,35 +46,60 @@ def lines(text: Column) -> Column:
     return F.split(text, _BREAK, -1)
 
 
-def _windows(docs: DataFrame, run: int, words: int | None) -> DataFrame:
-    """One row per window: key, start, lines, fingerprint, offset of the fingerprint in it, hash of the window."""
+def _selects(at: str, back: int, size: int, run: int, words: int | None) -> str:
+    """SQL: whether the window of `size` lines that begins `back` lines before line `at` selects that line."""
+    first = f"{at} - {back}"
+    terms = [f"{first} >= 0", f"{first} + {size} <= size(h)"]
+    terms += [f"get(h, {first} + {k}) > get(h, {at})" for k in range(back)]
+    terms += [f"get(h, {first} + {k}) >= get(h, {at})" for k in range(back + 1, size)]
+    if size < run:
+        terms.append(" + ".join(f"get(c, {first} + {k})" for k in range(size)) + f" >= {words}")
+    return " and ".join(terms)
+
+
+def _hashed(docs: DataFrame, words: int | None) -> DataFrame:
+    """(_id, _crc, h, g, c): two hashes, and the words if they are asked for, of each line of docs (_id, _crc, text)."""
     split = lines(F.col("text"))
-    hashes = F.transform(split, lambda x: F.xxhash64(F.btrim(x, F.lit(_EDGE))))
-    counts = [] if words is None else [F.transform(split, lambda x: F.regexp_count(x, F.lit(_WORD))).alias("c")]
-    each = docs.where(F.col("text").isNotNull()).select("_id", "_crc", hashes.alias("h"), *counts)
+    bare = F.transform(split, lambda x: F.btrim(x, F.lit(_EDGE)))
+    each = docs.where(F.col("text").isNotNull()).select("_id", "_crc", bare.alias("b"))
+    counts = [] if words is None else [F.transform("b", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, _GAP)))).alias("c")]
+    one, two = F.transform("b", lambda x: F.xxhash64(x)), F.transform("b", lambda x: F.xxhash64(F.lit(1), x))
+    return each.select("_id", "_crc", one.alias("h"), two.alias("g"), *counts)
+
+
+def _windows(run: int, words: int | None) -> list[tuple[int, int]]:
+    """(back, size) of every window around a line."""
+    return [(back, size) for size in ([run] if words is None else range(1, run + 1)) for back in range(size)]
+
+
+def fingerprints(hashed: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(fingerprint, _id, _crc, at): the lines that windows select."""
+    chosen = " or ".join(f"({_selects('p', back, size, run, words)})" for back, size in _windows(run, words))
+    at = F.explode(F.expr(f"filter(sequence(0, size(h) - 1), p -> {chosen})"))
+    return hashed.select("_id", "_crc", "h", at.alias("at")).select(F.get("h", F.col("at")).alias("fingerprint"), "_id", "_crc", "at")
 
-    def starts(n: int) -> str:
-        every = f"if(size(h) >= {n}, sequence(0, size(h) - {n}), cast(array() as array<int>))"
-        if n < run:
-            total = " + ".join(f"get(c, s + {k})" for k in range(n))
-            every = f"filter({every}, s -> {total} >= {words})"
-        return f"transform({every}, s -> struct(s as start, {n} as lines))"
 
-    lengths = [run] if words is None else range(1, run + 1)
-    places = F.explode(F.expr(f"concat({', '.join(map(starts, lengths))})"))
-    rows = each.select("_id", "_crc", "h", places.alias("p")).select("_id", "_crc", "p.start", "p.lines", F.slice("h", F.col("p.start") + 1, F.col("p.lines")).alias("w"))
-    low = F.array_min("w")
-    return rows.select("_id", "_crc", "start", "lines", low.alias("fingerprint"), F.array_position("w", low).cast("int").alias("offset"), F.xxhash64("w").alias("window"))
+def _extended(hashed: DataFrame, matched: DataFrame, run: int, words: int | None) -> DataFrame:
+    """(key, _id, _crc, begin): the windows around matched fingerprints (_id, _crc, places), known by size, offset and 128 bits."""
+    each = [f"if({_selects('p', back, size, run, words)}, struct(p - {back} as begin, {back} as back, {size} as size), null)" for back, size in _windows(run, words)]
+    around = F.explode(F.expr(f"flatten(transform(places, p -> array_compact(array({', '.join(each)}))))"))
+    rows = hashed.join(matched, ["_id", "_crc"]).select("_id", "_crc", "h", "g", around.alias("w")).select("_id", "_crc", "h", "g", "w.begin", "w.back", "w.size")
+    hashes = [F.xxhash64(F.slice(x, F.col("begin") + 1, F.col("size"))).alias(x) for x in ("h", "g")]
+    return rows.select(F.struct("size", "back", *hashes).alias("key"), "_id", "_crc", "begin")
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(_id, _crc, removed): for each document with any, the indexes of lines to delete."""
-    rows = checkpointed(_windows(docs if "_crc" in docs.columns else keyed(docs), run, words))
-    key = ["lines", "fingerprint", "offset", "window"]
-    place = F.struct("_id", "_crc", "start")
-    groups = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(*key, "first")
-    later = rows.join(groups, key).where(place != F.col("first"))
-    covered = F.flatten(F.transform(F.collect_set(F.struct("start", "lines")), lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
+    """(_id, _crc, removed): for each document with any, the indexes of lines to delete. docs has doc_id and text."""
+    hashed = checkpointed(_hashed(keyed(docs), words))
+    # joined by structs, which no aggregation has dealt by, so that adaptive execution may split a frequent line's rows
+    rows = fingerprints(hashed, run, words).select(F.struct("fingerprint").alias("f"), "_id", "_crc", "at")
+    often = rows.groupBy(F.col("f.fingerprint").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select(F.struct(F.col("x").alias("fingerprint")).alias("f"))
+    matched = rows.join(often, "f").groupBy("_id", "_crc").agg(F.collect_set("at").alias("places"))
+    found = _extended(hashed, matched, run, words)
+    place = F.struct("_id", "_crc", "begin")
+    groups = found.select("key.*", place.alias("place")).groupBy("size", "back", "h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
+    later = found.join(groups.select(F.struct("size", "back", "h", "g").alias("key"), "first"), "key").where(place != F.col("first"))
+    covered = F.flatten(F.transform(F.collect_set(F.struct("begin", "key.size")), lambda s: F.sequence(s["begin"], s["begin"] + s["size"] - 1)))
     return later.groupBy("_id", "_crc").agg(F.array_distinct(covered).alias("removed"))
 
 
