@@ -2,30 +2,37 @@
 
 A document's character-class histogram and its common-word histogram are compared with those of
 each language by Jensen-Shannon distance (base 2, so from 0 to 1); the nearest language counts, so a
-wrong or missing label does not matter. The references are counted over every document that
-has a language, in one pass whose result has one row for each language and histogram cell.
+wrong or missing label does not matter. A language's common words are its COMMON most frequent ones, all
+other words being one cell; words and references are counted over every document that has a language, in
+one pass. A language needs MIN_DOCS documents and MIN_REFERENCE_WORDS words to be a reference, so a few
+odd documents with a label of their own do not become their own measure; of more than MAX_LANGUAGES
+languages those with the most documents are references.
 
 Minimum-length guards: histograms of short texts scatter, so the class test asks for GUARD_CLASS
 words and the word test for GUARD_WORDS; below a guard that test accepts. Above it the distance
-allowed is a limit for long texts plus a scatter that falls with the root of the words.
+allowed is what documents of one language differ by, plus the scatter of a sample: over n draws from c
+cells, 8 n ln 2 times the squared distance is about chi-squared with c - 1 degrees of freedom, and its mean
+and two standard deviations are allowed. Of characters, which depend on each other, four a word count.
 
 The counted rules: word_chars, n_symbols, n_dup_lines, n_repeat_words, and base_failed from two of
 them. A document is kept if neither the counted rules nor a divergence rejects it.
 
-Defined results: null text counts as empty; fewer than MIN_WORDS words fail; with no labelled
-document at all there is no reference and only the counted rules decide; rows are judged one by one,
-so repeated rows get the same result each.
+Defined results: null text counts as empty; fewer than MIN_WORDS words fail; with no language that may be
+a reference the distances are 0 and only the counted rules decide; common words of equal count come in the
+order of their bytes; rows are judged one by one, so repeated rows get the same result each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,19 +43,14 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
+COMMON = 32
+MIN_DOCS, MIN_REFERENCE_WORDS = 10, 1000
+MAX_LANGUAGES = 256
 GUARD_CLASS = 40
 GUARD_WORDS = 80
-MAX_CLASS_DISTANCE, CLASS_SCATTER = 0.20, 0.8
-MAX_WORD_DISTANCE, WORD_SCATTER = 0.16, 2.0
-
-# Frequent closed-class words of four languages.
-COMMON = {
-    "en": "the of and to in a is that for it was on are as with his they be at one have this from or had by not but what some we can",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son mais comme",
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ha me si sin sobre este",
-}
-VOCABULARY = sorted({w for words in COMMON.values() for w in words.split()})
+CLASS_DISTANCE, WORD_DISTANCE = 0.20, 0.08  # between documents of one language, whatever their length
+CHARACTERS_A_WORD = 4
+KNOWN_WORDS = 300_000  # of a task's counts before they are sent on
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other", "beyond")
 _CLASS = np.full(256, 5, np.uint8)
@@ -61,58 +63,113 @@ _CLASS[0xC0:] = 6
 _CLASS[0x80:0xC0] = 7  # the rest of a character that its first byte has counted
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_CODES = [w.encode() for w in VOCABULARY]
 
 
-def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by class, and by common word with all other words last; a row for each text."""
+def scatter(cells: int) -> float:
+    """Distance that sampling alone allows, times the root of the draws."""
+    return math.sqrt((cells - 1 + 2 * math.sqrt(2 * (cells - 1))) / (8 * math.log(2)))
+
+
+CLASS_SCATTER = scatter(len(CLASSES)) / math.sqrt(CHARACTERS_A_WORD)
+WORD_SCATTER = scatter(COMMON + 1)
+
+
+class Reference(NamedTuple):
+    classes: np.ndarray  # shares by class
+    words: tuple[bytes, ...]
+    shares: np.ndarray  # by word, and of all others
+
+
+def class_counts(texts: list[bytes]) -> np.ndarray:
+    """Characters by class; a row for each text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    classes = np.bincount(np.repeat(np.arange(len(texts)) * 8, sizes) + _CLASS[buf], minlength=8 * len(texts)).reshape(-1, 8)[:, :7]
-    common = np.zeros((len(texts), len(_CODES) + 1), np.int64)
-    for row, text in zip(common, texts, strict=True):
-        words = text.translate(_LOWER).split()
-        count = Counter(words)
-        row[:-1] = [count.get(w, 0) for w in _CODES]
-        row[-1] = len(words) - row[:-1].sum()
-    return classes, common
-
-
-def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row from the nearest reference; 0 without rows or references."""
-    if not len(references):
-        return np.zeros(len(counts))
+    return np.bincount(np.repeat(np.arange(len(texts)) * 8, sizes) + _CLASS[buf], minlength=8 * len(texts)).reshape(-1, 8)[:, :7]
+
+
+def normal_words(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()
+
+
+def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts from the reference."""
     p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
     def entropy(x: np.ndarray) -> np.ndarray:
         return -np.sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1)), 0), axis=-1)
 
-    all_ = [np.sqrt(np.maximum(entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2, 0)) for q in references]
-    return np.min(all_, axis=0)
+    return np.sqrt(np.maximum(entropy((p + reference) / 2) - (entropy(p) + entropy(reference)) / 2, 0))
+
+
+def nearest(texts: list[bytes], references: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distance from the nearest reference, by classes and by common words; 0 without references."""
+    if not references or not texts:
+        return np.zeros(len(texts)), np.zeros(len(texts))
+    by_class = np.min([distance(class_counts(texts), r.classes) for r in references], axis=0)
+    vocabulary = sorted({w for r in references for w in r.words})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    counts, total = np.zeros((len(texts), len(vocabulary)), np.int64), np.zeros((len(texts), 1), np.int64)
+    for i, text in enumerate(texts):
+        words = normal_words(text)
+        total[i] = len(words)
+        have = Counter(words)
+        counts[i] = [have.get(w, 0) for w in vocabulary]
+    each = []
+    for r in references:
+        own = counts[:, [place[w] for w in r.words]]
+        each.append(distance(np.hstack([own, total - own.sum(1, keepdims=True)]), r.shares))
+    return by_class, np.min(each, axis=0)
+
+
+_DOCS, _WORDS, _WORD = len(CLASSES), len(CLASSES) + 1, len(CLASSES) + 2  # kinds of counts beside the classes
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for batch in K.sliced(batches, "text"):
-        cells = np.hstack(histograms(K.texts_of(batch.column("text"))))
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        for lang in set(langs.tolist()):
-            sums[lang] = sums.get(lang, 0) + cells[langs == lang].sum(0)
-    rows = [(lang, i, int(v)) for lang, x in sums.items() for i, v in enumerate(x.tolist())]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "cell", "n"])
+    """(lang, kind, word, n): characters by class, documents, words, and each word."""
+    counts: Counter = Counter()
 
+    def rows() -> pa.RecordBatch:
+        lang, kind, word = zip(*counts, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(word, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "word", "n"])
 
-def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Class and common-word distributions by language, counted over all documents that have one."""
+    for batch in K.sliced(batches, "text"):
+        texts = K.texts_of(batch.column("text"))
+        for text, lang, classes in zip(texts, batch.column("lang").to_pylist(), class_counts(texts).tolist(), strict=True):
+            words = Counter(normal_words(text))
+            for kind, n in enumerate([*classes, 1, words.total()]):
+                counts[lang, kind, b""] += n
+            for word, n in words.items():
+                counts[lang, _WORD, word] += n
+        if len(counts) > KNOWN_WORDS:
+            yield rows()
+            counts.clear()
+    if counts:
+        yield rows()
+
+
+def references(docs: DataFrame) -> list[Reference]:
+    """The languages' references, counted over all documents that have one. At most MAX_LANGUAGES * (COMMON + 9) rows come to the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    cells = labelled.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
-    table: dict[str, np.ndarray] = {}
-    for lang, cell, n in cells:
-        table.setdefault(lang, np.zeros(len(CLASSES) + len(_CODES) + 1))[cell] = n
-    rows = np.array([table[x] for x in sorted(table)]).reshape(-1, len(CLASSES) + len(_CODES) + 1)
-    rows = rows[(rows[:, :7].sum(1) > 0) & (rows[:, 7:].sum(1) > 0)]
-    a, b = rows[:, :7], rows[:, 7:]
-    return a / np.maximum(a.sum(1, keepdims=True), 1), b / np.maximum(b.sum(1, keepdims=True), 1)
+    counts = labelled.mapInArrow(_counted, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    # the common words are found in each partition before any are dealt by language
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))
+    few = counts.withColumn("place", place).where(F.col("place") <= COMMON)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n"))).over(Window.partitionBy("lang"))
+    enough = few.withColumns({"docs": of(_DOCS), "total": of(_WORDS)}).where((F.col("docs") >= MIN_DOCS) & (F.col("total") >= MIN_REFERENCE_WORDS))
+    first = enough.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("docs"), "lang"))).where(F.col("rank") <= MAX_LANGUAGES)
+    table: dict[str, dict] = {}
+    for lang, kind, word, n, total, at in first.orderBy("lang", "kind", "place").select("lang", "kind", "word", "n", "total", "place").collect():
+        have = table.setdefault(lang, {"classes": np.zeros(len(CLASSES)), "words": [], "n": [], "total": total})
+        if kind < len(CLASSES):
+            have["classes"][kind] = n
+        elif kind == _WORD:
+            have["words"].append(bytes(word))
+            have["n"].append(n)
+    out = []
+    for x in table.values():
+        shares = np.array([*x["n"], x["total"] - sum(x["n"])]) / x["total"]
+        out.append(Reference(x["classes"] / x["classes"].sum(), tuple(x["words"]), shares))
+    return out
 
 
 def repeated_words(words: K.Words, window: int = REPEAT_WINDOW) -> np.ndarray:
@@ -148,7 +205,7 @@ FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def _judge(names: list[str], text: str, refs: tuple[np.ndarray, np.ndarray]):
+def _judge(names: list[str], text: str, refs: list[Reference]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.sliced(batches, text):
             texts = K.texts_of(batch.column(text))
@@ -158,11 +215,10 @@ def _judge(names: list[str], text: str, refs: tuple[np.ndarray, np.ndarray]):
             symbols = [len(t) - len(t.translate(None, SYMBOLS)) for t in texts]
             repeats = repeated_words(words)
             failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-            classes, common = histograms(texts)
-            by_class, by_word = distances(classes, refs[0]), distances(common, refs[1])
-            scatter = 1 / np.sqrt(np.maximum(n, 1))
-            odd = (n >= GUARD_CLASS) & (by_class > MAX_CLASS_DISTANCE + CLASS_SCATTER * scatter)
-            odd |= (n >= GUARD_WORDS) & (by_word > MAX_WORD_DISTANCE + WORD_SCATTER * scatter)
+            by_class, by_word = nearest(texts, refs)
+            root = 1 / np.sqrt(np.maximum(n, 1))
+            odd = (n >= GUARD_CLASS) & (by_class > CLASS_DISTANCE + CLASS_SCATTER * root)
+            odd |= (n >= GUARD_WORDS) & (by_word > WORD_DISTANCE + WORD_SCATTER * root)
             values = [n, chars, symbols, [repeated_lines(t) for t in texts], repeats, failed, ~failed & ~odd, by_class, by_word]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, (_, k) in zip(values, FIELDS, strict=True))], names=[*batch.schema.names, *names])
 
