@@ -6,9 +6,11 @@ LONGEST characters down to one. A document's scores are sums over all of its wor
 the language with the largest sum, `score` its share of the posterior.
 
 The model learns from text and lang of rows outside the held-out fold only. It is fitted on a sample
-of about FIT_DOCS of them (drawn by a hash, spread over the whole table) and keeps the TOP_WORDS most
-frequent words of each language; both bounds are parameters, and what is sent to the workers is
-bounded by them. Every row of the table is predicted from its whole text.
+of about FIT_DOCS of them, which bounds what is sent to the workers: languages share the sample evenly, a
+language with fewer rows than its share gives all and leaves the rest to others, and rows are drawn by
+a hash, spread over the whole table. Of more than MAX_LANGUAGES labels the most frequent are learned.
+Both bounds are parameters. All words of the sample are in the model. Every row of the table is
+predicted from its whole text.
 
 Defined results: null text, or text without a letter, is `und` with score 0; so is every text if
 nothing could be learned. Ties go to the first language by name. Rows are predicted one by one, so
@@ -25,13 +27,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _kernel as K
 
 FIT_DOCS = 6000
-TOP_WORDS = 20_000
+MAX_LANGUAGES = 1000
 LONGEST = 4
 KNOWN_WORDS = 300_000  # a worker's memory of scored words
 UNKNOWN = "und"
@@ -131,18 +133,30 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, top_words: int = TOP_WORDS) -> Model:
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """Which share of each language's rows to draw for `most` rows in all, evenly by language."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left // (len(sizes) - k))
+        out[lang] = take / n
+        left -= take
+    return out
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most_languages: int = MAX_LANGUAGES) -> Model:
     """The model of the labelled rows of docs (columns doc_id, text, lang) outside the held-out fold."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.select("lang").count()
-    if n > fit_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) < int(fit_docs / n * (1 << 30)))
-    rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    words = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    if not sizes:
+        return Model.learn({})
+    limits = [(lang, int(share * (1 << 30))) for lang, share in shares(sizes, fit_docs).items()]
+    drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long")), "lang")
+    drawn = drawn.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) < F.col("below")).select("text", "lang")
+    words = drawn.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, c in words.withColumn("place", best).where(F.col("place") <= top_words).select("lang", "word", "n").collect():
-        counts.setdefault(lang, {})[word] = c
+    for lang, word, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts.setdefault(lang, {})[word] = n
     return Model.learn(counts)
 
 
