@@ -2,13 +2,15 @@
 
 A vocabulary is read from a .model file: pieces, their kinds and scores. If the file's own scores are
 ranks (a BPE file), pieces get log scores by Zipf's law on the rank, -ln(rank) less the log of the sum;
-a unigram file's scores are taken as they are.
+a unigram file's scores are taken as they are. User-defined pieces score a little less than their
+characters would with the best score each, so that they are taken wherever they stand. A file that rewrites
+texts (a normaliser other than the identity, removal of white space, markers behind words) is refused.
 
 Encoding. The text gets a leading space, spaces become the marker U+2581, and the path of pieces with the
 largest sum of log scores is taken; among equal ones, the last piece is the longest. A character
 that no piece matches costs the smallest score less UNKNOWN_PENALTY and becomes its UTF-8 bytes.
-No piece has a marker after another character, so a text falls into units at its markers which
-are encoded apart: each distinct unit once in a worker's memory, many at a time. The trie is walked for
+Where no piece has a marker after another character, a text falls into units at its markers which
+are encoded apart: each distinct unit once in a worker's memory, many at a time; otherwise a text is one unit. The trie is walked for
 all places of a batch of units together, and the best paths are found level by level of byte length.
 
 Decoding. Bytes and pieces are concatenated, markers become spaces and the leading one goes. Bytes
@@ -116,9 +118,12 @@ class Vocabulary:
     scores: np.ndarray
 
     def __post_init__(self) -> None:
+        self.cuts = not any(MARKER in p.decode("utf-8", "replace").lstrip(MARKER) for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER))
+        best = max((self.scores[i] for i, k in enumerate(self.kinds) if k == NORMAL), default=0.0)
+        self.scores = np.array([len(p.decode("utf-8", "replace")) * best - 0.1 if k == USER else x for p, k, x in zip(self.pieces, self.kinds, self.scores, strict=True)])
         matched = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
         self.trie = DoubleArray([(self.pieces[i], i) for i in matched])
-        self.unknown = float(min((self.scores[i] for i in matched), default=0.0)) - UNKNOWN_PENALTY
+        self.unknown = float(min((self.scores[i] for i in matched if self.kinds[i] == NORMAL), default=0.0)) - UNKNOWN_PENALTY
         self.byte = np.full(256, -1, np.int64)
         self.unk = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         plain = []
@@ -141,6 +146,9 @@ class Vocabulary:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
+        spec = model.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path} rewrites texts before it cuts them, which is not supported")
         kinds = [p.type for p in model.pieces]
         scores = np.array([p.score for p in model.pieces], np.float64)
         if model.trainer_spec.model_type != pb.TrainerSpec.UNIGRAM:
@@ -235,7 +243,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each has."""
-        lists = [_units(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
+        marked = [MARKER + t.replace(" ", MARKER) if t else "" for t in texts]
+        lists = [_units(t) if self.vocabulary.cuts else [t] * bool(t) for t in marked]
         before = len(self.known)
         codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64)
         new = list(self.known)[before:]
