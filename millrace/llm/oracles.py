@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.llm import license_scan, quality_rules
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -34,10 +36,13 @@ OP7 = r"""
 WITH l AS (SELECT doc_id, k, x, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
     sum(CASE WHEN regexp_matches(x, '[^ \t\x0B\f\r\n]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL)),
-u AS (SELECT doc_id, greatest(b, 1) - 1 AS i, string_agg(x, chr(10) ORDER BY k) AS x, max(t) AS t FROM l GROUP BY doc_id, greatest(b, 1)),
-w AS (SELECT doc_id, i, t AS t0, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t0, t1, t2 ORDER BY doc_id, i) AS r FROM w WHERE t2 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, range(3) q(k) WHERE r > 1)
+u AS (SELECT doc_id, greatest(b, 1) - 1 AS i, string_agg(x, chr(10) ORDER BY k) AS x, max(t) AS t, sum(len(regexp_extract_all(x, '[^ \t\x0B\f\r\n]+'))) AS c FROM l GROUP BY doc_id, greatest(b, 1)),
+w AS (SELECT doc_id, i, t AS t0, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, c AS c0, lead(c, 1) OVER o AS c1 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT doc_id, i, 3 AS n, [t0, t1, t2] AS key FROM w WHERE t2 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, [t0, t1] FROM w WHERE t1 IS NOT NULL AND c0 + c1 >= 50
+  UNION ALL SELECT doc_id, i, 1, [t0] FROM w WHERE c0 >= 50),
+f AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS r FROM v),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, range(3) q(k) WHERE r > 1 AND k < n)
 SELECT d.doc_id, count(u.i)::BIGINT AS n_lines, count(g.i)::BIGINT AS n_removed,
   CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(u.x, chr(10) ORDER BY u.i) FILTER (WHERE g.i IS NULL), '')) END AS kept_sha256
 FROM documents d LEFT JOIN u USING (doc_id) LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY d.doc_id
@@ -66,10 +71,72 @@ k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id,
 SELECT u.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM u LEFT JOIN k USING (doc_id)
 """
 
+def template_regex(template: str) -> str:
+    """A template as a regular expression over normal words, each followed by a space."""
+    out = ""
+    for i, part in enumerate(license_scan.MARK.split(template)):
+        if i % 2 == 0:
+            out += "".join(w.decode() + " " for w in license_scan.normal_words(part.encode()))
+        else:
+            out += {"optional": "(?:", "/optional": ")?"}.get(part) or f"(?:[^ ]+ ){{0,{part[4:]}}}"
+    return out
+
+
+def _base(phrase: str, label: str) -> str:
+    words = phrase.split()
+    return f"list_transform(list_filter(range(0, len(w)), lambda i: w[i+1:i+{len(words)}] = {words}), lambda i: {{'at': i, 'label': '{label}'}})"
+
+
+_FOUND = ", ".join(_base(*x) for x in license_scan.BASE.items())
+_LABELS = ", ".join(f"CASE WHEN regexp_matches(t, ' {template_regex(x)}') THEN {{'label': '{label}', 'score': {score}}} END" for label, score, x in license_scan.TEMPLATES)
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT doc_id, len(w) AS n, flatten([{_FOUND}]) AS f, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+x AS (SELECT doc_id, n, f, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS x FROM b)
+SELECT doc_id, n::BIGINT AS n_words, len(f)::BIGINT AS n_base, list_min(list_transform(f, lambda y: y.at))::BIGINT AS first_word, list_max(list_transform(f, lambda y: y.at))::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(f, lambda y: y.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(f, lambda y: y.label), list_transform(x, lambda y: y.label)))), ',') AS labels,
+  coalesce(greatest(list_max(list_transform(x, lambda y: y.score)), CASE WHEN len(f) > 0 THEN 0.5 ELSE 0.0 END), 0.0)::DOUBLE AS score FROM x
+"""
+
+_COUNT = "len(t) - len(regexp_replace(t, '{}', '', 'g'))"
+_CLASSES = ", ".join(f"({_COUNT.format(x)})" for x in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[#*$%&|<>]", r"[\x00-\x08\x0E-\x1F!-~\x7F]", r"[^\x00-\x7F]"))
+_H = "sum(CASE WHEN {0} > 0 THEN -{0} * log2({0}) ELSE 0 END)"
+_JSD = f"sqrt(greatest({_H.format('((p + r) / 2)')} - ({_H.format('p')} + {_H.format('r')}) / 2, 0))"
+
+OP10 = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE lang END AS lang, coalesce(text, '') AS t, {_WORDS} AS w, {_ALNUM} AS a FROM documents),
+g AS (SELECT doc_id, i, w[i:i+4] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rw AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS x FROM g WHERE (doc_id, k) IN (SELECT (doc_id, k) FROM g GROUP BY doc_id, k HAVING count(*) > 1)) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+c0 AS (SELECT doc_id, lang, a, [{_CLASSES}] AS c FROM d),
+c AS (SELECT doc_id, lang, a, list_transform(range(1, 8), lambda i: c[i] - CASE WHEN i = 6 THEN c[1] + c[2] + c[3] + c[5] ELSE 0 END) AS c FROM c0),
+ok AS (SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality_rules.MIN_DOCS} AND sum(len(a)) >= {quality_rules.MIN_REFERENCE_WORDS} ORDER BY count(*) DESC, lang LIMIT {quality_rules.MAX_LANGUAGES}),
+u AS (SELECT doc_id, lang, unnest(c) AS v, unnest(range(7)) AS cell FROM c),
+rc AS (SELECT lang, cell, v / sum(v) OVER (PARTITION BY lang) AS r FROM (SELECT lang, cell, sum(v) AS v FROM u JOIN ok USING (lang) GROUP BY lang, cell)),
+pc AS (SELECT doc_id, cell, v / greatest(sum(v) OVER (PARTITION BY doc_id), 1) AS p FROM u),
+by_class AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, rc.lang, {_JSD} AS x FROM pc JOIN rc USING (cell) GROUP BY doc_id, rc.lang) GROUP BY doc_id),
+x AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(a) AS word FROM c) GROUP BY ALL),
+lw AS (SELECT lang, word, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM x JOIN ok USING (lang) GROUP BY lang, word),
+top AS (SELECT lang, word, n / total AS r FROM lw QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {quality_rules.COMMON}),
+own AS (SELECT c.doc_id, top.lang, top.r, coalesce(x.n, 0) / greatest(len(c.a), 1) AS p, len(c.a) AS total FROM c CROSS JOIN top LEFT JOIN x ON x.doc_id = c.doc_id AND x.word = top.word),
+cells AS (SELECT doc_id, lang, p, r FROM own UNION ALL SELECT doc_id, lang, CASE WHEN any_value(total) = 0 THEN 0 ELSE greatest(1 - sum(p), 0) END, 1 - sum(r) FROM own GROUP BY doc_id, lang),
+by_word AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, lang, {_JSD} AS x FROM cells GROUP BY doc_id, lang) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda y: len(y))), 0) AS chars, {_COUNT.format('[#*$%&|<>]')} AS symbols, coalesce(l.n, 0) AS dup, coalesce(rw.n, 0) AS rep, coalesce(by_class.x, 0) AS cd, coalesce(by_word.x, 0) AS wd
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id)),
+f AS (SELECT *, n < {quality_rules.MIN_WORDS} OR 100 * rep > {quality_rules.MAX_REPEAT_PERCENT} * n AS failed FROM m)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT (n >= {quality_rules.GUARD_CLASS} AND cd > {quality_rules.CLASS_DISTANCE} + {quality_rules.CLASS_SCATTER} / sqrt(n)) AND NOT (n >= {quality_rules.GUARD_WORDS} AND wd > {quality_rules.WORD_DISTANCE} + {quality_rules.WORD_SCATTER} / sqrt(n)) AS kept,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM f
+"""
+
 ORACLES = {
     "op4_jaccard_join": OP4,
+    "op5_license_scan": OP5,
     "op6_suffix_dedup": OP6,
     "op7_line_dedup": OP7,
     "op8_decontaminate": OP8,
     "op9_substring_dedup": OP9,
+    "op10_quality_rules": OP10,
 }

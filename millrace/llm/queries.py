@@ -70,8 +70,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measured(documents(spark, sf_dir))
-
+    out = quality_rules.measured(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
