@@ -1,15 +1,20 @@
 """Each operator against its plain form on the smallest tables and on odd rows: nulls, empty, long and
 repeated texts, repeated doc_ids, clashing extra columns, empty tables."""
 
+import collections
+import math
 import random
+import re
+import time
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, queries, substring_dedup, suffix_dedup, token_counts, unigram
+from millrace.llm import _frequent, _rows, components, decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, queries, substring_dedup, suffix_dedup, token_counts, unigram
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, _id long, _crc string, ids string, node int"
@@ -89,7 +94,7 @@ def test_unigram_against_the_library(docs, plain):
     assert rows.columns[: len(docs.columns)] == docs.columns
 
     def cost(x):
-        return sum(v.unknown / max(1, n) if 0 else v.scores[i] for i in x)
+        return sum(v.scores[i] for i in x)
 
     for r in rows.select("text", F.col(ids).alias("x"), F.col(back).alias("b")).collect():
         text = r.text or ""
@@ -114,6 +119,60 @@ def test_language_id(odd, small):
     assert {lang for _, lang, _ in language_id.identified(odd.withColumn("lang", F.lit(None).cast("string"))).select("doc_id", "lang_pred", "score").collect()} == {"und"}
 
 
+def plain_model(rows):
+    """Word and n-gram counts by language, in dictionaries."""
+    words, grams = collections.defaultdict(collections.Counter), [collections.defaultdict(collections.Counter) for _ in range(5)]
+    for text, lang in rows:
+        words[lang].update(re.findall(r"[^\W\d_]+", text.lower()))
+    for lang, count in words.items():
+        for w, n in count.items():
+            marked = f"<{w}>"
+            for end in range(2, len(marked) + 1):
+                for k in range(1, 5):
+                    if end >= k:
+                        grams[k][lang][marked[end - k : end]] += n
+    return words, grams
+
+
+def plain_score(model, text):
+    words, grams = model
+    languages = sorted(words)
+
+    def log(table, key):
+        keys = set().union(*(table[x] for x in languages))
+        return [math.log((table[x][key] + 0.5) / (sum(table[x].values()) + 0.5 * (len(keys) + 1))) for x in languages]
+
+    sums = [0.0] * len(languages)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if any(words[x][w] for x in languages):
+            each = [log(words, w)]
+        else:
+            marked, each = f"<{w}>", []
+            for end in range(2, len(marked) + 1):
+                hits = [log(grams[k], marked[end - k : end]) for k in range(min(4, end), 0, -1) if any(grams[k][x][marked[end - k : end]] for x in languages)]
+                each.append(hits[0] if hits else [0.0] * len(languages))
+            each = [[sum(x) / len(each) for x in zip(*each, strict=True)]]
+        sums = [a + b for a, b in zip(sums, each[0], strict=True)]
+    top = max(sums)
+    return languages[sums.index(top)], 1 / sum(math.exp(x - top) for x in sums)
+
+
+def test_language_id_against_plain_dictionaries(spark, odd):
+    learned = [("the sun is on the sea", "en"), ("the house and the sun", "en"), ("la luna es de la mar", "es"), ("el sol y la casa", "es"), ("das haus und die sonne", "de")]
+    train = spark.createDataFrame([(100 + i, t, lang) for i, (t, lang) in enumerate(learned)], "doc_id long, text string, lang string").where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(train)
+    plain = plain_model([(r.text, r.lang) for r in train.collect()])
+    texts = [(1, "the suns"), (2, "sunny houses"), (3, "lunas y soles"), (4, "sonnen häuser"), (5, "the la das"), (6, "zzz qqq"), (7, "é"), (8, "one two three la la")]
+    for r in language_id.identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect():
+        lang, score = plain_score(plain, dict(texts)[r.doc_id])
+        assert r.score == pytest.approx(score) and (r.lang_pred == lang or score == pytest.approx(1 / len(plain[0])))
+
+
+def test_languages_share_the_sample():
+    assert language_id.shares({"a": 10, "b": 1000, "c": 1000}, 210) == {"a": 1.0, "b": 0.1, "c": 0.1}
+    assert language_id.shares({"a": 3}, 6000) == {"a": 1.0}
+
+
 def test_language_model_backs_off():
     m = language_id.Model.learn({"a": {"sun": 5, "sunny": 2}, "b": {"lune": 5, "lunaire": 2}})
     assert m.languages[m.score(["sunnier"])[0].argmax()] == "a" and m.languages[m.score(["lunaires"])[0].argmax()] == "b"
@@ -141,6 +200,75 @@ def test_jaccard_of_many_near_copies(spark):
     assert left == {c for _, c in brute.components(texts, 4, 85).values()}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_signatures(percent):
+    signer, draw = jaccard_join.Signer(jaccard_join.bands(percent), percent), np.random.default_rng(percent)
+    for size in [1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 20, 27, 40, 70, 130, 260, 700, 2000]:
+        for _ in range(12):
+            base = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            gone = draw.integers(0, size - math.ceil(percent * size / 100) + 1)
+            other = base[draw.permutation(len(base))[gone:]]
+            while len(other) and 100 * len(other) >= percent * (len(base) + 1) and draw.random() < 0.7:
+                extra = np.append(other, draw.integers(0, 1 << 63, 1, dtype=np.uint64))
+                if 100 * (len(other) and len(np.intersect1d(extra, base))) < percent * len(np.union1d(extra, base)):
+                    break
+                other = extra
+            other = np.sort(other)
+            assert 100 * len(np.intersect1d(base, other)) >= percent * len(np.union1d(base, other))
+            (a, need), (b, _) = signer.sign(base), signer.sign(other)
+            both = np.intersect1d(a, b)
+            even, odd = int((both % 2 == 0).sum()), int((both % 2 == 1).sum())
+            assert even >= need % (jaccard_join.NONE + 1) or odd >= need // (jaccard_join.NONE + 1)
+
+
+def test_bands_cover_all_sizes_and_settings_vary():
+    table = jaccard_join.bands(80)
+    assert table[0][0] == 1 and all(a[1] + 1 == b[0] for a, b in zip(table[:-1], table[1:], strict=True)) and table[-1][1] >= jaccard_join.LARGEST
+    assert {x[2][2] for x in table} >= {0, 1, 2}  # k2
+
+
+@pytest.mark.parametrize(("rows", "size"), [(7, 2 << 20), (4096, 3000)])
+def test_jaccard_in_many_units(spark, monkeypatch, rows, size):
+    """Neighbourhoods of several units, with nodes that are near to others but not to the hub."""
+    monkeypatch.setattr(jaccard_join, "UNIT_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "UNIT_BYTES", size)
+    draw = random.Random(4)
+    words = [f"v{i}" for i in range(900)]
+    start = [draw.choice(words) for _ in range(120)]
+    texts, now = [], list(start)
+    for d in range(90):
+        texts.append((d, " ".join(now)))
+        now[draw.randrange(120)] = draw.choice(words)  # drifts away from the first
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    want = expected(texts, brute.components(texts, 4, 85))
+    assert len({c for _, _, c in want}) < 20
+    assert got(jaccard_join.jaccard_components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_links_in_blocks(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SIDE", 5)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 8)
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 40, draw.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+    sizes, rows = np.array([len(x) for x in sets]), np.arange(60)
+    for left, right in ((rows, rows), (rows[:20], rows[20:])):
+        pairs, root = jaccard_join.links_of(sizes, sets, left, right, 50)
+        want = np.arange(60)
+        for i in left:
+            for j in right:
+                if i != j and 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j])):
+                    want[want == want[j]] = want[i]
+        assert len(pairs) == 60 - len(set(want)) and len(set(zip(root, want, strict=True))) == len(set(want)) == len(set(root))
+        assert all(want[a] == want[b] for a, b in pairs)
+
+
+def test_components_of_a_path_and_odd_edges(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (200, 201), (201, 200), (None, 3), (300, None)]
+    out = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(41)} | {200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_licenses(docs, plain):
     out = license_scan.licenses(docs)
     want = sorted(((d, *brute.base_phrases(t or "")) for d, t in plain), key=repr)
@@ -149,15 +277,63 @@ def test_licenses(docs, plain):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_license_templates():
-    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
     to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
     copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND"""
-    assert license_scan.scan(mit.encode())[5:7] == ("mit", 1.0)
-    assert license_scan.scan(mit.replace("shall be", "should be").encode())[5:7] == ("", 0.0)
-    assert license_scan.scan(b"Licensed under CC BY-NC 4.0.")[4:7] == ("cc-by", "cc-by,cc-by-nc-4.0", 0.8)
-    assert license_scan.scan(b"This work is licensed under the GNU General Public License, version 3.")[4:7] == ("gpl", "gpl,gpl-3.0", 0.8)
+    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+    EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+    AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+    CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_license_templates():
+    automata = license_scan.compiled(license_scan.TEMPLATES)
+    scan = lambda t: license_scan.scan(t.encode(), automata)
+    n = len(license_scan.normal_words(MIT.encode()))
+    assert scan(MIT)[5:] == ("mit", 1.0, [f"mit:0-{n}"])
+    assert scan(f"Copyright me. {MIT}\n\n{MIT} And more.")[7] == [f"mit:2-{n + 2}", f"mit:{n + 2}-{2 * n + 2}"]
+    assert scan(MIT.replace("shall be", "should be"))[5:7] == ("", 0.0)
+    assert scan(MIT.rsplit(" ", 1)[0])[5:7] == ("", 0.0)
+    assert scan("Licensed under CC BY-NC 4.0.")[4:7] == ("cc-by", "cc-by,cc-by-nc-4.0", 0.8)
+    assert scan("This work is licensed under the GNU General Public License, version 3.")[4:7] == ("gpl", "gpl,gpl-3.0", 0.8)
+    with pytest.raises(ValueError):
+        license_scan.Automaton.compile("x", 1.0, "<<optional>>all of it<</optional>> <<any:3>>")
+
+
+def test_licenses_against_regular_expressions(spark):
+    """Random texts of the templates' own wording, cut, changed and joined, and templates with nested regions."""
+    templates = [("a", 1.0, "x <<optional>>y <<any:2>> z<</optional>> w"), ("b", 0.9, "<<any:3>> w <<optional>>x<</optional>> <<any:1>> y y"), ("c", 0.7, "z <<any:2>> z"), *license_scan.TEMPLATES]
+    draw, texts = random.Random(9), []
+    for i in range(400):
+        if i % 2:
+            texts.append(" ".join(draw.choice("xyzw") for _ in range(draw.randrange(12))))
+            continue
+        _, _, t = draw.choice(license_scan.TEMPLATES)
+        words = license_scan.MARK.sub(lambda m: " nn" * draw.randrange(3) if m[1].startswith("any") else " ", t).split()
+        for _ in range(draw.randrange(3)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.randrange(2)] = draw.choice(([], ["odd"]))
+        texts.append(" ".join(words[draw.randrange(2) :]) + draw.choice(("", " end", ". MIT License")))
+    out = license_scan.licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), templates).collect()
+    patterns = [(label, score, re.compile(" " + oracles.template_regex(t))) for label, score, t in templates]
+    seen = set()
+    for r in out:
+        plain = " " + " ".join(brute.ALNUM.findall(texts[r.doc_id].translate(brute.LOWER))) + " "
+        hits = [(label, score) for label, score, p in patterns if p.search(plain)]
+        base = brute.base_phrases(texts[r.doc_id])[4]
+        assert r.labels == ",".join(sorted({x for x, _ in hits} | set(filter(None, base.split(",")))))
+        assert r.score == max([x for _, x in hits], default=0.5 if base else 0.0)
+        seen |= {x for x, _ in hits}
+    assert len(seen) > 12
+
+
+def test_long_text_of_base_phrases():
+    automata = license_scan.compiled(license_scan.TEMPLATES)
+    text = b"under the MIT License " * 45_000
+    began = time.process_time()
+    out = license_scan.scan(text, automata)
+    assert out[:4] == (180_000, 45_000, 2, 179_998) and len(out[7]) == 45_000
+    assert time.process_time() - began < 3
 
 
 @pytest.mark.parametrize("length", [200, 40])
@@ -215,6 +391,19 @@ def test_long_lines_are_windows(spark, tmp_path):
     ]
 
 
+def test_winnowing_selects_few_lines_and_finds_long_runs(spark):
+    draw = random.Random(11)
+    shared = "\n".join(f"shared line {i} {draw.random()}" for i in range(40))
+    same = "\n".join(["tie"] * 9)
+    texts = [(d, "\n".join(f"own {d} {i} {draw.random()}" for i in range(30)) + "\n" + (shared if d % 2 else same)) for d in range(12)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    marks = brute.later_windows(texts, lambda t: [x.strip() for x in t.split("\n")], 3)
+    assert {(r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()} == {(d, sum(marks[d, t])) for d, t in texts}
+    chosen = line_dedup.fingerprints(line_dedup._hashed(line_dedup.keyed(docs), None)).count()
+    windows = sum(len(t.split("\n")) - 2 for _, t in texts)
+    assert chosen < 0.75 * windows
+
+
 @pytest.mark.parametrize("least", [1, 20, 50])
 def test_line_dedup_counts_words(docs, plain, least):
     seen, marks = set(), {}
@@ -240,9 +429,9 @@ def test_substring_dedup(docs, plain):
     assert got(substring_dedup.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept") == expected(plain, table)
 
 
-@pytest.mark.parametrize("bound", [2 << 20, 400])
+@pytest.mark.parametrize("bound", [2_000_000, 3])
 def test_contamination(docs, plain, spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(decontaminate, "MOST_GRAMS", bound)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     bench = bench.unionByName(spark.createDataFrame([(901, "B c"), (902, None), (903, " - "), (None, "one"), (904, "b C"), (904, "b C")], "item_id long, text string"))
     rows = [(r.item_id, r.text) for r in bench.collect()]
@@ -266,6 +455,14 @@ def test_quality_rules(docs, plain):
     assert all(not (r.kept and r.base_failed) for r in out.collect())
 
 
+def test_a_few_odd_documents_are_no_reference(spark, small):
+    junk = [(10_000 + i, " ".join(f"## {k} $$$$ ||||" for k in range(60)), "zz") for i in range(3)]
+    rows = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    assert not quality_rules.measured(rows).where("doc_id >= 10000 and kept").count()
+    refs = quality_rules.references(rows)
+    assert len(refs) == small.select("lang").distinct().count() and all(len(r.words) == quality_rules.COMMON and r.shares.sum() == pytest.approx(1) for r in refs)
+
+
 def test_quality_rules_follow_the_labels(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
@@ -275,14 +472,45 @@ def test_quality_rules_follow_the_labels(spark):
 
 
 def test_divergence():
-    import numpy as np
-
     same, other = np.array([[3.0, 1.0]]), np.array([[0.0, 5.0]])
-    ref = np.array([[0.75, 0.25]])
-    assert quality_rules.distances(same, ref)[0] == pytest.approx(0, abs=1e-6)
+    ref = np.array([0.75, 0.25])
+    assert quality_rules.distance(same, ref)[0] == pytest.approx(0, abs=1e-6)
     m = np.array([0.375, 0.625])
     js = 0.5 * (0.75 * np.log2(0.75 / m[0]) + 0.25 * np.log2(0.25 / m[1])) + 0.5 * np.log2(1 / m[1])
-    assert quality_rules.distances(other, ref)[0] == pytest.approx(np.sqrt(js))
+    assert quality_rules.distance(other, ref)[0] == pytest.approx(np.sqrt(js))
+
+
+def test_a_frequent_gram_does_not_draw_its_surroundings(spark):
+    """One stock phrase in other words in every document: its grams are taken for no minimiser, and few windows share a bucket."""
+    draw = random.Random(13)
+    phrase = "subject to the terms and conditions"
+    texts = [(d, " ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) + f" {phrase} " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(60))) for d in range(300)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    table = _frequent.unpacked(_frequent.frequent(_rows.keyed(docs).select("_id", "text"), substring_dedup._grams(3)))
+    hashes = substring_dedup._grams(3)(phrase.encode())
+    assert table[hashes >> np.uint64(44)].all() and table.mean() < 0.001
+    largest = 0
+    for low in (0, 1):  # whatever the phrase's hashes are
+        block = substring_dedup._Block(20, 3, 64, np.packbits(table).tobytes() if low else bytes(1 << 17))
+        block.add([(d, 0, t.encode()) for d, t in texts], 1)
+        largest = max(len(x) for b in block.flush() for x in b.column("payload").to_pylist())
+    assert largest < 64_000
+    marks = brute.later_windows(texts, brute.SPACE.findall, 20)
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()} == {(d, sum(marks[d, t])) for d, t in texts}
+
+
+def test_payloads_grow_with_the_input():
+    least = 8 << 20
+    assert _rows.block_bytes(64, least) == least
+    for n in (512, 1024, 2048):  # buckets over block bytes: payloads a byte of input
+        assert n / _rows.block_bytes(n, least) <= 64 / least * 4
+
+
+def test_pieces_with_inner_markers_are_not_cut():
+    kinds, scores = [2, 1, 1, 1, 4], np.array([0, -1.0, -1.0, -1.2, 0])
+    v = unigram.Vocabulary([b"<unk>", "▁a".encode(), "▁b".encode(), "▁a▁b".encode(), b"xy"], kinds, scores)
+    assert not v.cuts and unigram.Encoder(v).encode(["a b", "a"])[0].tolist() == [3, 1]
+    assert v.encode_units(["xy"])[0].tolist() == [4]
 
 
 OPERATORS = {

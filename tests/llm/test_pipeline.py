@@ -1,7 +1,6 @@
 """The pipeline against a plain Python form of its stages on the smallest tables."""
 
 import math
-import re
 from collections import Counter
 
 import brute
@@ -28,9 +27,7 @@ def class_of(c):
 
 def histograms(text):
     classes = Counter(map(class_of, text))
-    words = brute.ALNUM.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), text))
-    common = Counter(w if w in q.VOCABULARY else None for w in words)
-    return [classes[k] for k in range(7)], [common[w] for w in q.VOCABULARY] + [common[None]]
+    return [classes[k] for k in range(7)], Counter(brute.ALNUM.findall(text.translate(brute.LOWER)))
 
 
 def distance(p, r):
@@ -44,29 +41,43 @@ def plain_quality(rows):
     for r in rows:
         if r["lang"] is not None:
             c, w = histograms(r["text"])
-            have = sums.setdefault(r["lang"], ([0] * len(c), [0] * len(w)))
-            sums[r["lang"]] = ([a + b for a, b in zip(have[0], c, strict=True)], [a + b for a, b in zip(have[1], w, strict=True)])
-    refs = [[[x / sum(h) for x in h] for h in pair] for pair in sums.values()]
+            have = sums.setdefault(r["lang"], [[0] * 7, Counter(), 0])
+            sums[r["lang"]] = [[a + b for a, b in zip(have[0], c, strict=True)], have[1] + w, have[2] + 1]
+    refs = []
+    for c, w, n in sums.values():
+        if n >= q.MIN_DOCS and w.total() >= q.MIN_REFERENCE_WORDS:
+            top = sorted(w, key=lambda x: (-w[x], x.encode()))[: q.COMMON]
+            shares = [w[x] / w.total() for x in top]
+            refs.append(([x / sum(c) for x in c], top, [*shares, 1 - sum(shares)]))
     out = []
     for r in rows:
         n, *_, failed = brute.quality(r["text"])
         c, w = histograms(r["text"])
-        by_class, by_word = (min(distance(x, ref[k]) for ref in refs) for k, x in ((0, c), (1, w)))
-        scatter = 1 / math.sqrt(max(n, 1))
-        odd = n >= q.GUARD_CLASS and by_class > q.MAX_CLASS_DISTANCE + q.CLASS_SCATTER * scatter
-        odd = odd or n >= q.GUARD_WORDS and by_word > q.MAX_WORD_DISTANCE + q.WORD_SCATTER * scatter
+        by_class = min(distance(c, ref) for ref, _, _ in refs)
+        by_word = min(distance([*(w[x] for x in top), w.total() - sum(w[x] for x in top)], shares) for _, top, shares in refs)
+        odd = n >= q.GUARD_CLASS and by_class > q.CLASS_DISTANCE + q.CLASS_SCATTER / math.sqrt(max(n, 1))
+        odd = odd or n >= q.GUARD_WORDS and by_word > q.WORD_DISTANCE + q.WORD_SCATTER / math.sqrt(max(n, 1))
         if not failed and not odd:
             out.append(r)
     return out
 
 
 def plain_lines(rows):
-    marks = brute.later_windows([(r["doc_id"], r["text"]) for r in rows], lambda t: [x.strip(" \t\x0b\x0c\r\n") for x in lines_of(t)], 3)
-    out = []
-    for r in rows:
-        m = marks[r["doc_id"], r["text"]]
-        if not all(m):
-            out.append(r | {"text": "\n".join(x for x, y in zip(lines_of(r["text"]), m, strict=True) if not y)})
+    """Runs of three lines, or of fewer with fifty words, that stand earlier, too, go."""
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        lines = lines_of(r["text"])
+        bare = [(x.strip(" \t\x0b\x0c\r\n"), len(brute.SPACE.findall(x))) for x in lines]
+        gone = [False] * len(lines)
+        for n in (1, 2, 3):
+            for i in range(len(lines) - n + 1):
+                if n == 3 or sum(k for _, k in bare[i : i + n]) >= 50:
+                    key = tuple(x for x, _ in bare[i : i + n])
+                    if key in seen:
+                        gone[i : i + n] = [True] * n
+                    seen.add(key)
+        if not all(gone):
+            out.append(r | {"text": "\n".join(x for x, y in zip(lines, gone, strict=True) if not y)})
     return out
 
 
