@@ -50,7 +50,7 @@ GUARD_CLASS = 40
 GUARD_WORDS = 80
 CLASS_DISTANCE, WORD_DISTANCE = 0.20, 0.08  # between documents of one language, whatever their length
 CHARACTERS_A_WORD = 4
-KNOWN_WORDS = 300_000  # of a task's counts before they are sent on
+KNOWN_WORDS = 500_000  # of a task's counts before they are sent on
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other", "beyond")
 _CLASS = np.full(256, 5, np.uint8)
@@ -108,12 +108,10 @@ def nearest(texts: list[bytes], references: list[Reference]) -> tuple[np.ndarray
     by_class = np.min([distance(class_counts(texts), r.classes) for r in references], axis=0)
     vocabulary = sorted({w for r in references for w in r.words})
     place = {w: i for i, w in enumerate(vocabulary)}
-    counts, total = np.zeros((len(texts), len(vocabulary)), np.int64), np.zeros((len(texts), 1), np.int64)
-    for i, text in enumerate(texts):
-        words = normal_words(text)
-        total[i] = len(words)
-        have = Counter(words)
-        counts[i] = [have.get(w, 0) for w in vocabulary]
+    lists = [normal_words(t) for t in texts]
+    total = np.array([[len(x)] for x in lists], np.int64)
+    at = [np.array([place[w] for w in x if w in place], np.int64) + i * len(vocabulary) for i, x in enumerate(lists)]
+    counts = np.bincount(np.concatenate(at), minlength=len(texts) * len(vocabulary)).reshape(len(texts), -1)
     each = []
     for r in references:
         own = counts[:, [place[w] for w in r.words]]
@@ -126,25 +124,27 @@ _DOCS, _WORDS, _WORD = len(CLASSES), len(CLASSES) + 1, len(CLASSES) + 2  # kinds
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, word, n): characters by class, documents, words, and each word."""
-    counts: Counter = Counter()
+    counts: dict[str, tuple[np.ndarray, Counter]] = {}
 
-    def rows() -> pa.RecordBatch:
-        lang, kind, word = zip(*counts, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(word, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "word", "n"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, (totals, words) in counts.items():
+            n = len(totals) + len(words)
+            kind = [*range(len(totals)), *[_WORD] * len(words)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(kind, pa.int32()), pa.array([b""] * len(totals) + list(words), pa.binary()), pa.array([*totals.tolist(), *words.values()], pa.int64())], names=["lang", "kind", "word", "n"])
 
     for batch in K.sliced(batches, "text"):
         texts = K.texts_of(batch.column("text"))
-        for text, lang, classes in zip(texts, batch.column("lang").to_pylist(), class_counts(texts).tolist(), strict=True):
-            words = Counter(normal_words(text))
-            for kind, n in enumerate([*classes, 1, words.total()]):
-                counts[lang, kind, b""] += n
-            for word, n in words.items():
-                counts[lang, _WORD, word] += n
-        if len(counts) > KNOWN_WORDS:
-            yield rows()
+        for text, lang, classes in zip(texts, batch.column("lang").to_pylist(), class_counts(texts), strict=True):
+            if lang not in counts:
+                counts[lang] = np.zeros(_WORD, np.int64), Counter()
+            totals, words = counts[lang]
+            own = normal_words(text)
+            totals += [*classes, 1, len(own)]
+            words.update(own)
+        if sum(len(words) for _, words in counts.values()) > KNOWN_WORDS:
+            yield from rows()
             counts.clear()
-    if counts:
-        yield rows()
+    yield from rows()
 
 
 def references(docs: DataFrame) -> list[Reference]:
