@@ -38,7 +38,6 @@ WORDS = 50
 
 _BREAK = r"\n(?=[^\n]*[^ \t\x0B\f\r\n])"
 _EDGE = " \t\x0b\x0c\r\n"
-_GAP = r"[ \t\x0B\f\r\n]+"
 
 
 def lines(text: Column) -> Column:
@@ -62,7 +61,7 @@ def _hashed(docs: DataFrame, words: int | None) -> DataFrame:
     split = lines(F.col("text"))
     bare = F.transform(split, lambda x: F.btrim(x, F.lit(_EDGE)))
     each = docs.where(F.col("text").isNotNull()).select("_id", "_crc", bare.alias("b"))
-    counts = [] if words is None else [F.transform("b", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, _GAP)))).alias("c")]
+    counts = [] if words is None else [F.transform("b", lambda x: F.size(F.array_remove(F.split(F.translate(x, _EDGE, " " * len(_EDGE)), " "), ""))).alias("c")]
     one, two = F.transform("b", lambda x: F.xxhash64(x)), F.transform("b", lambda x: F.xxhash64(F.lit(1), x))
     return each.select("_id", "_crc", one.alias("h"), two.alias("g"), *counts)
 
