@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _kernel as K
-from millrace.llm._rows import LEAST, block_bytes, buckets, checkpointed, dealt, fresh, keyed, partitions
+from millrace.llm._rows import LEAST, block_bytes, checkpointed, dealt, fresh, keyed, partitions
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -518,7 +518,7 @@ def _verified(near: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(_id, _crc, n, root): every document's set size, and the first document (_id, _crc) of its component."""
     spark = docs.sparkSession
-    n, homes = buckets(spark), partitions(spark)
+    n = partitions(spark)  # a class is named once in each payload, so a bucket is a whole partition
     rows = keyed(docs).select("_id", "_crc", "text")
     found = checkpointed(dealt(rows.mapInArrow(_sign(shingle, percent, bands(percent), n), _ROWS_DDL)).mapInArrow(_group, _FOUND_DDL))
     members = found.where("payload is null").select("_id", "_crc", "n", "node", "need")
@@ -532,7 +532,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     grouped = one.join(tallies, "node").where(enough).select("node", "n", "d._id", "d._crc")
     texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).select("node", "text")
     elements = dealt(texts.mapInArrow(_elements(shingle, n), _PACKED_DDL))
-    shared = dealt(elements.mapInArrow(_shared(homes), _PACKED_DDL)).mapInArrow(_gathered, "node long, shared long, elements binary")
+    shared = dealt(elements.mapInArrow(_shared(n), _PACKED_DDL)).mapInArrow(_gathered, "node long, shared long, elements binary")
     alive = checkpointed(grouped.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent))
 
     kept = groups.join(alive.select("node"), "node")
