@@ -55,6 +55,7 @@ PERCENT = 80
 BLOCK_BYTES = 8 << 20  # of signatures or elements, eight bytes each
 UNIT_BYTES, UNIT_ROWS = 2 << 20, 4096
 SIDE, COLUMNS = 512, 1024  # of a matrix product's blocks
+HOMES = 8  # partitions for each home of tallies, which are small
 LARGEST = 1 << 31  # elements of a set
 NONE = (1 << 20) - 1
 
@@ -303,11 +304,28 @@ def _group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(have)
 
 
-def _tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            _, _, node, even, odd = K.unpack(batch.column("payload")[i].as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(even, pa.int64()), pa.array(odd, pa.int64())], names=["node", "even", "odd"])
+def _tallies(n_homes: int):
+    """Packs a bucket's tallies by the home of their nodes, so that there are not as many rows as nodes times buckets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, _, node, even, odd = K.unpack(batch.column("payload")[i].as_buffer())
+                home = node % n_homes
+                order = np.argsort(home, kind="stable")
+                node, even, odd, home = node[order], even[order], odd[order], home[order]
+                yield _batch([(int(home[a]), K.pack(node[a:b], even[a:b], odd[a:b])) for a, b in zip(*K.runs(home), strict=True)])
+
+    return run
+
+
+def _tallied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, even, odd): how many signatures of its even and odd band a node shares with any other, home by home."""
+    for payloads in K.buckets_of(batches):
+        node, even, odd = map(np.concatenate, zip(*map(K.unpack, payloads), strict=True))
+        names, at = np.unique(node, return_inverse=True)
+        sums = [pa.array(np.bincount(at, x).astype(np.int64)) for x in (even, odd)]
+        yield pa.RecordBatch.from_arrays([pa.array(names), *sums], names=["node", "even", "odd"])
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +541,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     found = checkpointed(dealt(rows.mapInArrow(_sign(shingle, percent, bands(percent), n), _ROWS_DDL)).mapInArrow(_group, _FOUND_DDL))
     members = found.where("payload is null").select("_id", "_crc", "n", "node", "need")
     packed = found.where("payload is not null").select("payload")
-    tallies = packed.mapInArrow(_tallies, "node long, even long, odd long").groupBy("node").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+    tallies = dealt(packed.mapInArrow(_tallies(max(1, n // HOMES)), _PACKED_DDL)).mapInArrow(_tallied, "node long, even long, odd long")
     groups = packed.mapInArrow(_members, "g long, node long").distinct()
 
     own = F.struct("_id", "_crc")
