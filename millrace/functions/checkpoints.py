@@ -1,12 +1,23 @@
-"""Checkpoints in the folder that all executors share."""
+"""The folder that all executors share: checkpoints and other files."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and driver and executors are one process, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "millrace")
+    return shared
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -14,9 +25,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared or os.path.join(shared_folder(df.sparkSession), f"checkpoints-{uuid.uuid4().hex}"))
     return df.checkpoint()

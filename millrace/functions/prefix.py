@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+ROWS = 1_000_000  # of a stretch
+MOST = 1 << 14  # stretches
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """df with `name`, the sum of `value` over all rows before this one by `order` (an unique integer).
+def _stretch(order: Column, cuts: list[int]) -> tuple[Column, Column]:
+    """The cuts as a column, and how many of them (sorted, one less than a power of two) are not above `order`, by binary search."""
+    steps = []
+    step = (len(cuts) + 1) // 2
+    while step:
+        steps.append(step)
+        step //= 2
+    table = F.array(*[F.lit(c) for c in cuts])
+    found = lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= order, at + step).otherwise(at)
+    return table, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), found)
 
-    The order is cut into `ranges` equal stretches. Their sums (that many numbers at most) are added up
-    first and joined back; within a stretch a window does the rest.
+
+def running_sum(df: DataFrame, order: str, value: str, name: str, rows: int = ROWS) -> DataFrame:
+    """df with `name`, the sum of `value` over all rows before this one by `order` (a unique integer, not null).
+
+    The order is cut at its quantiles into stretches of about `rows` rows, however the values lie. Their sums
+    (MOST numbers at most) are added up first and joined back; within a stretch a window does the rest.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = (high - low) // ranges + 1
-    cut = df.withColumn("_stretch", F.floor((F.col(order) - low) / width).cast("int"))
+    (n,) = df.agg(F.count("*")).first()
+    stretches = 1
+    while stretches * rows < n and stretches < MOST:
+        stretches *= 2
+    inside = Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if stretches == 1:
+        cut = df.withColumn("_stretch", F.lit(0))
+        return cut.withColumn(name, (F.sum(value).over(inside) - F.col(value)).cast("long")).drop("_stretch")
+    shares = [k / stretches for k in range(1, stretches)]
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("long"), shares, 10 * stretches)).first()[0]
+    table, at = _stretch(F.col(order), cuts)
+    cut = df.crossJoin(F.broadcast(df.sparkSession.range(1).select(table.alias("_cuts")))).withColumn("_stretch", at).drop("_cuts")
     sums = cut.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
     base = sums.withColumn("_base", F.sum("_sum").over(Window.orderBy("_stretch")) - F.col("_sum")).select("_stretch", "_base")
-    inside = Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = cut.join(F.broadcast(base), "_stretch")
     return out.withColumn(name, (F.col("_base") + F.sum(value).over(inside) - F.col(value)).cast("long")).drop("_stretch", "_base")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from millrace.functions.text import let, words
 
 PRIME = (1 << 61) - 1
 PERMUTATIONS, BANDS, SHINGLE = 128, 16, 5
+SLICE = 256  # documents whose hashes are in a task's memory at once
 
 
 def coefficients(n: int = PERMUTATIONS, seed: int = 42) -> list[tuple[int, int]]:
@@ -32,23 +34,58 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
     return F.array_distinct(let(words(text), lambda w: F.when(F.size(w) >= n, each(w)).otherwise(F.array(first32(F.lower(text))))))
 
 
+def _minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Signatures of the stretches of values that begin at starts. Products stay below 2 ** 63, so 64-bit integers are exact."""
+    out = np.empty((len(starts), PERMUTATIONS), np.int64)
+    for k, (a, b) in enumerate(coefficients()):
+        x = values * a + b
+        x = (x & PRIME) + (x >> 61)  # the remainder, or more than it by PRIME
+        x -= np.where(x >= PRIME, PRIME, 0)
+        out[:, k] = np.minimum.reduceat(x, starts)
+    return out
+
+
+def _arrays(column: pa.Array, sets: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    full = np.flatnonzero(counts)
+    sig = np.zeros((len(sets), PERMUTATIONS), np.int64)
+    if len(full):
+        sig[full] = _minima(np.concatenate(sets), (np.cumsum(counts) - counts)[full])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PERMUTATIONS, pa.int32()), pa.array(sig.ravel()))
+    return pa.RecordBatch.from_arrays([column, lists], names=names)
+
+
 def signatures(sets: DataFrame, order: str = "ord", shingle_set: str = "s") -> DataFrame:
-    """(order, sig): MinHash signatures. Products stay below 2 ** 63, so 64-bit integers are exact."""
+    """(order, sig): MinHash signatures of sets of hashes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                values = [np.array(x.values if x.is_valid else [], np.int64) for x in part.column(shingle_set)]
+                yield _arrays(part.column(order), values, [order, "sig"])
+
+    return sets.select(F.col(order).cast("long"), shingle_set).mapInArrow(run, f"{order} long, sig array<long>")
+
+
+def text_signatures(docs: DataFrame, order: str, text: str = "text", n: int = SHINGLE) -> DataFrame:
+    """(ord, sig): signatures(shingles(text)) in one pass over the texts, in which no set leaves its task."""
+
+    def hashes(low: str, find) -> np.ndarray:
+        w = find(low)
+        each = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {low}
+        return np.fromiter((int.from_bytes(md5(x.encode()).digest()[:4], "big") for x in each), np.int64, len(each))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.array(coefficients(), np.int64)
-        a, b = pairs[:, 0], pairs[:, 1]
-        for pdf in parts:
-            out = []
-            for values in pdf[shingle_set]:
-                low = np.full(len(a), PRIME, np.int64)
-                values = np.asarray(values, np.int64)
-                for at in range(0, len(values), 2000):
-                    low = np.minimum(low, ((values[at : at + 2000, None] * a + b) % PRIME).min(axis=0))
-                out.append(low if len(values) else np.zeros(len(a), np.int64))
-            yield pd.DataFrame({order: pdf[order], "sig": out})
+        find = regex.compile(r"[\p{L}\p{N}_]+").findall
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield _arrays(part.column("ord"), [hashes(t, find) if t is not None else np.empty(0, np.int64) for t in part.column("low").to_pylist()], ["ord", "sig"])
 
-    return sets.select(order, shingle_set).mapInPandas(run, f"{order} long, sig array<long>")
+    return docs.select(F.col(order).cast("long").alias("ord"), F.lower(text).alias("low")).mapInArrow(run, "ord long, sig array<long>")
 
 
 def bands(sig: Column, n: int = BANDS, rows: int = PERMUTATIONS // BANDS) -> Column:
@@ -58,7 +95,7 @@ def bands(sig: Column, n: int = BANDS, rows: int = PERMUTATIONS // BANDS) -> Col
 
 def band_rows(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """(ord, band, key): one row for each document and band."""
-    sig = signatures(docs.select(F.col(order).cast("long").alias("ord"), shingles(F.col("text")).alias("s")))
+    sig = text_signatures(docs, order)
     return sig.select("ord", F.posexplode(bands(F.col("sig"))).alias("band", "key")).select("ord", "band", F.xxhash64("key").alias("key"))
 
 

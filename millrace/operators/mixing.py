@@ -65,10 +65,19 @@ def round_slots(df_spark, rounds: int, pattern: dict[str, int] = ROUND, seed: in
 
 
 def interleave(slots: DataFrame, pool: DataFrame, order: str) -> DataFrame:
-    """Fills slots from a pool with columns source and `order`, going round when a source runs out."""
-    numbered = pool.withColumn("_at", F.row_number().over(Window.partitionBy("source").orderBy(order)) - 1)
+    """Fills slots from a pool with columns source and `order`, going round when a source runs out.
+
+    Only the rows that the largest ordinal can reach are numbered, by source and order alone; the first of each
+    source are found in every partition before any are dealt by source.
+    """
+    (most,) = slots.agg(F.max("ordinal")).first()
+    place = F.row_number().over(Window.partitionBy("source").orderBy(order))
+    numbered = pool.select("source", order).withColumn("_at", place).where(F.col("_at") <= (0 if most is None else most + 1))
+    numbered = numbered.withColumn("_at", F.col("_at") - 1)
     sizes = pool.groupBy("source").agg(F.count("*").alias("_size"))
-    return slots.join(F.broadcast(sizes), "source").withColumn("_at", (F.col("ordinal") % F.col("_size")).cast("int")).join(numbered, ["source", "_at"]).drop("_at", "_size")
+    at = (F.col("ordinal") % F.col("_size")).cast("int")
+    chosen = slots.join(F.broadcast(sizes), "source").withColumn("_at", at).join(numbered, ["source", "_at"]).drop("_at", "_size")
+    return chosen.join(pool, ["source", order])
 
 
 def within_budget(docs: DataFrame, order: str, tokens: str, length: int, target: int) -> DataFrame:
@@ -97,6 +106,21 @@ def curriculum(sources: dict[str, DataFrame], total: int, generated: DataFrame,
     return out.orderBy("part", "ord").limit(total)
 
 
+def generated_curriculum(generated: dict[str, DataFrame], total: int, shares: tuple[float, float, float] = SHARES, seed: int = 42) -> DataFrame:
+    """(place, part, ord, text): chapters, code pairs, proofs and traces by phase quotas, in a seeded order.
+
+    `generated` has a frame (ord, text) with at least `total` rows under each of those four names.
+    """
+    one, two, three = phase_quotas(total, shares)
+    code = int(two * 0.60)
+    out = None
+    for part, (name, n) in enumerate((("chapters", one), ("code", code), ("proofs", two - code), ("traces", three))):
+        rows = generated[name].where(F.col("ord") < n).select(F.lit(part).alias("part"), F.col("ord").cast("long").alias("ord"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    keyed = out.withColumn("_key", F.concat_ws("-", "part", "ord"))
+    return placed(keyed, "_key", seed).select("place", "part", "ord", "text")
+
+
 def prompts(problems: DataFrame, instructions: DataFrame, chats: DataFrame, count: int, order: str = "ord") -> DataFrame:
     """Prompts by kind: a third each, the rest from chats; each kind's first non-blank ones."""
     n = count // 3

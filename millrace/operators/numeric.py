@@ -184,5 +184,17 @@ def throughput(metrics: DataFrame, run: str, order: str, at: str, tokens: str, t
     return metrics.withColumn("tokens_per_s", rate).withColumn("hours_left", F.greatest(F.lit(0.0), total - F.col(tokens)) / F.when(F.col("tokens_per_s") > 0, F.col("tokens_per_s")) / 3600)
 
 
+def eta_text(seconds: Column) -> Column:
+    """'12.5m' below an hour, '1.5h' from there on."""
+    return F.when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+
+
+def accepted_drafts(draft_p: Column, target_p: Column, draws: Column) -> Column:
+    """How many draft tokens are taken, in order, until the first whose draw is not below target over draft probability."""
+    ok = F.transform(F.arrays_zip(draft_p.alias("d"), target_p.alias("t"), draws.alias("u")), lambda x: (x["d"] <= x["t"]) | (x["u"] < x["t"] / F.greatest(x["d"], F.lit(1e-8))))
+    stop = F.array_position(ok, False)
+    return F.when(stop > 0, stop - 1).otherwise(F.size(ok)).cast("long")
+
+
 def steps_per_epoch(tokens: Column, batch: int, accumulate: int, length: int) -> Column:
     return F.ceil(tokens / float(batch * accumulate * length))

@@ -33,16 +33,27 @@ def has_code(text: Column) -> Column:
     return text.contains("def ") | text.contains("class ")
 
 
+def _says(text: Column, low: Column, phrase: str) -> Column:
+    """Whether the phrase stands in the text as words, in any case; the pattern is tried only where its letters stand."""
+    return low.contains(phrase) & text.rlike(rf"(?iU)\b{phrase}\b")
+
+
 def educational_score(text: Column) -> Column:
     """2.5 plus and minus what its phrases, code and headings are worth, from 0 to 5."""
-    score = F.lit(2.5)
-    for phrase in RAISING:
-        score = score + F.when(text.rlike(rf"(?iU)\b{phrase}\b"), 0.25).otherwise(0.0)
-    score = score + F.when(text.contains("```") | has_code(text), 0.5).otherwise(0.0)
-    score = score + F.when(text.rlike(r"(?mdU)^#{1,4}\s+") | text.rlike(r"(?mdU)^\d+\.\s+"), 0.3).otherwise(0.0)
-    for phrase in LOWERING:
-        score = score - F.when(text.rlike(rf"(?iU)\b{phrase}\b"), 0.5).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), score))
+    # letters that a pattern takes for i, s and k in any case
+    low = F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    code, heading = text.contains("```") | has_code(text), text.rlike(r"(?mdU)^#{1,4}\s+") | text.rlike(r"(?mdU)^\d+\.\s+")
+
+    def score(low: Column) -> Column:
+        out = F.lit(2.5)
+        for phrase in RAISING:
+            out = out + F.when(_says(text, low, phrase), 0.25).otherwise(0.0)
+        out = out + F.when(code, 0.5).otherwise(0.0) + F.when(heading, 0.3).otherwise(0.0)
+        for phrase in LOWERING:
+            out = out - F.when(_says(text, low, phrase), 0.5).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(5.0), out))
+
+    return let(low, score)
 
 
 def accepted_source(text: Column, score: Column, threshold: float = 4.0) -> Column:

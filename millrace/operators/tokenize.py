@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
+import heapq
 import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import files
+
 # Special tokens by id, the pre-token pattern, the size of the vocabulary.
 SPECIAL = {
     "<|pad|>": 0, "<|bos|>": 1, "<|eos|>": 2, "<|thought start|>": 3, "<|thought end|>": 4, "<|call tool|>": 5, "<|tool response|>": 6,
@@ -49,7 +55,6 @@ class Tokenizer:
 
     def __post_init__(self) -> None:
         self.bytes_of = {i: t for t, i in self.ranks.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.merge = lru_cache(100_000)(self._merge)
 
     def __getstate__(self) -> dict:
         return {"ranks": self.ranks, "special": self.special, "name": self.name}
@@ -66,63 +71,94 @@ class Tokenizer:
         data = json.loads(text)
         return cls({bytes.fromhex(t): i for t, i in data["merge_ranks"].items()}, data["special_tokens"], data["name"])
 
-    def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(self.to_json())
+    def save(self, spark: SparkSession, path: str) -> None:
+        files.write_text(spark, path, self.to_json())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Tokenizer:
-        return cls.from_json(spark.read.text(path, wholetext=True).first()[0])
+        return cls.from_json(files.read_text(spark, path))
 
     def _merge(self, piece: str) -> tuple[int, ...]:
+        """Pairs are joined from the lowest rank, the leftmost of equal ones; each join costs the logarithm of the piece."""
         raw = piece.encode("utf-8", "replace")
         if raw in self.ranks:
             return (self.ranks[raw],)
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return tuple(self.ranks[p] for p in parts)
+        n = len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and end[at] < n:
+                stop = end[end[at]]
+                rank = self.ranks.get(raw[at:stop])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, at, stop))
+
+        for at in range(n - 1):
+            offer(at)
+        gone = bytearray(n)
+        while heap:
+            _, at, stop = heapq.heappop(heap)
+            if gone[at] or end[at] >= n or end[end[at]] != stop:
+                continue
+            gone[end[at]] = 1
+            end[at] = stop
+            if stop < n:
+                before[stop] = at
+            offer(at)
+            offer(before[at])
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[raw[at : end[at]]])
+            at = end[at]
+        return tuple(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of.get(int(i), b"") for i in ids).decode("utf-8", "replace")
 
 
-def pieces(text: Column, special: dict[str, int] = SPECIAL, allow_special: bool = True) -> Column:
-    """Special tokens and pre-tokens of a text, in order."""
-    quoted = "|".join(f"\\Q{s}\\E" for s in sorted(special, key=len, reverse=True))
-    if not allow_special:
-        return F.regexp_extract_all(text, F.lit(f"(?U){PATTERN}"), F.lit(0))
-    cut = F.split(text, f"(?<={quoted})|(?={quoted})", -1)
-    each = F.transform(cut, lambda part: F.when(part.isin(*special), F.array(part)).otherwise(F.regexp_extract_all(part, F.lit(f"(?U){PATTERN}"), F.lit(0))))
-    return F.flatten(each)
+class _Known(dict):
+    """Piece -> ids, merged when first met; forgotten when there are too many."""
+
+    MOST = 500_000
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[piece] = ids = self.merge(piece)
+        return ids
 
 
 def encode(text: Column, tokenizer: Tokenizer, allow_special: bool = True) -> Column:
     """Token ids. Merges run once for each distinct piece that a worker remembers."""
 
-    @F.pandas_udf("array<int>")
-    def merged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def merged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         find = regex.compile(PATTERN).findall
         quoted = "|".join(regex.escape(s) for s in sorted(tokenizer.special, key=len, reverse=True))
         split = regex.compile(f"({quoted})").split if allow_special and quoted else lambda t: [t]
+        special = tokenizer.special if allow_special else {}
+        known = _Known(tokenizer._merge)
 
         def ids(t: str) -> list[int]:
             out: list[int] = []
             for part in split(t):
-                if allow_special and part in tokenizer.special:
-                    out.append(tokenizer.special[part])
+                if part in special:
+                    out.append(special[part])
                 else:
-                    for piece in find(part):
-                        out.extend(tokenizer.merge(piece))
+                    out += chain.from_iterable(map(known.__getitem__, find(part)))
             return out
 
-        for series in parts:
-            yield series.map(lambda t: None if t is None else ids(t))
+        for column in parts:
+            rows = [None if t is None else ids(t) for t in column.to_pylist()]
+            ends = np.cumsum([0, *(len(x or ()) for x in rows)])
+            values = np.fromiter(chain.from_iterable(x or () for x in rows), np.int32, int(ends[-1]))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array([x is None for x in rows], pa.bool_()))
 
     return merged(text)
 
@@ -136,6 +172,28 @@ def decode(ids: Column, tokenizer: Tokenizer) -> Column:
     return text(ids)
 
 
+def text_chunks(tokens: DataFrame, run: list[str], order: str, token: str, tokenizer: Tokenizer, name: str = "chunk") -> DataFrame:
+    """(run, order, chunk): the text that each token of a run completes, as a decoder that gets them one by one gives it.
+
+    Bytes wait until their character is whole; those that cannot become one are left out. Special tokens are given as
+    they are, and bytes wait on behind them. Runs are streamed in order, with one decoder of state.
+    """
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, now, decoder = {i: s for s, i in tokenizer.special.items()}, None, None
+        for pdf in parts:
+            out = []
+            for key, t in zip(pdf[run].itertuples(index=False, name=None), pdf[token].tolist(), strict=True):
+                if key != now:
+                    now, decoder = key, codecs.getincrementaldecoder("utf-8")("ignore")
+                out.append(names[t] if t in names else decoder.decode(tokenizer.bytes_of.get(t, b"")).replace("\ufffd", ""))
+            yield pd.DataFrame({**{c: pdf[c] for c in run}, order: pdf[order], name: out})
+
+    types = dict(tokens.dtypes)
+    ddl = ", ".join(f"{c} {types[c]}" for c in [*run, order]) + f", {name} string"
+    return tokens.select(*run, order, token).repartition(*run).sortWithinPartitions(*run, order).mapInPandas(scan, ddl)
+
+
 def vocabulary(spark: SparkSession, tokenizer: Tokenizer) -> DataFrame:
     """(token_id, bytes, special, printable): ids whose bytes are not printable UTF-8 are to be masked."""
     rows = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.checkpoints import checkpointed
 from millrace.operators import dedup, fim, packing, quality
 from millrace.operators import tokenize as tok
+from millrace.sources import tokenfile
 
 
 @dataclass
@@ -21,7 +22,11 @@ class Compiled:
 def prepared(docs: DataFrame, order: str = "doc_id", remove_duplicates: bool = True) -> DataFrame:
     """docs that pass the heuristics, without near-duplicates."""
     kept = quality.quality_filter(docs)
-    return dedup.deduplicate(kept, order) if remove_duplicates else kept
+    if not remove_duplicates:
+        return kept
+    # what is kept has passed, so docs are joined as they are and not filtered again
+    ids = dedup.greedy_kept(dedup.band_rows(kept, order)).withColumnRenamed("ord", order)
+    return docs.join(ids, order, "left_semi")
 
 
 def compile_corpus(docs: DataFrame, tokenizer: tok.Tokenizer, length: int = 4096, fim_rate: float = 0.0, order: str = "doc_id", remove_duplicates: bool = True) -> Compiled:
@@ -41,6 +46,14 @@ def compile_corpus(docs: DataFrame, tokenizer: tok.Tokenizer, length: int = 4096
     return Compiled(sequences, report)
 
 
+def write_corpus(docs: DataFrame, tokenizer: tok.Tokenizer, path: str, length: int = 4096, fim_rate: float = 0.0, order: str = "doc_id", remove_duplicates: bool = True) -> dict[str, int]:
+    """compile_corpus into a token file at `path`, a folder that all executors share; the report, with the sequences that the file gives back."""
+    done = compile_corpus(docs, tokenizer, length, fim_rate, order, remove_duplicates)
+    tokenfile.write_tokens(done.sequences, path)
+    back = docs.sparkSession.read.format("tokenfile").option("length", length).load(path).count()
+    return done.report | {"sequences_in_file": back}
+
+
 def progress(counts: DataFrame, target: int) -> DataFrame:
     """counts (tokens, seconds) with a rate, a percentage up to 100 and MB of output."""
     return counts.withColumns({

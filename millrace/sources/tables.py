@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import files
 from millrace.functions.text import not_blank
 from millrace.operators.quality import accepted_source, has_tool_markers, passes
 
@@ -41,6 +43,20 @@ def prompt_file(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "prompt"))
 
 
+def write_prompts(prompts: DataFrame, path: str, count: int, order: str = "ord", prompt: str = "prompt") -> int:
+    """The first `count` prompts by order as a JSON array of strings in one file; how many there were."""
+    rows = [r[0] for r in prompts.orderBy(order).limit(count).select(prompt).collect()]
+    files.write_text(prompts.sparkSession, path, json.dumps(rows, indent=2))
+    return len(rows)
+
+
+def prompts_or(spark: SparkSession, path: str, generated: DataFrame) -> DataFrame:
+    """(ord, prompt) of a prompt file, or of `generated` (ord, text) if there is no such file."""
+    if files.exists(spark, path):
+        return prompt_file(spark, path)
+    return generated.select(F.col("ord").cast("int").alias("ord"), F.col("text").alias("prompt"))
+
+
 def config(path: str) -> dict:
     """A YAML file with section maps; raises if it is missing."""
     import yaml
@@ -51,6 +67,18 @@ def config(path: str) -> dict:
         return yaml.safe_load(f) or {}
 
 
+def phase_shares(settings: dict, default: tuple[float, float, float]) -> tuple[float, float, float]:
+    """Shares of the syntax, logic and agentic phases, as a curriculum's settings name them."""
+    out = list(default)
+    for phase in settings.get("curriculum", {}).get("phases", []):
+        name = phase.get("name", "").lower()
+        for k, words in enumerate((("syntax", "phase 1"), ("logic", "phase 2"), ("agentic", "phase 3"))):
+            if any(w in name for w in words):
+                out[k] = phase.get("share", 0.0)
+                break
+    return tuple(out)
+
+
 def projected(sections: dict, known: set[str]) -> dict:
     """Section maps merged, root scalars over them, unknown keys dropped."""
     flat: dict = {}

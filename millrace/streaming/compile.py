@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.functions import files
 from millrace.functions.checkpoints import checkpointed
-from millrace.operators import dedup, quality
+from millrace.operators import dedup, packing, quality
 
 
 def _earlier(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
-    """What batches before this one have written."""
-    try:
-        return spark.read.parquet(folder).where(F.col("batch") < batch).select("band", "key")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    """What batches before this one have written; the first batch finds nothing."""
+    if not files.exists(spark, folder):
+        return None
+    bands = spark.read.schema("ord long, band int, key long, batch long").parquet(folder)
+    return bands.where(F.col("batch") < batch).select("band", "key")
 
 
 def prepare_batch(spark: SparkSession, docs: DataFrame, batch: int, output: str) -> None:
@@ -48,6 +47,47 @@ def prepare_stream(docs: DataFrame, output: str, **trigger: object) -> Streaming
     return write.option("checkpointLocation", os.path.join(output, "progress")).trigger(**(trigger or {"availableNow": True})).start()
 
 
+_REST = "n_sequences long, n_documents long, n_tokens long, ids array<int>"
+
+
+def pack_batch(spark: SparkSession, docs: DataFrame, batch: int, output: str, length: int, order: str = "ord", ids: str = "ids") -> None:
+    """Packs a batch's token arrays behind what earlier batches left over; whole sequences are written, the rest waits.
+
+    The rest is shorter than a sequence. It is kept with its batch's number, so a batch that runs again starts from the
+    same place and replaces what it wrote.
+    """
+    before = spark.read.schema(_REST).parquet(f"{output}/rest/batch={batch - 1}").first() if batch else None
+    n_sequences, n_documents, left = (before.n_sequences, before.n_documents, before.ids) if before else (0, 0, [])
+    new = checkpointed(docs.where(F.size(ids) > 0).select(F.col(order).cast("long").alias("ord"), F.col(ids).alias("ids")))
+    first = spark.createDataFrame([(-(1 << 62), left)] if left else [], "ord long, ids array<int>")
+    packed = checkpointed(packing.pack(new.unionByName(first), "ord", "ids", length).select("seq_id", "input_ids"))
+    added, count = new.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
+    whole, tail = divmod(len(left) + added, length)
+    sequences = packed.where(F.col("seq_id") < whole).withColumn("seq_id", F.col("seq_id") + n_sequences)
+    sequences.write.mode("overwrite").parquet(f"{output}/sequences/batch={batch}")
+    rest = packed.where(F.col("seq_id") == whole).first().input_ids[:tail] if tail else []
+    state = spark.createDataFrame([(n_sequences + whole, n_documents + count, (n_sequences + whole) * length + tail, rest)], _REST)
+    state.coalesce(1).write.mode("overwrite").parquet(f"{output}/rest/batch={batch}")
+
+
+def pack_stream(docs: DataFrame, output: str, length: int, order: str = "ord", ids: str = "ids", **trigger: object) -> StreamingQuery:
+    """A running query that packs a stream of token arrays; `finish_packing` pads what is left when it has ended."""
+    spark = docs.sparkSession
+    write = docs.writeStream.foreachBatch(lambda df, n: pack_batch(spark, df, n, output, length, order, ids))
+    return write.option("checkpointLocation", os.path.join(output, "progress")).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def finish_packing(spark: SparkSession, output: str, length: int) -> dict[str, int]:
+    """Writes the last sequence, filled up with id 0, and counts documents, sequences and tokens (in whole sequences)."""
+    last = spark.read.schema(f"{_REST}, batch long").parquet(f"{output}/rest").orderBy(F.desc("batch")).first()
+    n_sequences = last.n_sequences
+    if last.ids:
+        rows = spark.createDataFrame([(n_sequences, [*last.ids, *[0] * (length - len(last.ids))])], "seq_id long, input_ids array<int>")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{output}/sequences/batch={last.batch + 1}")
+        n_sequences += 1
+    return {"documents": last.n_documents, "sequences": n_sequences, "tokens": n_sequences * length}
+
+
 def recurrence_stream(events: DataFrame, run: str, order: str, a: str, b: str) -> DataFrame:
     """(run, order, h) of h = a * h before + b over a stream; a run's state is one number."""
 
