@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.checkpoints import checkpointed
+from millrace.functions import files
+from millrace.functions.checkpoints import checkpointed, shared_folder
+from millrace.functions.hashing import uniform
+from millrace.functions.text import strip
 from millrace.operators import dedup, fim, formatters, mixing, numeric, packing, quality, rewards
 from millrace.operators import tokenize as tok
 from millrace.plans.compile import prepared
-from millrace.sources import tables
+from millrace.sources import tables, templates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +60,12 @@ def _bands(where: str = "") -> str:
     return f"WITH sh AS ({_SHINGLES} {where})), si AS ({_SIGNED}) SELECT doc_id, band, array_to_string(sig[band*8+1:band*8+8], ',') AS key FROM si, range(16) AS r(band)"
 
 
+def _kept(where: str = "") -> str:
+    """CTEs that end in kept(doc_id): documents in order, dropped if they share a band with a kept one."""
+    return f"""b AS ({_bands(where)}), k AS MATERIALIZED (SELECT doc_id, list(hash(band || ':' || key)) AS keys, row_number() OVER (ORDER BY doc_id) AS o FROM b GROUP BY doc_id),
+  g(o, seen, doc_id, keep) AS (SELECT 0::BIGINT, []::UBIGINT[], NULL::BIGINT, false
+    UNION ALL SELECT k.o, CASE WHEN list_has_any(g.seen, k.keys) THEN g.seen ELSE list_concat(g.seen, k.keys) END, k.doc_id, NOT list_has_any(g.seen, k.keys) FROM g JOIN k ON k.o = g.o + 1),
+  kept AS (SELECT doc_id FROM g WHERE keep)"""
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +110,8 @@ def minhash_bands(spark, sf_dir):
     return each.select("doc_id", F.col("band").cast("long").alias("band"), F.array_join("key", ",").alias("key"))
 
 
-@query("greedy_dedup", f"WITH b AS ({_bands('WHERE ' + _passes())}) SELECT DISTINCT doc_id FROM b WHERE doc_id NOT IN (SELECT y.doc_id FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)")
+@query("greedy_dedup", f"WITH RECURSIVE {_kept('WHERE ' + _passes())} SELECT doc_id FROM kept")
 def greedy_dedup(spark, sf_dir):
-    """The SQL drops a document for any earlier match, which gives the same rows at the oracle's size."""
     return dedup.greedy_kept(dedup.band_rows(quality.quality_filter(_documents(spark, sf_dir)))).select(F.col("ord").alias("doc_id"))
 
 
@@ -117,7 +126,7 @@ def first_n_per_source(spark, sf_dir):
     return mixing.first_n(_documents(spark, sf_dir).select("doc_id", "source"), "source", "doc_id", 7)
 
 
-@query("seeded_shuffle", "SELECT doc_id, (row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id))::BIGINT AS place FROM documents QUALIFY place <= 100")
+@query("seeded_shuffle", "SELECT doc_id, (row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id))::BIGINT AS place FROM documents")
 def seeded_shuffle(spark, sf_dir):
     return mixing.placed(_documents(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", "place")
 
@@ -174,27 +183,64 @@ def decode_round_trip(spark, sf_dir):
     return back.select("conv_id", "turn", F.col("back").alias("text"), (F.col("back") == F.col("text")).alias("same"))
 
 
-@query("unprintable_tokens")
+_SEEDS = "[" + ", ".join(f"'{x.encode().hex().upper()}'" for x in tok.SEEDS) + "]"
+
+
+@query("unprintable_tokens", f"""WITH t AS (SELECT 0 AS g, i AS k, printf('%02X', i) AS bytes FROM range(256) r(i)
+    UNION ALL SELECT 1, k, ({_SEEDS})[k] FROM range(1, {len(tok.SEEDS)} + 1) r(k)
+    UNION ALL SELECT 2, i, printf('%02X%02X', i // 256, i % 256) FROM range(65536) r(i) WHERE NOT list_contains({_SEEDS}, printf('%02X%02X', i // 256, i % 256))),
+  v AS (SELECT {len(tok.SPECIAL)} + row_number() OVER (ORDER BY g, k) - 1 AS token_id, bytes FROM t QUALIFY token_id < {tok.SIZE})
+  SELECT token_id::INT AS token_id, bytes FROM v WHERE NOT regexp_matches(bytes, '^(0[9AD]|[2-6][0-9A-F]|7[0-9A-E])+$')""")
 def unprintable_tokens(spark, sf_dir):
     return tok.vocabulary(spark, _tokenizer()).where("not printable").select("token_id", F.hex("bytes").alias("bytes"))
 
 
-@query("fill_in_middle")
+def _code_points(text):
+    """A text's characters as numbers, which SQL can make, too."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+_POINTS = "list_transform(string_split(text, ''), lambda c: unicode(c))"
+_DRAW = "('0x' || substr(md5('42|{0}|' || key), 1, 8))::BIGINT / 4294967296.0"
+_JOINED = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
+
+@query("fill_in_middle", f"""WITH x AS (SELECT conv_id, turn, conv_id || '-' || turn AS key, {_POINTS} AS ids FROM conversations),
+  a AS (SELECT *, len(ids) AS n, 1 + floor({_DRAW.format('cut1')} * (len(ids) - 2))::INT AS one FROM x),
+  b AS (SELECT *, one + 1 + floor({_DRAW.format('cut2')} * (n - 1 - one))::INT AS two FROM a),
+  c AS (SELECT *, ids[1:one] AS pre, ids[one+1:two] AS mid, ids[two+1:n] AS suf FROM b),
+  m AS (SELECT conv_id, turn, n, CASE WHEN n < 16 OR {_DRAW.format('apply')} > 0.5 THEN ids WHEN {_DRAW.format('order')} < 0.5 THEN flatten([[10], suf, [8], pre, [9], mid, [2]]) ELSE flatten([[8], pre, [10], suf, [9], mid, [2]]) END AS moved FROM c),
+  e AS (SELECT conv_id, turn, n, CASE WHEN moved[-1] = 2 THEN moved ELSE list_append(moved, 2) END AS moved FROM m)
+  SELECT conv_id, turn, n::INT AS before, len(moved)::INT AS after, md5(array_to_string(moved, ',')) AS moved FROM e""")
 def fill_in_middle(spark, sf_dir):
-    ids = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", tok.encode(F.col("text"), _tokenizer()).alias("ids"))
+    ids = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", _code_points(F.col("text")).alias("ids"))
     moved = ids.select("conv_id", "turn", "ids", fim.with_end(fim.fill_in_middle(F.col("ids"), F.concat_ws("-", "conv_id", "turn"))).alias("moved"))
-    return moved.select("conv_id", "turn", F.size("ids").alias("before"), F.size("moved").alias("after"), F.xxhash64("moved").alias("moved_hash"))
+    return moved.select("conv_id", "turn", F.size("ids").alias("before"), F.size("moved").alias("after"), _JOINED("moved").alias("moved"))
 
 
-@query("packed_sequences")
+@query("packed_sequences", f"""WITH x AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc, list_append({_POINTS}, 2) AS ids FROM conversations),
+  t AS (SELECT doc, unnest(ids) AS id, unnest(range(len(ids))) AS k FROM x), g AS (SELECT id, doc, row_number() OVER (ORDER BY doc, k) - 1 AS i FROM t),
+  s AS (SELECT i // 512 AS seq_id, list(id ORDER BY i) AS ids, list(doc ORDER BY i) AS docs FROM g GROUP BY 1), d AS (SELECT count(*) AS n FROM x)
+  SELECT seq_id::BIGINT AS seq_id, md5(array_to_string(list_resize(ids, 512, 0), ',')) AS input_ids, md5(array_to_string(list_resize(ids, 512, -100), ',')) AS labels,
+    md5(array_to_string(list_resize(range(len(ids)), 512, 0), ',')) AS position_ids, md5(array_to_string(list_resize(docs, 512, d.n), ',')) AS document_ids FROM s, d""")
 def packed_sequences(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), fim.with_end(tok.encode(F.col("text"), _tokenizer())).alias("ids"))
+    rows = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), fim.with_end(_code_points(F.col("text"))).alias("ids"))
     out = packing.pack(checkpointed(rows), "ord", "ids", 512)
-    return out.select("seq_id", F.size("input_ids").alias("n"), F.xxhash64("input_ids").alias("ids_hash"), F.array_max("document_ids").alias("last_document"))
+    return out.select("seq_id", *[_JOINED(c).alias(c) for c in ("input_ids", "labels", "position_ids", "document_ids")])
+
+
+@query("incremental_decode", """WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS c, unnest(range(1, len(text) + 1)) AS i FROM conversations),
+  b AS (SELECT conv_id, turn, c, sum(strlen(c)) OVER (PARTITION BY conv_id, turn ORDER BY i) - strlen(c) AS low FROM c)
+  SELECT conv_id, turn, (low + k)::INT AS pos, CASE WHEN k = strlen(c) - 1 THEN c ELSE '' END AS chunk FROM (SELECT conv_id, turn, c, low, unnest(range(strlen(c))) AS k FROM b)""")
+def incremental_decode(spark, sf_dir):
+    code = F.split(F.regexp_replace(F.hex(F.encode(F.col("text"), "utf-8")), "(..)(?=.)", "$1 "), " ")
+    each = tables.table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.posexplode(code).alias("pos", "x"))
+    tokens = each.select("conv_id", "turn", "pos", (F.conv("x", 16, 10).cast("int") + len(tok.SPECIAL)).alias("token_id"))
+    return tok.text_chunks(tokens, ["conv_id", "turn"], "pos", "token_id", _tokenizer())
 
 
 # --- formatters
-@query("proof_text", """SELECT doc_id, '# Subject: ' || coalesce(source, 'Mathematics') || ' (Level ' || coalesce(NULL, 'Advanced') || ')' || chr(10) || chr(10) || '## Mathematical Theorem / Problem Specification' || chr(10) || lang || chr(10) || chr(10) || '## Formal Step-by-Step Proof and Derivation' || chr(10) || trim(substr(text, 1, 40), ' ' || chr(10)) || chr(10) AS proof FROM documents""")
+@query("proof_text", """SELECT doc_id, '# Subject: ' || coalesce(source, 'Mathematics') || ' (Level ' || coalesce(NULL, 'Advanced') || ')' || chr(10) || chr(10) || '## Mathematical Theorem / Problem Specification' || chr(10) || lang || chr(10) || chr(10) || '## Formal Step-by-Step Proof and Derivation' || chr(10) || """ + _strip("text") + """ || chr(10) AS proof FROM documents""")
 def proof_text(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", formatters.proof(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("text")).alias("proof"))
 
@@ -211,7 +257,7 @@ def chat_prompt(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", formatters.chat_prompt(F.col("text")).alias("prompt"))
 
 
-@query("tool_dialogue", """SELECT conv_id, '<|bos|>User: ' || trim(text, ' ' || chr(10)) || chr(10) || '<|thought start|>I should invoke the requested tool with the parsed parameters.<|thought end|><|call tool|>' || chr(10) || '{"name": "f"}' || chr(10) || '<|tool response|>' || chr(10) || '{"ok": true}' || chr(10) || '<|reflect|>Execution returned result without error. Formulating final answer to the user.' || chr(10) || 'Final Response: done<|eos|>' AS formatted FROM conversations WHERE turn = 0""")
+@query("tool_dialogue", """SELECT conv_id, turn, '<|bos|>User: ' || """ + _strip("text") + """ || chr(10) || '<|thought start|>I should invoke the requested tool with the parsed parameters.<|thought end|><|call tool|>' || chr(10) || '{"name": "f"}' || chr(10) || '<|tool response|>' || chr(10) || '{"ok": true}' || chr(10) || '<|reflect|>Execution returned result without error. Formulating final answer to the user.' || chr(10) || 'Final Response: done<|eos|>' AS formatted FROM conversations""")
 def tool_dialogue(spark, sf_dir):
     chat = F.concat(F.lit("USER: "), F.col("text"), F.lit('\nASSISTANT: <functioncall> {"name": "f"} <|endoftext|>\nFUNCTION RESPONSE: {"ok": true}\nASSISTANT: done <|endoftext|>'))
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.tool_dialogue(chat).alias("formatted"))
@@ -223,7 +269,7 @@ def token_count_literals(spark, sf_dir):
     return rows.select("literal", formatters.token_count(F.col("literal")).alias("n"))
 
 
-@query("prompt_prefix", "SELECT doc_id, 'User: Write a python solution for: ' || trim(substr(text, 1, 30), ' ' || chr(10)) || chr(10) AS prompt FROM documents ORDER BY doc_id LIMIT 33")
+@query("prompt_prefix", f"SELECT doc_id, 'User: Write a python solution for: ' || {_strip('text')} || chr(10) AS prompt FROM documents WHERE {_strip('text')} <> '' ORDER BY doc_id LIMIT 33")
 def prompt_prefix(spark, sf_dir):
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("text").alias("instruction"))
     none = spark.createDataFrame([], "ord long, problem string, chat string")
@@ -232,14 +278,13 @@ def prompt_prefix(spark, sf_dir):
 
 
 # --- rewards (rules 1-4, A4, A5, A12)
-_COMPLETION = """CASE conv_id % 4 WHEN 0 THEN '<|thought start|>' || text || '<|thought end|><|call tool|>{"tool": "t"} rest' WHEN 1 THEN '<|thought start|>' || text WHEN 2 THEN text || '<|call tool|>no brace<|reflect|>' || text ELSE '<|call tool|>{"other": 1}<|reflect|> ab ' END"""
+_COMPLETION = """CASE conv_id % 6 WHEN 4 THEN text || chr(10) || '```python' || chr(10) || 'x = [1]' || chr(10) || '```' || chr(10) || '```python' || chr(10) || 'def f(): pass' || chr(10) || '```' WHEN 5 THEN '```python' || chr(10) || 'def (:' || chr(10) || '```' || text WHEN 0 THEN '<|thought start|>' || text || '<|thought end|><|call tool|>{"tool": "t"} rest' WHEN 1 THEN '<|thought start|>' || text WHEN 2 THEN text || '<|call tool|>no brace<|reflect|>' || text ELSE '<|call tool|>{"other": 1}<|reflect|> ab ' END"""
 
 
-@query("completion_reward", f"""SELECT conv_id, turn, CASE conv_id % 4 WHEN 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS syntax_reward, CASE conv_id % 4 WHEN 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS tool_reward,
-  CASE conv_id % 4 WHEN 1 THEN -1.5 WHEN 2 THEN -1.5 ELSE 0.0 END::DOUBLE AS format_penalty,
-  CASE WHEN contains(c, '<|reflect|>') AND length(trim(string_split(c, '<|reflect|>')[-1], ' ' || chr(10))) > 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS reflection_reward,
-  (CASE conv_id % 4 WHEN 0 THEN 2.0 WHEN 3 THEN 0.5 ELSE -1.5 END + CASE WHEN contains(c, '<|reflect|>') AND length(trim(string_split(c, '<|reflect|>')[-1], ' ' || chr(10))) > 5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS total_reward
-  FROM (SELECT conv_id, turn, {_COMPLETION} AS c FROM conversations)""")
+@query("completion_reward", f"""WITH x AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 3 THEN 0.5 WHEN 4 THEN 2.0 ELSE 0.0 END::DOUBLE AS syntax_reward, CASE conv_id % 6 WHEN 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS tool_reward,
+  CASE conv_id % 6 WHEN 1 THEN -1.5 WHEN 2 THEN -1.5 WHEN 5 THEN -1.0 ELSE 0.0 END::DOUBLE AS format_penalty,
+  CASE WHEN contains(c, '<|reflect|>') AND length({_strip("string_split(c, '<|reflect|>')[-1]")}) > 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS reflection_reward
+  FROM (SELECT conv_id, turn, {_COMPLETION} AS c FROM conversations)) SELECT *, syntax_reward + tool_reward + format_penalty + reflection_reward AS total_reward FROM x""")
 def completion_reward(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_COMPLETION).alias("completion"))
     return rewards.reward(rows).drop("completion")
@@ -263,7 +308,12 @@ def loss_anomaly(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", "user_id", numeric.anomalous("value", "event_id", "user_id").alias("anomalous"))
 
 
-@query("loss_anomaly_rollback")
+@query("loss_anomaly_rollback", """WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+  h(user_id, event_id, r, kept, anomalous) AS (SELECT DISTINCT user_id, NULL::BIGINT, 0::BIGINT, []::DOUBLE[], false FROM events
+    UNION ALL SELECT user_id, event_id, r, CASE WHEN bad THEN kept ELSE list_append(kept, value)[-50:] END, bad FROM (
+      SELECT o.user_id, o.event_id, o.r, o.value, h.kept, o.value IS NULL OR NOT isfinite(o.value) OR (len(h.kept) >= 10 AND o.value > list_avg(h.kept) + 3.5 * greatest(list_stddev_pop(h.kept), 0.1)) AS bad
+      FROM h JOIN o ON o.user_id = h.user_id AND o.r = h.r + 1))
+  SELECT user_id, event_id, anomalous FROM h WHERE r > 0""")
 def loss_anomaly_rollback(spark, sf_dir):
     return numeric.anomalous_with_rollback(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", "event_id", "user_id")
 
@@ -283,15 +333,15 @@ def lr_schedule(spark, sf_dir):
 _LOGITS = "SELECT vec_id, i - 1 AS token_id, embedding[i]::DOUBLE AS logit FROM embeddings, range(1, {0}) r(i)"
 
 
-@query("router_balance", f"WITH x AS ({_LOGITS.format(9)}), p AS (SELECT vec_id, token_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS r FROM x) SELECT token_id::INT AS expert, round(count_if(r <= 2) / (count(*) * 2.0), 9)::DOUBLE AS dispatched, round(avg(p), 9) AS mean_p, round(8 * count_if(r <= 2) / (count(*) * 2.0) * avg(p), 9) AS part FROM p GROUP BY token_id")
+@query("router_balance", f"WITH x AS ({_LOGITS.format(65)}), p AS (SELECT vec_id, token_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS r FROM x) SELECT token_id::INT AS expert, round(count_if(r <= 2) / (count(*) * 2.0), 9)::DOUBLE AS dispatched, round(avg(p), 9) AS mean_p, round(64 * count_if(r <= 2) / (count(*) * 2.0) * avg(p), 9) AS part FROM p GROUP BY token_id")
 def router_balance(spark, sf_dir):
-    out = numeric.load_balance(numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8), "vec_id")
+    out = numeric.load_balance(numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
     return out.select("expert", *[F.round(c, 9).alias(c) for c in ("dispatched", "mean_p", "part")])
 
 
-@query("router_top2", f"WITH x AS ({_LOGITS.format(9)}), t AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 2) SELECT vec_id, token_id::INT AS token_id, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id), 9) AS weight FROM t")
+@query("router_top2", f"WITH x AS ({_LOGITS.format(65)}), t AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 2) SELECT vec_id, token_id::INT AS token_id, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id), 9) AS weight FROM t")
 def router_top2(spark, sf_dir):
-    out = numeric.routed(numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8), "vec_id")
+    out = numeric.routed(numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
     return out.select("vec_id", "token_id", F.round("weight", 9).alias("weight"))
 
 
@@ -319,7 +369,10 @@ def argmax(spark, sf_dir):
     return numeric.argmax(numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id").select("vec_id", "token_id")
 
 
-@query("categorical_draw")
+@query("categorical_draw", f"""WITH x AS ({_LOGITS.format(65)}), k AS (SELECT * FROM x QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) <= 20),
+  p AS (SELECT vec_id, token_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p FROM k),
+  c AS (SELECT vec_id, token_id, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token_id ROWS UNBOUNDED PRECEDING) AS c, ('0x' || substr(md5('42|draw|' || vec_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM p)
+  SELECT vec_id, coalesce(arg_min(token_id, c) FILTER (WHERE c > u), arg_max(token_id, c))::INT AS token_id FROM c GROUP BY vec_id""")
 def categorical_draw(spark, sf_dir):
     logits = numeric.exploded(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return numeric.drawn(numeric.sampling_filter(logits, "vec_id", top_k=20), "vec_id")
@@ -364,7 +417,7 @@ def throughput(spark, sf_dir):
 
 
 # --- end to end
-@query("prepared_by_source", f"WITH b AS ({_bands('WHERE ' + _passes())}), k AS (SELECT DISTINCT doc_id FROM b WHERE doc_id NOT IN (SELECT y.doc_id FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)) SELECT source, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS chars FROM documents JOIN k USING (doc_id) GROUP BY source")
+@query("prepared_by_source", f"WITH RECURSIVE {_kept('WHERE ' + _passes())} SELECT source, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS chars FROM documents JOIN kept USING (doc_id) GROUP BY source")
 def prepared_by_source(spark, sf_dir):
     return prepared(_documents(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
@@ -402,7 +455,7 @@ def curriculum_mix(spark, sf_dir):
     return mixing.curriculum(sources, 200, tables.templated(spark, _TEMPLATES, 200))
 
 
-@query("prompt_mix", """WITH d AS (SELECT doc_id AS ord, trim(substr(text, 1, 20), ' ' || chr(10)) AS t FROM documents)
+@query("prompt_mix", f"""WITH d AS (SELECT doc_id AS ord, {_strip("text")} AS t FROM documents)
   SELECT * FROM (SELECT 'math' AS kind, ord, 'User: Solve the following math problem step-by-step:' || chr(10) || t || chr(10) AS prompt FROM d WHERE t <> '' ORDER BY ord LIMIT 16)
   UNION ALL SELECT * FROM (SELECT 'code', ord, 'User: Write a python solution for: ' || t || chr(10) FROM d WHERE t <> '' ORDER BY ord LIMIT 16)
   UNION ALL SELECT * FROM (SELECT 'tool', ord, 'User: ' || t || chr(10) FROM d ORDER BY ord LIMIT 18)""")
@@ -425,8 +478,6 @@ def newest_files(spark, sf_dir):
 
 @query("tool_state", "SELECT conv_id, turn, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 0)::INT AS inside FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 0 WHEN turn % 2 = 0 THEN 1 END AS s FROM conversations)")
 def tool_state(spark, sf_dir):
-    from pyspark.sql import Window
-
     tag = F.when(F.col("role") == "assistant", "<|tool response|>").when(F.col("turn") % 2 == 0, "<|call tool|>").otherwise("")
     state = formatters.inside_after(F.concat("text", tag), "<|call tool|>", "<|tool response|>")
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -462,36 +513,90 @@ def code_pairs(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", formatters.code_pair(formatters.code_of(F.lit(None).cast("string"), code)).alias("pair"))
 
 
-@query("compile_report")
+_LENGTH = 1024
+
+
+@query("compile_report", f"""WITH RECURSIVE {_kept('WHERE ' + _passes())}, n AS (SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE {_passes()}) AS passed, (SELECT count(*) FROM kept) AS kept,
+    (SELECT ceil(sum(strlen(text) + 1) / {_LENGTH}.0) FROM documents JOIN kept USING (doc_id)) AS sequences)
+  SELECT unnest(['documents', 'filtered', 'duplicates', 'kept', 'sequences', 'tokens', 'bytes', 'sequences_in_file']) AS measure,
+    unnest([documents, documents - passed, passed - kept, kept, sequences, sequences * {_LENGTH}, sequences * {2 * _LENGTH}, sequences])::BIGINT AS n FROM n""")
 def compile_report(spark, sf_dir):
-    from millrace.plans.compile import compile_corpus
+    """Filter, greedy de-duplication, encoding by single bytes (which SQL can count), packing, a token file, and what it gives back."""
+    from millrace.plans.compile import write_corpus
 
-    report = compile_corpus(_documents(spark, sf_dir), _tokenizer(), fim_rate=0.5).report
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    by_byte = tok.Tokenizer(tok.build_ranks((), 256 + len(tok.SPECIAL)), name="bytes")
+    report = write_corpus(_documents(spark, sf_dir), by_byte, path.removeprefix("file://"), _LENGTH)
+    files.delete(spark, path)
     return spark.createDataFrame(list(report.items()), "measure string, n long")
 
 
-@query("token_file_round_trip", "SELECT i AS seq_id, i * 8 AS first_token, true AS same FROM range(500) r(i)")
+@query("token_file_round_trip", f"""WITH x AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc, string_split(text, '') AS c FROM conversations),
+  t AS (SELECT doc, unnest(list_append(list_transform(c, lambda y: unicode(y) % 65536), 2)) AS id, unnest(range(len(c) + 1)) AS k FROM x), g AS (SELECT id, row_number() OVER (ORDER BY doc, k) - 1 AS i FROM t)
+  SELECT (i // 128)::BIGINT AS seq_id, sum(id)::BIGINT AS total, true AS same FROM g GROUP BY 1""")
 def token_file_round_trip(spark, sf_dir):
-    """Writes sequences as a token file in the shared folder and reads it back."""
-    import os
-    import tempfile
-    import uuid
-
+    """Writes packed texts as a token file in the shared folder, reads it back and takes it away."""
     from millrace.sources import tokenfile
 
-    path = os.path.join(spark.conf.get("spark.checkpoint.dir", tempfile.gettempdir()).removeprefix("file://"), f"tokens-{uuid.uuid4().hex}")
-    rows = spark.range(500).select(F.col("id").alias("seq_id"), F.transform(F.sequence(F.col("id") * 8, F.col("id") * 8 + 7), lambda x: x.cast("int")).alias("input_ids"))
-    tokenfile.write_tokens(rows, path)
-    back = spark.read.format("tokenfile").option("length", 8).load(path)
-    return back.join(rows.withColumnRenamed("input_ids", "was"), "seq_id").select("seq_id", F.element_at("input_ids", 1).cast("long").alias("first_token"), (F.col("input_ids") == F.col("was")).alias("same"))
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    ids = F.transform(_code_points(F.col("text")), lambda x: x % 65536)
+    rows = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(ids, F.array(F.lit(2))).alias("ids"))
+    was = checkpointed(packing.pack(rows, "ord", "ids", 128).select("seq_id", "input_ids"))
+    tokenfile.write_tokens(was, path.removeprefix("file://"))
+    back = spark.read.format("tokenfile").option("length", 128).load(path.removeprefix("file://"))
+    both = back.join(was.withColumnRenamed("input_ids", "was"), "seq_id")
+    out = checkpointed(both.select("seq_id", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.col("input_ids") == F.col("was")).alias("same")))
+    files.delete(spark, path)
+    return out
+
+
+@query("prompt_file", f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INT AS ord, 'User: ' || {_strip('text')} || chr(10) AS prompt FROM documents ORDER BY doc_id LIMIT 50")
+def prompt_file(spark, sf_dir):
+    """The first 50 prompts as a JSON file, read back."""
+    path = f"{shared_folder(spark)}/prompts-{uuid.uuid4().hex}.json"
+    rows = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("User: "), strip(F.col("text")), F.lit("\n")).alias("prompt"))
+    tables.write_prompts(rows, path, 50, order="doc_id")
+    out = checkpointed(tables.prompt_file(spark, path))
+    files.delete(spark, path)
+    return out
+
+
+@query("agent_interaction", """SELECT conv_id, turn, '<|bos|>User: ' || text || chr(10) || '<|thought start|>think<|thought end|><|call tool|>' || chr(10) || '{' || chr(10) || '  "tool": "echo",' || chr(10) || '  "parameters": {' || chr(10) || '    "turn": ' || turn || chr(10) || '  }' || chr(10) || '}' || chr(10)
+  || '<|tool response|>' || chr(10) || '{' || chr(10) || '  "role": "' || role || '"' || chr(10) || '}' || chr(10) || CASE WHEN turn % 2 = 0 THEN '<|reflect|>' || role ELSE '' END || CASE WHEN turn % 3 > 0 THEN chr(10) || 'Final Response: ' || text || '<|eos|>' ELSE '' END AS formatted FROM conversations""")
+def agent_interaction(spark, sf_dir):
+    args, result = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")), F.concat(F.lit('{"role": "'), F.col("role"), F.lit('"}'))
+    reflection, answer = F.when(F.col("turn") % 2 == 0, F.col("role")), F.when(F.col("turn") % 3 > 0, F.col("text")).otherwise("")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.interaction(F.col("text"), F.lit("think"), F.lit("echo"), args, result, reflection, answer).alias("formatted"))
+
+
+_GENERATED = {"chapters": templates.CHAPTERS, "code": templates.CODE, "proofs": templates.PROOFS, "traces": templates.TRACES}
+
+
+@query("generated_curriculum", f"""WITH p(part, name, n, k) AS (VALUES (0, 'chapters', 150, {len(templates.CHAPTERS)}), (1, 'code', 61, {len(templates.CODE)}), (2, 'proofs', 41, {len(templates.PROOFS)}), (3, 'traces', 48, {len(templates.TRACES)})),
+  r AS (SELECT part, name, k, unnest(range(n)) AS ord FROM p)
+  SELECT row_number() OVER (ORDER BY md5('42|' || part || '-' || ord), part || '-' || ord)::BIGINT AS place, part::INT AS part, ord::BIGINT AS ord, (ord % k)::INT AS template FROM r""")
+def generated_curriculum(spark, sf_dir):
+    """300 generated documents by quotas in seeded order, each known by its template again."""
+    out = mixing.generated_curriculum({name: make(spark, 300) for name, make in templates.GENERATORS.items()}, 300)
+    first = None
+    for part, (name, rows) in enumerate(_GENERATED.items()):
+        own = templates.GENERATORS[name](spark, len(rows)).select(F.lit(part).alias("part"), F.col("ord").cast("int").alias("template"), "text")
+        first = own if first is None else first.unionByName(own)
+    return out.join(F.broadcast(first), ["part", "text"]).select("place", "part", "ord", "template")
+
+
+@query("draft_accept", """WITH x AS (SELECT vec_id, i, abs(embedding[i]::DOUBLE) AS d, abs(embedding[i + 1]::DOUBLE) AS t, ('0x' || substr(md5('42|accept|' || vec_id || '|' || i), 1, 8))::BIGINT / 4294967296.0 AS u FROM embeddings, range(1, 64) r(i))
+  SELECT vec_id, coalesce(min(i) FILTER (WHERE NOT (d <= t OR u < t / greatest(d, 1e-8))) - 1, 63)::BIGINT AS accepted FROM x GROUP BY vec_id""")
+def draft_accept(spark, sf_dir):
+    p = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: uniform(42, F.lit("accept"), F.col("vec_id"), i))
+    return tables.table(spark, sf_dir, "embeddings").select("vec_id", numeric.accepted_drafts(F.slice(p, 1, 63), F.slice(p, 2, 63), draws).alias("accepted"))
 
 
 @query("recurrence_by_state", ORACLES["recurrence"])
 def recurrence_by_state(spark, sf_dir):
-    """The recurrence as a fold over each run's ordered values, for runs that fit in a row."""
-    runs = tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    state = F.aggregate(
-        "v", F.expr("cast(array() as array<struct<event_id: bigint, h: double>>)"),
-        lambda a, x: F.concat(a, F.array(F.struct(x["event_id"].alias("event_id"), (0.5 * F.coalesce(F.get(a, F.size(a) - 1)["h"], F.lit(0.0)) + x["value"]).alias("h")))),
-    )
-    return runs.select("user_id", F.explode(state).alias("s")).select("user_id", "s.event_id", F.round("s.h", 5).alias("h"))
+    """The recurrence as a closed form within each run, h = sum of a ** (place - k) * b, by a window of 64 values: 0.5 ** 64 is below a double's precision."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    back = F.collect_list("value").over(w.rowsBetween(-63, Window.currentRow))
+    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id", back.alias("v"))
+    return rows.select("user_id", "event_id", F.round(F.aggregate("v", F.lit(0.0), lambda h, x: 0.5 * h + x), 5).alias("h"))
