@@ -1,5 +1,6 @@
 """Operators of corpus compilation on small hand-made frames."""
 
+import collections
 import json
 import random
 
@@ -11,8 +12,8 @@ from millrace.functions import text as tx
 from millrace.functions.prefix import running_sum
 from millrace.operators import dedup, fim, formatters, mixing, numeric, packing, quality, rewards
 from millrace.operators import tokenize as tok
-from millrace.plans.compile import compile_corpus
-from millrace.sources import tables, tokenfile
+from millrace.plans.compile import compile_corpus, write_corpus
+from millrace.sources import tables, templates, tokenfile
 from millrace.streaming import compile as streams
 
 
@@ -71,6 +72,31 @@ def test_running_sum(spark):
         total += v
 
 
+@pytest.mark.parametrize("rows", [4, 50, 10**6])
+def test_running_sum_of_skewed_orders(spark, rows):
+    """Nearly all values in a narrow stretch, some far away, also below zero."""
+    keys = [-(10**12), *range(200), 10**9, 10**15]
+    out = {r.k: r.s for r in running_sum(spark.createDataFrame([(k, 2) for k in keys], "k long, v long"), "k", "v", "s", rows).collect()}
+    assert out == {k: 2 * i for i, k in enumerate(keys)}
+    assert running_sum(spark.createDataFrame([], "k long, v long"), "k", "v", "s", rows).count() == 0
+
+
+def test_interleave_goes_round(spark):
+    pool = spark.createDataFrame([("a", i, f"a{i}") for i in range(500)] + [("b", i, f"b{i}") for i in (5, 3)], "source string, ord long, text string")
+    slots = spark.createDataFrame([(0, "a", 0), (1, "b", 0), (2, "b", 1), (3, "b", 2), (4, "a", 1)], "slot long, source string, ordinal long")
+    assert [r.text for r in mixing.interleave(slots, pool, "ord").orderBy("slot").collect()] == ["a0", "b3", "b5", "b3", "a1"]
+
+
+def test_generated_curriculum(spark):
+    out = mixing.generated_curriculum({n: make(spark, 30) for n, make in templates.GENERATORS.items()}, 30).orderBy("place").collect()
+    assert [r.place for r in out] == list(range(1, 31)) and all(len(r.text) > 20 for r in out)
+    assert collections.Counter(r.part for r in out) == {0: 15, 1: 6, 2: 4, 3: 5}
+    assert [r.part for r in out] != sorted(r.part for r in out)
+    first = templates.traces(spark, 3).orderBy("ord").collect()[0].text
+    assert first.startswith("<|bos|>User: How many days") and '"tool": "calculator"' in first and first.endswith("<|eos|>")
+    assert templates.code_pairs(spark, 1).first().text.startswith("# Python Source Code\n") and all("User:" in r.text for r in templates.prompts(spark, 20).collect())
+
+
 def test_quotas_rounds_and_budget(spark):
     assert mixing.phase_quotas(500) == (250, 170, 80) and mixing.phase_quotas(1) == (1, 1, 1) and mixing.split_quota(5, 0.5) == (2, 3)
     slots = mixing.round_slots(spark, 3)
@@ -117,7 +143,7 @@ def test_tokenizer_round_trip(spark, tmp_path):
     ids = one(spark, text, lambda c: tok.encode(c, t))
     assert t.special["<|call tool|>"] in ids and ids[-1] == 2 and t.decode(ids) == text
     assert t.special["<|eos|>"] not in one(spark, text, lambda c: tok.encode(c, t, allow_special=False))
-    t.save(str(tmp_path / "t.json"))
+    t.save(spark, str(tmp_path / "t.json"))
     assert tok.Tokenizer.load(spark, str(tmp_path / "t.json")).ranks == t.ranks
 
 
@@ -131,6 +157,36 @@ def test_merges_equal_the_library(spark):
     assert [r.y for r in got] == [library.encode_ordinary(x) for x in texts]
 
 
+def test_merges_of_long_pieces(spark):
+    import time
+
+    import tiktoken
+
+    t = tok.Tokenizer()
+    library = tiktoken.Encoding("x", pat_str=tok.PATTERN, mergeable_ranks=t.ranks, special_tokens=t.special)
+    draw = random.Random(3)
+    for piece in ["a", "  " * 40, "é" * 50, *("".join(draw.choice(" \t\nab\x01\x05é") for _ in range(draw.randrange(1, 60))) for _ in range(200))]:
+        raw = piece.encode()
+        want = library.encode_single_token(raw) if raw in t.ranks else None
+        got = list(t._merge(piece))
+        assert got == ([want] if want is not None else library._core_bpe.encode_single_piece(raw))
+    began = time.process_time()
+    assert len(t._merge(" " * 50_000)) == 12_500 and time.process_time() - began < 5
+    rows = spark.createDataFrame([(None,), ("",), ("a<|eos|>b",)], "x string").select(tok.encode(F.col("x"), t).alias("y")).collect()
+    assert [r.y for r in rows] == [None, [], [t.ranks[b"a"], 2, t.ranks[b"b"]]]
+
+
+def test_text_of_tokens_one_by_one(spark):
+    t = tok.Tokenizer()
+    raw = [*"né😀".encode()]
+    ids = [t.ranks[bytes([b])] for b in raw]
+    tokens = [*ids[:3], 4, t.ranks[b"\xff"], *ids[3:5], 2, *ids[5:]]  # a special token within a character, a byte that is none
+    rows = spark.createDataFrame([("r", i, x) for i, x in enumerate(tokens)] + [("s", 0, ids[1]), ("s", 1, t.ranks[b"z"])], "run string, at int, id int")
+    out = {(r.run, r.at): r.chunk for r in tok.text_chunks(rows, ["run"], "at", "id", t).collect()}
+    assert [out["r", i] for i in range(len(tokens))] == ["n", "", "é", "<|thought end|>", "", "", "", "<|eos|>", "", "😀"]
+    assert [out["s", 0], out["s", 1]] == ["", "z"]
+
+
 def test_fill_in_middle(spark):
     rows = spark.createDataFrame([(n * 100 + k, list(range(20, 20 + n))) for n in (15, 16, 17, 40) for k in range(20)], "k long, ids array<int>")
     for r in rows.select("k", "ids", fim.fill_in_middle(F.col("ids"), F.col("k"), rate=1.0).alias("m")).collect():
@@ -168,6 +224,51 @@ def test_token_file(spark, tmp_path):
     assert tail.count() == 2
 
 
+def test_prompt_files_and_settings(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b\n"), (1, 'a "é"'), (3, "c")], "ord long, prompt string")
+    path = str(tmp_path / "prompts.json")
+    assert tables.write_prompts(rows, path, 2) == 2
+    assert open(path, encoding="utf-8").read() == json.dumps(['a "é"', "b\n"], indent=2)
+    fallback = templates.prompts(spark, 3)
+    assert [(r.ord, r.prompt) for r in tables.prompts_or(spark, path, fallback).orderBy("ord").collect()] == [(0, 'a "é"'), (1, "b\n")]
+    assert tables.prompts_or(spark, path + ".none", fallback).count() == 3
+    (tmp_path / "mix.yaml").write_text("curriculum:\n  phases:\n  - {name: Phase 1 Syntax, share: 0.2}\n  - {name: logic, share: 0.3}\nmodel: {width: 8, depth: 2}\ndepth: 3\nodd: 1\n")
+    settings = tables.config(str(tmp_path / "mix.yaml"))
+    assert tables.phase_shares(settings, mixing.SHARES) == (0.2, 0.3, 0.16) and tables.phase_shares({}, mixing.SHARES) == mixing.SHARES
+    assert tables.projected(settings, {"width", "depth"}) == {"width": 8, "depth": 3}
+    with pytest.raises(FileNotFoundError):
+        tables.config(str(tmp_path / "none.yaml"))
+
+
+def test_scores_of_letters_in_any_case(spark):
+    """As if every phrase's pattern were tried on every text."""
+    from millrace.operators.quality import LOWERING, RAISING
+
+    texts = ["THEOREM and Proof", "theorems", "ſtep-by-ſtep", "STEP-BY-STEP", "funct\u0131on", "defin\u0130tion", "Coo\u212aie policy", "xalgorithm", "click  here", "Click here. SUBSCRIBE!", ""]
+    plain = F.lit(2.5)
+    for phrase, worth in [*((p, 0.25) for p in RAISING), *((p, -0.5) for p in LOWERING)]:
+        plain = plain + F.when(F.col("x").rlike(rf"(?iU)\b{phrase}\b"), worth).otherwise(0.0)
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", quality.educational_score(F.col("x")).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == pytest.approx([r.want for r in rows]) and {r.got for r in rows} > {2.5}
+
+
+def test_signatures_in_one_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, "Two Words"), (-3, "é_1 x² ÀB c d E f")], "doc_id long, text string"))
+    two = dedup.signatures(docs.select("doc_id", dedup.shingles(F.col("text")).alias("s")), "doc_id")
+    assert {r.ord: r.sig for r in dedup.text_signatures(docs, "doc_id").collect()} == {r.doc_id: r.sig for r in two.collect()}
+    pairs = dedup.coefficients()
+    (few,) = dedup.signatures(spark.createDataFrame([(1, [0, 5, (1 << 32) - 1])], "ord long, s array<long>")).collect()
+    assert few.sig == [min((a * s + b) % dedup.PRIME for s in (0, 5, (1 << 32) - 1)) for a, b in pairs]
+
+
+def test_drafts_and_time_left(spark):
+    row = lambda d, t, u: spark.createDataFrame([(d, t, u)], "d array<double>, t array<double>, u array<double>").select(numeric.accepted_drafts(F.col("d"), F.col("t"), F.col("u")).alias("n")).first().n
+    assert row([0.5, 0.5], [0.6, 0.1], [0.9, 0.1]) == 2 and row([0.5, 0.5], [0.6, 0.1], [0.9, 0.3]) == 1
+    assert row([0.5], [0.0], [0.0]) == 0 and row([], [], []) == 0
+    assert one(spark, 90.0, numeric.eta_text, "double") == "1.5m" and one(spark, 5400.0, numeric.eta_text, "double") == "1.5h"
+
+
 def test_rewards(spark):
     tag = "<|call tool|>"
     rows = [
@@ -239,6 +340,27 @@ def test_compile_and_report(spark):
     assert {len(x.input_ids) for x in out.sequences.collect()} == {256}
 
 
+def test_corpus_file(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    r = write_corpus(docs, tok.Tokenizer(), str(tmp_path / "c"), length=256)
+    assert r["sequences_in_file"] == r["sequences"] > 0 and r["kept"] + r["duplicates"] + r["filtered"] == 60
+
+
+def test_packing_a_stream_equals_the_batch(spark, tmp_path):
+    draw = random.Random(8)
+    rows = [(i, [draw.randrange(1, 99) for _ in range(draw.choice((0, 1, 3, 7, 30)))]) for i in range(40)]
+    for k in range(4):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "ord long, ids array<int>").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema("ord long, ids array<int>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = str(tmp_path / "out")
+    streams.pack_stream(source, out, 16).awaitTermination()
+    streams.pack_batch(spark, spark.read.parquet(str(tmp_path / "in" / "3")), 3, out, 16)  # a batch that runs again
+    counts = streams.finish_packing(spark, out, 16)
+    got = [(r.seq_id, r.input_ids) for r in spark.read.parquet(f"{out}/sequences").orderBy("seq_id").collect()]
+    want = [(r.seq_id, r.input_ids) for r in packing.pack(spark.createDataFrame(rows, "ord long, ids array<int>"), "ord", "ids", 16).orderBy("seq_id").collect()]
+    assert got == want and counts == {"documents": sum(bool(x) for _, x in rows), "sequences": len(want), "tokens": 16 * len(want)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for k, part in enumerate((docs.where("doc_id < 100"), docs.where("doc_id >= 100"))):
@@ -250,7 +372,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_entry_without_the_optional_package(spark):
+@pytest.mark.parametrize("hidden", ["millrace.llm", "corpus_pipeline", "zstandard", "public_tokenizers"])
+def test_entry_without_the_optional_package(hidden):
+    """In a fresh process in which the module cannot be found."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {hidden!r} or name.startswith({hidden!r} + "."):
+            raise ModuleNotFoundError("No module named " + repr(name), name=name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as e
+assert "greedy_dedup" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+assert not [x for x in e.queries() if x.startswith("op1_") or x == "pipeline"]
+"""
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_entry_has_its_queries():
     import __spark_entry__ as e
 
     assert "greedy_dedup" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
