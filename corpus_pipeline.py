@@ -2,19 +2,20 @@
 
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame; all but
 the last return the columns of docs. `run` applies them to the table documents, writing what each
-stage returns as Parquet in the folder that all executors share and reading it again.
+stage returns as Parquet in the folder that all executors share and reading it again. What a stage
+returned is deleted when the next one's is written; the last stays, since the result is read from it.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import files
+from millrace.functions.checkpoints import shared_folder
 from millrace.llm import decontaminate, jaccard_join, line_dedup, quality_rules, unigram
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -61,16 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir()
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(at := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(at)
+            if before:
+                files.delete(spark, before)
+            before = at
     return docs
