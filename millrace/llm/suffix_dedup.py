@@ -31,12 +31,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _frequent
 from millrace.llm import _kernel as K
-from millrace.llm._rows import block_bytes, buckets, dealt, keyed
+from millrace.llm._rows import block_bytes, buckets, checkpointed, dealt, keyed
 
 LENGTH = 200
 GRAM = 16
@@ -339,8 +339,26 @@ def _found(docs: DataFrame, length: int, groups: bool, ddl: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(repeat, length, _id, _crc, start): every occurrence of every maximal repeat within a segment's reach."""
-    return _found(docs, length, True, "repeat long, length int, _id long, _crc long, start int").distinct()
+    """(repeat, length, _id, _crc, start): every occurrence in the corpus of every maximal repeat.
+
+    A segment shows a long repeat in part. Repeats of neighbouring segments overlap and have the same
+    occurrences, moved by as many bytes in all of them; such repeats are known by their first occurrence's document,
+    their number and the sum of their occurrences' hashes relative to the first, and are joined to one. A repeat
+    that goes on, at one end, in a repeat with more occurrences is given as far as the segment in which they part.
+    """
+    found = checkpointed(_found(docs, length, True, "repeat long, length int, _id long, _crc long, start int").distinct())
+    key = ["repeat", "length"]
+    first = found.groupBy(*key).agg(F.min(F.struct("_id", "_crc", "start")).alias("d"))
+    moved = F.xxhash64("_id", "_crc", F.col("start") - F.col("d.start")).cast("decimal(38,0)")
+    groups = found.join(first, key).groupBy(*key).agg(F.min("d").alias("d"), F.count("*").alias("n"), F.sum(moved).alias("shape"))
+    groups = groups.select(*key, F.col("d._id").alias("i"), F.col("d._crc").alias("c"), F.col("d.start").alias("low"), (F.col("d.start") + F.col("length")).alias("high"), "n", "shape")
+    same = ["i", "c", "n", "shape"]
+    w = Window.partitionBy(*same).orderBy("low", "length", "repeat")
+    before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = groups.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1)).withColumn("chain", F.sum("new").over(w))
+    chains = cut.groupBy(*same, "chain").agg(F.min(F.struct("low", "length", "repeat")).alias("k"), F.max("high").alias("high"))
+    names = chains.select("k.repeat", "k.length", F.xxhash64(*same, "chain").alias("name"), (F.col("high") - F.col("k.low")).cast("int").alias("whole"))
+    return found.join(names, key).select(F.col("name").alias("repeat"), F.col("whole").alias("length"), "_id", "_crc", "start")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:

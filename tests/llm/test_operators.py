@@ -357,6 +357,19 @@ def test_maximal_repeats(spark):
             covered[d] |= set(range(s, s + n))
     assert covered == {1: set(range(1, 62)), 2: set(range(1, 61)), 3: set(range(1, 62)), 4: set()}
     assert {frozenset(d for d, _ in p) for p in groups.values()} == {frozenset({1, 3}), frozenset({1, 2, 3})}
+    assert (60, {(1, 1), (2, 1), (3, 1)}) in [(n, p) for (_, n), p in groups.items()]
+
+
+def test_a_long_passage_is_one_repeat(spark):
+    draw = random.Random(6)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, inner = letters(5000), letters(700)
+    texts = [(1, letters(300) + "1" + passage + "1"), (2, letters(90) + "2" + inner + "2"), (3, "3" + passage + "3" + letters(500) + "3" + inner + "3"), (4, "4" + passage + "4")]
+    groups = {}
+    for r in suffix_dedup.repeats(spark.createDataFrame(rows_of(texts), SCHEMA)).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r._id, r.start))
+    want = {(5000, frozenset({(1, 301), (3, 1), (4, 1)})), (700, frozenset({(2, 91), (3, 5503)}))}
+    assert {(n, frozenset(p)) for (_, n), p in groups.items()} == want
 
 
 def lines_of(text):
