@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import files
+from millrace.functions import files, maps
 from millrace.functions.checkpoints import checkpointed, shared_folder
 from millrace.functions.hashing import uniform
 from millrace.functions.text import strip
@@ -437,6 +437,34 @@ def textbook_scan(spark, sf_dir):
     return tables.textbooks(_documents(spark, sf_dir)).select("doc_id")
 
 
+@query("bounded_textbooks", f"""WITH w AS (SELECT d.doc_id, d.text, d.lang, coalesce(l.quality * 4.5, 0) AS score FROM documents d LEFT JOIN labels l USING (doc_id))
+  SELECT * FROM (SELECT 0 AS part, doc_id AS ord, text FROM w WHERE lang = 'en' AND {_passes(128)} ORDER BY doc_id LIMIT 48)
+  UNION ALL SELECT * FROM (SELECT 1, doc_id, text FROM w WHERE lang <> 'en' AND (score >= 4.0 OR {_EDU} >= 4.0) AND {_passes(128)} ORDER BY doc_id LIMIT 32)""")
+def bounded_textbooks(spark, sf_dir):
+    scored = _documents(spark, sf_dir).join(tables.table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("ord"), "text", "lang", (F.col("quality") * 4.5).alias("score"))
+    return tables.bounded_textbooks(scored.where("lang = 'en'"), scored.where("lang <> 'en'"), 80)
+
+
+@query("cycled_source", "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT i AS place, doc_id FROM range(2500) r(i) JOIN d ON d.k = i % n")
+def cycled_source(spark, sf_dir):
+    return tables.cycled(_documents(spark, sf_dir).select("doc_id"), 2500, "doc_id").select("place", "doc_id")
+
+
+@query("highlighted_tags", "SELECT conv_id, turn, replace(replace(replace('<|thought start|>' || text || '<|thought end|>' || role, '<|thought start|>', '[think] '), '<|thought end|>', ' [/think]'), chr(65533), '') AS shown FROM conversations")
+def highlighted_tags(spark, sf_dir):
+    text = F.concat(F.lit("<|thought start|>"), "text", F.lit("<|thought end|>"), "role")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.highlighted(text, {"<|thought start|>": "[think] ", "<|thought end|>": " [/think]"}).alias("shown"))
+
+
+@query("special_ids", "SELECT unnest(range(12))::INT AS token_id, unnest(" + str(list(tok.SPECIAL)) + ") AS token")
+def special_ids(spark, sf_dir):
+    """The special tokens by id: a map of settings over the defaults, inverted."""
+    given = {k: v for k, v in tok.SPECIAL.items() if v % 2} | {"<|pad|>": 0}
+    literal = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    under = literal(tok.SPECIAL | {k: -1 for k in given})
+    return spark.range(1).select(F.explode(maps.inverted(maps.merged(under, literal(given)))).alias("token_id", "token"))
+
+
 @query("tool_chat_scan", "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0")
 def tool_chat_scan(spark, sf_dir):
     tail = F.when(F.col("turn") % 3 == 0, "<functioncall> {} FUNCTION RESPONSE: {}").otherwise("<functioncall>")

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import files
+from millrace.functions.prefix import running_sum
 from millrace.functions.text import not_blank
+from millrace.operators.mixing import split_quota
 from millrace.operators.quality import accepted_source, has_tool_markers, passes
 
 
@@ -27,6 +29,23 @@ def scored_web(df: DataFrame, threshold: float = 4.0) -> DataFrame:
     return df.where(accepted_source(F.col("text"), F.col("score"), threshold))
 
 
+def bounded_textbooks(books: DataFrame, web: DataFrame, count: int, ratio: float = 0.60, threshold: float = 4.0, order: str = "ord") -> DataFrame:
+    """(part, order, text): the first textbooks (part 0) and the first accepted web records (part 1), by a ratio of `count`."""
+    n_books, n_web = split_quota(count, ratio)
+    first = textbooks(books).orderBy(order).limit(n_books).select(F.lit(0).alias("part"), order, "text")
+    return first.unionByName(scored_web(web, threshold).orderBy(order).limit(n_web).select(F.lit(1).alias("part"), order, "text"))
+
+
+def cycled(rows: DataFrame, count: int, order: str, otherwise: DataFrame | None = None) -> DataFrame:
+    """(place, ...): `count` rows that go round through rows in their order; those of `otherwise` if there are none."""
+    spark = rows.sparkSession
+    if otherwise is not None and rows.isEmpty():
+        return cycled(otherwise, count, order)
+    numbered = running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", "_at").drop("_one")
+    n = max(1, rows.count())
+    return spark.range(count).select(F.col("id").alias("place"), (F.col("id") % n).alias("_at")).join(numbered, "_at").drop("_at")
+
+
 def tool_chats(df: DataFrame) -> DataFrame:
     return df.where(has_tool_markers(F.col("chat")))
 

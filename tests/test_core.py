@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
+from millrace.functions import maps
 from millrace.functions import text as tx
 from millrace.functions.prefix import running_sum
 from millrace.operators import dedup, fim, formatters, mixing, numeric, packing, quality, rewards
@@ -224,6 +225,24 @@ def test_token_file(spark, tmp_path):
     assert tail.count() == 2
 
 
+def test_bounded_and_cycled_sources(spark):
+    good = "word " * 40
+    books = spark.createDataFrame([(i, good if i % 2 else "short") for i in range(20)], "ord long, text string")
+    web = spark.createDataFrame([(i, good, 4.5 if i > 2 else 1.0) for i in range(9)], "ord long, text string, score double")
+    out = [(r.part, r.ord) for r in tables.bounded_textbooks(books, web, 10).orderBy("part", "ord").collect()]
+    assert out == [(0, i) for i in (1, 3, 5, 7, 9, 11)] + [(1, i) for i in (3, 4, 5, 6)]
+    three = spark.createDataFrame([(7, "b"), (5, "a"), (9, "c")], "ord long, text string")
+    assert [r.text for r in tables.cycled(three, 7, "ord").orderBy("place").collect()] == list("abcabca")
+    assert [r.text for r in tables.cycled(three.where("ord < 0"), 2, "ord", three).orderBy("place").collect()] == list("ab")
+
+
+def test_maps(spark):
+    row = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 1})], "x map<string,int>, y map<string,int>")
+    both = maps.merged(F.col("x"), F.col("y"))
+    assert row.select(both.alias("m")).first().m == {"a": 1, "b": 3, "c": 1}
+    assert row.select(maps.inverted(both).alias("m")).first().m == {1: "c", 3: "b"}
+
+
 def test_prompt_files_and_settings(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b\n"), (1, 'a "é"'), (3, "c")], "ord long, prompt string")
     path = str(tmp_path / "prompts.json")
