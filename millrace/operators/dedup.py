@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from hashlib import md5
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,15 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 def _minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Signatures of the stretches of values that begin at starts. Products stay below 2 ** 63, so 64-bit integers are exact."""
     out = np.empty((len(starts), PERMUTATIONS), np.int64)
+    x, high = np.empty_like(values), np.empty_like(values)
     for k, (a, b) in enumerate(coefficients()):
-        x = values * a + b
-        x = (x & PRIME) + (x >> 61)  # the remainder, or more than it by PRIME
-        x -= np.where(x >= PRIME, PRIME, 0)
+        np.multiply(values, a, out=x)
+        x += b
+        np.right_shift(x, 61, out=high)
+        x &= PRIME
+        x += high  # the remainder, or more than it by PRIME
+        if x.max() >= PRIME:
+            x[x >= PRIME] -= PRIME
         out[:, k] = np.minimum.reduceat(x, starts)
     return out
 
@@ -72,9 +78,14 @@ def text_signatures(docs: DataFrame, order: str, text: str = "text", n: int = SH
     """(ord, sig): signatures(shingles(text)) in one pass over the texts, in which no set leaves its task."""
 
     def hashes(low: str, find) -> np.ndarray:
-        w = find(low)
-        each = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {low}
-        return np.fromiter((int.from_bytes(md5(x.encode()).digest()[:4], "big") for x in each), np.int64, len(each))
+        words = [w.encode() for w in find(low)]
+        if len(words) < n:
+            each = [low.encode()]
+        else:
+            joined = b" ".join(words)  # a shingle is a stretch of it
+            ends = list(accumulate(len(w) + 1 for w in words))
+            each = [joined[s:e] for s, e in zip([0, *ends], [e - 1 for e in ends[n - 1 :]], strict=False)]
+        return np.unique(np.frombuffer(b"".join([md5(x).digest()[:4] for x in each]), ">u4")).astype(np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

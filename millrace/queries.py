@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import files, maps
 from millrace.functions.checkpoints import checkpointed, shared_folder
 from millrace.functions.hashing import uniform
+from millrace.functions.spread import spread
 from millrace.functions.text import strip
 from millrace.operators import dedup, fim, formatters, mixing, numeric, packing, quality, rewards
 from millrace.operators import tokenize as tok
@@ -69,7 +70,7 @@ def _kept(where: str = "") -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents")
+    return spread(tables.table(spark, sf_dir, "documents"))
 
 
 # --- quality

@@ -416,3 +416,16 @@ def test_entry_has_its_queries():
     import __spark_entry__ as e
 
     assert "greedy_dedup" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    from millrace.functions.spread import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one_file = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one_file).rdd.getNumPartitions() == cores and spread(one_file).count() == 1000
+    assert spread(one_file, 10).rdd.getNumPartitions() == one_file.rdd.getNumPartitions()
+    spark.range(1000).repartition(cores).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
