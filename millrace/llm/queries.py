@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
 from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def tokenizer_file(name: str) -> str:

@@ -7,9 +7,9 @@ of all blocks, and the products, one packed row for each block and bucket, are s
 list of ids is kept anywhere. A very common pre-token costs one entry for each block, however many
 documents hold it.
 
-A block is named by its documents, and its parts must come from one reading of them. Files give the same
-rows to a task that runs again on another executor; documents that come out of a shuffle in no fixed
-order should be checkpointed before, and an unfit part is an error, never a wrong count.
+A block is named by its documents and holds them in order, so a task that runs again makes the same parts if
+its blocks have the same documents. Those of files do; documents that come out of a shuffle in no fixed
+order, and in several blocks a task, should be checkpointed before. An unfit part is an error, never a wrong count.
 
 A special string of the vocabulary file inside a text is one token, as the library's default has it.
 
@@ -53,7 +53,7 @@ def specials(path: str) -> list[str]:
 
 def _frequencies(path: str, n_buckets: int):
     def pack(rows: list[tuple[int, int, str]], split, find, special: set[str]) -> pa.RecordBatch:
-        rows = list(dict.fromkeys(rows))
+        rows = sorted(dict.fromkeys(rows), key=lambda r: r[:2])  # in whatever order they came
         table: dict[str, int] = {}
         code, freq, counts = [], [], []
         for _, _, text in rows:
