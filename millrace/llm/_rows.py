@@ -39,6 +39,17 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def matched(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key), dealt anew by a struct of the key.
+
+    A side that was aggregated by the key is dealt by it already, and then adaptive execution cannot split
+    the rows of a key that very many rows of the other side have. No aggregation deals by the struct.
+    """
+    name = fresh([*left.columns, *right.columns], "matched")
+    keyed_right = right.select(F.struct(key).alias(name), *[c for c in right.columns if c != key])
+    return left.withColumn(name, F.struct(key)).join(keyed_right, name, how).drop(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _kernel as K
-from millrace.llm._rows import LEAST, block_bytes, checkpointed, dealt, fresh, keyed, partitions
+from millrace.llm._rows import LEAST, block_bytes, checkpointed, dealt, fresh, keyed, matched, partitions
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ PERCENT = 80
 BLOCK_BYTES = 8 << 20  # of signatures or elements, eight bytes each
 UNIT_BYTES, UNIT_ROWS = 2 << 20, 4096
 SIDE, COLUMNS = 512, 1024  # of a matrix product's blocks
-HOMES = 8  # partitions for each home of tallies, which are small
+HOMES = 8  # partitions for each of tallies and links, which are small
 LARGEST = 1 << 31  # elements of a set
 NONE = (1 << 20) - 1
 
@@ -517,9 +517,10 @@ def _verified(near: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of all neighbourhoods. near (hub, node, shared); alive (node, n, _id, _crc, elements)."""
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    placed = near.join(_parts(near), "hub")
+    placed = matched(near, _parts(near), "hub")
     units = placed.select("hub", "node", "parts", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(F.array(own))).alias("unit"))
-    first = checkpointed(units.join(alive, "node").groupBy("hub", "unit").applyInArrow(_unit(percent), _FIRST_DDL))
+    first = units.join(alive, "node").groupBy("hub", "unit").applyInArrow(_unit(percent), _FIRST_DDL)
+    first = checkpointed(first.repartition(max(1, partitions(near.sparkSession) // HOMES)))  # few and small rows
     links = first.where("a is not null").select("a", "b")
     rest = first.where("hub is not null").select("hub", "node")
     if rest.isEmpty():
@@ -555,13 +556,13 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     kept = groups.join(alive.select("node"), "node")
     hubs = kept.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near = kept.join(hubs.select("g", "hub"), "g").select("hub", "node").distinct()
+    near = matched(kept, hubs.select("g", "hub"), "g").select("hub", "node").distinct()
     near = near.join(alive.select("node", "shared"), "node")
     links = _verified(near, alive.select("node", "n", "_id", "_crc", "elements"), percent)
     roots = components(links)
     linked = alive.select("node", own.alias("d")).join(roots.withColumnRenamed("node", "d"), "d").select("node", "root")
     named = one.join(linked, "node", "left").where("root is not null or d != last").select("node", F.coalesce("root", "d").alias("root"))
-    return members.join(named, "node", "left").select("_id", "_crc", "n", F.coalesce("root", own).alias("root"))
+    return matched(members, named, "node", "left").select("_id", "_crc", "n", F.coalesce("root", own).alias("root"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
