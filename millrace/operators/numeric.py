@@ -184,6 +184,21 @@ def throughput(metrics: DataFrame, run: str, order: str, at: str, tokens: str, t
     return metrics.withColumn("tokens_per_s", rate).withColumn("hours_left", F.greatest(F.lit(0.0), total - F.col(tokens)) / F.when(F.col("tokens_per_s") > 0, F.col("tokens_per_s")) / 3600)
 
 
+def parameter_report(parameters: DataFrame, size: str, active: str) -> DataFrame:
+    """One row: total and active parameters, in millions too, and by how many percent fewer are active. `active` is the share of each row's `size` that is."""
+    total, part = F.sum(size), F.sum(F.col(size) * F.col(active))
+    out = parameters.agg(total.cast("long").alias("total_parameters"), part.cast("long").alias("active_parameters"))
+    millions = lambda c: F.round(F.col(c) / 1e6, 2)
+    less = F.round((1.0 - F.col("active_parameters") / F.col("total_parameters")) * 100, 2)
+    return out.withColumns({"total_parameters_M": millions("total_parameters"), "active_parameters_M": millions("active_parameters"), "active_reduction_percent": less})
+
+
+def state_footprint(kv_layers: Column, kv_width: Column, layers: Column, inner: Column, state: Column, length: Column, width_bytes: int = 2) -> dict[str, Column]:
+    """MB of what decoding keeps: a cache that grows with the length, and recurrent state that does not."""
+    kv, own = (x * width_bytes / float(1 << 20) for x in (kv_layers * kv_width * length, layers * inner * state))
+    return {"kv_cache_MB": F.round(kv, 3), "state_MB": F.round(own, 4), "total_MB": F.round(kv + own, 3)}
+
+
 def eta_text(seconds: Column) -> Column:
     """'12.5m' below an hour, '1.5h' from there on."""
     return F.when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))

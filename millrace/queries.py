@@ -525,6 +525,19 @@ def parameter_totals(spark, sf_dir):
     return shapes.groupBy("module").agg(F.sum(size).alias("parameters"))
 
 
+@query("parameter_report", """WITH t AS (SELECT sum(p_size * 512)::BIGINT AS t, sum(CASE WHEN p_size <= 25 THEN p_size * 512 ELSE p_size * 128 END)::BIGINT AS a FROM part)
+  SELECT t AS total_parameters, a AS active_parameters, round(t / 1e6, 2) AS "total_parameters_M", round(a / 1e6, 2) AS "active_parameters_M", round((1.0 - a / t) * 100, 2) AS active_reduction_percent FROM t""")
+def parameter_report(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "part").select((F.col("p_size") * 512).alias("size"), F.when(F.col("p_size") <= 25, 1.0).otherwise(0.25).alias("share"))
+    return numeric.parameter_report(rows, "size", "share")
+
+
+@query("state_footprint", """SELECT length, round(6 * 24 * length * 2 / 1048576.0, 3)::DOUBLE AS "kv_cache_MB", round(12 * 512 * 16 * 2 / 1048576.0, 4)::DOUBLE AS "state_MB", round((6 * 24 * length + 12 * 512 * 16) * 2 / 1048576.0, 3)::DOUBLE AS "total_MB" FROM (VALUES (1024::BIGINT), (4096::BIGINT), (32768::BIGINT)) t(length)""")
+def state_footprint(spark, sf_dir):
+    rows = spark.createDataFrame([(1024,), (4096,), (32768,)], "length long")
+    return rows.select("length", *[c.alias(n) for n, c in numeric.state_footprint(F.lit(6), F.lit(24), F.lit(12), F.lit(512), F.lit(16), F.col("length")).items()])
+
+
 @query("progress", "SELECT event_id, round(event_id / greatest(value, 1e-6), 6) AS tokens_per_s, least(100.0, 100.0 * event_id / 5000)::DOUBLE AS percent, round(event_id * 2 / 1e6, 6) AS mb FROM events WHERE value > 0")
 def progress(spark, sf_dir):
     from millrace.plans.compile import progress as report

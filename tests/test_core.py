@@ -365,6 +365,27 @@ def test_corpus_file(spark, tmp_path):
     assert r["sequences_in_file"] == r["sequences"] > 0 and r["kept"] + r["duplicates"] + r["filtered"] == 60
 
 
+def test_an_endless_mix(spark, tmp_path):
+    import time
+
+    from millrace.streaming import slots
+
+    pattern = {"a": 3, "b": 2}
+    batch = [tuple(r) for r in mixing.round_slots(spark, 4, pattern).orderBy("slot").collect()]
+    assert [x for k in range(4) for x in slots.round_of(k, pattern, 42)] == batch
+    spark.dataSource.register(slots.RoundSlots)
+    source = spark.readStream.format("round_slots").option("pattern", json.dumps(pattern)).load()
+    pools = {s: spark.createDataFrame([(10 * i, f"{s}{i}") for i in range(n)], "ord long, text string") for s, n in (("a", 4), ("b", 3))}
+    query = slots.mixed(source, pools, "ord").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).start()
+    until = time.time() + 60
+    while time.time() < until and (query.lastProgress is None or query.lastProgress["batchId"] < 3):
+        time.sleep(0.3)
+    query.stop()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("slot").collect()
+    assert len(rows) >= 15 and [r.slot for r in rows] == list(range(len(rows)))
+    assert [r.text for r in rows[:20]] == [f"{s}{o % (4 if s == 'a' else 3)}" for _, s, o in batch][: len(rows)]
+
+
 def test_packing_a_stream_equals_the_batch(spark, tmp_path):
     draw = random.Random(8)
     rows = [(i, [draw.randrange(1, 99) for _ in range(draw.choice((0, 1, 3, 7, 30)))]) for i in range(40)]
