@@ -127,9 +127,14 @@ def greedy_kept(rows: DataFrame) -> DataFrame:
         marked = open_.join(first, ["band", "key"])
         keep = marked.groupBy("ord").agg(F.min((F.col("ord") == F.col("first")).cast("int")).alias("all_first")).where("all_first = 1").select("ord")
         taken = open_.join(keep, "ord", "left_semi").select("band", "key").distinct()
-        drop = checkpointed(open_.join(taken, ["band", "key"], "left_semi").join(keep, "ord", "left_anti").select("ord").distinct())
-        dropped = drop if dropped is None else dropped.unionByName(drop)
-        open_ = checkpointed(open_.join(keep, "ord", "left_anti").join(drop, "ord", "left_anti"))
+        drop = open_.join(taken, ["band", "key"], "left_semi").join(keep, "ord", "left_anti").select("ord").distinct()
+        # one table a round: rows that stay open, and documents that are dropped
+        decided = keep.withColumn("dropped", F.lit(False)).unionByName(drop.withColumn("dropped", F.lit(True)))
+        told = open_.join(decided, "ord", "left").where("dropped is null or dropped")
+        told = checkpointed(told)
+        gone = told.where("dropped").select("ord").distinct()
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        open_ = told.where("dropped is null").drop("dropped")
     return everyone if dropped is None else everyone.join(dropped, "ord", "left_anti")
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "seq_id long, input_ids array<int>"
@@ -54,7 +54,7 @@ class TokenFiles(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options.get("length", 4096)), int(self.options.get("range", RANGE)))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], overwrite)
 
 
@@ -79,25 +79,28 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + part.first + part.start), lists], names=["seq_id", "input_ids"])
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         """One part file of a task's sequences, which must come in order (see `write_tokens`)."""
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
         attempt = TaskContext.get().taskAttemptId()
         part, name, last = None, "", -1
-        for row in rows:
-            if row.seq_id <= last:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(batch.schema.get_field_index("seq_id")).to_numpy()
+            if ids[0] <= last or (np.diff(ids) <= 0).any():
                 raise ValueError("sequences of a task are not in order; use write_tokens")
             if part is None:
-                name = os.path.join(self.path, f"part-{row.seq_id:015d}.bin")
+                name = os.path.join(self.path, f"part-{ids[0]:015d}.bin")
                 part = open(f"{name}.{attempt}.tmp", "wb")  # noqa: SIM115
-            np.asarray(row.input_ids, np.uint16).tofile(part)
-            last = row.seq_id
+            batch.column(batch.schema.get_field_index("input_ids")).flatten().to_numpy().astype(np.uint16).tofile(part)
+            last = ids[-1]
         if part is None:
             return _Written([])
         part.close()
