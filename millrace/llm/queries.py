@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.spread import spread
-from millrace.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
+from millrace.llm import bin_packing, decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bin_packing.digests(bin_packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
 }
 
 ORACLES = oracles.ORACLES
