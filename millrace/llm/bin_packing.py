@@ -22,9 +22,11 @@ that repeats another. A null doc_id stays null. No rows give no pieces. Other co
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ END = 2
 GROUP_DOCS = 2048
 STRETCH = 32  # whole sequences in a row
 SLICE_BYTES = 1 << 20  # of text that is encoded at once
-KNOWN_WORDS = 400_000  # a worker's memory of encoded words; it is forgotten beyond that
+KNOWN_WORDS = 800_000  # a worker's memory of encoded words; it is forgotten beyond that
 SPACES = b" \t\n\r\x0b\x0c"
+CUT = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \t-\r])").sub
 
 PARTS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("size", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -49,10 +52,11 @@ PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id
 
 
 class Words:
-    """The tokenizer, applied to the words between ASCII white space.
+    """The tokenizer, applied to each distinct word between ASCII white space once.
 
     It must be one that drops white space and splits at it, so that a text's ids are its words' ids one after
-    another; `ids` are little-endian unsigned 32-bit numbers.
+    another; `ids` are little-endian unsigned 32-bit numbers. Where it also lower-cases ASCII letters and splits before a full
+    stop or comma, so is done before words are told apart, unless a special string may stand in the text.
     """
 
     def __init__(self, path: str):
@@ -62,28 +66,48 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if self._encoded(["a b\n c"]) != self._encoded(["a"]) + self._encoded(["b"]) + self._encoded(["c"]):
+        plain = lambda *words: [i for w in words for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        if plain("a b\n c") != plain("a", "b", "c"):
             raise ValueError(f"{path} does not drop the white space between words")
+        self.lowers = plain("ABCXYZ q") == plain("abcxyz Q")
+        self.cuts = all(plain(f"{w}{p} x") == plain(w, p, "x") for w in ("ab", "b9") for p in ".,")
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> list[int]:
-        return [i for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False) for i in e.ids]
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self._ids, _slices(text)))
-
-    def _ids(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+    def split(self, text: bytes) -> list[bytes]:
+        low = text.lower()
+        if any(s in low for s in self.special):
+            return text.split()
+        return (CUT(rb" \g<0>", low if self.lowers else text) if self.cuts else low if self.lowers else text).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes all of the words known."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = words
+        new = list(new)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            # given as one text of many words, each is encoded by itself
+            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        out = [[] for _ in texts]
+        parts = [(k, part) for k, text in enumerate(texts) for part in _slices(text)]
+        while parts:
+            size, n = 0, 0
+            while n < len(parts) and (not n or size + len(parts[n][1]) <= SLICE_BYTES):
+                size += len(parts[n][1])
+                n += 1
+            now, parts = [(k, self.split(part)) for k, part in parts[:n]], parts[n:]
+            self.learn(set(chain.from_iterable(words for _, words in now)))
+            for k, words in now:
+                out[k] += map(self.known.__getitem__, words)
+        return [b"".join(x) for x in out]
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -111,8 +135,9 @@ def _encoded(path: str, length: int, end: int, n_groups: int):
         last = np.uint32(end).tobytes()
         for batch in K.sliced(batches, "text"):
             out = []
-            for doc_id, key, crc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), K.texts_of(batch.column("text")), strict=True):
-                ids = np.frombuffer(words.ids(text) + last, "<u4").astype(kind)
+            encoded = words.ids(K.texts_of(batch.column("text")))
+            for doc_id, key, crc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(raw + last, "<u4").astype(kind)
                 n = len(ids)
                 copies[key, crc] += 1
                 name = f"{key}:{crc}:{copies[key, crc]}:{salt}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.spread import spread
-from millrace.llm import bin_packing, decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, unigram
+from millrace.llm import bin_packing, decontaminate, jaccard_join, language_id, license_scan, line_dedup, oracles, quality_rules, spelling, substring_dedup, suffix_dedup, token_counts, turn_repair, unigram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turn_repair.summaries(turn_repair.damaged(conversations), conversations)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -97,6 +106,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_packing": op11_packing,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = oracles.ORACLES
