@@ -22,7 +22,6 @@ that repeats another. A null doc_id stays null. No rows give no pieces. Other co
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -44,7 +43,6 @@ STRETCH = 32  # whole sequences in a row
 SLICE_BYTES = 1 << 20  # of text that is encoded at once
 KNOWN_WORDS = 800_000  # a worker's memory of encoded words; it is forgotten beyond that
 SPACES = b" \t\n\r\x0b\x0c"
-CUT = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \t-\r])").sub
 
 PARTS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("size", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -55,8 +53,8 @@ class Words:
     """The tokenizer, applied to each distinct word between ASCII white space once.
 
     It must be one that drops white space and splits at it, so that a text's ids are its words' ids one after
-    another; `ids` are little-endian unsigned 32-bit numbers. Where it also lower-cases ASCII letters and splits before a full
-    stop or comma, so is done before words are told apart, unless a special string may stand in the text.
+    another. Where it also lower-cases ASCII letters, they are so before words are told apart, unless a special string may
+    stand in the text; where it splits before a full stop or comma, a word with one takes over the ids of the word without.
     """
 
     def __init__(self, path: str):
@@ -70,44 +68,96 @@ class Words:
         if plain("a b\n c") != plain("a", "b", "c"):
             raise ValueError(f"{path} does not drop the white space between words")
         self.lowers = plain("ABCXYZ q") == plain("abcxyz Q")
-        self.cuts = all(plain(f"{w}{p} x") == plain(w, p, "x") for w in ("ab", "b9") for p in ".,")
+        self.cuts = [p for p in (b".", b",") if all(plain(f"{w}{p.decode()} x") == plain(w, p.decode(), "x") for w in ("ab", "b9"))]
+        # words of small letters only, which nothing but merges changes: the model gives their ids directly
+        self.direct = all(self._merged(w) == plain(w) for w in ("a", "the", "thinert", "ndnting", "zzqxjv"))
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def split(self, text: bytes) -> list[bytes]:
-        low = text.lower()
-        if any(s in low for s in self.special):
-            return text.split()
-        return (CUT(rb" \g<0>", low if self.lowers else text) if self.cuts else low if self.lowers else text).split()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes all of the words known."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = words
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        self.forget()
+
+    def _merged(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def forget(self) -> None:
+        self.known = _Index()
+        self.flat, self.start, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def codes(self, text: bytes) -> np.ndarray:
+        """The numbers of the text's words; new words get the next ones."""
+        low = text.lower() if self.lowers else text
+        words = (text if self.lowers and any(s in low for s in self.special) else low).split()
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> None:
+        """Finds the ids of words that have got numbers; a full stop or comma behind a letter or digit has ids of its own."""
+        new, known = self.known.new, self.known
+        whole, stems, letters, found = [], [], [], []
+        at = len(self.start)
+        for w in new:  # stems that are new are added behind and come up later
+            if w[-1:] in self.cuts and w[-2:-1].isalnum():
+                stems.append((at, known[w[:-1]], known[w[-1:]]))
+            elif self.direct and w.isascii() and w.isalpha() and w.islower():
+                letters.append(at)
+                found.append(self._merged(w.decode()))
+            else:
+                whole.append((at, w))
+            at += 1
+        self.start, self.count = (np.concatenate([x, np.zeros(at - len(x), np.int64)]) for x in (self.start, self.count))
+        if letters:
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(np.array(letters), counts, np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum())))
+        for k in range(0, len(whole), 10_000):
+            numbers, part = zip(*whole[k : k + 10_000], strict=True)
             # given as one text of many words, each is encoded by itself
             found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, "<u4").tobytes()
-            ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        out = [[] for _ in texts]
+            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
+            self._add(np.array(numbers), counts, np.array(found.ids, "<u4"))
+        if stems:
+            numbers, stem, tail = np.array(stems, np.int64).T
+            first, more = self.count[stem], self.count[tail]
+            ids, place = np.empty(int((first + more).sum()), "<u4"), np.cumsum(first + more) - first - more
+            ids[K.ranges(place, first)] = self.flat[K.ranges(self.start[stem], first)]
+            ids[K.ranges(place + first, more)] = self.flat[K.ranges(self.start[tail], more)]
+            self._add(numbers, first + more, ids)
+        new.clear()
+
+    def _add(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.start[numbers] = len(self.flat) + np.cumsum(counts) - counts
+        self.count[numbers] = counts
+        self.flat = np.concatenate([self.flat, ids])
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
         parts = [(k, part) for k, text in enumerate(texts) for part in _slices(text)]
-        while parts:
-            size, n = 0, 0
-            while n < len(parts) and (not n or size + len(parts[n][1]) <= SLICE_BYTES):
-                size += len(parts[n][1])
-                n += 1
-            now, parts = [(k, self.split(part)) for k, part in parts[:n]], parts[n:]
-            self.learn(set(chain.from_iterable(words for _, words in now)))
-            for k, words in now:
-                out[k] += map(self.known.__getitem__, words)
-        return [b"".join(x) for x in out]
+        at = 0
+        while at < len(parts):
+            if len(self.known) > KNOWN_WORDS:
+                self.forget()
+            size, codes, owners = 0, [], []
+            while at < len(parts) and (not codes or size + len(parts[at][1]) <= SLICE_BYTES):
+                codes.append(self.codes(parts[at][1]))
+                owners.append(parts[at][0])
+                size += len(parts[at][1])
+                at += 1
+            self.learn()
+            every = np.concatenate(codes)
+            n = self.count[every]
+            ids = self.flat[K.ranges(self.start[every], n)]
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(c) for c in codes])]
+            for k, found in zip(owners, np.split(ids, ends[:-1]), strict=True):
+                out[k].append(found)
+        return [np.concatenate(x) if x else np.empty(0, "<u4") for x in out]
+
+
+class _Index(dict):
+    """Words by number; a word that is asked for the first time gets the next one."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -132,12 +182,12 @@ def _encoded(path: str, length: int, end: int, n_groups: int):
         words, pack = Words(path), zstandard.ZstdCompressor(level=1)
         kind = np.uint16 if words.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else np.uint32
         salt, copies = TaskContext.get().partitionId(), Counter()
-        last = np.uint32(end).tobytes()
+        last = np.array([end], "<u4")
         for batch in K.sliced(batches, "text"):
             out = []
             encoded = words.ids(K.texts_of(batch.column("text")))
             for doc_id, key, crc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("_id").to_pylist(), batch.column("_crc").to_pylist(), encoded, strict=True):
-                ids = np.frombuffer(raw + last, "<u4").astype(kind)
+                ids = np.concatenate([raw, last]).astype(kind)
                 n = len(ids)
                 copies[key, crc] += 1
                 name = f"{key}:{crc}:{copies[key, crc]}:{salt}"

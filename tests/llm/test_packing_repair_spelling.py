@@ -83,11 +83,11 @@ def test_long_words_and_slices(monkeypatch):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     words = bin_packing.Words(path)
     texts = ["One, two. two,three\n" * 50 + "Y" * 300 + "\x0b é, É. ..., x'S. 9.9. ", "", "<|ENDOFTEXT|> A. <|endoftext|>, B.", "K., ² A\u0308. ½,"]
-    want = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for size, known in ((1 << 20, 10**6), (1, 2), (7, 2), (64, 5), (5000, 3)):
         monkeypatch.setattr(bin_packing, "SLICE_BYTES", size)
         monkeypatch.setattr(bin_packing, "KNOWN_WORDS", known)
-        assert words.ids([t.encode() for t in texts]) == want
+        assert [x.tolist() for x in words.ids([t.encode() for t in texts])] == want
     with pytest.raises(ValueError, match="white space"):
         bin_packing.Words(str(public_tokenizers.path("byte_bpe_50k.json")))
 
