@@ -103,19 +103,22 @@ SELECT doc_id, n::BIGINT AS n_words, len(f)::BIGINT AS n_base, list_min(list_tra
 _COUNT = "len(t) - len(regexp_replace(t, '{}', '', 'g'))"
 _CLASSES = ", ".join(f"({_COUNT.format(x)})" for x in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[#*$%&|<>]", r"[\x00-\x08\x0E-\x1F!-~\x7F]", r"[^\x00-\x7F]"))
 _H = "sum(CASE WHEN {0} > 0 THEN -{0} * log2({0}) ELSE 0 END)"
+_PLAIN = "CASE WHEN cell IN (0, 1, 6) THEN 0 ELSE cell END"
 _JSD = f"sqrt(greatest({_H.format('((p + r) / 2)')} - ({_H.format('p')} + {_H.format('r')}) / 2, 0))"
 
 OP10 = rf"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE lang END AS lang, coalesce(text, '') AS t, {_WORDS} AS w, {_ALNUM} AS a FROM documents),
 g AS (SELECT doc_id, i, w[i:i+4] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 rw AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS x FROM g WHERE (doc_id, k) IN (SELECT (doc_id, k) FROM g GROUP BY doc_id, k HAVING count(*) > 1)) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY doc_id),
 c0 AS (SELECT doc_id, lang, a, [{_CLASSES}] AS c FROM d),
 c AS (SELECT doc_id, lang, a, list_transform(range(1, 8), lambda i: c[i] - CASE WHEN i = 6 THEN c[1] + c[2] + c[3] + c[5] ELSE 0 END) AS c FROM c0),
-ok AS (SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality_rules.MIN_DOCS} AND sum(len(a)) >= {quality_rules.MIN_REFERENCE_WORDS} ORDER BY count(*) DESC, lang LIMIT {quality_rules.MAX_LANGUAGES}),
+ok AS (SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality_rules.MIN_DOCS} AND sum(len(a)) >= {quality_rules.MIN_REFERENCE_WORDS}),
 u AS (SELECT doc_id, lang, unnest(c) AS v, unnest(range(7)) AS cell FROM c),
 rc AS (SELECT lang, cell, v / sum(v) OVER (PARTITION BY lang) AS r FROM (SELECT lang, cell, sum(v) AS v FROM u JOIN ok USING (lang) GROUP BY lang, cell)),
 pc AS (SELECT doc_id, cell, v / greatest(sum(v) OVER (PARTITION BY doc_id), 1) AS p FROM u),
+by_plain AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, lang, {_JSD} AS x FROM (SELECT doc_id, {_PLAIN} AS cell, sum(p) AS p FROM pc GROUP BY doc_id, {_PLAIN}) JOIN (SELECT lang, {_PLAIN} AS cell, sum(r) AS r FROM rc GROUP BY lang, {_PLAIN}) USING (cell) GROUP BY doc_id, lang) GROUP BY doc_id),
 by_class AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, rc.lang, {_JSD} AS x FROM pc JOIN rc USING (cell) GROUP BY doc_id, rc.lang) GROUP BY doc_id),
 x AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(a) AS word FROM c) GROUP BY ALL),
 lw AS (SELECT lang, word, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM x JOIN ok USING (lang) GROUP BY lang, word),
@@ -123,11 +126,12 @@ top AS (SELECT lang, word, n / total AS r FROM lw QUALIFY row_number() OVER (PAR
 own AS (SELECT c.doc_id, top.lang, top.r, coalesce(x.n, 0) / greatest(len(c.a), 1) AS p, len(c.a) AS total FROM c CROSS JOIN top LEFT JOIN x ON x.doc_id = c.doc_id AND x.word = top.word),
 cells AS (SELECT doc_id, lang, p, r FROM own UNION ALL SELECT doc_id, lang, CASE WHEN any_value(total) = 0 THEN 0 ELSE greatest(1 - sum(p), 0) END, 1 - sum(r) FROM own GROUP BY doc_id, lang),
 by_word AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, lang, {_JSD} AS x FROM cells GROUP BY doc_id, lang) GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda y: len(y))), 0) AS chars, {_COUNT.format('[#*$%&|<>]')} AS symbols, coalesce(l.n, 0) AS dup, coalesce(rw.n, 0) AS rep, coalesce(by_class.x, 0) AS cd, coalesce(by_word.x, 0) AS wd
-  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id)),
+m AS (SELECT d.doc_id, d.lang IS NULL OR d.lang IN (SELECT lang FROM ok) AS known, len(w) AS n, coalesce(list_sum(list_transform(w, lambda y: len(y))), 0) AS chars, {_COUNT.format('[#*$%&|<>]')} AS symbols, coalesce(l.n, 0) AS dup, coalesce(rw.n, 0) AS rep, coalesce(by_class.x, 0) AS cd, coalesce(by_word.x, 0) AS wd, coalesce(by_plain.x, 0) AS pd
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id) LEFT JOIN by_plain USING (doc_id)),
 f AS (SELECT *, n < {quality_rules.MIN_WORDS} OR 100 * rep > {quality_rules.MAX_REPEAT_PERCENT} * n AS failed FROM m)
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT (n >= {quality_rules.GUARD_CLASS} AND cd > {quality_rules.CLASS_DISTANCE} + {quality_rules.CLASS_SCATTER} / sqrt(n)) AND NOT (n >= {quality_rules.GUARD_WORDS} AND wd > {quality_rules.WORD_DISTANCE} + {quality_rules.WORD_SCATTER} / sqrt(n)) AS kept,
+  NOT failed AND NOT (known AND n >= {quality_rules.GUARD_CLASS} AND cd > {quality_rules.CLASS_DISTANCE} + {quality_rules.CLASS_SCATTER} / sqrt(n)) AND NOT (known AND n >= {quality_rules.GUARD_WORDS} AND wd > {quality_rules.WORD_DISTANCE} + {quality_rules.WORD_SCATTER} / sqrt(n))
+    AND NOT (NOT known AND n >= {quality_rules.GUARD_CLASS} AND pd > {quality_rules.CLASS_DISTANCE} + {quality_rules.CLASS_SCATTER} / sqrt(n)) AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM f
 """
 

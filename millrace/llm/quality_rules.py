@@ -4,9 +4,10 @@ A document's character-class histogram and its common-word histogram are compare
 each language by Jensen-Shannon distance (base 2, so from 0 to 1); the nearest language counts, so a
 wrong or missing label does not matter. A language's common words are its COMMON most frequent ones, all
 other words being one cell; words and references are counted over every document that has a language, in
-one pass. A language needs MIN_DOCS documents and MIN_REFERENCE_WORDS words to be a reference, so a few
-odd documents with a label of their own do not become their own measure; of more than MAX_LANGUAGES
-languages those with the most documents are references.
+one pass. A language needs MIN_DOCS documents and MIN_REFERENCE_WORDS words to be a reference, so that its shares
+are more than chance. A document whose label is a language without a reference is not measured by the words
+and scripts of others: its letters of every kind count as one class, and only with these classes is it compared.
+So text of a rare language stays, and what is hardly text goes under any label.
 
 Minimum-length guards: histograms of short texts scatter, so the class test asks for GUARD_CLASS
 words and the word test for GUARD_WORDS; below a guard that test accepts. Above it the distance
@@ -45,7 +46,6 @@ REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 COMMON = 32
 MIN_DOCS, MIN_REFERENCE_WORDS = 10, 1000
-MAX_LANGUAGES = 256
 GUARD_CLASS = 40
 GUARD_WORDS = 80
 CLASS_DISTANCE, WORD_DISTANCE = 0.20, 0.08  # between documents of one language, whatever their length
@@ -75,6 +75,7 @@ WORD_SCATTER = scatter(COMMON + 1)
 
 
 class Reference(NamedTuple):
+    lang: str
     classes: np.ndarray  # shares by class
     words: tuple[bytes, ...]
     shares: np.ndarray  # by word, and of all others
@@ -101,11 +102,18 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(entropy((p + reference) / 2) - (entropy(p) + entropy(reference)) / 2, 0))
 
 
-def nearest(texts: list[bytes], references: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distance from the nearest reference, by classes and by common words; 0 without references."""
+def _plain(counts: np.ndarray) -> np.ndarray:
+    """Counts by class with letters of every kind as one: small, capital and beyond ASCII."""
+    return np.stack([counts[..., 0] + counts[..., 1] + counts[..., 6], *(counts[..., k] for k in range(2, 6))], axis=-1)
+
+
+def nearest(texts: list[bytes], references: list[Reference]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distance from the nearest reference, by classes, by common words, and by classes with one for all letters; 0 without references."""
     if not references or not texts:
-        return np.zeros(len(texts)), np.zeros(len(texts))
-    by_class = np.min([distance(class_counts(texts), r.classes) for r in references], axis=0)
+        return np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    counts = class_counts(texts)
+    by_class = np.min([distance(counts, r.classes) for r in references], axis=0)
+    by_plain = np.min([distance(_plain(counts), _plain(r.classes)) for r in references], axis=0)
     vocabulary = sorted({w for r in references for w in r.words})
     place = {w: i for i, w in enumerate(vocabulary)}
     lists = [normal_words(t) for t in texts]
@@ -116,7 +124,7 @@ def nearest(texts: list[bytes], references: list[Reference]) -> tuple[np.ndarray
     for r in references:
         own = counts[:, [place[w] for w in r.words]]
         each.append(distance(np.hstack([own, total - own.sum(1, keepdims=True)]), r.shares))
-    return by_class, np.min(each, axis=0)
+    return by_class, np.min(each, axis=0), by_plain
 
 
 _DOCS, _WORDS, _WORD = len(CLASSES), len(CLASSES) + 1, len(CLASSES) + 2  # kinds of counts beside the classes
@@ -148,7 +156,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame) -> list[Reference]:
-    """The languages' references, counted over all documents that have one. At most MAX_LANGUAGES * (COMMON + 9) rows come to the driver."""
+    """The languages' references, counted over all documents that have one. COMMON + 9 rows of each language that has a reference come to the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = labelled.mapInArrow(_counted, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     # the common words are found in each partition before any are dealt by language
@@ -156,9 +164,8 @@ def references(docs: DataFrame) -> list[Reference]:
     few = counts.withColumn("place", place).where(F.col("place") <= COMMON)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n"))).over(Window.partitionBy("lang"))
     enough = few.withColumns({"docs": of(_DOCS), "total": of(_WORDS)}).where((F.col("docs") >= MIN_DOCS) & (F.col("total") >= MIN_REFERENCE_WORDS))
-    first = enough.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("docs"), "lang"))).where(F.col("rank") <= MAX_LANGUAGES)
     table: dict[str, dict] = {}
-    for lang, kind, word, n, total, at in first.orderBy("lang", "kind", "place").select("lang", "kind", "word", "n", "total", "place").collect():
+    for lang, kind, word, n, total, at in enough.orderBy("lang", "kind", "place").select("lang", "kind", "word", "n", "total", "place").collect():
         have = table.setdefault(lang, {"classes": np.zeros(len(CLASSES)), "words": [], "n": [], "total": total})
         if kind < len(CLASSES):
             have["classes"][kind] = n
@@ -166,9 +173,9 @@ def references(docs: DataFrame) -> list[Reference]:
             have["words"].append(bytes(word))
             have["n"].append(n)
     out = []
-    for x in table.values():
+    for lang, x in table.items():
         shares = np.array([*x["n"], x["total"] - sum(x["n"])]) / x["total"]
-        out.append(Reference(x["classes"] / x["classes"].sum(), tuple(x["words"]), shares))
+        out.append(Reference(lang, x["classes"] / x["classes"].sum(), tuple(x["words"]), shares))
     return out
 
 
@@ -206,6 +213,8 @@ DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 
 
 def _judge(names: list[str], text: str, refs: list[Reference]):
+    known = {None, *(r.lang for r in refs)}
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.sliced(batches, text):
             texts = K.texts_of(batch.column(text))
@@ -215,10 +224,13 @@ def _judge(names: list[str], text: str, refs: list[Reference]):
             symbols = [len(t) - len(t.translate(None, SYMBOLS)) for t in texts]
             repeats = repeated_words(words)
             failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-            by_class, by_word = nearest(texts, refs)
+            by_class, by_word, by_plain = nearest(texts, refs)
             root = 1 / np.sqrt(np.maximum(n, 1))
             odd = (n >= GUARD_CLASS) & (by_class > CLASS_DISTANCE + CLASS_SCATTER * root)
             odd |= (n >= GUARD_WORDS) & (by_word > WORD_DISTANCE + WORD_SCATTER * root)
+            if "lang" in batch.schema.names:
+                rare = np.array([x not in known for x in batch.column("lang").cast(pa.string()).to_pylist()], bool)
+                odd = np.where(rare, (n >= GUARD_CLASS) & (by_plain > CLASS_DISTANCE + CLASS_SCATTER * root), odd)
             values = [n, chars, symbols, [repeated_lines(t) for t in texts], repeats, failed, ~failed & ~odd, by_class, by_word]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, (_, k) in zip(values, FIELDS, strict=True))], names=[*batch.schema.names, *names])
 
@@ -240,7 +252,7 @@ def judged(docs: DataFrame, reference: DataFrame | None = None) -> tuple[DataFra
 
 def measured(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id and the measures, `kept` among them."""
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     out, names = judged(rows, docs)
     return out.select("doc_id", *[F.col(v).alias(k) for k, v in names.items()])
 

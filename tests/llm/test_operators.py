@@ -476,6 +476,20 @@ def test_a_few_odd_documents_are_no_reference(spark, small):
     assert len(refs) == small.select("lang").distinct().count() and all(len(r.words) == quality_rules.COMMON and r.shares.sum() == pytest.approx(1) for r in refs)
 
 
+def test_documents_of_a_rare_language_stay(spark):
+    """Nine documents in another script: too few for a reference, and not measured by that of others. More languages than there were ever room for."""
+    draw = random.Random(11)
+    words = lambda letters: ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(150)]
+    texts = []
+    for lang, letters, n in (("en", "abcdefghijklmnop", 60), ("el", "αβγδεζηθικλμνξο", 9), ("zh", "天地玄黄宇宙洪荒", 2)):
+        known = words(letters)
+        texts += [(len(texts) + i, " ".join(draw.choice(known) for _ in range(200)) + ".", lang) for i in range(n)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert quality_rules.measured(rows).where("kept").count() == quality_rules.kept(rows).count() == 71
+    many = [(i * 100 + k, f"l{i} " * 150 + "and so on", f"l{i}") for i in range(300) for k in range(10)]
+    assert len(quality_rules.references(spark.createDataFrame(many, "doc_id long, text string, lang string"))) == 300
+
+
 def test_quality_rules_follow_the_labels(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
