@@ -27,3 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or os.path.join(shared_folder(df.sparkSession), f"checkpoints-{uuid.uuid4().hex}"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as a table in the shared folder and read again, and the table's path, to be deleted when it is no longer read.
+
+    For loops: a checkpoint carries on what the optimizer knows of a plan's columns, which doubles with each round of
+    joins and renamings; a table that is read again knows nothing.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -5,41 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.joins import fresh
+
 ROWS = 1_000_000  # of a stretch
 MOST = 1 << 14  # stretches
 
 
-def _stretch(order: Column, cuts: list[int]) -> tuple[Column, Column]:
-    """The cuts as a column, and how many of them (sorted, one less than a power of two) are not above `order`, by binary search."""
+def _place(order: Column, table: Column, cuts: int) -> Column:
+    """How many of the cuts (sorted, one less than a power of two) are not above `order`, by binary search."""
     steps = []
-    step = (len(cuts) + 1) // 2
+    step = (cuts + 1) // 2
     while step:
         steps.append(step)
         step //= 2
-    table = F.array(*[F.lit(c) for c in cuts])
-    found = lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= order, at + step).otherwise(at)
-    return table, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), found)
+    found = lambda at, step: F.when(F.get(table, at + step - 1) <= order, at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), found)
+
+
+def stretched(df: DataFrame, order: str, name: str, rows: int = ROWS, most: int = MOST) -> tuple[DataFrame, int]:
+    """df with `name`, the number of its stretch, and how many stretches there are: the order (whole numbers, or what casts
+    to them) is cut at its quantiles into stretches of about `rows` rows, however the values lie."""
+    (n,) = df.agg(F.count("*")).first()
+    stretches = 1
+    while stretches * rows < n and stretches < most:
+        stretches *= 2
+    if stretches == 1:
+        return df.withColumn(name, F.lit(0)), 1
+    key, cuts_ = F.col(order).cast("long"), fresh([*df.columns, name], "cuts")
+    cuts = df.agg(F.percentile_approx(key, [k / stretches for k in range(1, stretches)], 10 * stretches)).first()[0]
+    table = df.sparkSession.range(1).select(F.array(*map(F.lit, cuts)).alias(cuts_))
+    return df.crossJoin(F.broadcast(table)).withColumn(name, _place(key, F.col(cuts_), len(cuts))).drop(cuts_), stretches
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, rows: int = ROWS) -> DataFrame:
     """df with `name`, the sum of `value` over all rows before this one by `order` (a unique integer, not null).
 
-    The order is cut at its quantiles into stretches of about `rows` rows, however the values lie. Their sums
-    (MOST numbers at most) are added up first and joined back; within a stretch a window does the rest.
+    The stretches' sums (MOST numbers at most) are added up first and joined back; within a stretch a window does the rest.
     """
-    (n,) = df.agg(F.count("*")).first()
-    stretches = 1
-    while stretches * rows < n and stretches < MOST:
-        stretches *= 2
-    inside = Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stretch = fresh([*df.columns, name], "stretch")
+    base, total = (fresh([*df.columns, name, stretch], x) for x in ("base", "total"))
+    cut, stretches = stretched(df, order, stretch, rows)
+    inside = Window.partitionBy(stretch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(value).over(inside) - F.col(value)
     if stretches == 1:
-        cut = df.withColumn("_stretch", F.lit(0))
-        return cut.withColumn(name, (F.sum(value).over(inside) - F.col(value)).cast("long")).drop("_stretch")
-    shares = [k / stretches for k in range(1, stretches)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("long"), shares, 10 * stretches)).first()[0]
-    table, at = _stretch(F.col(order), cuts)
-    cut = df.crossJoin(F.broadcast(df.sparkSession.range(1).select(table.alias("_cuts")))).withColumn("_stretch", at).drop("_cuts")
-    sums = cut.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
-    base = sums.withColumn("_base", F.sum("_sum").over(Window.orderBy("_stretch")) - F.col("_sum")).select("_stretch", "_base")
-    out = cut.join(F.broadcast(base), "_stretch")
-    return out.withColumn(name, (F.col("_base") + F.sum(value).over(inside) - F.col(value)).cast("long")).drop("_stretch", "_base")
+        return cut.withColumn(name, own.cast("long")).drop(stretch)
+    sums = cut.groupBy(stretch).agg(F.sum(value).alias(total))
+    before = sums.select(stretch, (F.sum(total).over(Window.orderBy(stretch)) - F.col(total)).alias(base))
+    return cut.join(F.broadcast(before), stretch).withColumn(name, (F.col(base) + own).cast("long")).drop(stretch, base)

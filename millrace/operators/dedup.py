@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.checkpoints import checkpointed
+from millrace.functions.checkpoints import checkpointed, stored
+from millrace.functions.components import components
+from millrace.functions.joins import matched
 from millrace.functions.text import let, words
 
 PRIME = (1 << 61) - 1
@@ -110,19 +112,76 @@ def band_rows(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     return sig.select("ord", F.posexplode(bands(F.col("sig"))).alias("band", "key")).select("ord", "band", F.xxhash64("key").alias("key"))
 
 
-def greedy_kept(rows: DataFrame) -> DataFrame:
+ROUNDS = 6  # of the fixpoint before what is open is cut into components
+COMPONENT = 1_000_000  # rows of a component that one task decides
+
+
+def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, keep) of rows sorted by (root, ord): each component's documents in order, one component after another."""
+    root = doc = None
+    taken: set[tuple[int, int]] = set()
+    own: list[tuple[int, int]] = []
+    out: list[tuple[int, bool]] = []
+
+    def decide() -> None:
+        keep = taken.isdisjoint(own)
+        if keep:
+            taken.update(own)
+        out.append((doc, keep))
+        own.clear()
+
+    for batch in batches:
+        for r, d, band, key in zip(*(batch.column(c).to_pylist() for c in ("root", "ord", "band", "key")), strict=True):
+            if (r, d) != (root, doc):
+                if own:
+                    decide()
+                if r != root:
+                    taken.clear()
+                root, doc = r, d
+            own.append((band, key))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())], names=["ord", "keep"])
+        out.clear()
+    if own:
+        decide()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())], names=["ord", "keep"])
+
+
+def _by_component(open_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Open rows (ord, band, key): (ord, keep) of those in components of up to `most` rows, and the rows of larger ones."""
+    first = open_.groupBy("band", "key").agg(F.min("ord").alias("first"))
+    edges = matched(open_.withColumn("bucket", F.struct("band", "key")), first.select(F.struct("band", "key").alias("bucket"), "first"), "bucket")
+    roots = components(edges.select(F.col("ord").alias("a"), F.col("first").alias("b")))
+    rows = open_.join(roots.withColumnRenamed("node", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    sizes = rows.groupBy("root").agg((F.count("*") > most).alias("large"))
+    told = checkpointed(matched(rows, sizes, "root"))
+    small = told.where("not large").select("root", "ord", "band", "key").repartition("root").sortWithinPartitions("root", "ord")
+    return small.mapInArrow(_in_order, "ord long, keep boolean"), told.where("large").select("ord", "band", "key")
+
+
+def greedy_kept(rows: DataFrame, rounds: int = ROUNDS, component: int = COMPONENT) -> DataFrame:
     """(ord) kept when documents are taken in order and one that shares a band with a kept one is dropped.
 
     Each round keeps every undecided document that comes first in all of its bands, then drops those that
     share a band with a kept one. Rounds are linear in the rows; no pairs are made. Buckets of one
     document can decide nothing and are left out at once.
+
+    A round decides one link of a chain of documents. So after `rounds` rounds what is open is cut into its connected
+    components, which decide nothing about each other; those of up to `component` rows are each decided
+    in order by one task, and only larger ones go on in rounds.
     """
     rows = checkpointed(rows)
     everyone = rows.select("ord").distinct()
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    open_ = checkpointed(rows.join(shared, ["band", "key"]))
-    dropped = None
+    open_ = checkpointed(rows.join(shared, ["band", "key"]).select("ord", "band", "key"))
+    dropped, done = None, 0
     while not open_.isEmpty():
+        if done and done % rounds == 0:
+            decided, open_ = _by_component(open_, component)
+            gone = checkpointed(decided.where("not keep").select("ord"))
+            dropped = gone if dropped is None else dropped.unionByName(gone)
+            if open_.isEmpty():
+                break
+        done += 1
         first = open_.groupBy("band", "key").agg(F.min("ord").alias("first"))
         marked = open_.join(first, ["band", "key"])
         keep = marked.groupBy("ord").agg(F.min((F.col("ord") == F.col("first")).cast("int")).alias("all_first")).where("all_first = 1").select("ord")
@@ -130,8 +189,7 @@ def greedy_kept(rows: DataFrame) -> DataFrame:
         drop = open_.join(taken, ["band", "key"], "left_semi").join(keep, "ord", "left_anti").select("ord").distinct()
         # one table a round: rows that stay open, and documents that are dropped
         decided = keep.withColumn("dropped", F.lit(False)).unionByName(drop.withColumn("dropped", F.lit(True)))
-        told = open_.join(decided, "ord", "left").where("dropped is null or dropped")
-        told = checkpointed(told)
+        told, _ = stored(open_.join(decided, "ord", "left").where("dropped is null or dropped"), "greedy")
         gone = told.where("dropped").select("ord").distinct()
         dropped = gone if dropped is None else dropped.unionByName(gone)
         open_ = told.where("dropped is null").drop("dropped")

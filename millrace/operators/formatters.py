@@ -82,6 +82,30 @@ def tree(node: Any) -> Any:
     return node if node is None or isinstance(node, (str, int, float)) else str(node)
 
 
+@F.udtf(returnType="node: int, parent: int, field: string, type: string")
+class SyntaxTree:
+    """The nodes of code's syntax tree as rows: number in pre-order, number of the parent, field that holds it, type.
+
+    Code that does not parse is one row with the error's type, null is no row.
+    """
+
+    def eval(self, code: str):
+        if code is None:
+            return
+        try:
+            root = ast.parse(code)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            yield 0, None, None, type(e).__name__
+            return
+        number, waiting = 0, [(None, None, root)]
+        while waiting:
+            parent, field, node = waiting.pop()
+            yield number, parent, field, type(node).__name__
+            below = [(number, name, x) for name, value in ast.iter_fields(node) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST)]
+            waiting += reversed(below)
+            number += 1
+
+
 def code_pair_text(code: str) -> str:
     try:
         spec = json.dumps(tree(ast.parse(code)), indent=2)

@@ -20,6 +20,13 @@ def phase_quotas(total: int, shares: tuple[float, float, float] = SHARES) -> tup
     return one, two, max(1, total - one - two)
 
 
+def quota_columns(total: Column, shares: tuple[float, float, float] = SHARES) -> tuple[Column, Column, Column]:
+    """phase_quotas of a column of whole numbers."""
+    least = lambda c: F.greatest(F.lit(1).cast("long"), c.cast("long"))
+    one, two = least(F.floor(total * shares[0])), least(F.floor(total * shares[1]))
+    return one, two, least(total - one - two)
+
+
 def split_quota(n: int, ratio: float) -> tuple[int, int]:
     """A quota split in two by a ratio, rounded half to even, the first part at least one."""
     first = max(1, round(n * ratio))

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import uniform
+from millrace.functions.joins import fresh
+from millrace.functions.prefix import MOST, stretched
 
 
 def schedule(step: Column, total: int, warmup: float = 0.05, stable: float = 0.75, floor: float = 0.1, decay: str = "sqrt") -> Column:
@@ -141,22 +142,44 @@ def causal_convolution(value: str, order: str, run: str, weights: tuple[float, .
     return out
 
 
-def recurrence(rows: DataFrame, run: str, order: str, a: str, b: str) -> DataFrame:
-    """(run, order, h) of h = a * h before + b. Runs are streamed in order with one number of state."""
-
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, h = None, 0.0
-        for pdf in parts:
-            out = []
-            for r, x, y in zip(pdf[run], pdf[a], pdf[b], strict=True):
-                if r != current:
-                    current, h = r, 0.0
-                h = x * h + y
-                out.append(h)
-            yield pd.DataFrame({run: pdf[run], order: pdf[order], "h": out})
-
-    types = dict(rows.dtypes)
-    return rows.select(run, order, a, b).repartition(run).sortWithinPartitions(run, order).mapInPandas(scan, f"{run} {types[run]}, {order} {types[order]}, h double")
+STRETCH = 1 << 16  # rows of a run that one task takes at once
+BLOCK = 256
+
+
+def recurrence(rows: DataFrame, run: str, order: str, a: str, b: str, stretch: int = STRETCH) -> DataFrame:
+    """(run, order, h) of h = a * h before + b, by an associative scan; before the first row of a run h is 0.
+
+    A step maps h to a * h + b, and so does any number of steps one after another, with other a and b. Runs longer than
+    `stretch` rows are cut at the quantiles of their orders. Each stretch is reduced to its two numbers, which are
+    the rows of a shorter recurrence; it gives what each stretch starts from, and the stretches are then
+    computed side by side. A null a or b leaves h as it is. Orders are unique in a run, and whole numbers or what casts to them.
+    """
+    steps = rows.select(F.col(run).alias("run"), F.col(order).alias("at"), F.coalesce(F.col(a).cast("double"), F.lit(1.0)).alias("a"), F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias("b"))
+    long = steps.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > stretch).select(F.struct("run").alias("name"))
+    cut = not long.isEmpty()
+    if cut:
+        named = steps.withColumn("name", F.struct("run"))
+        short = named.join(long, "name", "left_anti").withColumn("stretch", F.lit(0))
+        steps = short.unionByName(stretched(named.join(long, "name", "left_semi"), "at", "stretch", stretch)[0]).drop("name")
+    else:
+        steps = steps.withColumn("stretch", F.lit(0))
+    groups = steps.groupBy("run", "stretch").agg(F.sort_array(F.collect_list(F.struct("at", "a", "b"))).alias("x"))
+    start = F.lit(0.0)
+    if cut:
+        both = F.aggregate("x", F.lit(1.0), lambda t, e: t * e["a"]).alias("a"), F.aggregate("x", F.lit(0.0), lambda t, e: e["a"] * t + e["b"]).alias("b")
+        ends = recurrence(groups.select("run", "stretch", *both), "run", "stretch", "a", "b", max(stretch, 2 * MOST))
+        before = F.lag("h", 1, 0.0).over(Window.partitionBy("run").orderBy("stretch"))
+        starts = ends.select(F.struct("run", "stretch").alias("name"), before.alias("start"))
+        groups = groups.withColumn("name", F.struct("run", "stretch")).join(starts, "name")
+        start = F.col("start")
+    # arrays of arrays, since each append copies the array
+    last = lambda xs: F.get(xs, F.size(xs) - 1)
+    nothing = F.array().cast("array<double>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / BLOCK)), lambda k: F.slice("x", (k * BLOCK + 1).cast("int"), BLOCK))
+    block = lambda done, xs: F.aggregate(xs, nothing, lambda hs, e: F.array_append(hs, e["a"] * F.coalesce(last(hs), last(last(done)), start) + e["b"]))
+    hs = F.aggregate(blocks, F.array().cast("array<array<double>>"), lambda done, xs: F.array_append(done, block(done, xs)), F.flatten)
+    each = groups.select("run", F.explode(F.arrays_zip(F.col("x.at").alias("at"), hs.alias("h"))).alias("e"))
+    return each.select(F.col("run").alias(run), F.col("e.at").alias(order), F.col("e.h").alias("h"))
 
 
 def retained(checkpoints: DataFrame, keep: int = 5) -> DataFrame:
@@ -201,7 +224,7 @@ def state_footprint(kv_layers: Column, kv_width: Column, layers: Column, inner:
 
 def eta_text(seconds: Column) -> Column:
     """'12.5m' below an hour, '1.5h' from there on."""
-    return F.when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+    return F.when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).when(seconds.isNotNull(), F.format_string("%.1fh", seconds / 3600))
 
 
 def accepted_drafts(draft_p: Column, target_p: Column, draws: Column) -> Column:
@@ -211,5 +234,44 @@ def accepted_drafts(draft_p: Column, target_p: Column, draws: Column) -> Column:
     return F.when(stop > 0, stop - 1).otherwise(F.size(ok)).cast("long")
 
 
+def verified_drafts(drafts: DataFrame, target: str = "target", draft: str = "draft", tokens: str = "tokens", bonus: str = "bonus", draws: str = "draws", pick: str = "pick") -> DataFrame:
+    """drafts with `accepted`, `next_token` and `how`: what a target model makes of the tokens that a draft model proposed.
+
+    `target` and `draft` are arrays of probability vectors, one for each proposed token of `tokens` (ids from 0), `draws` are numbers in
+    [0, 1) for the acceptances, `pick` is one for the next token. Tokens are accepted in order until the first whose draw
+    is not below target over draft probability. For that one a correction is drawn from what the target has more
+    than the draft, or is the target's largest (the first of equal ones) where it has nowhere more; if all
+    pass, a token more is drawn from `bonus`, the target's probabilities behind them. `how` is 'correction', 'argmax' or 'bonus'.
+    """
+    at = lambda vectors, k: F.get(F.get(F.col(vectors), k), F.get(F.col(tokens), k))
+    place = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda vectors: F.transform(place, lambda k: at(vectors, k))
+    names = [fresh(drafts.columns, x) for x in ("place", "more", "sum")]
+    k, more, total = map(F.col, names)
+    out = drafts.withColumn("accepted", accepted_drafts(of(draft), of(target), F.col(draws)))
+    out = out.withColumn(names[0], F.col("accepted").cast("int"))
+    surplus = F.zip_with(F.get(target, k), F.get(draft, k), lambda t, d: F.greatest(t - d, F.lit(0.0)))
+    out = out.withColumn(names[1], F.when(k < F.size(tokens), surplus).otherwise(F.col(bonus)))
+    out = out.withColumn(names[2], F.aggregate(more, F.lit(0.0), lambda s, p: s + p))
+    how = F.when(k >= F.size(tokens), "bonus").when(total > 0, "correction").otherwise("argmax")
+    largest = F.array_position(F.get(target, k), F.array_max(F.get(target, k))) - 1
+    chosen = F.when((k < F.size(tokens)) & (total <= 0), largest).otherwise(_first_above(more, F.col(pick) * total))
+    return out.withColumns({"next_token": chosen.cast("int"), "how": how}).drop(*names)
+
+
+def _first_above(weights: Column, limit: Column) -> Column:
+    """The first place whose cumulative weight is above the limit; the last place with a weight if rounding leaves none."""
+    walk = F.aggregate(
+        weights, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(-1).alias("found"), F.lit(-1).alias("last")),
+        lambda s, w: F.struct(
+            (s["sum"] + w).alias("sum"), (s["at"] + 1).alias("at"),
+            F.when((s["found"] < 0) & (w > 0) & (s["sum"] + w > limit), s["at"]).otherwise(s["found"]).alias("found"),
+            F.when(w > 0, s["at"]).otherwise(s["last"]).alias("last"),
+        ),
+        lambda s: F.when(s["found"] >= 0, s["found"]).otherwise(s["last"]),
+    )
+    return walk
+
+
 def steps_per_epoch(tokens: Column, batch: int, accumulate: int, length: int) -> Column:
     return F.ceil(tokens / float(batch * accumulate * length))

@@ -86,3 +86,27 @@ def advantage(value: str, group: str, epsilon: float = 1e-8) -> Column:
 
 def group_summary(rows: DataFrame, value: str, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.avg(value).alias("mean_reward"), F.max(value).alias("max_reward"), F.min(value).alias("min_reward"))
+
+
+def policy_loss(tokens: DataFrame, group: str, sample: str, new: str, old: str, advantage: str, reference: str | None = None, clip: float = 0.2, beta: float = 0.04, group_size: int | None = None) -> DataFrame:
+    """(group, loss, policy, kl, clipped_low, clipped_high, tokens, samples) of sampled tokens' log probabilities.
+
+    A token's policy term is the smaller of ratio * advantage and clipped ratio * advantage, with its sign turned, where the ratio is that of the new
+    to the old probability; its divergence term is p_ref * (log p_ref - log p_new). Both are averaged over a sample's tokens,
+    then added over the group's samples and divided by the group's size: `group_size` where samples without tokens
+    count, else the number of samples. Clipping counts where it lowers the term: above 1 + clip for positive advantages, below 1 - clip for negative ones.
+    """
+    ratio, a = F.exp(F.col(new) - F.col(old)), F.col(advantage)
+    held = F.least(F.greatest(ratio, F.lit(1.0 - clip)), F.lit(1.0 + clip))
+    kl = F.exp(reference) * (F.col(reference) - F.col(new)) if reference else F.lit(0.0)
+    each = tokens.select(
+        F.col(group).alias(group), F.col(sample).alias(sample), (-F.least(ratio * a, held * a)).alias("policy"), kl.alias("kl"),
+        ((ratio < 1.0 - clip) & (a < 0)).cast("long").alias("low"), ((ratio > 1.0 + clip) & (a > 0)).cast("long").alias("high"),
+    )
+    by = each.groupBy(group, sample).agg(F.avg("policy").alias("policy"), F.avg("kl").alias("kl"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("n"))
+    size = F.lit(group_size) if group_size else F.count("*")
+    policy, divergence = F.sum("policy") / size, F.sum("kl") / size
+    return by.groupBy(group).agg(
+        (policy + beta * divergence).alias("loss"), policy.alias("policy"), divergence.alias("kl"), F.sum("low").alias("clipped_low"), F.sum("high").alias("clipped_high"),
+        F.sum("n").alias("tokens"), F.count("*").alias("samples"),
+    )

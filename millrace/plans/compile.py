@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.checkpoints import checkpointed
@@ -30,15 +30,16 @@ def prepared(docs: DataFrame, order: str = "doc_id", remove_duplicates: bool = T
 
 
 def compile_corpus(docs: DataFrame, tokenizer: tok.Tokenizer, length: int = 4096, fim_rate: float = 0.0, order: str = "doc_id", remove_duplicates: bool = True) -> Compiled:
-    """Packed sequences of docs, and counts of every stage."""
-    passed = checkpointed(quality.quality_filter(docs).select(F.col(order).alias("ord"), "text"))
+    """Packed sequences of docs, and counts of every stage, taken as the rows pass by: docs are read once."""
+    seen, through, whole, made = (Observation() for _ in range(4))
+    told = lambda df, what: df.observe(what, F.count(F.lit(1)).alias("n"))
+    passed = checkpointed(told(quality.quality_filter(told(docs, seen)), through).select(F.col(order).alias("ord"), "text"))
     kept = dedup.deduplicate(passed, "ord") if remove_duplicates else passed
     ids = tok.encode(F.col("text"), tokenizer)
-    encoded = checkpointed(kept.select("ord", ids.alias("ids")))
+    encoded = checkpointed(told(kept, whole).select("ord", ids.alias("ids")))
     moved = encoded.select("ord", fim.with_end(fim.fill_in_middle(F.col("ids"), F.col("ord"), fim_rate)).alias("ids"))
-    sequences = checkpointed(packing.pack(moved, "ord", "ids", length))
-    n_docs, n_passed, n_kept = docs.count(), passed.count(), encoded.count()
-    n_sequences = sequences.count()
+    sequences = checkpointed(told(packing.pack(moved, "ord", "ids", length), made))
+    n_docs, n_passed, n_kept, n_sequences = (x.get["n"] for x in (seen, through, whole, made))
     report = {
         "documents": n_docs, "filtered": n_docs - n_passed, "duplicates": n_passed - n_kept, "kept": n_kept,
         "sequences": n_sequences, "tokens": n_sequences * length, "bytes": n_sequences * length * 2,

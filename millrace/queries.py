@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import files, maps
@@ -117,9 +117,11 @@ def greedy_dedup(spark, sf_dir):
 
 
 # --- mixing
-@query("phase_quotas", "SELECT n, greatest(1, floor(n * 0.5)::BIGINT) AS one, greatest(1, floor(n * 0.34)::BIGINT) AS two, greatest(1, n - greatest(1, floor(n * 0.5)::BIGINT) - greatest(1, floor(n * 0.34)::BIGINT)) AS three FROM (VALUES (1::BIGINT), (10::BIGINT), (500::BIGINT), (997::BIGINT)) t(n)")
+@query("phase_quotas", "SELECT source, n, greatest(1, floor(n * 0.5)::BIGINT) AS one, greatest(1, floor(n * 0.34)::BIGINT) AS two, greatest(1, n - greatest(1, floor(n * 0.5)::BIGINT) - greatest(1, floor(n * 0.34)::BIGINT)) AS three FROM (SELECT source, sum(n_chars)::BIGINT AS n FROM documents GROUP BY source)")
 def phase_quotas(spark, sf_dir):
-    return spark.createDataFrame([(n, *mixing.phase_quotas(n)) for n in (1, 10, 500, 997)], "n long, one long, two long, three long")
+    """Each source's characters as a budget for the three phases."""
+    totals = _documents(spark, sf_dir).groupBy("source").agg(F.sum("n_chars").alias("n"))
+    return totals.select("source", "n", *[q.alias(name) for name, q in zip(("one", "two", "three"), mixing.quota_columns(F.col("n")), strict=True)])
 
 
 @query("first_n_per_source", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 7")
@@ -184,16 +186,15 @@ def decode_round_trip(spark, sf_dir):
     return back.select("conv_id", "turn", F.col("back").alias("text"), (F.col("back") == F.col("text")).alias("same"))
 
 
-_SEEDS = "[" + ", ".join(f"'{x.encode().hex().upper()}'" for x in tok.SEEDS) + "]"
-
-
-@query("unprintable_tokens", f"""WITH t AS (SELECT 0 AS g, i AS k, printf('%02X', i) AS bytes FROM range(256) r(i)
-    UNION ALL SELECT 1, k, ({_SEEDS})[k] FROM range(1, {len(tok.SEEDS)} + 1) r(k)
-    UNION ALL SELECT 2, i, printf('%02X%02X', i // 256, i % 256) FROM range(65536) r(i) WHERE NOT list_contains({_SEEDS}, printf('%02X%02X', i // 256, i % 256))),
-  v AS (SELECT {len(tok.SPECIAL)} + row_number() OVER (ORDER BY g, k) - 1 AS token_id, bytes FROM t QUALIFY token_id < {tok.SIZE})
-  SELECT token_id::INT AS token_id, bytes FROM v WHERE NOT regexp_matches(bytes, '^(0[9AD]|[2-6][0-9A-F]|7[0-9A-E])+$')""")
+@query("unprintable_tokens", r"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS c FROM conversations), b AS (SELECT conv_id, turn, hex(encode(c)) AS h FROM c WHERE c <> '')
+  SELECT conv_id, turn, sum(len(h) // 2)::BIGINT AS tokens, coalesce(sum(len(h) // 2) FILTER (WHERE NOT regexp_matches(h, '^(0[9AD]|[2-6][0-9A-F]|7[0-9A-E])$')), 0)::BIGINT AS masked FROM b GROUP BY conv_id, turn""")
 def unprintable_tokens(spark, sf_dir):
-    return tok.vocabulary(spark, _tokenizer()).where("not printable").select("token_id", F.hex("bytes").alias("bytes"))
+    """Tokens of each turn, and those among them that a vocabulary of single bytes masks as unprintable."""
+    by_byte = tok.Tokenizer(tok.build_ranks((), 256 + len(tok.SPECIAL)), name="bytes")
+    rows = tables.table(spark, sf_dir, "conversations").where("text <> ''")
+    tokens = rows.select("conv_id", "turn", F.explode(tok.encode(F.col("text"), by_byte)).alias("token_id"))
+    told = tokens.join(F.broadcast(tok.vocabulary(spark, by_byte).select("token_id", "printable")), "token_id")
+    return told.groupBy("conv_id", "turn").agg(F.count("*").alias("tokens"), F.count_if(~F.col("printable")).alias("masked"))
 
 
 def _code_points(text):
@@ -264,10 +265,17 @@ def tool_dialogue(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.tool_dialogue(chat).alias("formatted"))
 
 
-@query("token_count_literals", "SELECT * FROM (VALUES ('10M', 10000000::BIGINT), ('1.5b', 1500000000::BIGINT), (' 50k ', 50000::BIGINT), ('123', 123::BIGINT), ('x', NULL), (NULL, NULL)) t(literal, n)")
+@query("token_count_literals", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id || 'M' WHEN 1 THEN ' ' || event_id || '.5b' WHEN 2 THEN event_id || 'k ' WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN event_type END AS literal,
+  CASE event_id % 6 WHEN 0 THEN event_id * 1000000 WHEN 1 THEN event_id * 1000000000 + 500000000 WHEN 2 THEN event_id * 1000 WHEN 3 THEN event_id END::BIGINT AS n FROM events""")
 def token_count_literals(spark, sf_dir):
-    rows = spark.createDataFrame([("10M",), ("1.5b",), (" 50k ",), ("123",), ("x",), (None,)], "literal string")
-    return rows.select("literal", formatters.token_count(F.col("literal")).alias("n"))
+    """Numbers of events as people write counts, with words and nulls among them."""
+    i = F.col("event_id").cast("string")
+    ways = [F.concat(i, F.lit("M")), F.concat(F.lit(" "), i, F.lit(".5b")), F.concat(i, F.lit("k ")), i, F.col("event_type")]
+    literal = F.when(F.lit(False), "")
+    for k, way in enumerate(ways):
+        literal = literal.when(F.col("event_id") % 6 == k, way)
+    rows = tables.table(spark, sf_dir, "events").select("event_id", literal.alias("literal"))
+    return rows.withColumn("n", formatters.token_count(F.col("literal")))
 
 
 @query("prompt_prefix", f"SELECT doc_id, 'User: Write a python solution for: ' || {_strip('text')} || chr(10) AS prompt FROM documents WHERE {_strip('text')} <> '' ORDER BY doc_id LIMIT 33")
@@ -322,13 +330,14 @@ def loss_anomaly_rollback(spark, sf_dir):
 def _schedule_sql(total: int) -> str:
     w, d = int(0.05 * total), int(0.05 * total) + int(0.75 * total)
     t = f"least(1.0, (step - {d}) / {max(1, total - d)}::DOUBLE)"
-    return f"SELECT step, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * (1 - sqrt(greatest({t}, 0))) END, 9) AS sqrt_, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * {t})) END, 9) AS cosine_, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * (1 - {t}) END, 9) AS linear_ FROM range({total}) r(step)"
+    return f"SELECT step, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * (1 - sqrt(greatest({t}, 0))) END, 9) AS sqrt_, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * {t})) END, 9) AS cosine_, round(CASE WHEN step < {w} THEN (step + 1) / {max(1, w)}::DOUBLE WHEN step < {d} THEN 1.0 ELSE 0.1 + 0.9 * (1 - {t}) END, 9) AS linear_ FROM (SELECT event_id AS step FROM events)"
 
 
-@query("lr_schedule", _schedule_sql(1000))
+@query("lr_schedule", _schedule_sql(5000))
 def lr_schedule(spark, sf_dir):
-    s = F.col("id")
-    return spark.range(1000).select(s.alias("step"), *[F.round(numeric.schedule(s, 1000, decay=k), 9).alias(f"{k}_") for k in ("sqrt", "cosine", "linear")])
+    """Events as steps of a run of 5000; later ones stay at the floor."""
+    s = F.col("event_id")
+    return tables.table(spark, sf_dir, "events").select(s.alias("step"), *[F.round(numeric.schedule(s, 5000, decay=k), 9).alias(f"{k}_") for k in ("sqrt", "cosine", "linear")])
 
 
 _LOGITS = "SELECT vec_id, i - 1 AS token_id, embedding[i]::DOUBLE AS logit FROM embeddings, range(1, {0}) r(i)"
@@ -392,29 +401,32 @@ def causal_convolution(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", F.round(numeric.causal_convolution("value", "event_id", "user_id"), 6).alias("y"))
 
 
-@query("recurrence", "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), h AS (SELECT user_id, event_id, r, value AS h FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, 0.5 * h.h + o.value FROM h JOIN o ON o.user_id = h.user_id AND o.r = h.r + 1) SELECT user_id, event_id, round(h, 5) AS h FROM h")
+@query("recurrence", "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), h AS (SELECT user_id, event_id, r, value AS h FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, cos(o.event_id) * h.h + o.value FROM h JOIN o ON o.user_id = h.user_id AND o.r = h.r + 1) SELECT user_id, event_id, round(h, 5) AS h FROM h")
 def recurrence(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.lit(0.5).alias("a"), F.col("value").alias("b"))
+    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.cos("event_id").alias("a"), F.col("value").alias("b"))
     return numeric.recurrence(rows, "user_id", "event_id", "a", "b").withColumn("h", F.round("h", 5))
 
 
-@query("retention", "WITH c AS (SELECT event_id AS step, event_id % 7 = 3 AS healthy FROM events WHERE event_type = 'click') SELECT step, healthy FROM (SELECT * FROM c ORDER BY step DESC LIMIT 5) UNION SELECT step, healthy FROM (SELECT * FROM c WHERE healthy ORDER BY step DESC LIMIT 1)")
+@query("retention", "WITH c AS (SELECT event_id AS step, event_id % 7 = 3 AS healthy FROM events) SELECT step, healthy FROM (SELECT * FROM c ORDER BY step DESC LIMIT 5) UNION SELECT step, healthy FROM (SELECT * FROM c WHERE healthy ORDER BY step DESC LIMIT 1)")
 def retention(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("step"), (F.col("event_id") % 7 == 3).alias("healthy"))
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("event_id") % 7 == 3).alias("healthy"))
     return numeric.retained(rows)
 
 
-@query("cache_footprint", "SELECT length, round(6 * 24 * length * 2 / 1048576.0, 3)::DOUBLE AS mb, ceil(length * 1000 / (8.0 * 16 * 4096))::BIGINT AS steps FROM (VALUES (1024::BIGINT), (4096::BIGINT), (32768::BIGINT)) t(length)")
+@query("cache_footprint", "SELECT doc_id, n_chars AS length, round(6 * 24 * n_chars * 2 / 1048576.0, 3)::DOUBLE AS mb, ceil(n_chars * 1000 / (8.0 * 16 * 4096))::BIGINT AS steps FROM documents")
 def cache_footprint(spark, sf_dir):
-    rows = spark.createDataFrame([(1024,), (4096,), (32768,)], "length long")
-    return rows.select("length", numeric.cache_footprint(F.lit(6), F.lit(24), F.col("length")).cast("double").alias("mb"), numeric.steps_per_epoch(F.col("length") * 1000, 8, 16, 4096).alias("steps"))
+    """What a cache for each document's characters takes, and the steps of a thousand such documents."""
+    n = F.col("n_chars")
+    return _documents(spark, sf_dir).select("doc_id", n.alias("length"), numeric.cache_footprint(F.lit(6), F.lit(24), n).cast("double").alias("mb"), numeric.steps_per_epoch(n * 1000, 8, 16, 4096).alias("steps"))
 
 
-@query("throughput", "SELECT event_id, round((event_id - lag(event_id) OVER w) / nullif(epoch(ts) - epoch(lag(ts) OVER w), 0), 6) AS tokens_per_s FROM events WHERE epoch(ts) >= 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("throughput", """WITH r AS (SELECT event_id, (event_id - lag(event_id) OVER w) / nullif(epoch(ts) - epoch(lag(ts) OVER w), 0) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT event_id, rate, greatest(0.0, 1000000 - event_id) / CASE WHEN rate > 0 THEN rate END AS s FROM r)
+  SELECT event_id, round(rate, 6) AS tokens_per_s, CASE WHEN s < 3600 THEN printf('%.1fm', s / 60) WHEN s IS NOT NULL THEN printf('%.1fh', s / 3600) END AS eta FROM s""")
 def throughput(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.struct("ts", "event_id").alias("o"))
-    rate = numeric.throughput(rows, "user_id", "o", "ts", "event_id", 1 << 40)
-    return rate.select("event_id", F.round("tokens_per_s", 6).alias("tokens_per_s"))
+    rate = numeric.throughput(rows, "user_id", "o", "ts", "event_id", 1_000_000)
+    return rate.select("event_id", F.round("tokens_per_s", 6).alias("tokens_per_s"), numeric.eta_text(F.col("hours_left") * 3600).alias("eta"))
 
 
 # --- end to end
@@ -428,9 +440,10 @@ _TEMPLATES = ["Chapter: sets and maps.", "Proof: by induction on n.", "def f(x):
 _TEMPLATE_SQL = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in _TEMPLATES) + "]"
 
 
-@query("template_cycle", f"SELECT i AS ord, ({_TEMPLATE_SQL})[i % 5 + 1] AS text FROM range(137) r(i)")
+@query("template_cycle", f"SELECT i AS ord, ({_TEMPLATE_SQL})[i % 5 + 1] AS text FROM range((SELECT count(*) FROM documents)) r(i)")
 def template_cycle(spark, sf_dir):
-    return tables.templated(spark, _TEMPLATES, 137)
+    """As many generated rows as there are documents."""
+    return tables.templated(spark, _TEMPLATES, _documents(spark, sf_dir).count())
 
 
 @query("textbook_scan", f"SELECT doc_id FROM documents WHERE {_passes(128)}")
@@ -457,13 +470,13 @@ def highlighted_tags(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", formatters.highlighted(text, {"<|thought start|>": "[think] ", "<|thought end|>": " [/think]"}).alias("shown"))
 
 
-@query("special_ids", "SELECT unnest(range(12))::INT AS token_id, unnest(" + str(list(tok.SPECIAL)) + ") AS token")
+@query("special_ids", """SELECT conv_id, turn, id AS token_id, max(token) AS token FROM (SELECT conv_id, turn, token, CASE WHEN role = token THEN 10 + turn ELSE base END AS id FROM conversations, (VALUES ('system', 0::BIGINT), ('user', 1), ('assistant', 2), ('tool', 2)) t(token, base)) GROUP BY conv_id, turn, id""")
 def special_ids(spark, sf_dir):
-    """The special tokens by id: a map of settings over the defaults, inverted."""
-    given = {k: v for k, v in tok.SPECIAL.items() if v % 2} | {"<|pad|>": 0}
-    literal = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    under = literal(tok.SPECIAL | {k: -1 for k in given})
-    return spark.range(1).select(F.explode(maps.inverted(maps.merged(under, literal(given)))).alias("token_id", "token"))
+    """Each turn's ids of the roles: its own setting over the defaults, inverted; of roles with one id the last by name counts."""
+    pairs = lambda *kv: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in kv])
+    under = F.transform_values(pairs("system", 0, "user", 1, "assistant", 2, "tool", 2), lambda k, v: v.cast("long"))
+    ids = maps.inverted(maps.merged(under, pairs(F.col("role"), F.col("turn") + 10)))
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(ids).alias("token_id", "token"))
 
 
 @query("tool_chat_scan", "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0")
@@ -494,15 +507,19 @@ def prompt_mix(spark, sf_dir):
     return mixing.prompts(start.withColumnRenamed("t", "problem"), start.withColumnRenamed("t", "instruction"), chats, 50)
 
 
-@query("prompt_assignment", f"SELECT i + 1 AS step, ({_TEMPLATE_SQL})[i % 5 + 1] AS prompt FROM range(100) r(i)")
+@query("prompt_assignment", "WITH p AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, count(*) OVER () AS n FROM conversations WHERE role = 'user'), e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT i + 1 AS step, text AS prompt FROM e JOIN p ON p.k = i % n")
 def prompt_assignment(spark, sf_dir):
-    return tables.templated(spark, _TEMPLATES, 100).select((F.col("ord") + 1).alias("step"), F.col("text").alias("prompt"))
+    """One step for each event; the prompts, all user turns, go round."""
+    prompts = tables.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    steps = tables.cycled(prompts, tables.table(spark, sf_dir, "events").count(), "ord")
+    return steps.select((F.col("place") + 1).alias("step"), F.col("text").alias("prompt"))
 
 
-@query("newest_files", "SELECT event_type AS path, user_id AS priority FROM (SELECT DISTINCT event_type, user_id FROM events) ORDER BY priority, path DESC LIMIT 10")
+@query("newest_files", "SELECT event_type || '/' || lpad(event_id::VARCHAR, 12, '0') || '.json' AS path, user_id % 3 AS priority FROM events ORDER BY priority, path DESC LIMIT 10")
 def newest_files(spark, sf_dir):
-    listing = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("user_id").alias("priority")).distinct()
-    return numeric.newest(listing, 10)
+    """Events as a listing of log files, three priorities among them."""
+    path = F.concat("event_type", F.lit("/"), F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit(".json"))
+    return numeric.newest(tables.table(spark, sf_dir, "events").select(path.alias("path"), (F.col("user_id") % 3).alias("priority")), 10)
 
 
 @query("tool_state", "SELECT conv_id, turn, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 0)::INT AS inside FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 0 WHEN turn % 2 = 0 THEN 1 END AS s FROM conversations)")
@@ -513,9 +530,11 @@ def tool_state(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)).alias("inside"))
 
 
-@query("micro_batches", "SELECT i AS seq_id, i // 8 AS micro_batch, i // 128 AS step FROM range(1000) r(i)")
+@query("micro_batches", "SELECT i AS seq_id, i // 8 AS micro_batch, i // 128 AS step FROM range((SELECT ceil(sum(strlen(text)) / 512.0)::BIGINT FROM documents)) r(i)")
 def micro_batches(spark, sf_dir):
-    return packing.micro_batches(spark.range(1000).withColumnRenamed("id", "seq_id"), 8, 16)
+    """The sequences that all documents' bytes fill, with their micro-batches and steps."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return packing.micro_batches(packing.chunks(docs, "doc_id", "n", 512).select("seq_id").distinct(), 8, 16)
 
 
 @query("parameter_totals", "SELECT p_brand AS module, sum(p_size * 512)::BIGINT AS parameters FROM part GROUP BY p_brand")
@@ -532,17 +551,17 @@ def parameter_report(spark, sf_dir):
     return numeric.parameter_report(rows, "size", "share")
 
 
-@query("state_footprint", """SELECT length, round(6 * 24 * length * 2 / 1048576.0, 3)::DOUBLE AS "kv_cache_MB", round(12 * 512 * 16 * 2 / 1048576.0, 4)::DOUBLE AS "state_MB", round((6 * 24 * length + 12 * 512 * 16) * 2 / 1048576.0, 3)::DOUBLE AS "total_MB" FROM (VALUES (1024::BIGINT), (4096::BIGINT), (32768::BIGINT)) t(length)""")
+@query("state_footprint", """SELECT doc_id, round(6 * 24 * n_chars * 2 / 1048576.0, 3)::DOUBLE AS "kv_cache_MB", round(12 * 512 * 16 * 2 / 1048576.0, 4)::DOUBLE AS "state_MB", round((6 * 24 * n_chars + 12 * 512 * 16) * 2 / 1048576.0, 3)::DOUBLE AS "total_MB" FROM documents""")
 def state_footprint(spark, sf_dir):
-    rows = spark.createDataFrame([(1024,), (4096,), (32768,)], "length long")
-    return rows.select("length", *[c.alias(n) for n, c in numeric.state_footprint(F.lit(6), F.lit(24), F.lit(12), F.lit(512), F.lit(16), F.col("length")).items()])
+    """What decoding keeps behind each document's characters."""
+    return _documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in numeric.state_footprint(F.lit(6), F.lit(24), F.lit(12), F.lit(512), F.lit(16), F.col("n_chars")).items()])
 
 
-@query("progress", "SELECT event_id, round(event_id / greatest(value, 1e-6), 6) AS tokens_per_s, least(100.0, 100.0 * event_id / 5000)::DOUBLE AS percent, round(event_id * 2 / 1e6, 6) AS mb FROM events WHERE value > 0")
+@query("progress", "SELECT event_id, round(event_id / greatest(value, 1e-6), 6) AS tokens_per_s, least(100.0, 100.0 * event_id / 5000)::DOUBLE AS percent, round(event_id * 2 / 1e6, 6) AS mb FROM events")
 def progress(spark, sf_dir):
     from millrace.plans.compile import progress as report
 
-    rows = tables.table(spark, sf_dir, "events").where("value > 0").select("event_id", F.col("event_id").alias("tokens"), F.col("value").alias("seconds"))
+    rows = tables.table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("tokens"), F.col("value").alias("seconds"))
     return report(rows, 5000).select("event_id", F.round("tokens_per_s", 6).alias("tokens_per_s"), "percent", F.round("mb", 6).alias("mb"))
 
 
@@ -555,6 +574,21 @@ def code_pairs(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", formatters.code_pair(formatters.code_of(F.lit(None).cast("string"), code)).alias("pair"))
 
 
+@query("code_nodes", """WITH d AS (SELECT doc_id, lang, n_chars % 7 AS k FROM documents WHERE text IS NOT NULL), t AS (
+    SELECT lang, unnest(['Module', 'FunctionDef', 'arguments', 'arg', 'Return', 'Constant', 'Assign', 'Name', 'Store']) AS type, unnest([1, 1, 1, 1, 1, 1 + k, k, k, k]) AS n, unnest([1, 1, 1, 1, 1, 1, k > 0, k > 0, k > 0]) AS any_ FROM d WHERE doc_id % 10 <> 3
+    UNION ALL SELECT lang, 'SyntaxError', 1, 1 FROM d WHERE doc_id % 10 = 3)
+  SELECT lang, type, sum(n)::BIGINT AS nodes FROM t GROUP BY lang, type HAVING sum(n) > 0""")
+def code_nodes(spark, sf_dir):
+    """Nodes by type of code made of each document: a function that returns its text, and as many assignments as its length says; every tenth does not parse."""
+    listed = F.to_json(F.array("text"))
+    literal = listed.substr(F.lit(2), F.length(listed) - 2)
+    lines = F.concat_ws("", F.array_repeat(F.lit("x = 1\n"), (F.col("n_chars") % 7).cast("int")))
+    code = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("def ("), literal)).otherwise(F.concat(F.lit("def f(x):\n    return "), literal, F.lit("\n"), lines))
+    rows = _documents(spark, sf_dir).select("lang", code.alias("code"))
+    nodes = rows.lateralJoin(formatters.SyntaxTree(F.col("code").outer()))
+    return nodes.groupBy("lang", "type").agg(F.count("*").alias("nodes"))
+
+
 _LENGTH = 1024
 
 
@@ -568,7 +602,7 @@ def compile_report(spark, sf_dir):
 
     path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     by_byte = tok.Tokenizer(tok.build_ranks((), 256 + len(tok.SPECIAL)), name="bytes")
-    report = write_corpus(_documents(spark, sf_dir), by_byte, path.removeprefix("file://"), _LENGTH)
+    report = write_corpus(_documents(spark, sf_dir), by_byte, path, _LENGTH)
     files.delete(spark, path)
     return spark.createDataFrame(list(report.items()), "measure string, n long")
 
@@ -577,15 +611,17 @@ def compile_report(spark, sf_dir):
   t AS (SELECT doc, unnest(list_append(list_transform(c, lambda y: unicode(y) % 65536), 2)) AS id, unnest(range(len(c) + 1)) AS k FROM x), g AS (SELECT id, row_number() OVER (ORDER BY doc, k) - 1 AS i FROM t)
   SELECT (i // 128)::BIGINT AS seq_id, sum(id)::BIGINT AS total, true AS same FROM g GROUP BY 1""")
 def token_file_round_trip(spark, sf_dir):
-    """Writes packed texts as a token file in the shared folder, reads it back and takes it away."""
+    """Writes packed texts as a token file in the shared folder in two steps, the second behind the first, reads it back and takes it away."""
     from millrace.sources import tokenfile
 
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     ids = F.transform(_code_points(F.col("text")), lambda x: x % 65536)
     rows = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(ids, F.array(F.lit(2))).alias("ids"))
     was = checkpointed(packing.pack(rows, "ord", "ids", 128).select("seq_id", "input_ids"))
-    tokenfile.write_tokens(was, path.removeprefix("file://"))
-    back = spark.read.format("tokenfile").option("length", 128).load(path.removeprefix("file://"))
+    (half,) = was.agg(F.floor(F.avg("seq_id"))).first()
+    for part, mode in ((was.where(F.col("seq_id") <= half), "overwrite"), (was.where(F.col("seq_id") > half), "append")):
+        tokenfile.write_tokens(part, path, mode)
+    back = spark.read.format("tokenfile").option("length", 128).load(path)
     both = back.join(was.withColumnRenamed("input_ids", "was"), "seq_id")
     out = checkpointed(both.select("seq_id", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.col("input_ids") == F.col("was")).alias("same")))
     files.delete(spark, path)
@@ -614,12 +650,15 @@ def agent_interaction(spark, sf_dir):
 _GENERATED = {"chapters": templates.CHAPTERS, "code": templates.CODE, "proofs": templates.PROOFS, "traces": templates.TRACES}
 
 
-@query("generated_curriculum", f"""WITH p(part, name, n, k) AS (VALUES (0, 'chapters', 150, {len(templates.CHAPTERS)}), (1, 'code', 61, {len(templates.CODE)}), (2, 'proofs', 41, {len(templates.PROOFS)}), (3, 'traces', 48, {len(templates.TRACES)})),
-  r AS (SELECT part, name, k, unnest(range(n)) AS ord FROM p)
+@query("generated_curriculum", f"""WITH t AS (SELECT n, greatest(1, floor(n * 0.5)::BIGINT) AS one, greatest(1, floor(n * 0.34)::BIGINT) AS two FROM (SELECT count(*) AS n FROM documents)),
+  q AS (SELECT one, floor(two * 0.6)::BIGINT AS code, two - floor(two * 0.6)::BIGINT AS proofs, greatest(1, n - one - two) AS traces FROM t),
+  p AS (SELECT unnest([0, 1, 2, 3]) AS part, unnest([one, code, proofs, traces]) AS n, unnest([{len(templates.CHAPTERS)}, {len(templates.CODE)}, {len(templates.PROOFS)}, {len(templates.TRACES)}]) AS k FROM q),
+  r AS (SELECT part, k, unnest(range(n)) AS ord FROM p)
   SELECT row_number() OVER (ORDER BY md5('42|' || part || '-' || ord), part || '-' || ord)::BIGINT AS place, part::INT AS part, ord::BIGINT AS ord, (ord % k)::INT AS template FROM r""")
 def generated_curriculum(spark, sf_dir):
-    """300 generated documents by quotas in seeded order, each known by its template again."""
-    out = mixing.generated_curriculum({name: make(spark, 300) for name, make in templates.GENERATORS.items()}, 300)
+    """As many generated documents as there are given ones, by quotas in seeded order, each known by its template again."""
+    n = _documents(spark, sf_dir).count()
+    out = mixing.generated_curriculum({name: make(spark, n) for name, make in templates.GENERATORS.items()}, n)
     first = None
     for part, (name, rows) in enumerate(_GENERATED.items()):
         own = templates.GENERATORS[name](spark, len(rows)).select(F.lit(part).alias("part"), F.col("ord").cast("int").alias("template"), "text")
@@ -637,8 +676,81 @@ def draft_accept(spark, sf_dir):
 
 @query("recurrence_by_state", ORACLES["recurrence"])
 def recurrence_by_state(spark, sf_dir):
-    """The recurrence as a closed form within each run, h = sum of a ** (place - k) * b, by a window of 64 values: 0.5 ** 64 is below a double's precision."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    back = F.collect_list("value").over(w.rowsBetween(-63, Window.currentRow))
-    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id", back.alias("v"))
-    return rows.select("user_id", "event_id", F.round(F.aggregate("v", F.lit(0.0), lambda h, x: 0.5 * h + x), 5).alias("h"))
+    """The recurrence over a stream of the events, whose state is one number a user."""
+    from millrace.streaming.compile import recurrence_stream
+
+    out = f"{shared_folder(spark)}/recurrence-{uuid.uuid4().hex}"
+    table = tables.table(spark, sf_dir, "events")
+    # a pattern, since a stream's path is else taken for a folder
+    events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("a", F.cos("event_id"))
+    h = recurrence_stream(events, "user_id", "event_id", "a", "value").withColumn("h", F.round("h", 5))
+    h.writeStream.format("parquet").option("path", f"{out}/h").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = checkpointed(spark.read.parquet(f"{out}/h").select("user_id", "event_id", "h"))
+    files.delete(spark, out)
+    return rows
+
+
+_UNIFORM = "('0x' || substr(md5('42|{0}|' || {1}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query("policy_loss", f"""WITH x AS (SELECT event_id, event_id // 64 AS g, event_id // 8 AS s, sum(value) OVER (PARTITION BY event_id // 8) AS reward, -{_UNIFORM.format('new', 'event_id')} AS n, -{_UNIFORM.format('old', 'event_id')} AS o, -{_UNIFORM.format('ref', 'event_id')} AS f FROM events),
+  a AS (SELECT *, (reward - avg(reward) OVER (PARTITION BY g)) / (stddev_pop(reward) OVER (PARTITION BY g) + 1e-8) AS a, exp(n - o) AS r FROM x),
+  t AS (SELECT g, s, -least(r * a, least(greatest(r, 0.8), 1.2) * a) AS p, exp(f) * (f - n) AS kl, (r < 0.8 AND a < 0)::BIGINT AS low, (r > 1.2 AND a > 0)::BIGINT AS high FROM a),
+  m AS (SELECT g, s, avg(p) AS p, avg(kl) AS kl, sum(low) AS low, sum(high) AS high, count(*) AS n FROM t GROUP BY g, s)
+  SELECT g::BIGINT AS g, round(sum(p) / 8 + 0.04 * sum(kl) / 8, 6) AS loss, round(sum(p) / 8, 6) AS policy, round(sum(kl) / 8, 6) AS kl, sum(low)::BIGINT AS clipped_low, sum(high)::BIGINT AS clipped_high, sum(n)::BIGINT AS tokens, count(*)::BIGINT AS samples FROM m GROUP BY g""")
+def policy_loss(spark, sf_dir):
+    """Events as tokens, eight to a sample and eight samples to a group; a sample's reward is the sum of its values."""
+    rows = tables.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 64).alias("g"), F.floor(F.col("event_id") / 8).alias("s"), "value")
+    rows = rows.withColumn("reward", F.sum("value").over(Window.partitionBy("s")))
+    draws = {c: -uniform(42, F.lit(c), F.col("event_id")) for c in ("new", "old", "ref")}
+    tokens = rows.withColumns(draws).withColumn("adv", rewards.advantage("reward", "g"))
+    out = rewards.policy_loss(tokens, "g", "s", "new", "old", "adv", "ref", group_size=8)
+    return out.withColumns({c: F.round(c, 6) for c in ("loss", "policy", "kl")})
+
+
+def _soft(x: str) -> str:
+    return f"list_transform({x}, lambda x: exp(x) / list_sum(list_transform({x}, lambda y: exp(y))))"
+
+
+@query("draft_correction", f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+  k AS (SELECT vec_id, i, e[12 * i + 1 : 12 * i + 12] AS t, e[12 * i + 7 : 12 * i + 18] AS d FROM v, range(4) r(i)),
+  p AS (SELECT vec_id, i, {_soft('t')} AS t, CASE WHEN vec_id % 7 = 0 THEN list_transform({_soft('t')}, lambda z: 2 * z) ELSE {_soft('d')} END AS d, floor({_UNIFORM.format('token', "vec_id || '|' || i")} * 12)::INT AS tok, {_UNIFORM.format('accept', "vec_id || '|' || i")} AS u FROM k),
+  a AS (SELECT vec_id, coalesce(min(i) FILTER (WHERE NOT (d[tok + 1] <= t[tok + 1] OR u < t[tok + 1] / greatest(d[tok + 1], 1e-8))), 4) AS accepted FROM p GROUP BY vec_id),
+  w AS (SELECT a.vec_id, a.accepted, p.t, CASE WHEN a.accepted = 4 THEN {_soft('v.e[49:60]')} ELSE list_transform(range(1, 13), lambda j: greatest(p.t[j] - p.d[j], 0.0)) END AS w, {_UNIFORM.format('pick', 'a.vec_id')} AS u FROM a JOIN v ON v.vec_id = a.vec_id LEFT JOIN p ON p.vec_id = a.vec_id AND p.i = a.accepted),
+  c AS (SELECT vec_id, accepted, t, w, list_sum(w) AS s, u * list_sum(w) AS l, list_transform(range(1, 13), lambda j: list_sum(w[1:j])) AS c FROM w)
+  SELECT vec_id, accepted::BIGINT AS accepted, CASE WHEN accepted = 4 THEN 'bonus' WHEN s > 0 THEN 'correction' ELSE 'argmax' END AS how,
+    (CASE WHEN s > 0 THEN coalesce(list_min(list_filter(range(1, 13), lambda j: w[j] > 0 AND c[j] > l)), list_max(list_filter(range(1, 13), lambda j: w[j] > 0))) ELSE list_position(t, list_max(t)) END - 1)::INT AS next_token FROM c""")
+def draft_correction(spark, sf_dir):
+    """Four proposed tokens of twelve for each vector; every seventh draft claims twice the target's probabilities, so it has nowhere less."""
+    from millrace.functions import vectors
+
+    e = F.col("embedding")
+    place = F.sequence(F.lit(0), F.lit(3))
+    part = lambda start: F.transform(place, lambda i: vectors.softmax(F.slice(e, i * 12 + start, 12)))
+    draw = lambda name: F.transform(place, lambda i: uniform(42, F.lit(name), F.col("vec_id"), i))
+    target = part(1)
+    rows = tables.table(spark, sf_dir, "embeddings").select(
+        "vec_id", target.alias("target"), F.when(F.col("vec_id") % 7 == 0, F.transform(target, lambda p: F.transform(p, lambda x: 2 * x))).otherwise(part(7)).alias("draft"),
+        F.transform(draw("token"), lambda u: F.floor(u * 12).cast("int")).alias("tokens"), draw("accept").alias("draws"), vectors.softmax(F.slice(e, 49, 12)).alias("bonus"), uniform(42, F.lit("pick"), F.col("vec_id")).alias("pick"),
+    )
+    return numeric.verified_drafts(rows).select("vec_id", "accepted", "how", "next_token")
+
+
+@query("vector_functions", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), h AS (SELECT vec_id, e, e[1:32] AS a, e[33:64] AS b FROM v),
+  n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x)) / 64 + 1e-5) AS r, list_sum(list_transform(range(1, 33), lambda i: a[i] * b[i])) / (greatest(sqrt(list_sum(list_transform(a, lambda x: x * x))), 1e-8) * greatest(sqrt(list_sum(list_transform(b, lambda x: x * x))), 1e-8)) AS c FROM h)
+  SELECT vec_id, round(list_sum(list_transform(e, lambda x: 1 / (1 + exp(-x)))), 6) AS sigmoid, round(list_sum(list_transform(e, lambda x: x / (1 + exp(-x)))), 6) AS silu, round(list_sum(list_transform(e, lambda x: ln(1 + exp(x)))), 6) AS softplus,
+    round(list_sum(list_transform(range(1, 33), lambda i: a[i] / (1 + exp(-a[i])) * b[i])), 6) AS gated, round(list_sum(list_transform(range(1, 65), lambda i: e[i] / r * i)), 6) AS rms_norm, round(c, 6) AS cosine, round(greatest(c, 0.0), 6) AS clamped,
+    round(list_max(e) - ln(list_sum(list_transform(e, lambda x: exp(x)))), 6) AS log_softmax, round(exp(list_max(e)) / list_sum(list_transform(e, lambda x: exp(x))), 6) AS softmax FROM n""")
+def vector_functions(spark, sf_dir):
+    """The functions on all 64 values of each vector; gate and cosine take its halves."""
+    from millrace.functions import vectors
+
+    e = vectors.doubles(F.col("embedding"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    a, b = F.slice(e, 1, 32), F.slice(e, 33, 32)
+    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
+    out = {
+        "sigmoid": total(F.transform(e, vectors.sigmoid)), "silu": total(F.transform(e, vectors.silu)), "softplus": total(F.transform(e, vectors.softplus)), "gated": total(vectors.gated(a, b)),
+        "rms_norm": total(vectors.rms_norm(e, weights)), "cosine": vectors.cosine(a, b), "clamped": vectors.cosine(a, b, 0.0), "log_softmax": F.array_max(vectors.log_softmax(e)), "softmax": F.array_max(vectors.softmax(e)),
+    }
+    return tables.table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for n, c in out.items()])

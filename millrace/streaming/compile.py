@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.functions import files
 from millrace.functions.checkpoints import checkpointed
 from millrace.operators import dedup, packing, quality
+from millrace.sources import tokenfile
 
 
 def _earlier(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
@@ -50,11 +51,11 @@ def prepare_stream(docs: DataFrame, output: str, **trigger: object) -> Streaming
 _REST = "n_sequences long, n_documents long, n_tokens long, ids array<int>"
 
 
-def pack_batch(spark: SparkSession, docs: DataFrame, batch: int, output: str, length: int, order: str = "ord", ids: str = "ids") -> None:
+def pack_batch(spark: SparkSession, docs: DataFrame, batch: int, output: str, length: int, order: str = "ord", ids: str = "ids", tokens: str | None = None) -> None:
     """Packs a batch's token arrays behind what earlier batches left over; whole sequences are written, the rest waits.
 
     The rest is shorter than a sequence. It is kept with its batch's number, so a batch that runs again starts from the
-    same place and replaces what it wrote.
+    same place and replaces what it wrote. Sequences go to Parquet below `output`, or to the token file at `tokens`.
     """
     before = spark.read.schema(_REST).parquet(f"{output}/rest/batch={batch - 1}").first() if batch else None
     n_sequences, n_documents, left = (before.n_sequences, before.n_documents, before.ids) if before else (0, 0, [])
@@ -64,26 +65,34 @@ def pack_batch(spark: SparkSession, docs: DataFrame, batch: int, output: str, le
     added, count = new.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
     whole, tail = divmod(len(left) + added, length)
     sequences = packed.where(F.col("seq_id") < whole).withColumn("seq_id", F.col("seq_id") + n_sequences)
-    sequences.write.mode("overwrite").parquet(f"{output}/sequences/batch={batch}")
+    _flush(sequences, batch, output, tokens)
     rest = packed.where(F.col("seq_id") == whole).first().input_ids[:tail] if tail else []
     state = spark.createDataFrame([(n_sequences + whole, n_documents + count, (n_sequences + whole) * length + tail, rest)], _REST)
     state.coalesce(1).write.mode("overwrite").parquet(f"{output}/rest/batch={batch}")
 
 
-def pack_stream(docs: DataFrame, output: str, length: int, order: str = "ord", ids: str = "ids", **trigger: object) -> StreamingQuery:
+def _flush(sequences: DataFrame, batch: int, output: str, tokens: str | None) -> None:
+    """What a batch has packed, in place of what it wrote when it ran before."""
+    if tokens is None:
+        sequences.write.mode("overwrite").parquet(f"{output}/sequences/batch={batch}")
+    else:
+        tokenfile.write_tokens(sequences, tokens, "append", commit=f"batch-{batch}")
+
+
+def pack_stream(docs: DataFrame, output: str, length: int, order: str = "ord", ids: str = "ids", tokens: str | None = None, **trigger: object) -> StreamingQuery:
     """A running query that packs a stream of token arrays; `finish_packing` pads what is left when it has ended."""
     spark = docs.sparkSession
-    write = docs.writeStream.foreachBatch(lambda df, n: pack_batch(spark, df, n, output, length, order, ids))
+    write = docs.writeStream.foreachBatch(lambda df, n: pack_batch(spark, df, n, output, length, order, ids, tokens))
     return write.option("checkpointLocation", os.path.join(output, "progress")).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def finish_packing(spark: SparkSession, output: str, length: int) -> dict[str, int]:
+def finish_packing(spark: SparkSession, output: str, length: int, tokens: str | None = None) -> dict[str, int]:
     """Writes the last sequence, filled up with id 0, and counts documents, sequences and tokens (in whole sequences)."""
     last = spark.read.schema(f"{_REST}, batch long").parquet(f"{output}/rest").orderBy(F.desc("batch")).first()
     n_sequences = last.n_sequences
     if last.ids:
         rows = spark.createDataFrame([(n_sequences, [*last.ids, *[0] * (length - len(last.ids))])], "seq_id long, input_ids array<int>")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{output}/sequences/batch={last.batch + 1}")
+        _flush(rows.coalesce(1), last.batch + 1, output, tokens)
         n_sequences += 1
     return {"documents": last.n_documents, "sequences": n_sequences, "tokens": n_sequences * length}
 

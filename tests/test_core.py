@@ -450,3 +450,87 @@ def test_small_tables_are_spread(spark, tmp_path):
     spark.range(1000).repartition(cores).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+
+
+def _stored(spark, path, length=8):
+    spark.dataSource.register(tokenfile.TokenFiles)
+    back = spark.read.format("tokenfile").option("length", length).option("range", 7).load(path)
+    return [x for r in back.orderBy("seq_id").collect() for x in r.input_ids], sorted(r.seq_id for r in back.select("seq_id").collect())
+
+
+def _sequences(spark, start, stop, base=0):
+    return spark.createDataFrame([(i, [(base + i * 8 + k) % 65536 for k in range(8)]) for i in range(start, stop)], "seq_id long, input_ids array<int>").repartition(3)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_token_files_append_overwrite_and_commit_again(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/t"
+    tokenfile.write_tokens(_sequences(spark, 0, 4), path, "append", parts=2)
+    tokenfile.write_tokens(_sequences(spark, 0, 4, 1000), path, "append", parts=2, commit="second")
+    tokenfile.write_tokens(_sequences(spark, 2, 5, 3000), path, "append")
+    want = [*range(32), *range(1000, 1032), *range(3016, 3040)]
+    assert _stored(spark, path) == (want, list(range(11)))
+    tokenfile.write_tokens(_sequences(spark, 0, 3, 2000), path, "append", commit="second")  # in its old place
+    want[32:64] = range(2000, 2024)
+    assert _stored(spark, path) == (want, list(range(10)))
+    assert _stored(spark, path, 12) == (want[:72], list(range(6)))  # parts end within sequences, the tail is dropped
+    assert tokenfile.concatenate(path, f"{scheme}{tmp_path}/all.bin") == 80
+    assert _stored(spark, f"{scheme}{tmp_path}/all.bin") == (want, list(range(10)))
+    folder = tokenfile.Folder(path)
+    tokenfile._Part(path).out.close()  # of a task that was lost
+    assert _stored(spark, path)[0] == want and folder.vacuum() == 1
+    tokenfile.write_tokens(_sequences(spark, 7, 9), path)
+    assert _stored(spark, path) == (list(range(56, 72)), [0, 1]) and folder.vacuum() == 0
+    tokenfile.write_tokens(_sequences(spark, 0, 0), path)
+    assert _stored(spark, path) == ([], [])
+
+
+def test_token_files_keep_what_others_wrote(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "t").mkdir()
+    for name, values in (("a.bin", range(5)), ("b.bin", range(5, 21))):
+        np.array(values, "<u2").tofile(tmp_path / "t" / name)
+    assert _stored(spark, str(tmp_path / "t"))[0] == list(range(16))
+    tokenfile.write_tokens(_sequences(spark, 3, 5), str(tmp_path / "t"), "append")
+    assert _stored(spark, str(tmp_path / "t"))[0] == [*range(21), *range(24, 35)]
+    with pytest.raises(Exception, match="write_tokens"):
+        _sequences(spark, 0, 9).orderBy(F.desc("seq_id")).coalesce(1).write.format("tokenfile").mode("append").save(str(tmp_path / "t"))
+
+
+def _forget_last_commit(progress):
+    """As if the query had been killed after its last batch was written and before it was marked as done."""
+    last = max((p for p in (progress / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+
+
+def test_token_stream_that_is_killed_equals_the_batch(spark, tmp_path):
+    spark.dataSource.register(tokenfile.TokenFiles)
+    for k in range(4):
+        _sequences(spark, 5 * k, 5 * k + 5).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema("seq_id long, input_ids array<int>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    for _ in range(2):
+        tokenfile.stream_tokens(source, str(tmp_path / "t"), str(tmp_path / "progress"), run=2).awaitTermination()
+        assert _stored(spark, str(tmp_path / "t")) == (list(range(160)), list(range(20)))
+        _forget_last_commit(tmp_path / "progress")
+    tokenfile.stream_tokens(source, str(tmp_path / "t"), str(tmp_path / "progress"), run=2).awaitTermination()
+    tokenfile.write_tokens(_sequences(spark, 0, 20), str(tmp_path / "batch"))
+    assert tokenfile.concatenate(str(tmp_path / "t"), str(tmp_path / "a.bin")) == tokenfile.concatenate(str(tmp_path / "batch"), str(tmp_path / "b.bin")) == 160
+    assert (tmp_path / "a.bin").read_bytes() == (tmp_path / "b.bin").read_bytes()
+
+
+def test_packed_stream_into_a_token_file(spark, tmp_path):
+    draw = random.Random(9)
+    rows = [(i, [draw.randrange(1, 99) for _ in range(draw.choice((0, 1, 3, 7, 30)))]) for i in range(30)]
+    for k in range(3):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "ord long, ids array<int>").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema("ord long, ids array<int>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out, path = str(tmp_path / "out"), str(tmp_path / "t")
+    for _ in range(2):  # the second run repeats the last batch
+        streams.pack_stream(source, out, 16, tokens=path).awaitTermination()
+        _forget_last_commit(tmp_path / "out" / "progress")
+    streams.pack_stream(source, out, 16, tokens=path).awaitTermination()
+    streams.finish_packing(spark, out, 16, path)
+    want = packing.pack(spark.createDataFrame(rows, "ord long, ids array<int>"), "ord", "ids", 16).orderBy("seq_id").collect()
+    assert _stored(spark, path, 16)[0] == [x for r in want for x in r.input_ids]
