@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.checkpoints import checkpointed  # noqa: F401
+from millrace.functions.joins import fresh, matched  # noqa: F401
 
 LEAST = -(1 << 63)
 #: A partition holds some buckets, which its task takes one after another, so it keeps one bucket in memory.
@@ -20,14 +21,6 @@ BYTES_PER_BUCKET = 32 << 10
 MOST_BLOCK_BYTES = 64 << 20
 
 
-def fresh(taken: list[str], name: str) -> str:
-    """`name`, with underscores added until no column in `taken` has it (case does not count)."""
-    have = {x.lower() for x in taken}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """Only doc_id and text (and `more`), with the key columns _id and _crc; the text as bytes-safe string."""
     return docs.select(
@@ -39,17 +32,6 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def matched(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left.join(right, key), dealt anew by a struct of the key.
-
-    A side that was aggregated by the key is dealt by it already, and then adaptive execution cannot split
-    the rows of a key that very many rows of the other side have. No aggregation deals by the struct.
-    """
-    name = fresh([*left.columns, *right.columns], "matched")
-    keyed_right = right.select(F.struct(key).alias(name), *[c for c in right.columns if c != key])
-    return left.withColumn(name, F.struct(key)).join(keyed_right, name, how).drop(name)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

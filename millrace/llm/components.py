@@ -1,9 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars.
-
-Each half-round is one aggregation and one join over the edges; the number of rounds grows with the
-logarithm of the longest path. No node's neighbours are gathered in one place: minima are
-pre-aggregated, and a node with very many neighbours is an ordinary skewed join. Every round is cut
-from its lineage by a checkpoint in the shared folder, in as few files as its rows ask for.
+"""Connected components, as the library has them.
 
 Defined results: edges that join a node with itself and repeated edges add nothing; no edges give no
 rows; edges with a null end are left out.
@@ -11,35 +6,6 @@ rows; edges with a null end are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from millrace.llm._rows import checkpointed, matched, partitions
-
-EDGES_PER_FILE = 100_000
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: of one type that has an order) -> (node, root): the smallest node reachable, for nodes of edges with a != b."""
-    n = partitions(edges.sparkSession)
-
-    def cut(e: DataFrame, rows: int) -> tuple[DataFrame, tuple]:
-        """e without loops and repeats, written once; its count and a sum of hashes."""
-        out = checkpointed(e.where("a != b").distinct().coalesce(max(1, min(n, -(-rows // EDGES_PER_FILE)))))
-        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+from millrace.functions.components import EDGES_PER_FILE, components
 
-    found = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
-    now, was = cut(found, n * EDGES_PER_FILE // 8)
-    while was[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = matched(both, low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = matched(large, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now, is_ = cut(small, was[0])
-        if is_ == was:
-            break
-        was = is_
-    # at rest every node has one edge, to its root
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["EDGES_PER_FILE", "components"]
