@@ -135,6 +135,76 @@ SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGIN
   round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM f
 """
 
+# CRC-32: the table of a byte's remainders, and the sum over a list of bytes
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))"
+_BYTES = "list_transform(range(0, strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)"
+
+
+def _crc(values: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {values}), lambda c, b: xor(c // 256, crc[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
+# repair: states are 1 nothing, 2 system, 3 user, 4 assistant; d has each state's least (cost, audit) behind a row, w that before it without insertions
+_GOES = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+_WRITES = {1: 3, 2: 3, 3: 4, 4: 3}
+
+
+def _edit(letter: str, to: int, cost: str) -> str:
+    return f"{{'c': d[{to}].c + {cost}, 'a': '{letter}' || d[{to}].a}}"
+
+
+def _reads(q: int) -> str:
+    keep = " ".join(f"WHEN k = '{kind}' AND NOT must THEN {_edit('K', to, 'more')}" for kind, to in _GOES[q].items())
+    return f"list_min([{_edit('D', q, '4')}, CASE {keep} END, CASE WHEN NOT must THEN {_edit('R', _WRITES[q], '3 + more')} END])"
+
+
+def _inserts(q: int) -> str:
+    one, two = _WRITES[q], _WRITES[_WRITES[q]]
+    return f"list_min([w[{q}], {{'c': w[{one}].c + 3, 'a': 'I' || w[{one}].a}}, {{'c': w[{two}].c + 6, 'a': 'II' || w[{two}].a}}])"
+
+
+_TO = "CASE WHEN q = 3 THEN 'assistant' ELSE 'user' END"
+
+OP12 = rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {_crc("list_transform(string_split(key, ''), lambda z: ascii(z)::BIGINT)")} % 20 AS hit FROM x, tab),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(2) t(i) WHERE hit <> 0 AND (i = 0 OR hit = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM d),
+s AS (SELECT *, substr(role, 1, 1) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM o),
+f AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM s)),
+g(conv_id, r, d) AS (SELECT conv_id, max(r) + 1, [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}] FROM f GROUP BY conv_id
+  UNION ALL SELECT conv_id, r, [{', '.join(map(_inserts, _GOES))}] FROM (SELECT g.conv_id, f.r, [{', '.join(map(_reads, _GOES))}] AS w FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.r = g.r - 1)),
+a AS MATERIALIZED (SELECT conv_id, d[1].c AS cost, d[1].a AS audit FROM g WHERE r = 1),
+t(conv_id, audit, p, i, q, turns) AS (SELECT conv_id, audit, 0, 0, 1, []::VARCHAR[] FROM a
+  UNION ALL SELECT n.conv_id, audit, p + 1, ni, CASE l WHEN 'D' THEN q WHEN 'K' THEN CASE k WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE CASE WHEN q = 3 THEN 4 ELSE 3 END END,
+    CASE l WHEN 'D' THEN turns WHEN 'K' THEN list_append(turns, role || ':' || text) WHEN 'R' THEN list_append(turns, {_TO} || ':' || text) ELSE list_append(turns, {_TO} || ':') END
+  FROM (SELECT *, audit[p + 1] AS l, i + CASE WHEN audit[p + 1] = 'I' THEN 0 ELSE 1 END AS ni FROM t WHERE p < length(audit)) n LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.r = n.ni),
+e AS (SELECT conv_id, sha256(array_to_string(turns, chr(10))) AS sha FROM t WHERE p = length(audit)),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+  count_if(r > 1 AND before || k NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP13 = rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents)),
+k AS (SELECT doc_id, w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS key FROM r WHERE length(w) >= 7 GROUP BY doc_id, w),
+h AS (SELECT w, n, {_crc(_BYTES.format('key'))} AS h FROM k, tab),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, n FROM h),
+v AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM d WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+o AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i) AS a, substr(w, i + 2) AS b FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+p AS (SELECT x.w AS w, y.w AS o, y.n AS m FROM o x JOIN o y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION SELECT v.w, o.w, o.n FROM o JOIN v ON v.w = o.a || o.b UNION SELECT o.w, v.w, v.n FROM o JOIN v ON v.w = o.a || o.b),
+s AS (SELECT w, count(*) AS n_near, max(m) AS m, min(o) FILTER (WHERE m = big) AS o FROM (SELECT *, max(m) OVER (PARTITION BY w) AS big FROM p) GROUP BY w),
+f AS MATERIALIZED (SELECT v.w, v.n, coalesce(s.n_near, 0) AS n_near, CASE WHEN s.m >= 10 * v.n THEN s.o END AS form, CASE WHEN s.m >= 10 * v.n THEN s.m END AS form_n FROM v LEFT JOIN s ON s.w = v.w),
+c(w, up) AS (SELECT w, w FROM f UNION ALL SELECT c.w, f.form FROM c JOIN f ON f.w = c.up WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form, c.up AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN c ON c.w = f.w JOIN f g ON g.w = c.up AND g.form IS NULL
+"""
+
 ORACLES = {
     "op4_jaccard_join": OP4,
     "op5_license_scan": OP5,
@@ -143,4 +213,6 @@ ORACLES = {
     "op8_decontaminate": OP8,
     "op9_substring_dedup": OP9,
     "op10_quality_rules": OP10,
+    "op12_turn_repair": OP12,
+    "op13_spelling": OP13,
 }

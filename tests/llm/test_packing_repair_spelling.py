@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bin_packing, queries, spelling, turn_repair
+from millrace.llm import bin_packing, oracles, queries, spelling, turn_repair
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, bucket string, ids int, size string, start string, word int, n string, key string, low string"
@@ -206,3 +206,26 @@ def test_pairs_are_made_once(spark):
         pairs = [frozenset((r.word, r.other)) for r in spelling.near_pairs(words, most).collect()]
         assert len(pairs) == len(set(pairs)) == 128 * 7 // 2 + 256 * 8 // 2 + sum(len({x[:i] + x[i + 1 :] for i in range(8)}) for x in itertools.product("ab", repeat=8))
     assert words.select(F.max("n")).first()[0] == 3
+
+
+def in_duckdb(sql, table, columns, rows):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE {table} ({columns})")
+    db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * (columns.count(',') + 1))})", rows)
+    cursor = db.execute(sql)
+    names = [x[0] for x in cursor.description]
+    return [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+
+
+def test_sql_of_odd_rows():
+    """The SQL is judged by the same plain forms as the operators."""
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    rows = in_duckdb(oracles.OP12, "conversations", "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", talks())
+    assert {r["conv_id"]: tuple(r[c] for c in names) for r in rows} == brute.repairs(talks())
+    draw = random.Random(8)
+    words = ["aaaaaaa", "aaaaaaaa", "baaaaaaa", "ÀÉÎõüÿñ", "àÉÎõüÿñ"] + ["".join(draw.choice("ab") for _ in range(draw.randrange(7, 10))) for _ in range(40)]
+    texts = [(d, " ".join(draw.choices(words, [90 if i % 9 == 0 else 1 for i in range(len(words))], k=80))) for d in range(20)] + [(None, "aaaaaaa"), (5, None)]
+    rows = in_duckdb(oracles.OP13, "documents", "doc_id BIGINT, text VARCHAR", texts)
+    assert {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows} == brute.variants(texts)
