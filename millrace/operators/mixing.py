@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import rank_key
-from millrace.functions.prefix import running_sum
+from millrace.functions.joins import fresh
+from millrace.functions.prefix import ROWS, running_sum
 from millrace.functions.text import captured, not_blank, strip
 
 # Shares of the three phases, and slots by source in a round of 100.
@@ -35,8 +36,9 @@ def split_quota(n: int, ratio: float) -> tuple[int, int]:
 
 def first_n(df: DataFrame, source: str, order: str, quota: Column | int) -> DataFrame:
     """The first rows of each source by order. quota may be a column that is constant by source."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(order))
-    return df.withColumn("_place", place).where(F.col("_place") <= quota).drop("_place")
+    place = fresh(df.columns, "place")
+    numbered = df.withColumn(place, F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    return numbered.where(F.col(place) <= quota).drop(place)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -44,17 +46,21 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(rank_key(seed, F.col(key)), key)
 
 
-def placed(df: DataFrame, key: str, seed: int = 42, name: str = "place") -> DataFrame:
+def placed(df: DataFrame, key: str, seed: int = 42, name: str = "place", rows: int = ROWS) -> DataFrame:
     """df with `name`, each row's number from 1 in the order of `shuffled`.
 
-    The order is cut into 4096 stretches by the hash's first digits, and their counts are added up first;
+    The order is cut by the hash's first digits into stretches of about `rows` rows, and their counts are added up first;
     within a stretch a window does the rest.
     """
-    cut = df.withColumn("_rank", rank_key(seed, F.col(key))).withColumn("_stretch", F.substring("_rank", 1, 3))
-    counts = cut.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    base = counts.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_stretch").orderBy("_rank", key))
-    return cut.join(F.broadcast(base), "_stretch").withColumn(name, (F.col("_base") + inside).cast("long")).drop("_rank", "_stretch", "_base")
+    rank, stretch, base, n = (fresh([*df.columns, name], x) for x in ("rank", "stretch", "base", "n"))
+    digits, count = 1, df.count()
+    while count > rows * 16**digits:
+        digits += 1
+    cut = df.withColumn(rank, rank_key(seed, F.col(key))).withColumn(stretch, F.substring(rank, 1, digits))
+    counts = cut.groupBy(stretch).agg(F.count("*").alias(n))
+    before = counts.select(stretch, (F.sum(n).over(Window.orderBy(stretch)) - F.col(n)).alias(base))
+    inside = F.row_number().over(Window.partitionBy(stretch).orderBy(rank, key))
+    return cut.join(F.broadcast(before), stretch).withColumn(name, (F.col(base) + inside).cast("long")).drop(rank, stretch, base)
 
 
 def round_slots(df_spark, rounds: int, pattern: dict[str, int] = ROUND, seed: int = 42) -> DataFrame:
@@ -78,19 +84,21 @@ def interleave(slots: DataFrame, pool: DataFrame, order: str) -> DataFrame:
     source are found in every partition before any are dealt by source.
     """
     (most,) = slots.agg(F.max("ordinal")).first()
+    at, size = (fresh([*slots.columns, *pool.columns], x) for x in ("at", "size"))
     place = F.row_number().over(Window.partitionBy("source").orderBy(order))
-    numbered = pool.select("source", order).withColumn("_at", place).where(F.col("_at") <= (0 if most is None else most + 1))
-    numbered = numbered.withColumn("_at", F.col("_at") - 1)
-    sizes = pool.groupBy("source").agg(F.count("*").alias("_size"))
-    at = (F.col("ordinal") % F.col("_size")).cast("int")
-    chosen = slots.join(F.broadcast(sizes), "source").withColumn("_at", at).join(numbered, ["source", "_at"]).drop("_at", "_size")
+    numbered = pool.select("source", order).withColumn(at, place).where(F.col(at) <= (0 if most is None else most + 1))
+    numbered = numbered.withColumn(at, F.col(at) - 1)
+    sizes = pool.groupBy("source").agg(F.count("*").alias(size))
+    turn = (F.col("ordinal") % F.col(size)).cast("int")
+    chosen = slots.join(F.broadcast(sizes), "source").withColumn(at, turn).join(numbered, ["source", at]).drop(at, size)
     return chosen.join(pool, ["source", order])
 
 
 def within_budget(docs: DataFrame, order: str, tokens: str, length: int, target: int) -> DataFrame:
     """Documents taken until the tokens flushed in whole sequences of `length` reach the target."""
-    summed = running_sum(docs, order, tokens, "_before")
-    return summed.where(F.floor(F.col("_before") / length) * length < target).drop("_before")
+    before = fresh(docs.columns, "before")
+    summed = running_sum(docs, order, tokens, before)
+    return summed.where(F.floor(F.col(before) / length) * length < target).drop(before)
 
 
 def backfilled(have: DataFrame, total: int, generated: DataFrame) -> DataFrame:
@@ -124,8 +132,8 @@ def generated_curriculum(generated: dict[str, DataFrame], total: int, shares: tu
     for part, (name, n) in enumerate((("chapters", one), ("code", code), ("proofs", two - code), ("traces", three))):
         rows = generated[name].where(F.col("ord") < n).select(F.lit(part).alias("part"), F.col("ord").cast("long").alias("ord"), "text")
         out = rows if out is None else out.unionByName(rows)
-    keyed = out.withColumn("_key", F.concat_ws("-", "part", "ord"))
-    return placed(keyed, "_key", seed).select("place", "part", "ord", "text")
+    keyed = out.withColumn("key", F.concat_ws("-", "part", "ord"))
+    return placed(keyed, "key", seed).select("place", "part", "ord", "text")
 
 
 def prompts(problems: DataFrame, instructions: DataFrame, chats: DataFrame, count: int, order: str = "ord") -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.joins import fresh
 from millrace.functions.prefix import running_sum
 
 
 def chunks(docs: DataFrame, order: str, count: str, length: int) -> DataFrame:
     """(seq_id, pos, order, skip, take): which tokens of a document fall where; one row for each overlap."""
-    placed = running_sum(docs, order, count, "_g").where(F.col(count) > 0)
-    last = F.floor((F.col("_g") + F.col(count) - 1) / length)
-    each = placed.withColumn("seq_id", F.explode(F.sequence(F.floor(F.col("_g") / length), last)))
-    start = F.greatest(F.col("_g"), F.col("seq_id") * length)
-    stop = F.least(F.col("_g") + F.col(count), (F.col("seq_id") + 1) * length)
-    return each.withColumns({"pos": (start - F.col("seq_id") * length).cast("int"), "skip": (start - F.col("_g")).cast("int"), "take": (stop - start).cast("int")}).drop("_g")
+    before = fresh(docs.columns, "before")
+    placed = running_sum(docs, order, count, before).where(F.col(count) > 0)
+    first, n = F.col(before), F.col(count)
+    each = placed.withColumn("seq_id", F.explode(F.sequence(F.floor(first / length), F.floor((first + n - 1) / length))))
+    start = F.greatest(first, F.col("seq_id") * length)
+    stop = F.least(first + n, (F.col("seq_id") + 1) * length)
+    return each.withColumns({"pos": (start - F.col("seq_id") * length).cast("int"), "skip": (start - first).cast("int"), "take": (stop - start).cast("int")}).drop(before)
 
 
 def pack(docs: DataFrame, order: str = "ord", ids: str = "ids", length: int = 4096) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import files
+from millrace.functions.joins import fresh
 from millrace.functions.prefix import running_sum
 from millrace.functions.text import not_blank
 from millrace.operators.mixing import split_quota
@@ -41,9 +42,10 @@ def cycled(rows: DataFrame, count: int, order: str, otherwise: DataFrame | None
     spark = rows.sparkSession
     if otherwise is not None and rows.isEmpty():
         return cycled(otherwise, count, order)
-    numbered = running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", "_at").drop("_one")
+    one, at = (fresh([*rows.columns, "place"], x) for x in ("one", "at"))
+    numbered = running_sum(rows.withColumn(one, F.lit(1)), order, one, at).drop(one)
     n = max(1, rows.count())
-    return spark.range(count).select(F.col("id").alias("place"), (F.col("id") % n).alias("_at")).join(numbered, "_at").drop("_at")
+    return spark.range(count).select(F.col("id").alias("place"), (F.col("id") % n).alias(at)).join(numbered, at).drop(at)
 
 
 def tool_chats(df: DataFrame) -> DataFrame:

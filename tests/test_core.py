@@ -374,13 +374,18 @@ def test_an_endless_mix(spark, tmp_path):
     batch = [tuple(r) for r in mixing.round_slots(spark, 4, pattern).orderBy("slot").collect()]
     assert [x for k in range(4) for x in slots.round_of(k, pattern, 42)] == batch
     spark.dataSource.register(slots.RoundSlots)
-    source = spark.readStream.format("round_slots").option("pattern", json.dumps(pattern)).load()
+    reader = spark.readStream.format("round_slots").option("pattern", json.dumps(pattern)).option("rounds", 3).option("range", 2)
+    source = reader.option("notes", f"file://{tmp_path}/notes").load()
     pools = {s: spark.createDataFrame([(10 * i, f"{s}{i}") for i in range(n)], "ord long, text string") for s, n in (("a", 4), ("b", 3))}
-    query = slots.mixed(source, pools, "ord").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).start()
-    until = time.time() + 60
-    while time.time() < until and (query.lastProgress is None or query.lastProgress["batchId"] < 3):
-        time.sleep(0.3)
-    query.stop()
+    for batches in (1, 3):  # stopped, and started again
+        query = slots.mixed(source, pools, "ord").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).start()
+        until = time.time() + 60
+        while time.time() < until and (query.lastProgress is None or query.lastProgress["batchId"] < batches):
+            time.sleep(0.3)
+        query.stop()
+    assert slots._Reader(pattern, 42, 3, 2, None).partitions({"round": 0}, {"round": 3}) == [slots._Rounds(0, 2), slots._Rounds(2, 3)]
+    with pytest.raises(ValueError, match="notes"):
+        slots._Reader(pattern, 42, 3, 2, None).partitions({"round": 6}, {"round": 3})
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("slot").collect()
     assert len(rows) >= 15 and [r.slot for r in rows] == list(range(len(rows)))
     assert [r.text for r in rows[:20]] == [f"{s}{o % (4 if s == 'a' else 3)}" for _, s, o in batch][: len(rows)]
@@ -534,3 +539,14 @@ def test_packed_stream_into_a_token_file(spark, tmp_path):
     streams.finish_packing(spark, out, 16, path)
     want = packing.pack(spark.createDataFrame(rows, "ord long, ids array<int>"), "ord", "ids", 16).orderBy("seq_id").collect()
     assert _stored(spark, path, 16)[0] == [x for r in want for x in r.input_ids]
+
+
+def test_helper_columns_do_not_touch_the_user_s(spark):
+    rows = spark.createDataFrame([(i, "s", 3, f"x{i}") for i in range(9)], "ord long, source string, n long, at string").withColumns({c: F.lit(c) for c in ("before", "stretch", "one", "size", "base", "rank", "cuts", "key")})
+    names = rows.columns
+    for out, more in (
+        (running_sum(rows, "ord", "n", "sum", 2), ["sum"]), (mixing.first_n(rows, "source", "ord", 4), []), (mixing.placed(rows, "ord", rows=1), ["place"]), (mixing.within_budget(rows, "ord", "n", 4, 12), []),
+        (tables.cycled(rows, 20, "ord"), ["place"]), (packing.chunks(rows, "ord", "n", 4), ["seq_id", "pos", "skip", "take"]), (mixing.interleave(mixing.round_slots(spark, 1, {"s": 3}), rows, "ord"), ["slot", "ordinal"]),
+    ):
+        assert sorted(out.columns) == sorted([*names, *more]) and {(r.before, r.key, r.at[:1]) for r in out.collect()} == {("before", "key", "x")}
+    assert sorted(r.place for r in mixing.placed(rows, "ord", rows=1).collect()) == list(range(1, 10))
