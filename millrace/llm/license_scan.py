@@ -12,7 +12,9 @@ before the first mandatory word are not needed and not part of a run. The automa
 template's first mandatory phrase stands, and goes on behind a run that it has accepted, so the work
 is linear in the text.
 
-Beside the templates, four base phrases are counted wherever their words stand consecutively.
+Beside the templates, four base phrases are counted wherever their words stand consecutively, and SPDX tags are read
+as what they are, expressions: identifiers joined by AND and OR, maybe in parentheses, each maybe WITH an exception, which
+is no license. An identifier's label is itself in small letters, without -only, -or-later or +; its score is 0.8.
 
 Words are runs of ASCII letters, digits and anything outside ASCII, with A-Z in lower case.
 Defined results: null or empty text has no words, no places and score 0; rows are scanned one by
@@ -85,12 +87,14 @@ TEMPLATES = [
     ("cc-by-4.0", 0.8, "under <<optional>>a<</optional>> <<optional>>the<</optional>> CC BY 4.0"),
     ("cc-by-sa-4.0", 0.8, "under <<optional>>a<</optional>> <<optional>>the<</optional>> CC BY-SA 4.0"),
     ("cc-by-nc-4.0", 0.8, "under <<optional>>a<</optional>> <<optional>>the<</optional>> CC BY-NC 4.0"),
-    ("mit", 0.8, "SPDX-License-Identifier: MIT"), ("apache-2.0", 0.8, "SPDX-License-Identifier: Apache-2.0"),
-    ("bsd-2-clause", 0.8, "SPDX-License-Identifier: BSD-2-Clause"), ("bsd-3-clause", 0.8, "SPDX-License-Identifier: BSD-3-Clause"),
-    ("gpl-2.0", 0.8, "SPDX-License-Identifier: GPL-2.0"), ("gpl-3.0", 0.8, "SPDX-License-Identifier: GPL-3.0"),
 ]
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: An SPDX tag and its expression on one line; identifiers end with a letter, a digit or +.
+_ID = r"[(]*[A-Za-z0-9.+-]*[A-Za-z0-9+][)]*"
+TAG = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+_TAG, _WITH = re.compile(TAG.encode()), re.compile(rb"[ \t]WITH[ \t]+[^ \t]+")
+SPDX_SCORE = 0.8
 MARK = re.compile(r"<<(/?optional|any:\d+)>>")
 
 
@@ -173,6 +177,12 @@ class Automaton:
                     past = end
 
 
+def spdx(text: bytes) -> set[str]:
+    """Labels of the identifiers in the text's SPDX tags."""
+    ids = {x.strip(b"()") for m in _TAG.finditer(text) for x in _WITH.sub(b" ", m[1]).split() if x not in (b"AND", b"OR")}
+    return {re.sub(r"(-only|-or-later|\+)$", "", x.decode().lower()) for x in ids if x}
+
+
 def places(joined: bytes, phrase: bytes) -> Iterator[int]:
     """Byte places where the phrase's words stand consecutively in words joined by one space."""
     at = joined.find(phrase)
@@ -205,6 +215,9 @@ def scan(text: bytes, automata: list[Automaton]) -> tuple:
             labels.add(a.label)
             score = max(score, a.score)
             spans.append(f"{a.label}:{start}-{end}")
+    tagged = spdx(text)
+    labels |= tagged
+    score = max(score, SPDX_SCORE if tagged else 0.0)
     at = [x for x, _ in found]
     return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 

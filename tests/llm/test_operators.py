@@ -300,6 +300,23 @@ def test_license_templates():
         license_scan.Automaton.compile("x", 1.0, "<<optional>>all of it<</optional>> <<any:3>>")
 
 
+def test_spdx_tags():
+    of = lambda t: license_scan.spdx(t.encode())
+    assert of("// SPDX-License-Identifier: MIT-0\n") == {"mit-0"} and of("SPDX-License-Identifier: BSD-3-Clause-Clear.") == {"bsd-3-clause-clear"}
+    assert of("SPDX-License-Identifier: (MIT OR Apache-2.0) and more") == {"mit", "apache-2.0"} and of("SPDX-License-Identifier:\nMIT") == set()
+    assert of("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND LGPL-2.1+\nSPDX-License-Identifier: GPL-3.0-only") == {"gpl-2.0", "lgpl-2.1", "gpl-3.0"}
+    rows = {1: "SPDX-License-Identifier: (MIT OR  Apache-2.0) x", 2: "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND LGPL-2.1+", 3: "SPDX-License-Identifier: MIT-0, MIT", 4: None}
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(rows.items()))
+    labels = {r[0]: r[1] for r in db.execute(f"SELECT doc_id, labels FROM ({oracles.OP5})").fetchall()}
+    assert labels == {1: "apache-2.0,mit", 2: "gpl-2.0,lgpl-2.1", 3: "mit-0", 4: ""}
+    automata = license_scan.compiled(license_scan.TEMPLATES)
+    assert all(license_scan.scan((t or "").encode(), automata)[5] == labels[d] for d, t in rows.items())
+
+
 def test_licenses_against_regular_expressions(spark):
     """Random texts of the templates' own wording, cut, changed and joined, and templates with nested regions."""
     templates = [("a", 1.0, "x <<optional>>y <<any:2>> z<</optional>> w"), ("b", 0.9, "<<any:3>> w <<optional>>x<</optional>> <<any:1>> y y"), ("c", 0.7, "z <<any:2>> z"), *license_scan.TEMPLATES]
