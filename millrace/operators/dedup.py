@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import files
 from millrace.functions.checkpoints import checkpointed, stored
 from millrace.functions.components import components
 from millrace.functions.joins import matched
@@ -173,7 +174,7 @@ def greedy_kept(rows: DataFrame, rounds: int = ROUNDS, component: int = COMPONEN
     everyone = rows.select("ord").distinct()
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     open_ = checkpointed(rows.join(shared, ["band", "key"]).select("ord", "band", "key"))
-    dropped, done = None, 0
+    dropped, done, path = None, 0, None
     while not open_.isEmpty():
         if done and done % rounds == 0:
             decided, open_ = _by_component(open_, component)
@@ -189,10 +190,15 @@ def greedy_kept(rows: DataFrame, rounds: int = ROUNDS, component: int = COMPONEN
         drop = open_.join(taken, ["band", "key"], "left_semi").join(keep, "ord", "left_anti").select("ord").distinct()
         # one table a round: rows that stay open, and documents that are dropped
         decided = keep.withColumn("dropped", F.lit(False)).unionByName(drop.withColumn("dropped", F.lit(True)))
-        told, _ = stored(open_.join(decided, "ord", "left").where("dropped is null or dropped"), "greedy")
-        gone = told.where("dropped").select("ord").distinct()
+        before = path
+        told, path = stored(open_.join(decided, "ord", "left").where("dropped is null or dropped"), "greedy")
+        if before:
+            files.delete(rows.sparkSession, before)
+        gone = checkpointed(told.where("dropped").select("ord").distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         open_ = told.where("dropped is null").drop("dropped")
+    if path:
+        files.delete(rows.sparkSession, path)
     return everyone if dropped is None else everyone.join(dropped, "ord", "left_anti")
 
 
