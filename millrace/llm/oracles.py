@@ -92,8 +92,8 @@ _LABELS = ", ".join(f"CASE WHEN regexp_matches(t, ' {template_regex(x)}') THEN {
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w, regexp_extract_all(coalesce(text, ''), '{license_scan.TAG}', 1) AS tags FROM documents),
-i AS (SELECT doc_id, w, flatten(list_transform(tags, lambda y: string_split(regexp_replace(regexp_replace(regexp_replace(y, '[ \t]WITH[ \t]+[^ \t]+', ' ', 'g'), '[ \t]+(AND|OR)[ \t]+', ' ', 'g'), '[ \t]+', ' ', 'g'), ' '))) AS ids FROM d),
-b AS (SELECT doc_id, len(w) AS n, flatten([{_FOUND}]) AS f, ' ' || array_to_string(w, ' ') || ' ' AS t, list_transform(list_filter(list_transform(ids, lambda y: trim(y, '()')), lambda y: y <> ''), lambda y: {{'label': regexp_replace(lower(y), '(-only|-or-later|[+])$', ''), 'score': {license_scan.SPDX_SCORE}}}) AS spdx FROM i),
+sp AS (SELECT doc_id, w, flatten(list_transform(tags, lambda y: string_split(regexp_replace(regexp_replace(regexp_replace(y, '[ \t]WITH[ \t]+[^ \t]+', ' ', 'g'), '[ \t]+(AND|OR)[ \t]+', ' ', 'g'), '[ \t]+', ' ', 'g'), ' '))) AS ids FROM d),
+b AS (SELECT doc_id, len(w) AS n, flatten([{_FOUND}]) AS f, ' ' || array_to_string(w, ' ') || ' ' AS t, list_transform(list_filter(list_transform(ids, lambda y: trim(y, '()')), lambda y: y <> ''), lambda y: {{'label': regexp_replace(lower(y), '(-only|-or-later|[+])$', ''), 'score': {license_scan.SPDX_SCORE}}}) AS spdx FROM sp),
 x AS (SELECT doc_id, n, f, list_concat(list_filter([{_LABELS}], lambda x: x IS NOT NULL), spdx) AS x FROM b)
 SELECT doc_id, n::BIGINT AS n_words, len(f)::BIGINT AS n_base, list_min(list_transform(f, lambda y: y.at))::BIGINT AS first_word, list_max(list_transform(f, lambda y: y.at))::BIGINT AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(f, lambda y: y.label))), ',') AS base_labels,
