@@ -57,6 +57,8 @@ class Taken(StatefulProcessor):
 def _settled(told: DataFrame, batch: int, output: str) -> None:
     """Decides a batch, and writes its kept documents and their keys."""
     told = checkpointed(told)
+    if told.isEmpty():  # a batch of keys only, or one that lets keys expire
+        return
     known = told.where("taken").select("ord").distinct()
     new = checkpointed(told.where("band >= 0").join(known, "ord", "left_anti").select("ord", "band", "key"))
     kept = checkpointed(dedup.greedy_kept(new))
