@@ -16,7 +16,7 @@ subsets. A set that shares fewer signatures with all others together than a simi
 with it alone drops out.
 
 Candidates. Signatures travel to buckets packed by block, once for each block and class; those with
-two or more nodes leave groups there, each distinct group once. Then an element count over the
+two or more nodes leave groups there; those with the same smallest node leave one together. Then an element count over the
 grouped nodes: a set of whose elements less than the threshold stand in any other grouped set is
 similar to none, and drops out; the others keep only shared elements, which suffice for exact
 intersections.
@@ -262,13 +262,18 @@ _FOUND_DDL = "_id long, _crc long, n long, node long, need long, payload binary"
 
 
 def _groups_of(key: np.ndarray, node: np.ndarray) -> bytes:
-    """A bucket's distinct groups of nodes, and how many signatures of either parity each node shares, packed."""
+    """A bucket's groups of nodes, and how many signatures of either parity each node shares, packed.
+
+    Groups with the same smallest node are one, named by that node. So a node is in as many groups as there are such
+    nodes before it, and not in one for each set of nodes that some signature brings together, whose
+    number grows with the square of a cluster until all of its nodes' signatures are shared.
+    """
     s, e = K.runs(key)
-    name = np.add.reduceat(K.mix(node.astype(K.U64)), s) + (e - s).astype(K.U64)
-    _, first = np.unique(name, return_index=True)
-    sizes = (e - s)[first]
-    g = np.repeat((K.mix(name[first]) >> K.U64(1)).astype(np.int64), sizes)
-    members = node[K.ranges(s[first], sizes)]
+    g = np.repeat(node[s], e - s)
+    order = np.lexsort((node, g))
+    first, members = g[order], node[order]
+    once, _ = K.runs(first, members)
+    g, members = first[once], members[once]
     each, at = np.unique(node, return_inverse=True)
     counts = np.bincount(2 * at + (key & K.U64(1)).astype(np.int64), minlength=2 * len(each)).astype(np.int32)
     return K.pack(g, members, each, counts[::2], counts[1::2])

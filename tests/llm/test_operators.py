@@ -245,6 +245,14 @@ def test_jaccard_in_many_units(spark, monkeypatch, rows, size):
     assert got(jaccard_join.jaccard_components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_groups_with_the_same_smallest_node_are_one():
+    key = np.array([10, 10, 10, 20, 20, 30, 30, 40, 40], jaccard_join.K.U64)
+    node = np.array([1, 2, 3, 1, 2, 1, 3, 2, 3])
+    g, members, each, even, odd = jaccard_join.K.unpack(jaccard_join._groups_of(key, node))
+    assert list(zip(g.tolist(), members.tolist(), strict=True)) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
+    assert each.tolist() == [1, 2, 3] and even.tolist() == [3, 3, 3] and odd.tolist() == [0, 0, 0]
+
+
 def test_links_in_blocks(monkeypatch):
     monkeypatch.setattr(jaccard_join, "SIDE", 5)
     monkeypatch.setattr(jaccard_join, "COLUMNS", 8)
