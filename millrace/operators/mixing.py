@@ -101,10 +101,13 @@ def within_budget(docs: DataFrame, order: str, tokens: str, length: int, target:
     return summed.where(F.floor(F.col(before) / length) * length < target).drop(before)
 
 
-def backfilled(have: DataFrame, total: int, generated: DataFrame) -> DataFrame:
-    """have, filled up to `total` rows from `generated`."""
+def backfilled(have: DataFrame, total: int, generated: DataFrame, order: str = "ord") -> DataFrame:
+    """have, filled up to `total` rows with the first of `generated` by order.
+
+    A limit without an order takes the rows that come first from several executors, others in each run.
+    """
     missing = max(0, total - have.count())
-    return have.unionByName(generated.limit(missing)) if missing else have
+    return have.unionByName(generated.orderBy(order).limit(missing)) if missing else have
 
 
 def curriculum(sources: dict[str, DataFrame], total: int, generated: DataFrame, order: str = "ord") -> DataFrame:

@@ -128,6 +128,12 @@ def test_curriculum_is_filled_up(spark):
     assert len(out) == 40 and out.count("t0") + out.count("t1") == 40 - 20 - 3 - 5
 
 
+def test_curriculum_is_filled_up_in_order(spark):
+    have = spark.createDataFrame([(0, "a")], "ord long, text string")
+    late_first = tables.templated(spark, ["t0", "t1"], 40).orderBy(F.desc("ord"))
+    assert sorted((r.ord, r.text) for r in mixing.backfilled(have, 4, late_first).collect()) == [(0, "a"), (0, "t0"), (1, "t1"), (2, "t0")]
+
+
 def test_prompts(spark):
     p = spark.createDataFrame([(i, f" p{i} " if i else "  ") for i in range(5)], "ord long, problem string")
     c = spark.createDataFrame([(i, f"do {i}") for i in range(5)], "ord long, instruction string")
