@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -78,9 +78,17 @@ def reward(completions: DataFrame, text: str = "completion") -> DataFrame:
     return checked.withColumns(parts).withColumn("total_reward", total).drop("_p", "_t")
 
 
-def advantage(value: str, group: str, epsilon: float = 1e-8) -> Column:
-    """A value's distance from its group's mean in population standard deviations."""
-    w = Window.partitionBy(group)
+def in_order(group: str, order: str) -> WindowSpec:
+    """A whole group, its sums added up by order, so that they are the same in each run."""
+    return Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def advantage(value: str, group: str, epsilon: float = 1e-8, order: str | None = None) -> Column:
+    """A value's distance from its group's mean in population standard deviations.
+
+    The sign of a value that is the mean itself hangs on rounding, so on the order in which the mean is added up: `order` fixes it.
+    """
+    w = in_order(group, order) if order else Window.partitionBy(group)
     return (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + epsilon)
 
 

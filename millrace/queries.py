@@ -701,9 +701,9 @@ _UNIFORM = "('0x' || substr(md5('42|{0}|' || {1}), 1, 8))::BIGINT / 4294967296.0
 def policy_loss(spark, sf_dir):
     """Events as tokens, eight to a sample and eight samples to a group; a sample's reward is the sum of its values."""
     rows = tables.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 64).alias("g"), F.floor(F.col("event_id") / 8).alias("s"), "value")
-    rows = rows.withColumn("reward", F.sum("value").over(Window.partitionBy("s")))
+    rows = rows.withColumn("reward", F.sum("value").over(rewards.in_order("s", "event_id")))
     draws = {c: -uniform(42, F.lit(c), F.col("event_id")) for c in ("new", "old", "ref")}
-    tokens = rows.withColumns(draws).withColumn("adv", rewards.advantage("reward", "g"))
+    tokens = rows.withColumns(draws).withColumn("adv", rewards.advantage("reward", "g", order="event_id"))
     out = rewards.policy_loss(tokens, "g", "s", "new", "old", "adv", "ref", group_size=8)
     return out.withColumns({c: F.round(c, 6) for c in ("loss", "policy", "kl")})
 

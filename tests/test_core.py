@@ -1,6 +1,7 @@
 """Operators of corpus compilation on small hand-made frames."""
 
 import collections
+import functools
 import json
 import random
 
@@ -134,6 +135,19 @@ def test_curriculum_is_filled_up_in_order(spark):
     assert sorted((r.ord, r.text) for r in mixing.backfilled(have, 4, late_first).collect()) == [(0, "a"), (0, "t0"), (1, "t1"), (2, "t0")]
 
 
+def test_advantage_is_added_up_in_order(spark):
+    """A value that is the mean as added up in order, and not as added up in the order in which the rows come."""
+    draw = random.Random(1)
+    while True:
+        values = [round(draw.uniform(0, 10), 2) for _ in range(8)]
+        values[3] = round(8 * sum(values[:3] + values[4:]) / 56, 2)
+        if functools.reduce(lambda a, b: a + b, values) / 8 == values[3] != functools.reduce(lambda a, b: a + b, values[::-1]) / 8:
+            break
+    rows = spark.createDataFrame([(1, i, v) for i, v in reversed(list(enumerate(values)))], "g long, i long, v double").coalesce(1)
+    assert {r.i: r.a for r in rows.withColumn("a", rewards.advantage("v", "g", order="i")).collect()}[3] == 0.0
+    assert {r.i: r.a for r in rows.withColumn("a", rewards.advantage("v", "g")).collect()}[3] != 0.0
+
+
 def test_prompts(spark):
     p = spark.createDataFrame([(i, f" p{i} " if i else "  ") for i in range(5)], "ord long, problem string")
     c = spark.createDataFrame([(i, f"do {i}") for i in range(5)], "ord long, instruction string")
