@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,11 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, rows: int = RO
     """df with `name`, the sum of `value` over all rows before this one by `order` (a unique integer, not null).
 
     The stretches' sums (MOST numbers at most) are added up first and joined back; within a stretch a window does the rest.
+    A stretch is bounded in rows, so texts and arrays stay out of it: their rows get the sums by a join on `order`.
     """
+    if any(re.match("string|binary|array|map|struct|variant|char|varchar", t) for c, t in df.dtypes if c not in (order, value)):
+        sums = running_sum(df.select(*dict.fromkeys((order, value))), order, value, name, rows)
+        return df.join(sums.select(order, name), order).select(*df.columns, name)
     stretch = fresh([*df.columns, name], "stretch")
     base, total = (fresh([*df.columns, name, stretch], x) for x in ("base", "total"))
     cut, stretches = stretched(df, order, stretch, rows)

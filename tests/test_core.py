@@ -148,6 +148,28 @@ def test_advantage_is_added_up_in_order(spark):
     assert {r.i: r.a for r in rows.withColumn("a", rewards.advantage("v", "g")).collect()}[3] != 0.0
 
 
+def in_windows(df):
+    """The columns that windows of df's plan carry."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    windows = [x for x in nodes(df._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Window"]
+    assert windows
+    return {x.output().apply(i).name() for x in windows for i in range(x.output().size())}
+
+
+def test_no_window_carries_tokens_or_texts(spark):
+    docs = spark.createDataFrame([(i, [i] * (i % 5), "t" * i) for i in range(40)], "ord long, ids array<int>, text string")
+    assert "_ids" not in in_windows(packing.pack(docs, "ord", "ids", 8))
+    out = running_sum(docs.withColumn("n", F.size("ids")), "ord", "n", "before", rows=10)
+    assert not {"ids", "text"} & in_windows(out) and out.columns == ["ord", "ids", "text", "n", "before"]
+    assert sorted((r.ord, r.before, r.text) for r in out.collect()) == [(i, sum(k % 5 for k in range(i)), "t" * i) for i in range(40)]
+    assert sorted(r.ord for r in mixing.within_budget(docs.withColumn("n", F.size("ids")), "ord", "n", 8, 16).collect()) == list(range(9))
+
+
 def test_prompts(spark):
     p = spark.createDataFrame([(i, f" p{i} " if i else "  ") for i in range(5)], "ord long, problem string")
     c = spark.createDataFrame([(i, f"do {i}") for i in range(5)], "ord long, instruction string")
