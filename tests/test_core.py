@@ -170,6 +170,20 @@ def test_no_window_carries_tokens_or_texts(spark):
     assert sorted(r.ord for r in mixing.within_budget(docs.withColumn("n", F.size("ids")), "ord", "n", 8, 16).collect()) == list(range(9))
 
 
+def test_batches_are_encoded_in_slices():
+    """However many rows a batch has, few of them are Python objects at once; long pieces and many pieces are not kept."""
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 1000, None, ""] * 2000)
+    parts = list(tok._slices(texts))
+    assert pa.chunked_array(parts).to_pylist() == texts.to_pylist()
+    assert max(sum(len(t or "") for t in p.to_pylist()) for p in parts) <= tok.SLICE + 1000 and len(parts) > 5
+    lists = pa.array([[1, 2], None, []])
+    assert [p.to_pylist() for p in tok._slices(lists)] == [lists.to_pylist()] and [len(p) for p in tok._slices(lists.slice(0, 0))] == [0]
+    known = tok._Known(lambda piece: (len(piece),))
+    assert known["y" * 1000] == (1000,) and known["ab"] == (2,) and list(known) == ["ab"]
+
+
 def test_prompts(spark):
     p = spark.createDataFrame([(i, f" p{i} " if i else "  ") for i in range(5)], "ord long, problem string")
     c = spark.createDataFrame([(i, f"do {i}") for i in range(5)], "ord long, instruction string")
