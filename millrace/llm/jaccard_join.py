@@ -21,11 +21,17 @@ grouped nodes: a set of whose elements less than the threshold stand in any othe
 similar to none, and drops out; the others keep only shared elements, which suffice for exact
 intersections.
 
-Verification. Each group is a part of its smallest node's neighbourhood, and that node, the hub, is its
+Verification, in two passes. In the first a node is in one group, that of the smallest node which shares a
+signature with it, and these groups' links give components. Then every group, still packed, is held against
+those: one whose nodes are all in one component has nothing to add; the others are verified whole in the
+second pass. So a cluster of near copies, whose groups have many smallest nodes, is rows once and not once
+for each of them.
+
+Each group is a part of its smallest node's neighbourhood, and that node, the hub, is its
 pivot. A neighbourhood is dealt into units of bounded rows and bytes, the hub in each; a unit's links
 become a spanning forest in its task, and pairs are never emitted. Nodes connected with the hub in their
 unit are connected with each other, so only the rest of a neighbourhood of several units, if there is
-any, is compared with the other units. Components of those links are the answer.
+any, is compared with the other units. Components of both passes' links are the answer.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle of all; rows that repeat doc_id and text are one document;
@@ -309,35 +315,99 @@ def _group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(have)
 
 
+def _homed(home: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """(bucket, payload): columns packed by home, so that there are not as many rows as nodes times buckets."""
+    order = np.argsort(home, kind="stable")
+    home, columns = home[order], [c[order] for c in columns]
+    return _batch([(int(home[a]), K.pack(*[c[a:b] for c in columns])) for a, b in zip(*K.runs(home), strict=True)])
+
+
 def _tallies(n_homes: int):
-    """Packs a bucket's tallies by the home of their nodes, so that there are not as many rows as nodes times buckets."""
+    """A bucket's tallies and each node's smallest group, by the home of the nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, node, even, odd = K.unpack(batch.column("payload")[i].as_buffer())
-                home = node % n_homes
-                order = np.argsort(home, kind="stable")
-                node, even, odd, home = node[order], even[order], odd[order], home[order]
-                yield _batch([(int(home[a]), K.pack(node[a:b], even[a:b], odd[a:b])) for a, b in zip(*K.runs(home), strict=True)])
+                g, members, node, even, odd = K.unpack(batch.column("payload")[i].as_buffer())
+                order = np.lexsort((g, members))
+                low = g[order][K.runs(members[order])[0]]  # every node of a bucket is in a group
+                yield _homed(node % n_homes, node, even, odd, low)
 
     return run
 
 
 def _tallied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, even, odd): how many signatures of its even and odd band a node shares with any other, home by home."""
+    """(node, even, odd, low): how many signatures of its even and odd band a node shares with any other, and the
+    smallest of its groups, home by home."""
     for payloads in K.buckets_of(batches):
-        node, even, odd = map(np.concatenate, zip(*map(K.unpack, payloads), strict=True))
+        node, even, odd, low = map(np.concatenate, zip(*map(K.unpack, payloads), strict=True))
         names, at = np.unique(node, return_inverse=True)
         sums = [pa.array(np.bincount(at, x).astype(np.int64)) for x in (even, odd)]
-        yield pa.RecordBatch.from_arrays([pa.array(names), *sums], names=["node", "even", "odd"])
+        order = np.lexsort((low, at))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *sums, pa.array(low[order][K.runs(at[order])[0]])], names=["node", "even", "odd", "low"])
 
 
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            g, node, *_ = K.unpack(batch.column("payload")[i].as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(node)], names=["g", "node"])
+def _members(n_homes: int):
+    """A bucket's groups, by the home of their nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g, node, *_ = K.unpack(batch.column("payload")[i].as_buffer())
+                yield _homed(node % n_homes, g, node)
+
+    return run
+
+
+def _places(n_homes: int):
+    """Nodes and the first documents (_id, _crc) of their components, by the home of the nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node, *root = (batch.column(x).to_numpy() for x in ("node", "_id", "_crc"))
+                yield _homed(node % n_homes, node, *root)
+
+    return run
+
+
+def _placed(n_homes: int):
+    """Distinct (group, node, _id, _crc), for nodes that have a place, by the home of the groups."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for payloads in K.buckets_of(batches):
+            members, places = [], []
+            for part in map(K.unpack, payloads):
+                (members if len(part) == 2 else places).append(part)
+            if not members or not places:
+                continue
+            names, *root = map(np.concatenate, zip(*places, strict=True))
+            order = np.argsort(names)
+            names, root = names[order], [x[order] for x in root]
+            g, node = map(np.concatenate, zip(*members, strict=True))
+            at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+            there = names[at] == node
+            g, at = g[there], at[there]
+            order = np.lexsort((at, g))
+            once = order[K.runs(g[order], at[order])[0]]
+            g, at = g[once], at[once]
+            if len(g):
+                yield _homed(g % n_homes, g, names[at], *[x[at] for x in root])
+
+    return run
+
+
+def _mixed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, node): groups whose nodes are in two or more components, and their smallest nodes, home by home."""
+    for payloads in K.buckets_of(batches):
+        g, node, *root = map(np.concatenate, zip(*map(K.unpack, payloads), strict=True))
+        order = np.lexsort((node, g))
+        g, node, root = g[order], node[order], [x[order] for x in root]
+        s, e = K.runs(g)
+        first = np.repeat(s, e - s)
+        other = np.logical_or.reduceat(np.logical_or.reduce([x != x[first] for x in root]), s)
+        keep = np.repeat(other, e - s)
+        yield pa.RecordBatch.from_arrays([pa.array(node[first][keep]), pa.array(node[keep])], names=["hub", "node"])
 
 
 def _elements(shingle: int, n_buckets: int):
@@ -547,25 +617,33 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     found = checkpointed(dealt(rows.mapInArrow(_sign(shingle, percent, bands(percent), n), _ROWS_DDL)).mapInArrow(_group, _FOUND_DDL))
     members = found.where("payload is null").select("_id", "_crc", "n", "node", "need")
     packed = found.where("payload is not null").select("payload")
-    tallies = dealt(packed.mapInArrow(_tallies(max(1, n // HOMES)), _PACKED_DDL)).mapInArrow(_tallied, "node long, even long, odd long")
-    groups = packed.mapInArrow(_members, "g long, node long").distinct()
+    homes = max(1, n // HOMES)
+    tallies = dealt(packed.mapInArrow(_tallies(homes), _PACKED_DDL)).mapInArrow(_tallied, "node long, even long, odd long, low long")
 
     own = F.struct("_id", "_crc")
     one = members.where("n > 0").groupBy("node").agg(F.min(own).alias("d"), F.max(own).alias("last"), F.first("n").alias("n"), F.first("need").alias("need"))
     enough = (F.col("even") >= F.col("need") % (NONE + 1)) | (F.col("odd") >= F.floor(F.col("need") / (NONE + 1)))
-    grouped = one.join(tallies, "node").where(enough).select("node", "n", "d._id", "d._crc")
+    grouped = one.join(tallies, "node").where(enough).select("node", "n", "low", "d._id", "d._crc")
     texts = rows.join(grouped.select("node", "_id", "_crc").hint("shuffle_hash"), ["_id", "_crc"]).select("node", "text")
     elements = dealt(texts.mapInArrow(_elements(shingle, n), _PACKED_DDL))
     shared = dealt(elements.mapInArrow(_shared(n), _PACKED_DDL)).mapInArrow(_gathered, "node long, shared long, elements binary")
     alive = checkpointed(grouped.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent))
 
-    kept = groups.join(alive.select("node"), "node")
+    sets = alive.select("node", "n", "_id", "_crc", "elements")
+    kept = alive.select(F.col("low").alias("g"), "node", "shared").unionByName(alive.where("low != node").select(F.col("node").alias("g"), "node", "shared"))
     hubs = kept.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near = matched(kept, hubs.select("g", "hub"), "g").select("hub", "node").distinct()
-    near = near.join(alive.select("node", "shared"), "node")
-    links = _verified(near, alive.select("node", "n", "_id", "_crc", "elements"), percent)
-    roots = components(links)
-    linked = alive.select("node", own.alias("d")).join(roots.withColumnRenamed("node", "d"), "d").select("node", "root")
+    near = matched(kept, hubs.select("g", "hub"), "g").select("hub", "node", "shared").distinct()
+    roots = components(_verified(near, sets, percent))
+
+    firsts = alive.select("node", own.alias("d"))
+    places = firsts.join(roots.withColumnRenamed("node", "d"), "d", "left").select("node", F.coalesce("root", "d").alias("root"))
+    held = packed.mapInArrow(_members(homes), _PACKED_DDL).unionByName(places.select("node", "root.*").mapInArrow(_places(homes), _PACKED_DDL))
+    mixed = dealt(dealt(held).mapInArrow(_placed(homes), _PACKED_DDL)).mapInArrow(_mixed, "hub long, node long")
+    near = checkpointed(mixed.distinct().join(alive.select("node", "shared"), "node"))
+    if not near.isEmpty():
+        more = _verified(near, sets, percent)
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    linked = firsts.join(roots.withColumnRenamed("node", "d"), "d").select("node", "root")
     named = one.join(linked, "node", "left").where("root is not null or d != last").select("node", F.coalesce("root", "d").alias("root"))
     return matched(members, named, "node", "left").select("_id", "_crc", "n", F.coalesce("root", own).alias("root"))
 

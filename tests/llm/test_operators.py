@@ -10,6 +10,7 @@ import time
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,43 @@ def test_groups_with_the_same_smallest_node_are_one():
     assert each.tolist() == [1, 2, 3] and even.tolist() == [3, 3, 3] and odd.tolist() == [0, 0, 0]
 
 
+def test_near_copies_are_verified_under_few_hubs(spark, monkeypatch):
+    """The rows that are verified follow the documents, not the documents times the smallest nodes of their groups."""
+    draw = random.Random(5)
+    words = [f"v{i}" for i in range(60)]
+    base = [draw.choice(words) for _ in range(400)]
+    texts = []
+    for d in range(200):
+        t = list(base)
+        for _ in range(4):
+            t[10 * draw.randrange(40)] = draw.choice(words[:3])
+        texts.append((d, " ".join(t)))
+    rows, verified = [], jaccard_join._verified
+
+    def count(near, alive, percent):
+        rows.append(near.count())
+        return verified(near, alive, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", count)
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    assert got(jaccard_join.jaccard_components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == expected(texts, brute.components(texts, 4, 85))
+    assert 200 <= sum(rows) <= 3 * 200
+
+
+def test_groups_in_one_component_are_left_out():
+    """Groups 1 (nodes 1, 2 and 5, from two buckets), 3 (3 and 4) and 6 (6, without a place, and 7); 5 is alone in its component."""
+    ints = lambda *x: np.array(x, np.int64)
+    buckets = [(ints(1, 1, 3, 3, 6, 6), ints(1, 2, 3, 4, 6, 7)), (ints(1, 1, 1), ints(1, 2, 5))]
+    packed = pa.record_batch([pa.array([jaccard_join.K.pack(*x) for x in buckets], pa.binary())], names=["payload"])
+    places = pa.record_batch([pa.array(x) for x in ([1, 2, 3, 4, 5, 7], [0, 0, 8, 8, 9, 11], [0, 0, 1, 1, 0, 0])], names=["node", "_id", "_crc"])
+    for n in (1, 3):
+        held = [*jaccard_join._members(n)([packed]), *jaccard_join._places(n)([places])]
+        placed = jaccard_join._placed(n)([pa.Table.from_batches(held).sort_by("bucket").combine_chunks().to_batches()[0]])
+        placed = pa.Table.from_batches(placed).sort_by("bucket").combine_chunks().to_batches()
+        mixed = [r for b in jaccard_join._mixed(placed) for r in b.to_pylist()]
+        assert sorted((r["hub"], r["node"]) for r in mixed) == [(1, 1), (1, 2), (1, 5)]
+
+
 def test_links_in_blocks(monkeypatch):
     monkeypatch.setattr(jaccard_join, "SIDE", 5)
     monkeypatch.setattr(jaccard_join, "COLUMNS", 8)
