@@ -24,8 +24,9 @@ intersections.
 Verification, in two passes. In the first a node is in one group, that of the smallest node which shares a
 signature with it, and these groups' links give components. Then every group, still packed, is held against
 those: one whose nodes are all in one component has nothing to add; the others are verified whole in the
-second pass. So a cluster of near copies, whose groups have many smallest nodes, is rows once and not once
-for each of them.
+second pass. So a cluster of near copies that the first pass joins is rows once, and not once for each of the
+smallest nodes of its groups. Sets that share signatures but are not joined still have a row for each, at most
+one for each of their signatures.
 
 Each group is a part of its smallest node's neighbourhood, and that node, the hub, is its
 pivot. A neighbourhood is dealt into units of bounded rows and bytes, the hub in each; a unit's links
