@@ -31,12 +31,24 @@ def stretched(df: DataFrame, order: str, name: str, rows: int = ROWS, most: int
     stretches = 1
     while stretches * rows < n and stretches < most:
         stretches *= 2
+    return placed(df, order, quantiles(df, order, stretches), name), stretches
+
+
+def quantiles(df: DataFrame, order: str, stretches: int) -> list[int]:
+    """Where the order is cut into stretches (a power of two) of about as many rows each."""
     if stretches == 1:
-        return df.withColumn(name, F.lit(0)), 1
-    key, cuts_ = F.col(order).cast("long"), fresh([*df.columns, name], "cuts")
-    cuts = df.agg(F.percentile_approx(key, [k / stretches for k in range(1, stretches)], 10 * stretches)).first()[0]
+        return []
+    shares = [k / stretches for k in range(1, stretches)]
+    return df.agg(F.percentile_approx(F.col(order).cast("long"), shares, 10 * stretches)).first()[0] or []
+
+
+def placed(df: DataFrame, order: str, cuts: list[int], name: str) -> DataFrame:
+    """df with `name`, the number of its stretch by cuts of `quantiles`."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    cuts_ = fresh([*df.columns, name], "cuts")
     table = df.sparkSession.range(1).select(F.array(*map(F.lit, cuts)).alias(cuts_))
-    return df.crossJoin(F.broadcast(table)).withColumn(name, _place(key, F.col(cuts_), len(cuts))).drop(cuts_), stretches
+    return df.crossJoin(F.broadcast(table)).withColumn(name, _place(F.col(order).cast("long"), F.col(cuts_), len(cuts))).drop(cuts_)
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, rows: int = ROWS) -> DataFrame:

@@ -156,7 +156,7 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"], int(self.options.get("length", 4096)), int(self.options.get("range", RANGE)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], overwrite, self.options.get("commit"))
+        return _Writer(self.options["path"], overwrite, self.options.get("commit"), int(self.options.get("fill", 1)))
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
         return _StreamWriter(self.options["path"], self.options.get("commit", "batch"))
@@ -215,8 +215,8 @@ class _Part:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool, name: str | None):
-        self.path, self.overwrite, self.commit_name = path, overwrite, name
+    def __init__(self, path: str, overwrite: bool, name: str | None, fill: int = 1):
+        self.path, self.overwrite, self.commit_name, self.fill = path, overwrite, name, fill
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         """One part file of a task's sequences, which must come in order (see `write_tokens`)."""
@@ -237,7 +237,14 @@ class _Writer(DataSourceArrowWriter):
         return _Written([Stretch(part.name, 0, part.size, first, last)])
 
     def commit(self, messages: list) -> None:
-        Folder(self.path).commit([s for m in messages if m for s in m.stretches], self.commit_name, self.overwrite)
+        written = [s for m in messages if m for s in m.stretches]
+        missing = -sum(s.tokens for s in written) % self.fill
+        if missing:
+            end, part = max(s.last for s in written) + 1, _Part(self.path)
+            part.write(np.zeros(missing, np.int64))
+            part.out.close()
+            written.append(Stretch(part.name, 0, missing, end, end))
+        Folder(self.path).commit(written, self.commit_name, self.overwrite)
 
     def abort(self, messages: list) -> None:
         folder = Folder(self.path)
@@ -292,6 +299,16 @@ def write_tokens(sequences: DataFrame, path: str, mode: str = "overwrite", parts
     (out.option("commit", commit) if commit else out).save(path)
 
 
+def write_in_order(tokens: DataFrame, path: str, fill: int, mode: str = "overwrite", commit: str | None = None) -> None:
+    """Tokens (input_ids: of any number) in the order of their partitions and, in these, of their rows; filled up with zeros to
+    a multiple of `fill`. Nothing is shuffled, and a reader of that length finds them packed."""
+    spark = tokens.sparkSession
+    spark.dataSource.register(TokenFiles)
+    rows = tokens.select(F.monotonically_increasing_id().alias("seq_id"), "input_ids")
+    out = rows.write.format("tokenfile").option("fill", fill).mode(mode)
+    (out.option("commit", commit) if commit else out).save(path)
+
+
 def stream_tokens(sequences: DataFrame, path: str, progress: str, run: int = RANGE, **trigger: object) -> StreamingQuery:
     """A running query that appends a stream of sequences (seq_id, input_ids); each batch's are behind those of earlier ones."""
     spark = sequences.sparkSession

@@ -3,6 +3,7 @@
 import collections
 import functools
 import json
+import os
 import random
 
 import pytest
@@ -421,6 +422,38 @@ def test_corpus_file(spark, tmp_path):
     assert r["sequences_in_file"] == r["sequences"] > 0 and r["kept"] + r["duplicates"] + r["filtered"] == 60
 
 
+def test_corpus_file_is_the_packed_sequences_and_needs_no_more_disk_than_its_texts(spark, tmp_path, monkeypatch):
+    from millrace.functions.checkpoints import checkpointed
+    from millrace.plans import compile as plan
+
+    monkeypatch.setattr(plan, "TEXT", 20_000, raising=False)  # many stretches, rows in any order
+    docs = checkpointed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5, "text"))
+    folder = str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    had, path = size(), str(tmp_path / "c")
+    report = write_corpus(docs, tok.Tokenizer(), path, length=256, fim_rate=0.5)
+    assert size() - had < docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    out = compile_corpus(docs, tok.Tokenizer(), length=256, fim_rate=0.5)
+    want = [(r.seq_id, r.input_ids) for r in out.sequences.orderBy("seq_id").collect()]
+    got = spark.read.format("tokenfile").option("length", 256).load(path).orderBy("seq_id").collect()
+    assert [(r.seq_id, r.input_ids) for r in got] == want
+    assert report == out.report | {"sequences_in_file": len(want)} and report["duplicates"] > 0
+    none = write_corpus(docs.where("false"), tok.Tokenizer(), str(tmp_path / "none"), length=256)
+    assert set(none.values()) == {0}
+
+
+def test_a_corpus_has_no_rejected_text_under_the_id_of_a_kept_one(spark, tmp_path):
+    good = [(i, " ".join(f"word{i}x{k}" for k in range(40))) for i in (7, 3, -5)]
+    rows = [*good, (3, "#" * 90), (None, good[0][1] + " more"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    report = write_corpus(docs.where("doc_id is not null"), tok.Tokenizer(), str(tmp_path / "c"), length=64)
+    assert (report["documents"], report["filtered"], report["kept"], report["duplicates"]) == (5, 2, 3, 0)
+    back = spark.read.format("tokenfile").option("length", 64).load(str(tmp_path / "c")).orderBy("seq_id").collect()
+    ids = [x for r in back for x in r.input_ids]
+    texts = tok.Tokenizer().decode(ids[: len(ids) - next(i for i, x in enumerate(reversed(ids)) if x)]).split("<|eos|>")
+    assert texts == [*(t for _, t in sorted(good)), ""]
+
+
 def test_an_endless_mix(spark, tmp_path):
     import time
 
